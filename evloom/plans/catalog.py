@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evloom.plans import base, q_identity, q_ranking  # noqa: F401
+from evloom.plans import base, q_domain, q_identity, q_ranking  # noqa: F401
 
 
 def queries() -> dict:

@@ -173,7 +173,7 @@ def WIN07_topk_sets(spark, d):
 
 _PREFIX = f"""with {RANKED_SQL}, qs as (select *, dense_rank() over (partition by candidate order by query_id) as q from ranked where candidate % 20 = 0), wide as (select candidate, p.prefix, item, count(distinct q) as hits, count(distinct family) as families, min(rank) as best, count(distinct source) as sources from qs join (select candidate as c, q as prefix from qs group by all) p on p.c = candidate and q <= p.prefix group by candidate, p.prefix, item),
 top as (select *, row_number() over (partition by candidate, prefix order by 0.4::double * hits + 0.3::double * families + 0.2::double / (best + 1) + 0.1::double * sources desc, item) as n from wide), sets as (select candidate, prefix, list_sort(list(item)) as items from top where n <= 5 group by all), l as (select *, lag(items) over (partition by candidate order by prefix) as before from sets)
-select candidate, prefix, round(len(list_intersect(items, before)) / len(list_distinct(list_concat(items, before))), 6) as stability from l"""
+select candidate, prefix, case when before is not null then round(len(list_intersect(items, before)) / len(list_distinct(list_concat(items, before))), 6) end as stability from l"""
 
 
 @query(_PREFIX)

@@ -1,0 +1,83 @@
+"""Adapters of literature sources: raw payload columns to the common hit columns, and replace-by-key sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evloom.functions import blank_to_null, strip_prefix
+
+HIT = ("title", "abstract", "year", "venue", "doi", "external_id", "citation_count", "pdf_url")
+
+
+def _json(df: DataFrame, schema: str) -> DataFrame:
+    return df.withColumn("j", F.from_json("payload", schema))
+
+
+def semantic_scholar(raw: DataFrame) -> DataFrame:
+    j = _json(raw, "paperId string, title string, abstract string, year int, venue string, citationCount int, externalIds struct<DOI:string,ArXiv:string>, openAccessPdf struct<url:string>, references array<struct<paperId:string,title:string>>")
+    return j.select("id", "j.title", "j.abstract", "j.year", "j.venue", F.col("j.externalIds.DOI").alias("doi"), F.col("j.paperId").alias("external_id"), F.col("j.citationCount").alias("citation_count"), F.col("j.openAccessPdf.url").alias("pdf_url"), F.slice("j.references", 1, 50).alias("references"))
+
+
+def arxiv(raw: DataFrame) -> DataFrame:
+    """Atom entries; the year is the first four characters of the date."""
+    x = raw.withColumn("j", F.from_xml("payload", F.lit("id string, title string, summary string, published string")))
+    return x.select("id", F.trim("j.title").alias("title"), F.trim("j.summary").alias("abstract"), F.expr("try_cast(substring(j.published, 1, 4) as int)").alias("year"), F.lit("arXiv").alias("venue"), F.regexp_extract("j.id", r"abs/([^v]+)", 1).alias("external_id"))
+
+
+def openalex(raw: DataFrame) -> DataFrame:
+    """The abstract is an index from words to places: places are laid out and joined by spaces."""
+    j = _json(raw, "id string, title string, publication_year int, doi string, cited_by_count int, abstract_inverted_index map<string,array<int>>")
+    words = F.flatten(F.transform(F.map_entries("j.abstract_inverted_index"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    return j.select(F.col("id").alias("id"), "j.title", F.array_join(F.transform(F.array_sort(words), lambda x: x["w"]), " ").alias("abstract"), F.col("j.publication_year").alias("year"), strip_prefix("j.doi", "https://doi\\.org/").alias("doi"), strip_prefix("j.id", "https://openalex\\.org/").alias("external_id"), F.col("j.cited_by_count").alias("citation_count"))
+
+
+def crossref(raw: DataFrame) -> DataFrame:
+    j = _json(raw, "DOI string, title array<string>, `container-title` array<string>, abstract string, author array<struct<given:string,family:string>>, issued struct<`date-parts`:array<array<int>>>")
+    return j.select("id", F.get("j.title", F.lit(0)).alias("title"), F.regexp_replace("j.abstract", "<[^>]+>", "").alias("abstract"), F.get(F.get("j.issued.date-parts", F.lit(0)), F.lit(0)).alias("year"), F.get("j.container-title", F.lit(0)).alias("venue"), F.col("j.DOI").alias("doi"), F.transform("j.author", lambda a: F.concat_ws(" ", a["given"], a["family"])).alias("authors"))
+
+
+def core(raw: DataFrame) -> DataFrame:
+    j = _json(raw, "id string, title string, abstract string, yearPublished string, identifiers array<string>")
+    doi = F.get(F.filter("j.identifiers", lambda x: x.rlike(r"^10\.")), F.lit(0))
+    return j.select(F.col("id").alias("id"), "j.title", "j.abstract", F.expr("try_cast(j.yearPublished as int)").alias("year"), doi.alias("doi"), F.col("j.id").alias("external_id"))
+
+
+def ieee(raw: DataFrame) -> DataFrame:
+    j = _json(raw, "article_number string, title string, abstract string, publication_year int, doi string, citing_paper_count int")
+    return j.select("id", "j.title", "j.abstract", F.col("j.publication_year").alias("year"), "j.doi", F.col("j.article_number").alias("external_id"), F.col("j.citing_paper_count").alias("citation_count"))
+
+
+def fan_out(parts: list[DataFrame]) -> DataFrame:
+    """Hits of all sources in one table; a source that lacks a column has nulls there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def fill_pdf(items: DataFrame, locations: DataFrame) -> DataFrame:
+    """pdf_url stays where it is; else the best location by DOI, else the first."""
+    return items.join(locations.select("doi", "best", "first"), "doi", "left").select(*items.columns, F.coalesce(blank_to_null("pdf_url"), "best", "first").alias("pdf"))
+
+
+def enrich(items: DataFrame, *sources: DataFrame) -> DataFrame:
+    """Rows that lack citations, venue or year are filled from the sources in turn; citations only upwards."""
+    out = items
+    for k, s in enumerate(sources):
+        out = out.join(s.select("id", *[F.col(c).alias(f"_{c}{k}") for c in ("citation_count", "venue", "year")]), "id", "left")
+    lacks = (F.coalesce("citation_count", F.lit(0)) == 0) | blank_to_null("venue").isNull() | F.col("year").isNull()
+    cols = {"citation_count": F.greatest("citation_count", *[f"_citation_count{k}" for k in range(len(sources))], F.lit(0)), "venue": F.coalesce(blank_to_null("venue"), *[blank_to_null(f"_venue{k}") for k in range(len(sources))]), "year": F.coalesce("year", *[f"_year{k}" for k in range(len(sources))])}
+    return out.withColumns({k: F.when(lacks, v).otherwise(F.col(k)) for k, v in cols.items()}).select(*items.columns)
+
+
+def reconcile(items: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Counts of ids in both stores, in one and in the other."""
+    a, b = items.select(key).distinct().withColumn("a", F.lit(True)), vectors.select(key).distinct().withColumn("b", F.lit(True))
+    status = F.when(F.col("a") & F.col("b"), "full").when(F.col("a"), "vector_missing").otherwise("item_missing")
+    return a.join(b, key, "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Delete-then-insert: all rows of the keys that come anew are replaced."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -1,0 +1,48 @@
+"""Structured Streaming forms of the event operators. Event-time windows are an extension."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+QUEUE = 200
+TERMINAL = ("done", "stopped", "failed")
+
+
+def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Tumbling event-time counts and sums by type, late rows within the watermark included; the input may be a stream or a table."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        timed = timed.withWatermark("ts", late)
+    by = timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return by.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def bounded_queues(events: DataFrame, most: int = QUEUE) -> DataFrame:
+    """For a stream of (key, seq, type, payload): after each batch, the size of a key's queue, which drops its oldest.
+
+    A terminal type closes the key and frees its state.
+    """
+
+    def step(key, batches, state):
+        held = list(state.get[0]) if state.exists else []
+        closed = False
+        for d in batches:
+            d = d.sort_values("seq")
+            held = (held + d["seq"].tolist())[-most:]
+            closed = closed or d["type"].isin(TERMINAL).any()
+        out = pd.DataFrame({"key": [key[0]], "size": [len(held)], "oldest": [held[0]], "closed": [bool(closed)]})
+        if closed:
+            state.remove()
+        else:
+            state.update((held,))
+        yield out
+
+    return events.groupBy("key").applyInPandasWithState(step, "key string, size long, oldest long, closed boolean", "held array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def process_rounds(rounds: DataFrame, handle, checkpoint: str):
+    """Runs handle(batch, round) once for each micro-batch of a stream; a restart goes on after the last finished one."""
+    return rounds.writeStream.foreachBatch(lambda df, n: handle(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
