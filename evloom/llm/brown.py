@@ -72,10 +72,10 @@ def pair_counts(train: DataFrame, head) -> DataFrame:
             flow = [np.array([end])]
             for t in b.column("text").to_pylist():
                 words = tokens(t)
-                for w in set(words) - ids.keys():
-                    if len(ids) < KNOWN * 4:
-                        ids[w] = HEAD + open_group(w)
-                flow.append(np.array([ids[w] if w in ids else HEAD + open_group(w) for w in words] + [end]))
+                at = list(map(ids.get, words))
+                if None in at:
+                    at = [HEAD + open_group(w) if k is None else k for k, w in zip(at, words, strict=True)]
+                flow.append(np.array(at + [end]))
             flat = np.concatenate(flow)
             total += np.bincount(flat[:-1] * size + flat[1:], minlength=size * size)
         at = np.flatnonzero(total)
