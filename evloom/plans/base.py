@@ -28,7 +28,7 @@ def table(spark, sf_dir: str, name: str):
 
 #: documents as raw hits of several sources. The expressions are both Spark's and DuckDB's.
 HITS = [
-    "doc_id as pos", "doc_id as id", "source", "left(text, 80) as title", "case when doc_id % 4 = 0 then '' else left(text, 40) end as abstract",
+    "doc_id as pos", "doc_id as id", "source", "text as title", "case when doc_id % 4 = 0 then '' else text end as abstract",
     "case when doc_id % 3 = 0 then concat('d', doc_id % 200) when doc_id % 3 = 1 then '' end as doi", "case when doc_id % 5 < 2 then concat('a', doc_id % 150) end as arxiv_id",
     "case when doc_id % 7 = 0 then concat('s', doc_id % 100) end as s2_id", "case when doc_id % 11 = 0 then concat('o', doc_id % 50) end as openalex_id",
     "n_chars % 500 as citation_count", "case when doc_id % 6 = 0 then null else 2000 + doc_id % 25 end as year", "case when doc_id % 5 = 0 then '' else upper(concat('venue', doc_id % 9)) end as venue",

@@ -60,12 +60,12 @@ def DEC10_readiness(spark, d):
     return gates.readiness(True, True, c)
 
 
-_ADM = f"with {LINKS_SQL}, b as (select question_id, count(distinct paper_id) filter (relation_type in ('supports', 'partially_answers')) as papers, count(*) filter (evidence_type in ('limitation', 'negative_result')) as limits, count(*) filter (relation_type = 'contradicts' and fulltext) as contra, bool_or(fulltext) as located, bool_or(fulltext and evidence_type = 'limitation') as ll from links where relevance >= 0.5 and round <= 2 and question_id % 2 = 0 group by 1)"
+_ADM = f"with {LINKS_SQL}, b as (select question_id, count(distinct paper_id) filter (relation_type in ('supports', 'partially_answers')) as papers, count(*) filter (evidence_type in ('limitation', 'negative_result')) as limits, count(*) filter (relation_type = 'contradicts' and fulltext) as contra, bool_or(fulltext) as located, bool_or(fulltext and evidence_type = 'limitation') as ll from links where relevance >= 0.5 group by 1)"
 
 
 @query(_ADM + " select question_id, case when papers >= 2 and limits >= 1 and contra = 0 then 'PASS' else 'UNKNOWN' end as status, case when located and ll then 'A' else 'B' end as tier, concat_ws('; ', case when papers < 2 then 'fewer than 2 supporting papers' end, case when limits < 1 then 'no limitation or negative result' end, case when contra > 0 then 'verified contradiction' end) as reasons from b")
 def DEC11_13_mining_admission(spark, d):
-    return gates.mining_admission(links(spark, d).where("round <= 2 and question_id % 2 = 0"))
+    return gates.mining_admission(links(spark, d))
 
 
 @query(f"with {LINKS_SQL}, g as (select evidence_id as candidate, count(distinct question_id) as questions, count(distinct paper_id) as papers, count(*) filter (relation_type = 'contradicts') as contra, count(*) filter (evidence_type = 'limitation') as limits, bool_or(question_id > 90) as unknown from links group by 1) select candidate, case when unknown then 'unknown question' when contra > 0 then 'contradicting evidence' when papers < 2 then 'fewer than 2 papers' when limits < 1 then 'no limitation' end as reject from g")
@@ -80,11 +80,12 @@ def DEC14_search_admission(spark, d):
     return gates.search_admission(ranked(spark, d).withColumn("ok", F.col("query_id") % 3 > 0))
 
 
-@query("with own as (select distinct l_orderkey as c, l_partkey as p from lineitem where l_returnflag = 'A'), qs as (select distinct l_orderkey as c, l_suppkey as q from lineitem where l_orderkey % 50 = 0), cand as (select distinct qs.c, l_partkey as p from qs join lineitem on l_suppkey = q where l_linenumber = 1) select c, p from cand where not exists (select 1 from own where own.c = cand.c and own.p = cand.p)")
+@query("with own as (select distinct l_orderkey as c, l_partkey as p from lineitem where l_returnflag = 'A'), l as (select l_orderkey, l_partkey, l_suppkey as q, date_trunc('month', l_shipdate) as m from lineitem), qs as (select distinct l_orderkey as c, q, m from l), cand as (select distinct qs.c, l_partkey as p from qs join l on l.q = qs.q and l.m = qs.m) select c, p from cand where not exists (select 1 from own where own.c = cand.c and own.p = cand.p)")
 def DEC15_corpus_neighbours(spark, d):
-    t = table(spark, d, "lineitem")
-    qs = t.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("c"), "l_suppkey").distinct()
-    found = qs.join(t.where("l_linenumber = 1").select("l_suppkey", F.col("l_partkey").alias("p")), "l_suppkey").select("c", "p").distinct()
+    """A supplier's month stands for a question; its parts are the neighbours."""
+    t = table(spark, d, "lineitem").withColumn("m", F.date_trunc("month", "l_shipdate"))
+    qs = t.select(F.col("l_orderkey").alias("c"), "l_suppkey", "m").distinct()
+    found = qs.join(t.select("l_suppkey", "m", F.col("l_partkey").alias("p")).distinct(), ["l_suppkey", "m"]).select("c", "p").distinct()
     return found.join(t.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("c"), F.col("l_partkey").alias("p")), ["c", "p"], "left_anti")
 
 
@@ -133,13 +134,13 @@ def DEC21_repeat_detection(spark, d):
     return s.select("candidate", "query_id", F.coalesce((F.col("n") == F.lag("n").over(w)) & (F.col("f") == F.lag("f").over(w)), F.lit(False)).alias("repeated"))
 
 
-_FALL = f"with {RANKED_SQL}, s as (select candidate, family, query_id, list_distinct(list(item)) as items from ranked where rank < {{k}} and candidate % 3 = 0 group by all), p as (select x.candidate, x.family, len(list_intersect(x.items, y.items)) / len(list_distinct(list_concat(x.items, y.items))) as j, len(list_intersect(x.items, y.items)) / least(len(x.items), len(y.items)) as o from s x join s y on x.candidate = y.candidate and x.family = y.family and x.query_id < y.query_id)"
+_FALL = f"with {RANKED_SQL}, s as (select candidate, family, query_id, list_distinct(list(item)) as items from ranked where rank < {{k}} group by all), p as (select x.candidate, x.family, len(list_intersect(x.items, y.items)) / len(list_distinct(list_concat(x.items, y.items))) as j, len(list_intersect(x.items, y.items)) / least(len(x.items), len(y.items)) as o from s x join s y on x.candidate = y.candidate and x.family = y.family and x.query_id < y.query_id)"
 _FALLS = " union all ".join(f"({_FALL.format(k=k)} select candidate, family, {k} as k, round(median(j), 6) as jaccard, round(median(o), 6) as overlap from p group by all)" for k in (5, 10, 20))
 
 
 @query(_FALLS)
 def DEC23_24_overlap_waterfall(spark, d):
-    r, out = ranked(spark, d).where("candidate % 3 = 0"), None
+    r, out = ranked(spark, d), None
     for k in (5, 10, 20):
         s = r.where(F.col("rank") < k).groupBy("candidate", "family", "query_id").agg(F.collect_set("item").alias("items"))
         p = s.alias("x").join(s.alias("y"), ["candidate", "family"]).where("x.query_id < y.query_id").select("candidate", "family", fn.jaccard("x.items", "y.items").alias("j"), fn.overlap("x.items", "y.items").alias("o"))
@@ -197,17 +198,17 @@ def DEC31_32_stop_policy(spark, d):
     return s.select("user_id", ((F.col("rounds") >= 75) | (F.col("high") >= 15)).alias("stop"), (((F.col("high") < 10) & (F.col("rounds") >= 2)) | ((F.col("dup") > 0.65) & (F.col("rounds") >= 2))).alias("early"))
 
 
-@query("with f as (select user_id, event_type, count(*) as used from events where event_id % 20 = 0 group by all), t as (select user_id, sum(used) as total, min(used) as least_used, count(*) as families from f group by 1) select user_id, total::bigint as total, total < 3 or (total < 8 and (least_used < 2 or families < 5)) as allowed, case when total >= 8 then 'total budget' when least_used >= 2 and families >= 5 then 'family budget' end as refused from t")
+@query("with f as (select user_id, date_trunc('week', ts)::date as week, event_type, count(*) as used from events group by all), t as (select user_id, week, sum(used) as total, min(used) as least_used, count(*) as families from f group by all) select user_id, week, total::bigint as total, total < 3 or (total < 8 and (least_used < 2 or families < 5)) as allowed, case when total >= 8 then 'total budget' when least_used >= 2 and families >= 5 then 'family budget' end as refused from t")
 def DEC33_39_ST15_budget_ledger(spark, d):
-    f = table(spark, d, "events").where("event_id % 20 = 0").groupBy("user_id", "event_type").agg(F.count("*").alias("used"))
-    t = f.groupBy("user_id").agg(F.sum("used").alias("total"), F.min("used").alias("least"), F.count("*").alias("families"))
+    f = table(spark, d, "events").groupBy("user_id", F.date_trunc("week", "ts").cast("date").alias("week"), "event_type").agg(F.count("*").alias("used"))
+    t = f.groupBy("user_id", "week").agg(F.sum("used").alias("total"), F.min("used").alias("least"), F.count("*").alias("families"))
     spent = (F.col("least") >= 2) & (F.col("families") >= 5)
-    return t.select("user_id", "total", ((F.col("total") < 3) | ((F.col("total") < 8) & ~spent)).alias("allowed"), F.when(F.col("total") >= 8, "total budget").when(spent, "family budget").alias("refused"))
+    return t.select("user_id", "week", "total", ((F.col("total") < 3) | ((F.col("total") < 8) & ~spent)).alias("allowed"), F.when(F.col("total") >= 8, "total budget").when(spent, "family budget").alias("refused"))
 
 
-@query(_VERDICT + " select candidate_id, case when action = 'more_search' then 'inconclusive' else 'auditing' end as status from r where candidate_id % 2 = 0")
+@query(_VERDICT + " select candidate_id, case when action = 'more_search' then 'inconclusive' else 'auditing' end as status from r")
 def DEC34_inconclusive(spark, d):
-    return _verdicts(spark, d).where("candidate_id % 2 = 0").select("candidate_id", F.when(F.col("action") == "more_search", "inconclusive").otherwise("auditing").alias("status"))
+    return _verdicts(spark, d).select("candidate_id", F.when(F.col("action") == "more_search", "inconclusive").otherwise("auditing").alias("status"))
 
 
 @query("select doc_id, case when quality = 1 then 'upgraded' else 'abstract_only' end as status, case when quality = 1 then 0.6::double else 0.4::double end as confidence from documents left join labels using (doc_id)")
@@ -222,9 +223,9 @@ def DEC35_40_decomposition_valid(spark, d):
     return q.select("conv_id", (F.col("n").between(5, 12) & (F.col("axes") >= 3) & (F.col("blank") == 0) & (F.col("twice") == 0)).alias("valid"), (F.col("n") >= 1).alias("enough"))
 
 
-@query("with n as (select doc_id, source, trim(regexp_replace(lower(trim(left(text, 24))), '\\s+', ' ', 'g')) as q from documents where source in ('src1', 'src2', 'src3')), f as (select source, q, min(doc_id) as id from n group by all), r as (select *, row_number() over (partition by source order by id) as k from f) select source, q, id from r where k <= 10")
+@query("with n as (select doc_id, source, trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) as q from documents where source in ('src1', 'src2', 'src3')), f as (select source, q, min(doc_id) as id from n group by all), r as (select *, row_number() over (partition by source order by id) as k from f) select source, q, id from r where k <= 10")
 def DEC41_valid_queries(spark, d):
-    n = table(spark, d, "documents").where(F.col("source").isin("src1", "src2", "src3")).select("doc_id", "source", fn.normalise_query(F.substring("text", 1, 24)).alias("q"))
+    n = table(spark, d, "documents").where(F.col("source").isin("src1", "src2", "src3")).select("doc_id", "source", fn.normalise_query("text").alias("q"))
     f = n.groupBy("source", "q").agg(F.min("doc_id").alias("id"))
     return f.withColumn("k", ranking.ordinal(["source"], "id")).where("k < 10").select("source", "q", "id")
 
@@ -239,14 +240,15 @@ def DEC38_recommendations(spark, d):
 # Text ----------------------------------------------------------------------------------------
 
 
-@query("with h as (select doc_id, lower(left(text, 80)) as h from documents) select doc_id, case when regexp_matches(h, 'abstract|摘要') then 'abstract' when regexp_matches(h, 'introduction|引言') then 'introduction' when regexp_matches(h, 'method|approach|model') then 'method' when regexp_matches(h, 'experiment|evaluation|result') then 'experiment' when regexp_matches(h, 'conclusion|discussion') then 'conclusion' else 'other' end as section from h")
+@query("with l as (select doc_id, unnest(string_split(text, chr(10))) as l from documents), h as (select doc_id, lower(regexp_replace(l, '^#+\\s*', '')) as h from l) select doc_id, case when length(h) > 80 then 'other' when regexp_matches(h, 'abstract|摘要') then 'abstract' when regexp_matches(h, 'introduction|引言') then 'introduction' when regexp_matches(h, 'method|approach|model') then 'method' when regexp_matches(h, 'experiment|evaluation|result') then 'experiment' when regexp_matches(h, 'conclusion|discussion') then 'conclusion' else 'other' end as section, count(*) as lines from h group by all")
 def TXT01_02_sections(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.classify_heading(F.substring("text", 1, 80)).alias("section"))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id", text.classify_heading(F.col("line")).alias("section")).agg(F.count("*").alias("lines"))
 
 
-@query("with t as (select doc_id, '[FIGURE: ' || source || '] ' || left(text, 500) || ' [TABLE]' as t from documents) select doc_id, array_to_string(regexp_extract_all(t, '\\[(FIGURE|TABLE)[^\\]]*\\]'), '|') as marks, len(list_filter(regexp_split_to_array(regexp_replace(t, '\\[(FIGURE|TABLE)[^\\]]*\\]', '', 'g'), '\\s+'), lambda w: w <> '')) as words from t")
+@query("with t as (select doc_id, '[FIGURE: ' || source || '] ' || text || ' [TABLE]' as t from documents) select doc_id, array_to_string(regexp_extract_all(t, '\\[(FIGURE|TABLE)[^\\]]*\\]'), '|') as marks, len(list_filter(regexp_split_to_array(regexp_replace(t, '\\[(FIGURE|TABLE)[^\\]]*\\]', '', 'g'), '\\s+'), lambda w: w <> '')) as words from t")
 def TXT03_04_marks_words(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("[FIGURE: "), "source", F.lit("] "), F.substring("text", 1, 500), F.lit(" [TABLE]")).alias("t"))
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("[FIGURE: "), "source", F.lit("] "), "text", F.lit(" [TABLE]")).alias("t"))
     return t.select("doc_id", F.array_join(F.regexp_extract_all("t", F.lit(r"\[(FIGURE|TABLE)[^\]]*\]"), F.lit(0)), "|").alias("marks"), text.word_count(F.col("t")).alias("words"))
 
 
@@ -259,15 +261,15 @@ def TXT06_citation_check(spark, d):
     return t.select("doc_id", F.when(first.between(1, 20), F.concat(F.lit("[P"), first.cast("string"), F.lit("]"))).otherwise("[unsupported]").alias("first_mark"), (F.size(F.array_distinct(good)) / F.lit(20)).alias("coverage"))
 
 
-@query("select doc_id, regexp_matches(left(text, 400), '(?i)lorem ipsum|todo|tbd|xxx') as placeholder, len(list_filter(regexp_split_to_array(left(text, 400), '[\\n;；.]'), lambda x: length(trim(x)) > 3)) as parts from documents")
+@query("select doc_id, regexp_matches(text, '(?i)lorem ipsum|todo|tbd|xxx') as placeholder, len(list_filter(regexp_split_to_array(text, '[\\n;；.]'), lambda x: length(trim(x)) > 3)) as parts from documents")
 def TXT07_08_WIK08_components(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("t"))
+    t = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
     return t.select("doc_id", F.col("t").rlike("(?i)lorem ipsum|todo|tbd|xxx").alias("placeholder"), F.size(F.filter(F.split("t", r"[\n;；.]"), lambda x: F.length(F.trim(x)) > 3)).alias("parts"))
 
 
-@query("with t as (select doc_id, list_distinct(regexp_extract_all(left(text, 1000), '[A-Z][a-z]{3,}')) as n from documents) select doc_id, array_to_string(list_sort(list_filter(n, lambda x: x not in ('This', 'That', 'With')))[1:100], ',') as names from t")
+@query("with t as (select doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}')) as n from documents) select doc_id, array_to_string(list_sort(list_filter(n, lambda x: x not in ('This', 'That', 'With')))[1:100], ',') as names from t")
 def TXT09_names(spark, d):
-    n = F.array_except(F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 1000), F.lit(r"[A-Z][a-z]{3,}"), F.lit(0))), F.array(F.lit("This"), F.lit("That"), F.lit("With")))
+    n = F.array_except(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{3,}"), F.lit(0))), F.array(F.lit("This"), F.lit("That"), F.lit("With")))
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.array_sort(n), 1, 100), ",").alias("names"))
 
 
@@ -294,9 +296,9 @@ def TXT15_17_query_templates(spark, d):
     return a.unionAll(p.select("p_partkey", F.concat_ws(" ", "p_brand", fn.blank_to_null("p_type"), F.lit("negative result"))))
 
 
-@query("with t as (select doc_id, lower(left(text, 300)) as t from documents) select doc_id, array_to_string(list_filter(['tion', 'ing', 'eau', 'ung'], lambda x: not contains(t, x)), ',') as missing from t")
+@query("with t as (select doc_id, lower(text) as t from documents) select doc_id, array_to_string(list_filter(['tion', 'ing', 'eau', 'ung'], lambda x: not contains(t, x)), ',') as missing from t")
 def TXT16_term_coverage(spark, d):
-    terms, t = F.array(*[F.lit(x) for x in ("tion", "ing", "eau", "ung")]), F.lower(F.substring("text", 1, 300))
+    terms, t = F.array(*[F.lit(x) for x in ("tion", "ing", "eau", "ung")]), F.lower("text")
     return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(terms, lambda x: ~F.contains(t, x)), ",").alias("missing"))
 
 
@@ -305,17 +307,17 @@ def TXT18_ST11_token_estimate(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(fn.token_estimate("text") + 4).alias("tokens"))
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then doc_id % 10 end as position, split_part(left(text, 100), '. ', 1) as topic, nullif(regexp_extract(lower('10.48550/arXiv.21' || lpad((doc_id % 12 + 1)::varchar, 2, '0') || '.' || lpad(doc_id::varchar, 5, '0')), 'arxiv\\.(\\d{4}\\.\\d{4,5})', 1), '') as arxiv_id from documents")
+@query("select doc_id, case when doc_id % 2 = 0 then doc_id % 10 end as position, split_part(text, '. ', 1) as topic, nullif(regexp_extract(lower('10.48550/arXiv.21' || lpad((doc_id % 12 + 1)::varchar, 2, '0') || '.' || lpad(doc_id::varchar, 5, '0')), 'arxiv\\.(\\d{4}\\.\\d{4,5})', 1), '') as arxiv_id from documents")
 def TXT19_20_21_ids(spark, d):
     doi = F.expr("concat('10.48550/arXiv.21', lpad(cast(doc_id % 12 + 1 as string), 2, '0'), '.', lpad(cast(doc_id as string), 5, '0'))")
     mark = F.expr("case when doc_id % 2 = 0 then concat('[P', doc_id % 10, ']') else 'x' end")
     pos = F.when(mark.rlike(r"^\[[pP]\d+\]$"), F.regexp_extract(mark, r"(\d+)", 1).cast("long"))
-    return table(spark, d, "documents").select("doc_id", pos.alias("position"), F.split_part(F.substring("text", 1, 100), F.lit(". "), F.lit(1)).alias("topic"), fn.arxiv_in_doi(doi).alias("arxiv_id"))
+    return table(spark, d, "documents").select("doc_id", pos.alias("position"), F.split_part("text", F.lit(". "), F.lit(1)).alias("topic"), fn.arxiv_in_doi(doi).alias("arxiv_id"))
 
 
-@query("select doc_id, sha256(text) as sha, md5(source || ':' || left(text, 50)) as cache_key from documents")
+@query("select doc_id, sha256(text) as sha, md5(source || ':' || text) as cache_key from documents")
 def HSH01_hashes(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5(F.concat("source", F.lit(":"), F.substring("text", 1, 50)).cast("binary")).alias("cache_key"))
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5(F.concat("source", F.lit(":"), "text").cast("binary")).alias("cache_key"))
 
 
 @query("select l_suppkey, sha256(array_to_string(list(x order by x), '|')) as version from (select l_suppkey, concat_ws(',', l_orderkey, l_partkey, l_linenumber, l_returnflag) as x from lineitem) group by 1")
@@ -406,18 +408,18 @@ def EXT_event_windows(spark, d):
 
 # Graph and lineage ---------------------------------------------------------------------------
 
-_E = "e as (select distinct l_suppkey as a, l_partkey as b from lineitem where l_quantity > 40)"
+_E = "e as (select distinct l_suppkey as a, l_partkey as b from lineitem)"
 
 
 @query(f"with {_E}, g as (select b, count(*) as d from e group by 1), p as (select x.a, y.a as b, count(*) as common, sum(1 / ln(g.d)) as aa from e x join e y on x.b = y.b and x.a < y.a join g on g.b = x.b group by all), n as (select a, count(*) as n from e group by 1) select p.a, p.b, common, round(aa, 6) as adamic_adar, round(common / sqrt(na.n * nb.n), 6) as salton from p join n na on na.a = p.a join n nb on nb.a = p.b")
 def GRF01_04_shared_neighbours(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
     return graph.shared_neighbours(e, "s", "p")
 
 
 @query(f"with {_E} select count(*) as edges, count(distinct a) as sources, count(distinct b) as targets, round(count(*) / (count(distinct a) * count(distinct b)), 6) as density from e")
 def GRF07_stats(spark, d):
-    return graph.stats(table(spark, d, "lineitem").where("l_quantity > 40"), "l_suppkey", "l_partkey")
+    return graph.stats(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
 
 
 @query("with recursive p as (select p_partkey as id, case when p_partkey % 7 > 0 then p_partkey - 1 end as parent_id from part), w as (select id, id as node, 0 as depth from p union all select w.id, p.parent_id, w.depth + 1 from w join p on w.node = p.id where p.parent_id is not null) select id, arg_max(node, depth) as root, max(depth) as depth from w group by 1")
@@ -429,18 +431,18 @@ def JON13_lineage(spark, d):
 # Sources, pages and reports ------------------------------------------------------------------
 
 
-@query("select doc_id as id, left(text, 30) as title, source, 's2' as adapter, 2000 + doc_id % 20 as year, (doc_id % 90) as citation_count from documents where doc_id % 2 = 0 union all select doc_id, left(text, 30), source, 'ieee', 2000 + doc_id % 20, doc_id % 90 from documents where doc_id % 2 = 1")
+@query("select doc_id as id, text as title, source, 's2' as adapter, 2000 + doc_id % 20 as year, (doc_id % 90) as citation_count from documents where doc_id % 2 = 0 union all select doc_id, text, source, 'ieee', 2000 + doc_id % 20, doc_id % 90 from documents where doc_id % 2 = 1")
 def SRC01_09_adapters(spark, d):
-    t = table(spark, d, "documents").selectExpr("doc_id as id", "source", "left(text, 30) as title", "cast(2000 + doc_id % 20 as int) as y", "cast(doc_id % 90 as int) as n")
+    t = table(spark, d, "documents").selectExpr("doc_id as id", "source", "text as title", "cast(2000 + doc_id % 20 as int) as y", "cast(doc_id % 90 as int) as n")
     a = t.where("id % 2 = 0").withColumn("payload", F.to_json(F.struct("title", F.col("y").alias("year"), F.col("n").alias("citationCount"))))
     b = t.where("id % 2 = 1").withColumn("payload", F.to_json(F.struct("title", F.col("y").alias("publication_year"), F.col("n").alias("citing_paper_count"))))
     both = sources.fan_out([sources.semantic_scholar(a).drop("references").withColumn("adapter", F.lit("s2")), sources.ieee(b).withColumn("adapter", F.lit("ieee"))])
     return both.join(t.select("id", "source"), "id").select("id", "title", "source", "adapter", "year", "citation_count")
 
 
-@query("select doc_id as id, array_to_string(string_split(left(text, 120), ' '), ' ') as abstract from documents where doc_id % 3 = 0")
+@query("select doc_id as id, text as abstract from documents")
 def SRC06_inverted_index(spark, d):
-    w = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.posexplode(F.split(F.substring("text", 1, 120), " ")).alias("p", "w"))
+    w = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", " ")).alias("p", "w"))
     inv = w.groupBy("id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("abstract_inverted_index"))
     return sources.openalex(inv.select("id", F.to_json(F.struct("abstract_inverted_index")).alias("payload"))).select("id", "abstract")
 
@@ -459,20 +461,20 @@ def SRC13_page_text(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), F.trim(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("title"))
 
 
-@query("select case when l.doc_id is null then 'vector_missing' when d.doc_id is null then 'item_missing' else 'full' end as status, count(*) as n from (select doc_id from documents where doc_id % 5 > 0) d full join labels l on d.doc_id = l.doc_id group by 1")
+@query("select case when c.k is null then 'vector_missing' when l.k is null then 'item_missing' else 'full' end as status, count(*) as n from (select distinct doc_id as k from labels) l full join (select distinct conv_id as k from conversations) c on l.k = c.k group by 1")
 def SRC19_reconcile(spark, d):
-    return sources.reconcile(table(spark, d, "documents").where("doc_id % 5 > 0"), table(spark, d, "labels"), "doc_id")
+    return sources.reconcile(table(spark, d, "labels").select(F.col("doc_id").alias("k")), table(spark, d, "conversations").select(F.col("conv_id").alias("k")), "k")
 
 
-@query("select doc_id, quality, 'old' as v from labels where doc_id % 4 > 0 union all select doc_id, 1 - quality, 'new' from labels where doc_id % 4 = 0")
+@query("select doc_id, quality, 'old' as v from labels where toxic = 0 union all select doc_id, 1 - quality, 'new' from labels where toxic = 1")
 def SRC17_18_replace_sink(spark, d):
     l = table(spark, d, "labels")
-    return sources.replace_by_key(l.select("doc_id", "quality", F.lit("old").alias("v")), l.where("doc_id % 4 = 0").select("doc_id", (1 - F.col("quality")).alias("quality"), F.lit("new").alias("v")), "doc_id")
+    return sources.replace_by_key(l.select("doc_id", "quality", F.lit("old").alias("v")), l.where("toxic = 1").select("doc_id", (1 - F.col("quality")).alias("quality"), F.lit("new").alias("v")), "doc_id")
 
 
-@query("select source, '# ' || source || chr(10) || array_to_string(list('- ' || left(text, 20) || ' (' || lang || ')' order by n_chars desc, doc_id)[1:5], chr(10)) as markdown, count(*) as ids from documents group by 1")
+@query("select source, '# ' || source || chr(10) || array_to_string(list('- ' || text || ' (' || lang || ')' order by n_chars desc, doc_id)[1:5], chr(10)) as markdown, count(*) as ids from documents group by 1")
 def WIK03_RPT01_05_SRC21_pages(spark, d):
-    line = F.concat(F.lit("- "), F.substring("text", 1, 20), F.lit(" ("), "lang", F.lit(")"))
+    line = F.concat(F.lit("- "), "text", F.lit(" ("), "lang", F.lit(")"))
     g = table(spark, d, "documents").withColumn("n", ranking.ordinal(["source"], F.desc("n_chars"), "doc_id")).groupBy("source").agg(F.array_sort(F.collect_list(F.when(F.col("n") < 5, F.struct("n", line.alias("line"))))).alias("l"), F.count("*").alias("ids"))
     return g.select("source", F.concat(F.lit("# "), "source", F.lit("\n"), F.array_join("l.line", "\n")).alias("markdown"), "ids")
 

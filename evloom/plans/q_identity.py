@@ -13,9 +13,9 @@ NORM = "trim(regexp_replace(regexp_replace(lower(trim({0})), '[^\\p{{L}}\\p{{N}}
 KEYED = f"keyed as (select *, coalesce('doi:' || nullif(doi, ''), 'arxiv:' || nullif(arxiv_id, ''), 's2:' || nullif(s2_id, ''), 'openalex:' || nullif(openalex_id, ''), 'title:' || sha256({NORM.format('title')})) as key from hits)"
 
 
-@query(f"select doc_id, {NORM.format('left(text, 80)')} as title_norm, sha256({NORM.format('left(text, 80)')}) as title_hash from documents")
+@query(f"select doc_id, {NORM.format('text')} as title_norm, sha256({NORM.format('text')}) as title_hash from documents")
 def DED01_02_title_hash(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("t"))
+    t = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
     return t.select("doc_id", fn.normalise_title("t").alias("title_norm"), fn.title_hash("t").alias("title_hash"))
 
 
@@ -57,10 +57,10 @@ def DED07_link_upsert(spark, d):
     return links(spark, d).groupBy("question_id", "paper_id").agg(F.min("round").alias("discovered_round"))
 
 
-@query(f"with {RANKED_SQL}, known as (select distinct query_id, item, source from ranked where query_id % 10 = 0) select query_id, item, source, min(rank) as rank from ranked r where not exists (select 1 from known k where k.query_id = r.query_id and k.item = r.item and k.source = r.source) group by all")
+@query(f"with {RANKED_SQL}, known as (select distinct query_id, item, source from ranked where family = '1-URGENT') select query_id, item, source, min(rank) as rank from ranked r where not exists (select 1 from known k where k.query_id = r.query_id and k.item = r.item and k.source = r.source) group by all")
 def DED08_triple_dedup(spark, d):
     r = ranked(spark, d)
-    new = r.join(r.where("query_id % 10 = 0").select("query_id", "item", "source").distinct(), ["query_id", "item", "source"], "left_anti")
+    new = r.join(r.where("family = '1-URGENT'").select("query_id", "item", "source").distinct(), ["query_id", "item", "source"], "left_anti")
     return new.groupBy("query_id", "item", "source").agg(F.min("rank").alias("rank"))
 
 
@@ -71,24 +71,26 @@ def DED09_edge_upsert(spark, d):
     return t.groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_returnflag").alias("relation")).agg(F.max_by("l_quantity", seq).alias("weight"))
 
 
-@query("select trim(regexp_replace(lower(trim(left(text, 20))), '\\s+', ' ', 'g')) as q, source, count(*) as n, min(doc_id) as first_id from documents group by all")
+@query("select trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) as q, source, count(*) as n, min(doc_id) as first_id from documents group by all")
 def DED10_query_save(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "source", fn.normalise_query(F.substring("text", 1, 20)).alias("q"))
+    t = table(spark, d, "documents").select("doc_id", "source", fn.normalise_query("text").alias("q"))
     return t.groupBy("q", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("with w as (select doc_id, unnest(string_split(left(text, 200), ' ')) as x, generate_subscripts(string_split(left(text, 200), ' '), 1) as i from documents), f as (select doc_id, lower(x) as k, min(i) as i, arg_min(x, i) as x from w group by doc_id, lower(x)) select doc_id, array_to_string(list(x order by i), '|') as kept from f group by doc_id")
+@query("with w as (select doc_id, unnest(string_split(text, ' ')) as x, generate_subscripts(string_split(text, ' '), 1) as i from documents), f as (select doc_id, lower(x) as k, min(i) as i, arg_min(x, i) as x from w group by doc_id, lower(x)) select doc_id, array_to_string(list(x order by i), '|') as kept from f group by doc_id")
 def DED11_12_ordered_distinct(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 200), " ")).alias("i", "x"))
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "x"))
     first = t.groupBy("doc_id", F.lower("x").alias("k")).agg(F.min(F.struct("i", "x")).alias("m"))
     return first.groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("l")).select("doc_id", F.array_join("l.x", "|").alias("kept"))
 
 
-@query("with h as (select doc_id, source, sha256(text) as hash from documents), f as (select source, hash, min(doc_id) as doc_id from h where doc_id % 3 <> 0 group by all) select f.* from f where not exists (select 1 from h where h.doc_id % 3 = 0 and h.source = f.source and h.hash = f.hash)")
+@query("with h as (select d.doc_id, source, sha256(text) as hash, l.doc_id is not null as stored from documents d left join labels l on d.doc_id = l.doc_id), f as (select source, hash, min(doc_id) as doc_id from h where not stored group by all) select f.* from f where not exists (select 1 from h where stored and h.source = f.source and h.hash = f.hash)")
 def DED13_chunk_hash(spark, d):
+    """Labelled documents stand for the stored chunks, the others for the new ones."""
     h = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
-    new = h.where("doc_id % 3 <> 0").groupBy("source", "hash").agg(F.min("doc_id").alias("doc_id"))
-    return new.join(h.where("doc_id % 3 = 0").select("source", "hash"), ["source", "hash"], "left_anti").select("source", "hash", "doc_id")
+    stored = table(spark, d, "labels").select("doc_id")
+    new = h.join(stored, "doc_id", "left_anti").groupBy("source", "hash").agg(F.min("doc_id").alias("doc_id"))
+    return new.join(h.join(stored, "doc_id", "left_semi").select("source", "hash"), ["source", "hash"], "left_anti").select("source", "hash", "doc_id")
 
 
 @query(None)
@@ -98,9 +100,9 @@ def DED14_semantic_greedy(spark, d):
     return identity.greedy_semantic(e.where("id in (3, 4, 5)"), e.where("label = 1 and id > 5"), 0.5)
 
 
-@query("select doc_id, left(text, 12) as t, left(text, 12) || case when row_number() over (partition by left(text, 12) order by doc_id) > 1 then ' (' || source || ')' else '' end as title from documents")
+@query("select doc_id, text as t, text || case when row_number() over (partition by text order by doc_id) > 1 then ' (' || source || ')' else '' end as title from documents")
 def DED15_title_suffix(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 12).alias("t"))
+    t = table(spark, d, "documents").select("doc_id", "source", F.col("text").alias("t"))
     n = F.row_number().over(Window.partitionBy("t").orderBy("doc_id"))
     return t.select("doc_id", "t", F.concat("t", F.when(n > 1, F.concat(F.lit(" ("), "source", F.lit(")"))).otherwise("")).alias("title"))
 
@@ -144,10 +146,10 @@ def FLT04_05_relations(spark, d):
     return l.groupBy("question_id", fn.is_weak(F.nullif("relevance", F.lit(0.3))).alias("weak"), F.col("relation_type").isin(*fn.SUPPORTING).alias("supporting"), F.col("relation_type").isin(*fn.CONTRADICTING).alias("contradicting")).agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, quality = 1 and nullif(left(text, 3), '') is not null and n_chars > 0 and coalesce(toxic, 0) = 0 as locatable from documents join labels using (doc_id)")
+@query("select doc_id, quality = 1 and nullif(text, '') is not null and n_chars > 0 and coalesce(toxic, 0) = 0 as locatable from documents join labels using (doc_id)")
 def FLT06_locatable(spark, d):
     t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return t.select("doc_id", ((F.col("quality") == 1) & fn.blank_to_null(F.substring("text", 1, 3)).isNotNull() & (F.col("n_chars") > 0) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("locatable"))
+    return t.select("doc_id", ((F.col("quality") == 1) & fn.blank_to_null("text").isNotNull() & (F.col("n_chars") > 0) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("locatable"))
 
 
 @query("select doc_id, length(text) as n from documents where length(text) > 50 and n_chars >= greatest(50, 200)")
@@ -155,17 +157,17 @@ def FLT08_min_length(spark, d):
     return table(spark, d, "documents").where((F.length("text") > 50) & (F.col("n_chars") >= 200)).select("doc_id", F.length("text").alias("n"))
 
 
-@query("with c as (select distinct l_orderkey as k, l_partkey as p from lineitem) select k, coalesce(array_to_string(list_sort(list(p) filter (p % 2 = 0 and p in (select p_partkey from part))), ','), '') as kept, count(*) as n from c group by k")
+@query("with c as (select distinct l_orderkey as k, l_partkey as p from lineitem) select k, coalesce(array_to_string(list_sort(list(p) filter (p in (select p_partkey from part where p_size > 25))), ','), '') as kept, count(*) as n from c group by k")
 def FLT09_offered_ids(spark, d):
     cited = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p")).distinct()
-    offered = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("p"), F.lit(True).alias("ok"))
+    offered = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("p"), F.lit(True).alias("ok"))
     both = cited.join(offered, "p", "left")
     return both.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("p")))).cast("array<string>"), ",").alias("kept"), F.count("*").alias("n"))
 
 
-@query("select doc_id, regexp_matches(left(text, 300), '(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') as short_name, contains(left(text, 300), 'tion') as long_name from documents")
+@query("select doc_id, regexp_matches(text, '(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') as short_name, contains(text, 'tion') as long_name from documents")
 def FLT10_known_names(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("t"))
+    t = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
     return t.select("doc_id", F.col("t").rlike("(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)").alias("short_name"), F.col("t").contains("tion").alias("long_name"))
 
 
@@ -224,17 +226,17 @@ def JON07_prefix_join(spark, d):
     return k.join(p, F.substring("id", 1, 8) == F.col("prefix")).select("doc_id").distinct()
 
 
-@query("select item_id, doc_id, position(b.text in d.text) - 1 as at from benchmark b join documents d on contains(d.text, b.text)")
+@query("select item_id, doc_id, position(b.text in d.text) - 1 as span_start from benchmark b join documents d on contains(d.text, b.text)")
 def JON08_09_span_location(spark, d):
     """Passages are few: they are broadcast if their count is small, and each text is searched once for each."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("span"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(b) if b.count() <= 10_000 else b, F.col("text").contains(F.col("span"))).select("item_id", "doc_id", (F.expr("locate(span, text)") - 1).alias("at"))
+    return docs.join(F.broadcast(b) if b.count() <= 10_000 else b, F.col("text").contains(F.col("span"))).select("item_id", "doc_id", (F.expr("locate(span, text)") - 1).alias("span_start"))
 
 
-@query("with s as (select doc_id, text, substr(text, 1, 40) || 'zz' as span from documents where n_chars > 120), l as (select doc_id, position(span in text) as e, position(left(span, 30) in text) as f, length(span) as n from s) select doc_id, case when e > 0 then e - 1 when f > 0 then f - 1 end as span_start, case when e > 0 or f > 0 then (case when e > 0 then e else f end) - 1 + n end as span_end, case when e > 0 then 'exact' when f > 0 then 'anchored' end as quality from l")
+@query("with s as (select doc_id, text, substr(text, 2) || case when doc_id % 2 = 0 then 'zz' else '' end as span from documents), l as (select doc_id, position(span in text) as e, position(left(span, 30) in text) as f, length(span) as n from s) select doc_id, case when e > 0 then e - 1 when f > 0 then f - 1 end as span_start, case when e > 0 or f > 0 then (case when e > 0 then e else f end) - 1 + n end as span_end, case when e > 0 then 'exact' when f > 0 then 'anchored' end as quality from l")
 def JON09_10_anchored_span(spark, d):
-    s = table(spark, d, "documents").where("n_chars > 120").selectExpr("doc_id", "text", "concat(substr(text, 1, 40), 'zz') as span")
+    s = table(spark, d, "documents").selectExpr("doc_id", "text", "concat(substr(text, 2), case when doc_id % 2 = 0 then 'zz' else '' end) as span")
     s = s.selectExpr("doc_id", "nullif(locate(span, text), 0) as e", "nullif(locate(left(span, 30), text), 0) as f", "length(span) as n")
     at = F.coalesce("e", "f") - 1
     return s.select("doc_id", at.alias("span_start"), (at + F.col("n")).alias("span_end"), F.when(F.col("e").isNotNull(), "exact").when(F.col("f").isNotNull(), "anchored").alias("quality"))
@@ -259,12 +261,12 @@ def JON16_parent_children(spark, d):
 
 # Sets ----------------------------------------------------------------------------------------
 
-_A, _B = "select distinct l_partkey as item from lineitem where l_returnflag = 'A' and l_quantity > 45", "select distinct l_partkey as item from lineitem where l_returnflag = 'R' and l_quantity > 45"
+_A, _B = "select distinct l_suppkey as k, l_partkey as item from lineitem where l_returnflag = 'A'", "select distinct l_suppkey as k, l_partkey as item from lineitem where l_returnflag = 'R'"
 
 
 def _ab(spark, d):
-    t = table(spark, d, "lineitem").where("l_quantity > 45")
-    return [t.where(F.col("l_returnflag") == x).select(F.col("l_partkey").alias("item")).distinct() for x in "AR"]
+    t = table(spark, d, "lineitem")
+    return [t.where(F.col("l_returnflag") == x).select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("item")).distinct() for x in "AR"]
 
 
 @query(f"({_A}) union ({_B})")

@@ -60,9 +60,9 @@ def AGG09_histogram(spark, d):
     return scores(spark, d).withColumn("bin", fn.half_open_bin("relevance")).where("bin is not null").groupBy("batch", "bin").agg(F.count("*").alias("n"))
 
 
-@query("with s as (select o_custkey as c, o_orderkey as q, list_distinct(list(l_partkey)) as items from orders join lineitem on l_orderkey = o_orderkey group by all), p as (select x.c, x.q as a, y.q as b, len(list_intersect(x.items, y.items)) as i, len(x.items) as m, len(y.items) as n from s x join s y on x.c = y.c and x.q < y.q where x.c % 5 = 0) select a, b, round(i / (m + n - i), 6) as jaccard, round(i / least(m, n), 6) as overlap from p")
+@query("with s as (select o_custkey as c, o_orderkey as q, list_distinct(list(l_partkey)) as items from orders join lineitem on l_orderkey = o_orderkey group by all), p as (select x.c, x.q as a, y.q as b, len(list_intersect(x.items, y.items)) as i, len(x.items) as m, len(y.items) as n from s x join s y on x.c = y.c and x.q < y.q) select a, b, round(i / (m + n - i), 6) as jaccard, round(i / least(m, n), 6) as overlap from p")
 def AGG11_set_similarity(spark, d):
-    s = ranked(spark, d).where("candidate % 5 = 0").groupBy("candidate", "query_id").agg(F.collect_set("item").alias("items"))
+    s = ranked(spark, d).groupBy("candidate", "query_id").agg(F.collect_set("item").alias("items"))
     p = s.alias("x").join(s.alias("y"), "candidate").where("x.query_id < y.query_id").select(F.col("x.query_id").alias("a"), F.col("y.query_id").alias("b"), F.col("x.items").alias("i"), F.col("y.items").alias("j"))
     return p.select("a", "b", F.round(fn.jaccard("i", "j"), 6).alias("jaccard"), F.round(fn.overlap("i", "j"), 6).alias("overlap"))
 
@@ -111,9 +111,9 @@ def AGG19_completeness(spark, d):
     return t.groupBy("source").agg(F.round(100 * F.avg(F.when(fn.blank_to_null("text").isNull(), 0).otherwise(1)), 4).alias("text"), F.round(100 * F.avg(F.when(F.col("quality").isNull(), 0).otherwise(1)), 4).alias("quality"))
 
 
-@query("select left(trim(lower(text)), 100) as title, count(distinct source) as sources from documents group by 1 having count(distinct source) > 1")
+@query("select trim(lower(text)) as title, count(distinct source) as sources from documents group by 1 having count(distinct source) > 1")
 def AGG20_cross_source(spark, d):
-    return table(spark, d, "documents").groupBy(F.substring(F.trim(F.lower("text")), 1, 100).alias("title")).agg(F.countDistinct("source").alias("sources")).where("sources > 1")
+    return table(spark, d, "documents").groupBy(F.trim(F.lower("text")).alias("title")).agg(F.countDistinct("source").alias("sources")).where("sources > 1")
 
 
 @query(f"with {LINKS_SQL}, m as (select question_id, max(round) as r from links group by 1), l as (select l.question_id, avg(relevance) as x from links l join m on l.question_id = m.question_id and l.round = m.r group by 1) select count(*) as questions, round(avg(x), 6) as mean from l")
@@ -171,14 +171,14 @@ def WIN07_topk_sets(spark, d):
     return ranking.top_sets(ranked(spark, d), ["query_id"], "item", 5, "rank").select("query_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
-_PREFIX = f"""with {RANKED_SQL}, qs as (select *, dense_rank() over (partition by candidate order by query_id) as q from ranked where candidate % 20 = 0), wide as (select candidate, p.prefix, item, count(distinct q) as hits, count(distinct family) as families, min(rank) as best, count(distinct source) as sources from qs join (select candidate as c, q as prefix from qs group by all) p on p.c = candidate and q <= p.prefix group by candidate, p.prefix, item),
+_PREFIX = f"""with {RANKED_SQL}, qs as (select *, dense_rank() over (partition by candidate order by query_id) as q from ranked), wide as (select candidate, p.prefix, item, count(distinct q) as hits, count(distinct family) as families, min(rank) as best, count(distinct source) as sources from qs join (select candidate as c, q as prefix from qs group by all) p on p.c = candidate and q <= p.prefix group by candidate, p.prefix, item),
 top as (select *, row_number() over (partition by candidate, prefix order by 0.4::double * hits + 0.3::double * families + 0.2::double / (best + 1) + 0.1::double * sources desc, item) as n from wide), sets as (select candidate, prefix, list_sort(list(item)) as items from top where n <= 5 group by all), l as (select *, lag(items) over (partition by candidate order by prefix) as before from sets)
 select candidate, prefix, case when before is not null then round(len(list_intersect(items, before)) / len(list_distinct(list_concat(items, before))), 6) end as stability from l"""
 
 
 @query(_PREFIX)
 def WIN08_prefix_stability(spark, d):
-    r = ranked(spark, d).where("candidate % 20 = 0").withColumn("q", F.dense_rank().over(Window.partitionBy("candidate").orderBy("query_id")))
+    r = ranked(spark, d).withColumn("q", F.dense_rank().over(Window.partitionBy("candidate").orderBy("query_id")))
     return ranking.prefix_stability(r).select("candidate", "prefix", F.round("stability", 6).alias("stability"))
 
 
@@ -268,9 +268,9 @@ def SRT04_05_relevance_then_fill(spark, d):
     return a.unionByName(b).withColumn("place", ranking.ordinal(["candidate"], "pool", "n") + 1).where("place <= 5").select("candidate", "item", "pool", "place")
 
 
-@query("select s_suppkey, (1 - (s_suppkey % 10) / 10.0::double) * ((s_suppkey % 7) / 6.0::double) * 0.5::double as value from suppliers_open order by value desc, s_suppkey limit 3".replace("suppliers_open", "(select * from supplier where s_suppkey % 3 > 0)"))
+@query("select s_suppkey, (1 - (s_suppkey % 10) / 10.0::double) * ((s_suppkey % 7) / 6.0::double) * 0.5::double as value from suppliers_open order by value desc, s_suppkey limit 3".replace("suppliers_open", "(select * from supplier where s_acctbal > 0)"))
 def SRT06_next_targets(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey % 3 > 0")
+    s = table(spark, d, "supplier").where("s_acctbal > 0")
     return s.select("s_suppkey", F.expr("(1 - (s_suppkey % 10) / 10.0D) * ((s_suppkey % 7) / 6.0D) * 0.5D").alias("value")).orderBy(F.desc("value"), "s_suppkey").limit(3)
 
 
@@ -292,11 +292,11 @@ def SRT09_WIK07_high_first_batches(spark, d):
 _SIM = "round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)"
 
 
-@query(f"select a.vec_id as a, b.vec_id as b, {_SIM} as sim from embeddings a join embeddings b on a.vec_id < b.vec_id where a.vec_id < 40 and b.label = a.label")
+@query(f"select a.vec_id as a, b.vec_id as b, {_SIM} as sim from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0 and b.label = a.label")
 def VEC01_JON11_pairs(spark, d):
     e = table(spark, d, "embeddings")
-    a, b = e.where("vec_id < 40").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), "label"), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), "label")
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(fn.cosine("va", "vb"), 6).alias("sim"))
+    a, b = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), "label"), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), "label")
+    return a.join(b, "label").where("a <> b").select("a", "b", F.round(fn.cosine("va", "vb"), 6).alias("sim"))
 
 
 @query(f"with s as (select a.vec_id as q, b.vec_id as id, {_SIM} as sim from embeddings a, embeddings b where a.vec_id % 100 = 0 and b.label in (1, 2, 3)), r as (select *, row_number() over (partition by q order by sim desc, id) as n from s) select q, id, sim from r where n <= 5 and sim >= 0.1")
@@ -311,10 +311,10 @@ def VEC04_nearest_items(spark, d):
     return vectors.top_k(e, e, "vec_id", "embedding", 5, exclude_self=True).where("sim >= 0.2").select("q", "id", "sim")
 
 
-@query("with m as (select label, i, avg(x) as x from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings where vec_id % 2 = 0) group by all), v as (select label, list(x order by i) as vec from m group by label) select label, round(list_cosine_similarity(vec, (select embedding::double[] from embeddings where vec_id = 0)), 6) as sim, list_cosine_similarity(vec, (select embedding::double[] from embeddings where vec_id = 0)) >= 0.7 as invariant from v")
+@query("with m as (select label, i, avg(x) as x from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings) group by all), v as (select label, list(x order by i) as vec from m group by label) select label, round(list_cosine_similarity(vec, (select embedding::double[] from embeddings where vec_id = 0)), 6) as sim, list_cosine_similarity(vec, (select embedding::double[] from embeddings where vec_id = 0)) >= 0.7 as invariant from v")
 def VEC05_06_item_vectors(spark, d):
     e = table(spark, d, "embeddings")
-    v = vectors.mean_vectors(e.where("vec_id % 2 = 0"), "label", "embedding")
+    v = vectors.mean_vectors(e, "label", "embedding")
     one = e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
     return v.crossJoin(F.broadcast(one)).select("label", F.round(fn.cosine("vec", "q"), 6).alias("sim"), (fn.cosine("vec", "q") >= 0.7).alias("invariant"))
 
