@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evloom.functions import jaccard
+from evloom.functions import half_open_bin, jaccard
 
 EVERY = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -81,3 +81,18 @@ def pack(df: DataFrame, by: list[str], order: list, size: str, budget: int, leas
 def heads(df: DataFrame, key: str, version: str, created: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(version), created)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def distribution(df: DataFrame, by: str, value: str, ranks=(0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """by, n, lo, hi, mean (4 digits), p<rank> (nearest rank, half-even) and hist ("0.1-0.2:5", half-open tenths) of each group.
+
+    Equal values are counted before anything is sorted, so a group costs one row for each distinct value.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by)
+    counts = counts.select("*", F.sum("c").over(w.orderBy("v")).alias("u"), F.sum("c").over(w).alias("n"))
+    at = lambda p: F.min(F.when(F.col("u") > F.bround(F.lit(p) * (F.col("n") - 1)), F.col("v"))).alias(f"p{round(100 * p)}")
+    main = counts.groupBy(by).agg(F.max("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.sum(F.col("v") * F.col("c")) / F.max("n"), 4).alias("mean"), *[at(p) for p in ranks])
+    bins = counts.withColumn("b", half_open_bin("v")).where("b is not null").groupBy(by, "b").agg(F.sum("c").alias("c"))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("b", "c"))), lambda x: F.concat(F.format_string("%.1f-%.1f:", x["b"] / 10, (x["b"] + 1) / 10), x["c"].cast("string")))
+    return main.join(bins.groupBy(by).agg(F.array_join(text, ",").alias("hist")), by, "left")

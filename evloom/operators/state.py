@@ -53,3 +53,29 @@ def skip_completed(stages: DataFrame, runs: DataFrame) -> DataFrame:
     tries = runs.groupBy("task", "phase").agg(F.max("attempt").alias("last"))
     out = stages.join(done, ["task", "phase", "input_version"], "left").join(tries, ["task", "phase"], "left")
     return out.select("task", "phase", "input_version", F.col("output").isNotNull().alias("skip"), (F.coalesce("last", F.lit(0)) + 1).alias("attempt"), "output")
+
+
+def run_rounds(step, first: int, last: int, retries: int = 3, failures: int = 5, same: int = 3) -> list[tuple[int, str]]:
+    """Calls step(round) for each round in turn, again where it raises; gives (round, done or failed).
+
+    A round is tried `retries` times. All stop with `failures` failed rounds, or once `same` equal errors follow each
+    other. Each round is its own set of jobs, so a restart goes on with the round after the last finished one.
+    """
+    out, streak, before = [], 0, None
+    for n in range(first, last + 1):
+        for _ in range(retries):
+            try:
+                step(n)
+            except Exception as e:  # noqa: BLE001 - any error counts against the budget
+                streak, before = (streak + 1 if str(e) == before else 1), str(e)
+                if streak >= same:
+                    return [*out, (n, "failed")]
+            else:
+                out.append((n, "done"))
+                streak, before = 0, None
+                break
+        else:
+            out.append((n, "failed"))
+            if sum(s == "failed" for _, s in out) >= failures:
+                break
+    return out

@@ -48,11 +48,9 @@ def AGG06_07_moments(spark, d):
 _PCT = "list_sort(list(relevance))[round_even({0} * (count(*) - 1), 0)::int + 1]"
 
 
-@query(f"with {SCORES_SQL} select batch, count(*) as n, min(relevance) as lo, max(relevance) as hi, {_PCT.format('0.25::double')} as p25, {_PCT.format('0.75::double')} as p75, {_PCT.format('0.9::double')} as p90 from scores group by all")
+@query(f"with {SCORES_SQL}, b as (select batch, relevance, case {' '.join(f'when relevance >= {k / 10}::double and relevance < {(k + 1) / 10}::double then {k}' for k in range(10))} end as b from scores), c as (select batch, b, count(*) as c from b where b is not null group by all), h as (select batch, array_to_string(list(format('{{:.1f}}-{{:.1f}}:', b / 10, (b + 1) / 10) || c order by b), ',') as hist from c group by 1) select batch, count(*) as n, min(relevance) as lo, max(relevance) as hi, round(avg(relevance), 4) as mean, {_PCT.format('0.25::double')} as p25, {_PCT.format('0.5::double')} as p50, {_PCT.format('0.75::double')} as p75, {_PCT.format('0.9::double')} as p90, any_value(hist) as hist from scores join h using (batch) group by all")
 def AGG08_10_summary(spark, d):
-    """Nearest-rank percentiles; a batch's values are one list, as the rule needs them sorted."""
-    g = scores(spark, d).groupBy("batch").agg(F.count("*").alias("n"), F.min("relevance").alias("lo"), F.max("relevance").alias("hi"), F.collect_list("relevance").alias("v"))
-    return g.select("batch", "n", "lo", "hi", *[fn.nearest_rank("v", p).alias(f"p{round(100 * p)}") for p in (0.25, 0.75, 0.9)])
+    return ranking.distribution(scores(spark, d), "batch", "relevance")
 
 
 @query(f"with {SCORES_SQL}, b as (select batch, case {' '.join(f'when relevance >= {k / 10}::double and relevance < {(k + 1) / 10}::double then {k}' for k in range(10))} end as bin from scores) select batch, bin, count(*) as n from b where bin is not null group by all")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evloom.functions import blank_to_null, strip_prefix
@@ -81,3 +81,54 @@ def reconcile(items: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Delete-then-insert: all rows of the keys that come anew are replaced."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def pdf_cascade(items: DataFrame, cache: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
+    """id, via, url: the first place that offers a text, in a fixed order.
+
+    cache(id, path); lookups named s2, openalex, unpaywall and crossref are tables (key, url), one row a key. Fetching is outside.
+    """
+    keys = {"s2": "s2_id", "openalex": "openalex_id", "unpaywall": "doi", "crossref": "doi"}
+    out = items.join(cache.select("id", F.col("path").alias("_cache")), "id", "left")
+    for name, key in keys.items():
+        found = lookups[name].select(F.col("key").alias(f"_k{name}"), F.col("url").alias(f"_{name}"))
+        out = out.join(found, blank_to_null(key) == F.col(f"_k{name}"), "left")
+    arxiv_url = lambda c: F.concat(F.lit("https://arxiv.org/pdf/"), blank_to_null(c))
+    from_doi = F.regexp_extract("doi", r"^10\.48550/(?i:arxiv)\.([\d.]+)", 1)
+    acl = F.concat(F.lit("https://aclanthology.org/"), blank_to_null(F.regexp_extract("doi", r"^10\.18653/v1/(.+)$", 1)), F.lit(".pdf"))
+    ways = {"cache": F.col("_cache"), "pdf_url": blank_to_null("pdf_url"), "arxiv": arxiv_url("arxiv_id"), "arxiv_doi": arxiv_url(from_doi), **{n: F.col(f"_{n}") for n in keys}, "acl": acl}
+    first = F.coalesce(*[F.when(u.isNotNull(), F.struct(F.lit(n).alias("via"), u.alias("url"))) for n, u in ways.items()])
+    return out.select("id", first.alias("x")).select("id", "x.via", "x.url")
+
+
+def table_markdown(rows: Column) -> Column:
+    """An array of rows of cells as a marked Markdown table; null with fewer than two rows. Null cells are empty."""
+    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | ", ""), F.lit(" |"))
+    rule = F.transform(F.get(rows, F.lit(0)), lambda _: F.lit("---"))
+    lines = F.concat(F.array(line(F.get(rows, F.lit(0))), line(rule)), F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line))
+    return F.when(F.size(rows) >= 2, F.concat(F.lit("\n[TABLE]\n"), F.array_join(lines, "\n"), F.lit("\n[/TABLE]\n")))
+
+
+def overlaps_image(box: Column, images: Column) -> Column:
+    """Whether more than half of a box (x0, y0, x1, y1) lies in one of the images; a box without area lies in none."""
+    area = (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
+    side = lambda i, a, b: F.greatest(F.least(box[b], i[b]) - F.greatest(box[a], i[a]), F.lit(0))
+    return (area > 0) & F.exists(images, lambda i: side(i, "x0", "x1") * side(i, "y0", "y1") > 0.5 * area)
+
+
+def drop_drifted(vectors: DataFrame, collections: DataFrame, current: str) -> DataFrame:
+    """vectors(collection, ...) without those of collections(collection, signature) made by another embedding; no signature counts as current."""
+    stale = collections.where(F.col("signature") != current).select("collection")
+    return vectors.join(stale, "collection", "left_anti")
+
+
+TRACE = "step string, type string, round int, input string, output string, tokens long, ms long"
+
+
+def append_traces(traces: DataFrame, path: str) -> None:
+    """Appends to the trace table; input and output become JSON."""
+    traces.select("step", "type", F.col("round").cast("int"), F.to_json("input").alias("input"), F.to_json("output").alias("output"), F.col("tokens").cast("long"), F.col("ms").cast("long")).write.mode("append").parquet(path)
+
+
+def read_traces(spark, path: str) -> DataFrame:
+    return spark.read.schema(TRACE).parquet(path)
