@@ -56,14 +56,16 @@ class Model:
                             grams[k][padded[i : i + k], lang] += n
         total = np.maximum(np.array(list(words.values()) or [[1] * len(langs)], float).sum(0), 1)
         self.words = {w: self._row(np.array(ns, float), total) for w, ns in words.items()}
-        self.grams: list[dict[str, np.ndarray]] = [{}]
+        #: For each length, an n-gram's place and the rows of all.
+        self.grams: list[tuple[dict[str, int], np.ndarray]] = [({}, np.zeros((0, len(langs))))]
         for k in range(1, NGRAM + 1):
             sums = np.zeros(len(langs))
             rows: dict[str, np.ndarray] = {}
             for (g, lang), n in grams[k].most_common(NGRAMS // NGRAM):
                 rows.setdefault(g, np.zeros(len(langs)))[lang] = n
                 sums[lang] += n
-            self.grams.append({g: self._row(r, np.maximum(sums, 1)) for g, r in rows.items()})
+            rows.pop(" ", None)
+            self.grams.append(({g: i for i, g in enumerate(rows)}, self._row(np.array(list(rows.values())).reshape(len(rows), len(langs)), np.maximum(sums, 1)).astype(float)))
 
     @staticmethod
     def _row(n: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -75,10 +77,10 @@ class Model:
             return found
         padded = f" {word} "
         for k in range(min(NGRAM, len(padded)), 0, -1):
-            known = self.grams[k]
-            rows = [known[g] for i in range(len(padded) - k + 1) if (g := padded[i : i + k]) in known and g != " "]
+            at, table = self.grams[k]
+            rows = [p for i in range(len(padded) - k + 1) if (p := at.get(padded[i : i + k])) is not None]
             if rows:
-                return np.mean(rows, 0)
+                return np.add.reduce(table[rows]) / len(rows)
         return np.full(len(self.langs), PENALTY, np.float32)
 
     def token(self, token: str) -> np.ndarray:
@@ -116,9 +118,7 @@ class Scorer:
                             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                         self.rows[p] = row
                     places[k] = p
-        total = np.bincount(places, minlength=1)
-        used = np.flatnonzero(total)
-        sums = total[used] @ self.rows[used] + extra
+        sums = np.add.reduce(self.rows[places]) + extra
         if not sums[-1]:
             return "und", 0.0
         mean = sums[:-1] / sums[-1]
