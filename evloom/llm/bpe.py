@@ -16,10 +16,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import ChainMap
 from functools import lru_cache
 from itertools import chain
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +37,18 @@ BEYOND = re.compile("[^\\x00-ʯ]")
 REMEMBER = 400_000
 #: The rank of a pair that never merges.
 NONE = 1 << 60
+#: The same in arrays, where a rank shares 64 bits with a place.
+NO_RANK = (1 << 31) - 1
+#: Bytes up to which a word is merged together with others.
+LONG = 64
+#: Tested pairs that a worker remembers; beyond, it starts again.
+PAIRS = 4_000_000
+
+
+def sliced(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Runs of ids as little-endian unsigned 32-bit integers."""
+    raw, stops = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+    return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
 
 def byte_chars() -> dict[str, int]:
@@ -71,8 +81,18 @@ class Vocabulary:
         self.single = [bytes([b]) for b in range(256)]
         self.pretokens = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.chars = chars
+        #: Merges as arrays: sorted keys (left id << 32 | right id), their ranks, and by rank the id that results.
+        pairs = np.array([(self.ids[a] << 32 | self.ids[b], rank, self.ids[a + b]) for (a, b), rank in self.ranks.items()], np.int64).reshape(-1, 3)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.pair_keys, self.pair_ranks = np.append(pairs[:, 0], NONE), np.append(pairs[:, 1], NO_RANK)
+        self.made = np.zeros(int(pairs[:, 1].max(initial=0)) + 1, np.int64)
+        self.made[pairs[:, 1]] = pairs[:, 2]
+        self.byte_ids = np.array([self.ids.get(b, 0) for b in self.single], np.int64)
         #: Only tokens that merging can reach may be proposed.
-        self.reach = {b: i for b, i in self.ids.items() if self.merge(b) == [i]}
+        every = list(self.ids)
+        flat, sizes = self.merge_all(every)
+        first = flat[np.cumsum(sizes) - sizes].tolist()
+        self.reach = {b: self.ids[b] for b, n, i in zip(every, sizes.tolist(), first, strict=True) if n == 1 and i == self.ids[b]}
         #: By its first four bytes, the length of the longest such token.
         self.longest: dict[bytes, int] = {}
         for b in self.reach:
@@ -92,6 +112,51 @@ class Vocabulary:
                 waiting[at - 1] = rank((parts[at - 1], parts[at]), NONE)
         return [self.ids[p] for p in parts]
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_RANK)
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The exact loop over many non-empty words at once: ids of all words in a row, and how many each has.
+
+        Each round merges in every unfinished word the leftmost pair of lowest rank.  Words over
+        LONG bytes would need as many rounds, so they run the loop on their own.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        done: dict[int, list[int]] = {int(k): self.merge(words[k]) for k in np.flatnonzero(lengths > LONG)}
+        short = np.flatnonzero((lengths > 0) & (lengths <= LONG))
+        syms = self.byte_ids[np.frombuffer(b"".join([words[k] for k in short.tolist()]), np.uint8)]
+        owner = np.repeat(short, lengths[short])
+        out_ids, out_owner = [], []
+        ranks = np.full(len(syms), NO_RANK)
+        if len(syms) > 1:
+            ranks[:-1] = np.where(owner[1:] == owner[:-1], self.rank_of(syms[:-1], syms[1:]), NO_RANK)
+        while len(syms):
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            least = np.minimum.reduceat(ranks << 32 | np.arange(len(syms)), starts)
+            live = least >> 32 != NO_RANK
+            at = least[live] & 0xFFFFFFFF
+            syms[at] = self.made[least[live] >> 32]
+            keep = np.repeat(live, np.diff(np.append(starts, len(syms))))
+            out_ids.append(syms[~keep])
+            out_owner.append(owner[~keep])
+            keep[at + 1] = False
+            place = np.cumsum(keep) - 1
+            at = place[at]
+            syms, owner, ranks = syms[keep], owner[keep], ranks[keep]
+            for left in (at[at > 0] - 1, at):
+                right = np.minimum(left + 1, len(syms) - 1)
+                joined = (owner[left] == owner[right]) & (left < right)
+                ranks[left] = np.where(joined, self.rank_of(syms[left], syms[right]), NO_RANK)
+        for k, ids in done.items():
+            out_ids.append(np.array(ids, np.int64))
+            out_owner.append(np.full(len(ids), k))
+        if not out_ids:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        whose = np.concatenate(out_owner)
+        return np.concatenate(out_ids)[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words))
+
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         reach, longest, at, end, out = self.reach, self.longest, 0, len(word), []
@@ -117,13 +182,18 @@ class Encoder:
         self.proposed = self.merged = 0
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
-        """Tests every pair (a << 32 | b) against the sorted array of known ones; unknown ones are merged once."""
-        new = np.setdiff1d(pairs, self.pairs)
+        """Tests sorted distinct pairs (a << 32 | b) against the sorted array of known ones; unknown ones are merged once."""
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.fits = self.pairs[:0], self.fits[:0]
+        at = np.searchsorted(self.pairs, pairs)
+        new = pairs if not len(self.pairs) else pairs[self.pairs[np.minimum(at, len(self.pairs) - 1)] != pairs]
         if len(new):
-            v = self.vocab
-            good = [v.merge(v.bytes_of[p >> 32] + v.bytes_of[p & 0xFFFFFFFF]) == [p >> 32, p & 0xFFFFFFFF] for p in new.tolist()]
-            every, fits = np.concatenate([self.pairs, new]), np.concatenate([self.fits, np.array(good, bool)])
-            order = np.argsort(every)
+            left, right, of = new >> 32, new & 0xFFFFFFFF, self.vocab.bytes_of
+            flat, sizes = self.vocab.merge_all([of[a] + of[b] for a, b in zip(left.tolist(), right.tolist(), strict=True)])
+            first = np.cumsum(sizes) - sizes
+            good = (sizes == 2) & (flat[first] == left) & (flat[np.minimum(first + 1, len(flat) - 1)] == right)
+            every, fits = np.concatenate([self.pairs, new]), np.concatenate([self.fits, good])
+            order = np.argsort(every, kind="stable")
             self.pairs, self.fits = every[order], fits[order]
         return self.fits[np.searchsorted(self.pairs, pairs)]
 
@@ -151,16 +221,20 @@ class Encoder:
             same = owner[1:] == owner[:-1]
             keys, back = np.unique((flat[:-1] << 32 | flat[1:])[same], return_inverse=True)
             failing = np.unique(owner[1:][same][~self.compatible(keys)[back]]).tolist() if len(keys) else []
-            for k in failing:
-                ids[k] = self.vocab.merge(words[k])
-            self.merged += len(failing)
+        else:
+            failing = []
+        coded = sliced(flat, sizes)
+        for k, x in zip(failing, sliced(*self.vocab.merge_all([words[k] for k in failing])), strict=True):
+            coded[k] = x
+        self.merged += len(failing)
         self.proposed += len(ids)
-        for w, x in zip(words, ids, strict=True):
-            new[w] = pack(f"<{len(x)}I", *x)
-        if len(known) + len(new) <= REMEMBER:
-            known.update(new)
-        both = ChainMap(new, known) if len(known) else new
-        return [b"".join([both[w] for w in p]) for p in parts]
+        full = len(known) + len(words) > REMEMBER
+        known.update(zip(words, coded, strict=True))
+        out = [b"".join([known[w] for w in p]) for p in parts]
+        if full:
+            for w in words:
+                del known[w]
+        return out
 
     def segments(self, text: str) -> list[str]:
         """Cut at spaces before non-spaces. All but the first lose that space and begin with a non-space; the first gets a space in front as its mark."""
@@ -186,10 +260,8 @@ class Encoder:
         if missing:
             spelled = [s[1:] if s[:1] == " " else " " + s for s in missing]
             fresh = dict(zip(missing, self.learn(spelled), strict=True))
-            if len(known) + len(fresh) <= REMEMBER:
-                known.update(fresh)
-            else:
-                known = known | fresh
+            full = len(known) + len(fresh) > REMEMBER
+            known.update(fresh)
         get = known.__getitem__
         out = []
         for p in pieces:
@@ -197,6 +269,9 @@ class Encoder:
                 out.append(b"".join(b"".join(map(get, x)) if isinstance(x, list) else np.array([self.vocab.special[x]], "<u4").tobytes() for x in p))
             else:
                 out.append(b"".join(map(get, p)))
+        if missing and full:
+            for s in missing:
+                del known[s]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
