@@ -21,52 +21,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evloom.llm.bpe import Encoder
+from evloom.llm.bpe import CUT, Encoder
 from evloom.llm.common import raw_text, shared_dir
 
-MAGIC = b"EVT1"
+MAGIC = b"EVT2"
 #: Ids in a block at least, unless the partition ends; a longer document has a block of its own.
 BLOCK_IDS = 1 << 20
 STEPS, LANES = 256, 4096
 SLOTS = 18
 REFRESH = 8
-ONE, WORD = np.uint64(1), np.uint64(32)
+#: Segments that the library encodes as one text.
+JOINED = 4096
+ONE, WORD, HALF = np.uint64(1), np.uint64(32), np.uint64(16)
 LOW32 = np.uint64(0xFFFFFFFF)
+#: Trust of 0 to 3 after a miss and after a hit, by 2 * trust + hit.
+TRUST = np.array([0, 1, 0, 2, 1, 3, 2, 3], np.int64)
 
 
 class Model:
-    """Shared by all lanes of a block; coder and decoder feed it the same ids in the same order."""
+    """Shared by all lanes of a block; coder and decoder feed it the same ids in the same order.
+
+    Followers are held as 4 * id + trust, one gather and one scatter each a step.
+    """
 
     def __init__(self, alphabet: int, lanes: int):
-        self.next1, self.sure1 = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int8)
-        self.next2, self.sure2 = np.zeros(1 << SLOTS, np.int64), np.zeros(1 << SLOTS, np.int8)
+        self.next1, self.next2 = np.zeros(alphabet, np.int32), np.zeros(1 << SLOTS, np.int32)
         self.before, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.weights = np.ones((32, 3), np.int64) * np.array([4, 2, 8])
         self.counts, self.age = np.ones(alphabet, np.int64), 0
         self.refresh()
 
     def refresh(self) -> None:
-        self.edges = np.concatenate([[0], np.cumsum(self.counts)])
+        self.edges = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.uint64)
+        self.total = self.edges[-1]
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order-2 and order-1 predictions and the class of their mixing weights."""
         self.slot = (self.before2 * 0x9E3779B1 + self.before * 0x85EBCA6B >> 7) & ((1 << SLOTS) - 1)
-        p2, p1 = self.next2[self.slot], self.next1[self.before]
-        self.kind = self.sure2[self.slot] * 8 + self.sure1[self.before] * 2 + (p1 == p2)
-        return p2, p1, self.kind
+        f2, f1 = self.next2.take(self.slot).astype(np.int64), self.next1.take(self.before).astype(np.int64)
+        self.p2, self.p1, self.trust2, self.trust1 = f2 >> 2, f1 >> 2, f2 & 3, f1 & 3
+        self.kind = self.trust2 * 8 + self.trust1 * 2 + (self.p1 == self.p2)
+        return self.p2, self.p1, self.kind
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Edges and sizes of the three orders for each class, flat and scaled so that each class sums to 1 << 16."""
+        sizes = self.weights * 65533 // self.weights.sum(1, keepdims=True) + 1
+        sizes[:, 2] = 65536 - sizes[:, 0] - sizes[:, 1]
+        edges = np.stack([np.zeros(32, np.int64), sizes[:, 0], sizes[:, 0] + sizes[:, 1]], 1)
+        return edges.reshape(-1).astype(np.uint64), sizes.reshape(-1).astype(np.uint64)
 
     def update(self, ids: np.ndarray, which: np.ndarray, escaped: np.ndarray) -> None:
         self.weights += np.bincount(self.kind * 3 + which, minlength=96).reshape(32, 3) * 2
         if self.weights.max() > 1 << 20:
             self.weights = self.weights // 2 + 1
-        for table, sure, at in ((self.next2, self.sure2, self.slot), (self.next1, self.sure1, self.before)):
-            hit, trust = table[at] == ids, sure[at]
-            table[at] = np.where(hit | (trust > 0), table[at], ids)
-            sure[at] = np.clip(trust + np.where(hit, 1, -1), 0, 3)
+        for table, at, guess, trust in ((self.next2, self.slot, self.p2, self.trust2), (self.next1, self.before, self.p1, self.trust1)):
+            hit = guess == ids
+            table[at] = np.where(hit | (trust > 0), guess, ids) << 2 | TRUST.take(trust * 2 + hit)
         np.add.at(self.counts, escaped, 24)
         self.age += 1
         if self.age % REFRESH == 0 or self.age < REFRESH:
-            if self.edges[-1] > 1 << 24:
+            if self.total > 1 << 24:
                 self.counts = self.counts // 2 + 1
             self.refresh()
         self.before2, self.before = self.before, ids
@@ -89,33 +103,35 @@ def encode_block(ids: np.ndarray, alphabet: int = 1 << 16) -> bytes:
     model, low, span = Model(alphabet, lanes), np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     words, used = np.zeros((lanes, 2 * steps + 4), np.uint32), np.zeros(lanes, np.int64)
 
-    def put(at, start, size, total) -> None:
-        nonlocal low, span
-        lo, sp = low[at], span[at]
-        r = sp // total.astype(np.uint64)
-        lo += r * start.astype(np.uint64)
-        sp = r * size.astype(np.uint64)
-        if len(out := np.flatnonzero(sp >> WORD == 0)):
+    def shift_out(lo, sp, rows) -> None:
+        """Emits the upper half of the lanes whose span has become small."""
+        if len(out := np.flatnonzero(sp <= LOW32)):
             a, b = lo[out], sp[out]
             cut = (a >> WORD) != (a + b - ONE) >> WORD
             b = np.where(cut, (LOW32 - (a & LOW32)) + ONE, b)
-            rows = at[out] if at is not every else out
+            rows = out if rows is None else rows[out]
             words[rows, used[rows]] = (a >> WORD).astype(np.uint32)
             used[rows] += 1
             lo[out], sp[out] = a << WORD, b << WORD
-        low[at], span[at] = lo, sp
 
-    every = np.arange(lanes)
     for row in grid:
         p2, p1, kind = model.predict()
         which = np.where(row == p2, 0, np.where(row == p1, 1, 2))
-        edges = np.concatenate([np.zeros((32, 1), np.int64), np.cumsum(model.weights, 1)], 1)
-        put(every, edges[kind, which], model.weights[kind, which], edges[kind, 3])
+        edges, sizes = model.shares()
+        k, r = kind * 3 + which, span >> HALF
+        low += r * edges.take(k)
+        span = r * sizes.take(k)
+        shift_out(low, span, None)
         at = np.flatnonzero(which == 2)
+        i = row[at]
         if len(at):
-            i = row[at]
-            put(at, model.edges[i], model.edges[i + 1] - model.edges[i], np.broadcast_to(model.edges[-1], len(i)))
-        model.update(row, which, row[at])
+            lo, r, start = low[at], span[at] // model.total, model.edges.take(i)
+            lo += r * start
+            sp = r * (model.edges.take(i + 1) - start)
+            shift_out(lo, sp, at)
+            low[at], span[at] = lo, sp
+        model.update(row, which, i)
+    every = np.arange(lanes)
     for shift in (WORD, np.uint64(0)):
         words[every, used] = (low >> shift & LOW32).astype(np.uint32)
         used += 1
@@ -140,35 +156,36 @@ def decode_block(block: bytes) -> np.ndarray:
     model, low, span = Model(alphabet, lanes), np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     code = flat[read] << WORD | flat[read + 1]
     read = read + 2
-    every, grid = np.arange(lanes), np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int64)
 
-    def take(at, lo, sp, r, start, size) -> None:
-        nonlocal low, span, code, read
-        lo = lo + r * start.astype(np.uint64)
-        sp = r * size.astype(np.uint64)
-        if len(out := np.flatnonzero(sp >> WORD == 0)):
+    def shift_in(lo, sp, of, rows) -> None:
+        """Reads on in the lanes whose span has become small."""
+        if len(out := np.flatnonzero(sp <= LOW32)):
             a, b = lo[out], sp[out]
             cut = (a >> WORD) != (a + b - ONE) >> WORD
             b = np.where(cut, (LOW32 - (a & LOW32)) + ONE, b)
-            rows = at[out]
-            code[rows] = code[rows] << WORD | flat[np.minimum(read[rows], len(flat) - 1)]
+            rows = out if rows is None else rows[out]
+            of[out] = of[out] << WORD | flat[np.minimum(read[rows], len(flat) - 1)]
             read[rows] += 1
             lo[out], sp[out] = a << WORD, b << WORD
-        low[at], span[at] = lo, sp
 
     for k in range(steps):
         p2, p1, kind = model.predict()
-        edges = np.concatenate([np.zeros((32, 1), np.int64), np.cumsum(model.weights, 1)], 1)
-        r = span // edges[kind, 3].astype(np.uint64)
-        spot = ((code - low) // r).astype(np.int64)
-        which = (spot >= edges[kind, 1]).astype(np.int64) + (spot >= edges[kind, 2])
-        take(every, low, span, r, edges[kind, which], model.weights[kind, which])
+        edges, sizes = model.shares()
+        r, ahead, base = span >> HALF, code - low, kind * 3
+        which = (ahead >= r * edges.take(base + 1)).astype(np.int64) + (ahead >= r * edges.take(base + 2))
+        low += r * edges.take(base + which)
+        span = r * sizes.take(base + which)
+        shift_in(low, span, code, None)
         row, at = np.where(which == 0, p2, p1), np.flatnonzero(which == 2)
         if len(at):
-            lo, sp = low[at], span[at]
-            r = sp // np.uint64(model.edges[-1])
-            i = np.searchsorted(model.edges, ((code[at] - lo) // r).astype(np.int64), side="right") - 1
-            take(at, lo, sp, r, model.edges[i], model.edges[i + 1] - model.edges[i])
+            lo, r, of = low[at], span[at] // model.total, code[at]
+            i = np.searchsorted(model.edges, (of - lo) // r, side="right") - 1
+            start = model.edges.take(i)
+            lo += r * start
+            sp = r * (model.edges.take(i + 1) - start)
+            shift_in(lo, sp, of, at)
+            low[at], span[at], code[at] = lo, sp, of
             row[at] = i
         grid[k] = row
         model.update(row, which, row[at])
@@ -179,7 +196,11 @@ def decode_block(block: bytes) -> np.ndarray:
 
 
 class LibraryEncoder(Encoder):
-    """The library itself encodes each new segment."""
+    """The library itself encodes new segments, many joined to one text.
+
+    Pretokens never cross the space before a segment, so the ids of the joined text are those of its segments in a row,
+    and the tokens' byte lengths tell where each ends.  A segment without that space is encoded alone.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -188,10 +209,36 @@ class LibraryEncoder(Encoder):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.size = np.zeros(max(self.vocab.bytes_of) + 1, np.int64)
+        for i, b in self.vocab.bytes_of.items():
+            self.size[i] = len(b)
 
-    def learn(self, segments: list[str]) -> list[bytes]:
+    def alone(self, segments: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
 
+    def joined(self, segments: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(segments)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(np.fromiter((len(s.encode()) for s in segments), np.int64, len(segments)))
+        reached = np.cumsum(self.size[ids])
+        stops = np.searchsorted(reached, ends) + 1
+        if reached[-1] != ends[-1] or (reached[stops - 1] != ends).any():
+            return self.alone(segments)
+        raw, stops = ids.tobytes(), (4 * stops).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def learn(self, segments: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(segments)
+        spaced, rest = [], []
+        for k, s in enumerate(segments):
+            (spaced if CUT.match(s) else rest).append(k)
+        for at in range(0, len(spaced), JOINED):
+            part = spaced[at : at + JOINED]
+            for k, x in zip(part, self.joined([segments[k] for k in part]), strict=True):
+                out[k] = x
+        for k, x in zip(rest, self.alone([segments[k] for k in rest]) if rest else [], strict=True):
+            out[k] = x
+        return out
+
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
