@@ -78,15 +78,15 @@ def _time(share: str, knots) -> str:
     return "case " + " ".join(cases) + " end"
 
 
-def assign(docs: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats, times (array, one for each repeat), position (the first time).
+def assign(docs: DataFrame, schedules=SCHEDULES, most: int = MOST, *keep: str) -> DataFrame:
+    """keep columns, doc_id, source, size, source_size, target, repeats, times (array, one for each repeat), position (the first time).
 
     A null text has size 0; documents without words are never over their source's need and stay once for each
-    full pass.  A null source is a source of its own.  Equal ids order by size, so that reruns agree.
+    full pass.  A null source is a source of its own.  Equal ids order by size, then by the keep columns, so that reruns agree.
     The last pass takes the documents whose middle lies within what the target still needs, so
     the words taken come within one document of it.
     """
-    sized = docs.select("doc_id", "source", word_count().alias("size"))
+    sized = docs.select(*keep, "doc_id", "source", word_count().alias("size"))
     sized = sized.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
     sized = materialise(sized.select("*", F.substring("h", 1, 2).alias("b1"), F.substring("h", 3, 3).alias("b2")), "sized")
     targets = materialise(source_targets(sized, schedules, most), "targets")
@@ -95,7 +95,7 @@ def assign(docs: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
     coarse = fine.groupBy("key", "b1").agg(F.sum("n").alias("n")).select("key", "b1", F.coalesce(F.sum("n").over(before("key").orderBy("b1")), F.lit(0)).alias("base"))
     fine = fine.select("key", "b1", "b2", F.coalesce(F.sum("n").over(before("key", "b1").orderBy("b2")), F.lit(0)).alias("within"))
     edges = fine.join(coarse, ["key", "b1"]).select("key", "b1", "b2", (F.col("base") + F.col("within")).alias("edge"))
-    placed = sized.withColumn("own", F.coalesce(F.sum("size").over(before("key", "b1", "b2").orderBy("h", F.asc_nulls_first("doc_id"), "size")), F.lit(0)))
+    placed = sized.withColumn("own", F.coalesce(F.sum("size").over(before("key", "b1", "b2").orderBy("h", F.asc_nulls_first("doc_id"), "size", *keep)), F.lit(0)))
     placed = placed.join(edges, ["key", "b1", "b2"]).withColumn("before", F.col("edge") + F.col("own"))
     small = targets.count() <= BROADCAST_SOURCES
     placed = placed.join(F.broadcast(targets) if small else targets, "key")
@@ -105,17 +105,18 @@ def assign(docs: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
     share = "least((cast(pass * source_size + before as double) / target), 1D)"
     time = "case place " + " ".join(f"when {k} then {_time(share, s)}" for k, s in enumerate(schedules)) + " end"
     times = F.expr(f"case when repeats > 0 and target > 0 then transform(sequence(0L, repeats - 1), pass -> {time}) else cast(array() as array<double>) end")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "repeats", times.alias("times")).withColumn("position", F.try_element_at("times", F.lit(1)))
+    return placed.select(*keep, "doc_id", "source", "size", "source_size", "target", "repeats", times.alias("times")).withColumn("position", F.try_element_at("times", F.lit(1)))
 
 
 def mix(docs: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
     """The mixed training set: docs' columns, a row for each occurrence, sorted by time over range partitions.
 
-    Rows that share a doc_id get the repeats of the first of them.
+    Each row has repeats of its own, also where its doc_id is null or repeated: rows are told apart by a key written once.
     """
-    plan = assign(docs, schedules, most).where("repeats > 0 and doc_id is not null").groupBy("doc_id").agg(F.min_by("times", F.struct("position", "size")).alias("_times"))
-    joined = docs.join(plan, "doc_id").select(*docs.columns, F.explode("_times").alias("_time"))
-    return joined.repartitionByRange("_time").sortWithinPartitions("_time", "doc_id").drop("_time")
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    plan = assign(keyed, schedules, most, "_row").where("repeats > 0").select("_row", F.col("times").alias("_times"))
+    joined = keyed.join(plan, "_row").select(*docs.columns, "_row", F.explode("_times").alias("_time"))
+    return joined.repartitionByRange("_time").sortWithinPartitions("_time", "doc_id", "_row").drop("_time", "_row")
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:

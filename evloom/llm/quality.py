@@ -116,9 +116,8 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """docs that the rules keep. Of rows that share a doc_id all stay or, where one of them is rejected, none."""
-    bad = materialise(judge(docs, "doc_id").where("not kept").select("doc_id").distinct(), "rejected")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """docs that the rules keep. Each row is judged by itself, also where its doc_id is null or repeated."""
+    return judge(docs, *docs.columns).where("kept").select(*docs.columns)
 
 
 def sql() -> str:
