@@ -95,9 +95,9 @@ def DED13_chunk_hash(spark, d):
 
 @query(None)
 def DED14_semantic_greedy(spark, d):
-    """A mining round of three candidates against the accepted vectors of one label."""
+    """The vectors of one label stand for the accepted ones, all others for the batch."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    return identity.greedy_semantic(e.where("id in (3, 4, 5)"), e.where("label = 1 and id > 5"), 0.5)
+    return identity.greedy_semantic(e.where("label is distinct from 1"), e.where("label = 1"), 0.5)
 
 
 @query("select doc_id, text as t, text || case when row_number() over (partition by text order by doc_id) > 1 then ' (' || source || ')' else '' end as title from documents")

@@ -1,7 +1,9 @@
 """Scenarios with exact numbers on small tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from evloom.plans import q_identity
 from evloom import functions as fn
 from evloom.operators import coverage, gates, identity, ranking, state, text, vectors
 
@@ -75,3 +77,29 @@ def test_bucket_and_queue(spark):
     got = [r["tokens"] for r in state.token_bucket(e, "k", "s", 2).orderBy("s", F.desc("tokens")).collect()]
     assert got == [2.0, 1.0, 0.0, 0.0]
     assert state.newest(e.withColumn("n", F.monotonically_increasing_id()), "k", "n", 2).count() == 2
+
+
+def test_greedy_semantic_over_whole_table(spark, tmp_path):
+    """DED14 judges every row: brute force over more than one block, with rows without a direction."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 4))
+    vecs = [(centres[i % 12] + rng.normal(size=4) * 0.6).tolist() for i in range(600)] + [[0.0] * 4, [], [1.0]]
+    rows = [(i, v, i % 5) for i, v in enumerate(vecs)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def like(x, y):
+        norm = np.linalg.norm(x) * np.linalg.norm(y) if len(x) == len(y) else 0
+        return norm > 0 and np.dot(x, y) / norm >= 0.5
+
+    kept, known = [], [v for _, v, label in rows if label == 1]
+    for i, v, label in rows:
+        if label != 1 and not any(like(v, x) for x in known):
+            known.append(v)
+            kept.append(i)
+    assert sorted(r["id"] for r in q_identity.DED14_semantic_greedy(spark, str(tmp_path)).collect()) == kept
+    few = [(i, i, vecs[i]) for i in range(600)]
+    df, want = spark.createDataFrame(few, "pos int, id int, vec array<double>"), []
+    for i, _, v in few:
+        if not any(like(v, vecs[j]) for j in want):
+            want.append(i)
+    assert sorted(r["id"] for r in identity.greedy_semantic(df, df.limit(0), 0.5).collect()) == want
