@@ -1,11 +1,12 @@
 """Scenarios with exact numbers on small tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evloom.plans import q_identity
 from evloom import functions as fn
-from evloom.operators import coverage, gates, identity, ranking, state, text, vectors
+from evloom.operators import coverage, gates, graph, identity, ranking, state, text, vectors
 
 HIT = "pos int, title string, abstract string, doi string, arxiv_id string, s2_id string, openalex_id string, source string, citation_count long"
 
@@ -103,3 +104,11 @@ def test_greedy_semantic_over_whole_table(spark, tmp_path):
         if not any(like(v, vecs[j]) for j in want):
             want.append(i)
     assert sorted(r["id"] for r in identity.greedy_semantic(df, df.limit(0), 0.5).collect()) == want
+
+
+def test_lineage_of_long_chains(spark):
+    rows = [(i, i - 1 if i else None) for i in range(130)] + [(500, 499), (501, 500)]
+    got = {r["id"]: (r["root"], r["depth"]) for r in graph.lineage(spark, spark.createDataFrame(rows, "id int, parent_id int")).collect()}
+    assert got == {**{i: (0, i) for i in range(130)}, 500: (499, 1), 501: (499, 2)}
+    with pytest.raises(ValueError):
+        graph.lineage(spark, spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "id int, parent_id int"))
