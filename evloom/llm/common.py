@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: A word, as the query contracts define it: a run of anything but space and \t\n\v\f\r.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch. A batch is held in memory whole, so long texts need few rows.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch. A batch is held in memory whole; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,17 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of tables that this process has stored for the time being.
+_STORED: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored() -> set[str]:
+    return set(_STORED)
+
+
+def discard(spark: SparkSession, paths: set[str], names: tuple[str, ...] = ()) -> None:
+    """Removes those stored tables, or of them the ones with such names, and lets Spark remove shuffle files that nothing refers to.
+
+    Only for callers who know that no result that still has to be computed reads them.
+    """
+    for path in [p for p in _STORED if p in paths and (not names or p.rpartition("/")[2].rpartition("-")[0] in names)]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _STORED.remove(path)
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, for operators that take whole texts to Python."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the Arrow batches of operators that take whole texts to Python, for the whole session and only ever downwards."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def raw_text(df: DataFrame, *keep: str) -> DataFrame:

@@ -4,29 +4,31 @@ A known word is scored by its log frequency in each language (a fixed penalty wh
 falls back to the longest character n-grams of it that any language knows, from NGRAM letters down to one.
 A text's score is the mean over its words; the least wins.
 
-The model is fitted on about PER_LANGUAGE labelled documents of each language at most, chosen by a hash of the id, and
-holds at most WORDS words and NGRAMS n-grams.
+The model is fitted on about PER_LANGUAGE labelled documents of each language, chosen by a hash of the id: that is its
+only bound; it holds every word and n-gram of them.  Words and n-grams are counted by Spark, and the model is two kinds of
+dictionary over arrays of one number for each language.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evloom.llm.common import crc_mod, materialise, raw_text
+from evloom.llm.common import crc_mod, materialise, raw_text, small_batches
 
-PER_LANGUAGE = 1500
-WORDS, NGRAMS, NGRAM = 150_000, 300_000, 5
+PER_LANGUAGE = 500
+NGRAM = 5
 PENALTY = 7.0
 #: How fast certainty grows with the distance of the mean scores.
 SHARP = 3.0
-#: White-space-separated strings whose scores a task remembers.
-REMEMBER = 300_000
+#: White-space-separated strings whose scores a task remembers, of up to LONGEST characters each.
+REMEMBER, LONGEST = 150_000, 40
 RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -37,50 +39,36 @@ def letters(token: str) -> list[str]:
     return [w for w in RUN.findall(token) if any(c.isalpha() for c in w)]
 
 
+def _table(langs: list[str], counts: list[tuple[str, str, int]]) -> tuple[dict[str, int], np.ndarray]:
+    """A string's row, and rows of -log10 of its relative frequency in each language, or the penalty, from (language, string, count)."""
+    at, lang = {}, {k: i for i, k in enumerate(langs)}
+    rows = np.fromiter((at.setdefault(x, len(at)) for _, x, _ in counts), np.int64, len(counts))
+    n = np.zeros((len(at), len(langs)))
+    np.add.at(n, (rows, np.fromiter((lang[k] for k, _, _ in counts), np.int64, len(counts))), np.fromiter((c for _, _, c in counts), float, len(counts)))
+    return at, np.where(n > 0, -np.log10(np.maximum(n, 1) / np.maximum(n.sum(0), 1)), PENALTY).astype(np.float32)
+
+
 class Model:
-    """words and ngrams: string to one number for each of langs, -log10 of its relative frequency or the penalty."""
+    """What is known of words and of n-grams by length. counts: (language, word, how often); grams: the same of n-grams, a space marking a word's ends."""
 
-    def __init__(self, langs: list[str], counts: list[tuple[str, str, int]]):
+    def __init__(self, langs: list[str], counts: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]):
         self.langs = langs
-        at = {k: i for i, k in enumerate(langs)}
-        words: dict[str, list[int]] = defaultdict(lambda: [0] * len(langs))
-        for lang, word, n in counts:
-            words[word][at[lang]] += n
-        grams: list[Counter] = [Counter() for _ in range(NGRAM + 1)]
-        for word, ns in words.items():
-            padded = f" {word} "
-            for k in range(1, NGRAM + 1):
-                for i in range(len(padded) - k + 1):
-                    for lang, n in enumerate(ns):
-                        if n:
-                            grams[k][padded[i : i + k], lang] += n
-        total = np.maximum(np.array(list(words.values()) or [[1] * len(langs)], float).sum(0), 1)
-        self.words = {w: self._row(np.array(ns, float), total) for w, ns in words.items()}
-        #: For each length, an n-gram's place and the rows of all.
-        self.grams: list[tuple[dict[str, int], np.ndarray]] = [({}, np.zeros((0, len(langs))))]
-        for k in range(1, NGRAM + 1):
-            sums = np.zeros(len(langs))
-            rows: dict[str, np.ndarray] = {}
-            for (g, lang), n in grams[k].most_common(NGRAMS // NGRAM):
-                rows.setdefault(g, np.zeros(len(langs)))[lang] = n
-                sums[lang] += n
-            rows.pop(" ", None)
-            self.grams.append(({g: i for i, g in enumerate(rows)}, self._row(np.array(list(rows.values())).reshape(len(rows), len(langs)), np.maximum(sums, 1)).astype(float)))
-
-    @staticmethod
-    def _row(n: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return np.where(n > 0, -np.log10(np.maximum(n, 1) / total), PENALTY).astype(np.float32)
+        self.words, self.word_rows = _table(langs, counts)
+        by: dict[int, list] = defaultdict(list)
+        for x in grams:
+            if x[1] != " ":
+                by[len(x[1])].append(x)
+        self.grams = [_table(langs, by[k]) for k in range(NGRAM + 1)]
 
     def word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
+        if (found := self.words.get(word)) is not None:
+            return self.word_rows[found]
         padded = f" {word} "
         for k in range(min(NGRAM, len(padded)), 0, -1):
             at, table = self.grams[k]
             rows = [p for i in range(len(padded) - k + 1) if (p := at.get(padded[i : i + k])) is not None]
             if rows:
-                return np.add.reduce(table[rows]) / len(rows)
+                return np.add.reduce(table[rows].astype(float)) / len(rows)
         return np.full(len(self.langs), PENALTY, np.float32)
 
     def token(self, token: str) -> np.ndarray:
@@ -109,7 +97,7 @@ class Scorer:
                 if places[k] is None:
                     if (p := at.get(t)) is None:
                         row = self.model.token(t)
-                        if len(at) >= REMEMBER:
+                        if len(at) >= REMEMBER or len(t) > LONGEST:
                             extra += row
                             places[k] = 0
                             continue
@@ -127,12 +115,12 @@ class Scorer:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Learns from labelled(doc_id, text, lang); rows without lang or text are left out."""
+    """Learns from labelled(doc_id, text, lang); rows without lang or text are left out. Without any, nothing is learned."""
     labelled = labelled.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row for each language
     langs = sorted(sizes)
     if not langs:
-        return Model([], [])
+        return Model([], [], [])
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, PER_LANGUAGE / sizes[k]))]), F.col("lang"))
     chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.lit(1 << 20)) < share * (1 << 20)
 
@@ -147,12 +135,11 @@ def fit(labelled: DataFrame) -> Model:
 
     counts = raw_text(labelled.where(chosen), "lang").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "lang-words")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return Model(langs, [])
-    per = F.element_at(F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(n))]), F.col("lang"))
-    top = counts.orderBy(F.desc(F.col("n") / per), "lang", "word").limit(WORDS).collect()  # WORDS rows at most
-    return Model(langs, [(r["lang"], r["word"], r["n"]) for r in top])
+    padded = counts.select("lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("p"))
+    cut = f"flatten(transform(sequence(1, least({NGRAM}, length(p))), k -> transform(sequence(1, length(p) - k + 1), i -> substring(p, i, k))))"
+    grams = padded.select("lang", "n", F.explode(F.expr(cut)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = lambda df: [tuple(r) for r in df.collect()]  # noqa: E731  # what PER_LANGUAGE documents of each language hold
+    return Model(langs, rows(counts.orderBy("lang", "word")), rows(grams.orderBy("lang", "gram")))
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -177,18 +164,20 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
 
 
 def language_filter(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
-    """docs whose language can be told, with lang set to the prediction. Other columns stay as they are."""
+    """docs whose language can be told, with lang set to the prediction. Other columns stay as they are, and only texts go to Python.
+
+    Repeated rows and null ids are judged like others; an empty table gives no rows.
+    """
     model = fit(docs.where(crc_mod("doc_id", folds) != fold))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, kinds = docs.columns, dict(docs.dtypes)
+    small_batches(docs.sparkSession)
 
-    def run(batches):
+    @F.arrow_udf("string")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for b in batches:
-            found = [scorer.predict(None if t is None else t.decode("utf-8", "replace"))[0] for t in b.column("text").to_pylist()]
-            keep = pa.array([f != "und" for f in found], pa.bool_())
-            cols = {k: b.column(k) for k in names} | {"lang": pa.array(found, pa.string())}
-            cols["text"] = cols["text"].cast(pa.string())
-            yield pa.RecordBatch.from_arrays([cols[k] for k in names], names=names).filter(keep)
+        for texts in batches:
+            yield pa.array([scorer.predict(None if t is None else t.decode("utf-8", "replace"))[0] for t in texts.to_pylist()], pa.string())
 
-    return raw_text(docs, *[k for k in names if k != "text"]).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in names))
+    # Not deterministic in name only: so the filter reads the column instead of calling the function again.
+    found = docs.withColumn("lang", told.asNondeterministic()(F.col("text").cast("binary")))
+    return found.where("lang != 'und'").select(*docs.columns)
