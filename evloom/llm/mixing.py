@@ -37,16 +37,16 @@ def integrals(knots) -> list[float]:
     return out
 
 
-def source_targets(sized: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
-    """key, source_size, place (which schedule), target, for sized(key, source, size).
+def source_targets(sizes: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
+    """key, source_size, place (which schedule), target, for sizes(key, source, size), any number of rows a source.
 
     Sources, by code point with null last, take the schedules in turn.  Shares of the total are capped at
     `most` times a source's size; what is over is shared again by weight until none is above.  That
     ends at one level: sorted by cap per weight, a first run of sources is capped and the rest get the
-    level times their weight.  The windows here see one row for each source.
+    level times their weight.  The windows here see one row for each source, in one task.
     """
     shares = F.array(*[F.lit(integrals(k)[-1]) for k in schedules])
-    by = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    by = sizes.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     by = by.withColumn("place", (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1) % len(schedules))
     by = by.withColumn("weight", F.element_at(shares, (F.col("place") + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(most))
     first = Window.orderBy(F.col("cap") / F.col("weight"), "source").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,24 +78,30 @@ def _time(share: str, knots) -> str:
     return "case " + " ".join(cases) + " end"
 
 
-def assign(docs: DataFrame, schedules=SCHEDULES, most: int = MOST, *keep: str) -> DataFrame:
-    """keep columns, doc_id, source, size, source_size, target, repeats, times (array, one for each repeat), position (the first time).
+def assign(docs: DataFrame, schedules=SCHEDULES, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats, times (array, one for each repeat), position (the first time); with keep, also kept, a struct of those columns.
 
     A null text has size 0; documents without words are never over their source's need and stay once for each
-    full pass.  A null source is a source of its own.  Equal ids order by size, then by the keep columns, so that reruns agree.
+    full pass.  A null source is a source of its own.  The order is by a hash of the id, or of the text where the id is null;
+    equal ones order by id, size and the kept columns' hash, so that reruns agree, and rows that are wholly equal are as good as each other.
     The last pass takes the documents whose middle lies within what the target still needs, so
-    the words taken come within one document of it.
+    the words taken come within one document of it.  An empty table gives no rows.
     """
-    sized = docs.select(*keep, "doc_id", "source", word_count().alias("size"))
-    sized = sized.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
-    sized = materialise(sized.select("*", F.substring("h", 1, 2).alias("b1"), F.substring("h", 3, 3).alias("b2")), "sized")
-    targets = materialise(source_targets(sized, schedules, most), "targets")
+    kept = F.struct(*keep) if keep else F.lit(None).cast("string")
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    sized = docs.select(kept.alias("kept"), "doc_id", "source", word_count().alias("size"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), h.alias("h"))
+    sized = sized.select("*", F.substring("h", 1, 2).alias("b1"), F.substring("h", 3, 3).alias("b2"))
+    if not keep:
+        sized = materialise(sized, "sized")
+    # Sums of words for each of up to 16^5 runs of a source's order; whole texts are read again rather than stored.
+    fine = materialise(sized.groupBy("key", "b1", "b2").agg(F.first("source").alias("source"), F.sum("size").alias("size")), "runs")
+    targets = materialise(source_targets(fine, schedules, most), "targets")
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    fine = sized.groupBy("key", "b1", "b2").agg(F.sum("size").alias("n"))
-    coarse = fine.groupBy("key", "b1").agg(F.sum("n").alias("n")).select("key", "b1", F.coalesce(F.sum("n").over(before("key").orderBy("b1")), F.lit(0)).alias("base"))
-    fine = fine.select("key", "b1", "b2", F.coalesce(F.sum("n").over(before("key", "b1").orderBy("b2")), F.lit(0)).alias("within"))
-    edges = fine.join(coarse, ["key", "b1"]).select("key", "b1", "b2", (F.col("base") + F.col("within")).alias("edge"))
-    placed = sized.withColumn("own", F.coalesce(F.sum("size").over(before("key", "b1", "b2").orderBy("h", F.asc_nulls_first("doc_id"), "size", *keep)), F.lit(0)))
+    coarse = fine.groupBy("key", "b1").agg(F.sum("size").alias("n")).select("key", "b1", F.coalesce(F.sum("n").over(before("key").orderBy("b1")), F.lit(0)).alias("base"))
+    within = fine.select("key", "b1", "b2", F.coalesce(F.sum("size").over(before("key", "b1").orderBy("b2")), F.lit(0)).alias("within"))
+    edges = within.join(coarse, ["key", "b1"]).select("key", "b1", "b2", (F.col("base") + F.col("within")).alias("edge"))
+    ties = ["h", F.asc_nulls_first("doc_id"), "size", *([F.xxhash64("kept")] if keep else [])]
+    placed = sized.withColumn("own", F.coalesce(F.sum("size").over(before("key", "b1", "b2").orderBy(*ties)), F.lit(0)))
     placed = placed.join(edges, ["key", "b1", "b2"]).withColumn("before", F.col("edge") + F.col("own"))
     small = targets.count() <= BROADCAST_SOURCES
     placed = placed.join(F.broadcast(targets) if small else targets, "key")
@@ -105,18 +111,17 @@ def assign(docs: DataFrame, schedules=SCHEDULES, most: int = MOST, *keep: str) -
     share = "least((cast(pass * source_size + before as double) / target), 1D)"
     time = "case place " + " ".join(f"when {k} then {_time(share, s)}" for k, s in enumerate(schedules)) + " end"
     times = F.expr(f"case when repeats > 0 and target > 0 then transform(sequence(0L, repeats - 1), pass -> {time}) else cast(array() as array<double>) end")
-    return placed.select(*keep, "doc_id", "source", "size", "source_size", "target", "repeats", times.alias("times")).withColumn("position", F.try_element_at("times", F.lit(1)))
+    return placed.select("kept", "doc_id", "source", "size", "source_size", "target", "repeats", times.alias("times")).withColumn("position", F.try_element_at("times", F.lit(1)))
 
 
 def mix(docs: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
     """The mixed training set: docs' columns, a row for each occurrence, sorted by time over range partitions.
 
-    Each row has repeats of its own, also where its doc_id is null or repeated: rows are told apart by a key written once.
+    Each row has repeats of its own, also where its doc_id is null or repeated.  Texts are shuffled
+    twice, once to their place in the supply and once to their time.
     """
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    plan = assign(keyed, schedules, most, "_row").where("repeats > 0").select("_row", F.col("times").alias("_times"))
-    joined = keyed.join(plan, "_row").select(*docs.columns, "_row", F.explode("_times").alias("_time"))
-    return joined.repartitionByRange("_time").sortWithinPartitions("_time", "doc_id", "_row").drop("_time", "_row")
+    plan = assign(docs, schedules, most, docs.columns).select("kept", F.explode("times").alias("time"))
+    return plan.repartitionByRange("time").sortWithinPartitions("time", F.xxhash64("kept")).select("kept.*")
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:
@@ -131,7 +136,7 @@ def _times_sql(share: str, knots) -> str:
 
 SQL = f"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size, md5(coalesce(doc_id::varchar, md5(coalesce(text, '')))) as h from documents
 ), by_source as (
   select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 as place from sized group by source
 ), weighed as (
