@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, path: str, parts, rule: str = "majority", *kee
         for b in batches:
             rows = [[p or "" for p in x or []] for x in b.column("_parts").to_pylist()]
             at, out = [], [[], [], [], []]
-            for k, (x, ids) in enumerate(zip(rows, enc.encode(["".join(x) for x in rows]), strict=True)):
+            for k, (x, ids) in enumerate(zip(rows, enc.encode(["".join(x).encode() for x in rows]), strict=True)):
                 if not x:
                     continue
                 edges = np.concatenate([[0], np.cumsum([len(p) for p in x])])
