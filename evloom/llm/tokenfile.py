@@ -3,10 +3,11 @@
 A block holds the ids of whole documents and is coded on its own: the model starts empty and
 two checksums guard it (of the coded bytes, of the ids).  Inside a block the ids are dealt to
 lanes, contiguous runs that step through the model together, so that each step is one numpy
-operation over all lanes.  A step predicts from three orders: the last follower of the two ids
-before (order 2), the last follower of the id before (order 1) and the ids' counts (order 0).
-How far each order is trusted is mixed by adaptive weights for each class of the predictions'
-recent success; the range coder codes which order hit, and by order 0 the id where none did.
+operation over all lanes.  A step's distribution is a mixture: order 2 (what followed the two ids before),
+order 1 (two followers of the id before) and order 0 (all ids' counts) each give probabilities, and an id's
+probability is their sum under weights that adapt, for each class of the contexts' recent success, by the share that each
+order had in the ids that came.  The range coder codes which of the named followers came, each with its mixed probability,
+order 0's part included, or that none did; then the id by order 0 with the named ones taken out.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evloom.llm.bpe import CUT, Encoder
-from evloom.llm.common import raw_text, shared_dir
+from evloom.llm.bpe import Encoder
+from evloom.llm.common import raw_text, shared_dir, small_batches
 
-MAGIC = b"EVT2"
+MAGIC = b"EVT3"
 #: Ids in a block at least, unless the partition ends; a longer document has a block of its own.
 BLOCK_IDS = 1 << 20
 STEPS, LANES = 256, 4096
@@ -36,52 +37,91 @@ ONE, WORD, HALF = np.uint64(1), np.uint64(32), np.uint64(16)
 LOW32 = np.uint64(0xFFFFFFFF)
 #: Trust of 0 to 3 after a miss and after a hit, by 2 * trust + hit.
 TRUST = np.array([0, 1, 0, 2, 1, 3, 2, 3], np.int64)
+#: Classes of contexts: trust of order 2, of order 1's first and second follower (0 or more), and which of these order 2 names.
+KINDS = 4 * 4 * 2 * 3
+#: Weights of order 2, order 1's two followers and order 0 before anything is seen.
+PRIOR = np.array([2.0, 1.0, 1.0, 12.0])
 
 
 class Model:
     """Shared by all lanes of a block; coder and decoder feed it the same ids in the same order.
 
-    Followers are held as 4 * id + trust, one gather and one scatter each a step.
+    Followers are held as 4 * id + trust.  Sums run in a fixed order, so both sides compute equal numbers.
     """
 
     def __init__(self, alphabet: int, lanes: int):
-        self.next1, self.next2 = np.zeros(alphabet, np.int32), np.zeros(1 << SLOTS, np.int32)
+        self.next2, self.next1 = np.zeros(1 << SLOTS, np.int64), np.zeros((2, alphabet), np.int64)
+        self.next1[1] = 4 * (alphabet - 1)
         self.before, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.weights = np.ones((32, 3), np.int64) * np.array([4, 2, 8])
-        self.counts, self.age = np.ones(alphabet, np.int64), 0
+        self.credit = np.tile(PRIOR[:, None], (1, KINDS))
+        self.counts, self.age, self.every = np.ones(alphabet, np.int64), 0, np.arange(lanes)
+        self.named, self.marks, self.masses = np.zeros((3, lanes), np.int64), np.zeros((4, lanes), np.int64), np.zeros((4, lanes), np.int64)
         self.refresh()
 
     def refresh(self) -> None:
-        self.edges = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.uint64)
-        self.total = self.edges[-1]
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order-2 and order-1 predictions and the class of their mixing weights."""
+        self.edges = np.concatenate([[0], np.cumsum(self.counts)])
+        self.freq, self.total = self.counts.copy(), int(self.edges[-1])
+        part = self.credit / self.credit.sum(0)
+        self.weights = (part * 65472).astype(np.int64) + 16
+        self.weights[3] = 65536 - self.weights[:3].sum(0)
+
+    def predict(self) -> None:
+        """Named followers (order 2, order 1, order 1), their mixed masses out of 65536 and, last, that of all other ids."""
         self.slot = (self.before2 * 0x9E3779B1 + self.before * 0x85EBCA6B >> 7) & ((1 << SLOTS) - 1)
-        f2, f1 = self.next2.take(self.slot).astype(np.int64), self.next1.take(self.before).astype(np.int64)
-        self.p2, self.p1, self.trust2, self.trust1 = f2 >> 2, f1 >> 2, f2 & 3, f1 & 3
-        self.kind = self.trust2 * 8 + self.trust1 * 2 + (self.p1 == self.p2)
-        return self.p2, self.p1, self.kind
-
-    def shares(self) -> tuple[np.ndarray, np.ndarray]:
-        """Edges and sizes of the three orders for each class, flat and scaled so that each class sums to 1 << 16."""
-        sizes = self.weights * 65533 // self.weights.sum(1, keepdims=True) + 1
-        sizes[:, 2] = 65536 - sizes[:, 0] - sizes[:, 1]
-        edges = np.stack([np.zeros(32, np.int64), sizes[:, 0], sizes[:, 0] + sizes[:, 1]], 1)
-        return edges.reshape(-1).astype(np.uint64), sizes.reshape(-1).astype(np.uint64)
-
-    def update(self, ids: np.ndarray, which: np.ndarray, escaped: np.ndarray) -> None:
-        self.weights += np.bincount(self.kind * 3 + which, minlength=96).reshape(32, 3) * 2
-        if self.weights.max() > 1 << 20:
-            self.weights = self.weights // 2 + 1
-        for table, at, guess, trust in ((self.next2, self.slot, self.p2, self.trust2), (self.next1, self.before, self.p1, self.trust1)):
-            hit = guess == ids
-            table[at] = np.where(hit | (trust > 0), guess, ids) << 2 | TRUST.take(trust * 2 + hit)
-        np.add.at(self.counts, escaped, 24)
+        f2, fa, fb = self.next2.take(self.slot), self.next1[0].take(self.before), self.next1[1].take(self.before)
+        self.f2, self.fa, self.fb = f2, fa, fb
+        named = self.named
+        named[0], named[1], named[2] = f2 >> 2, fa >> 2, fb >> 2
+        same1, same2 = named[1] == named[0], named[2] == named[0]
+        self.kind = (((f2 & 3) << 2 | fa & 3) << 1 | ((fb & 3) > 0)) * 3 + same1 + 2 * same2
+        self.g = g = self.weights.take(self.kind, axis=1)
+        self.often = self.freq.take(named)
+        self.part0 = part0 = g[3] * self.often // self.total
+        m = self.masses
+        np.add(g[:3], part0, out=m[:3])
+        # What order 2 names as well is named once.
+        m[0] += g[1] * same1 + g[2] * same2
+        m[1] *= ~same1
+        m[2] *= ~same2
+        self.often[1] *= ~same1
+        self.often[2] *= ~same2
+        self.same1, self.same2 = same1, same2
+        marks = self.marks
+        marks[1] = m[0]
+        np.add(marks[1], m[1], out=marks[2])
+        np.add(marks[2], m[2], out=marks[3])
+        np.subtract(65536, marks[3], out=m[3])
+
+    def update(self, ids: np.ndarray, which: np.ndarray) -> None:
+        g, at = self.g, which * len(ids) + self.every
+        mass = self.masses.ravel().take(at).astype(np.float64)
+        is0 = which == 0
+        share2 = np.where(is0, g[0] / mass, 0.0)
+        sharea = np.where((which == 1) | is0 & self.same1, g[1] / mass, 0.0)
+        shareb = np.where((which == 2) | is0 & self.same2, g[2] / mass, 0.0)
+        credit, kind = self.credit, self.kind
+        for k, x in enumerate((share2, sharea, shareb, 1 - share2 - sharea - shareb)):
+            credit[k] += np.bincount(kind, x, KINDS)
+        # Order 2: one follower that gives way when its trust is gone.
+        f2, fa, fb = self.f2, self.fa, self.fb
+        trust = f2 & 3
+        self.next2[self.slot] = np.where(is0 | (trust > 0), f2 & -4, ids << 2) | TRUST.take(trust * 2 + is0)
+        # Order 1: a hit of the second follower makes it the first; a miss takes trust from the second or replaces it.
+        hita, hitb = self.named[1] == ids, self.named[2] == ids
+        trusta, trustb = fa & 3, fb & 3
+        up = np.minimum(trustb + 1, 3)
+        swap = hitb & (up >= trusta)
+        newa = (fa & -4) | np.minimum(trusta + hita, 3)
+        newb = np.where(hitb, (fb & -4) | up, np.where(hita, fb, np.where(trustb > 0, fb - 1, ids << 2)))
+        first, second = np.where(swap, newb, newa), np.where(swap, newa - (trusta > 0), newb)
+        self.next1[0][self.before], self.next1[1][self.before] = first, second
+        np.add.at(self.counts, ids, 24)
         self.age += 1
         if self.age % REFRESH == 0 or self.age < REFRESH:
-            if self.total > 1 << 24:
+            if self.total > 1 << 23:
                 self.counts = self.counts // 2 + 1
+            if credit.max() > 1 << 16:
+                credit /= 2
             self.refresh()
         self.before2, self.before = self.before, ids
 
@@ -115,22 +155,24 @@ def encode_block(ids: np.ndarray, alphabet: int = 1 << 16) -> bytes:
             lo[out], sp[out] = a << WORD, b << WORD
 
     for row in grid:
-        p2, p1, kind = model.predict()
-        which = np.where(row == p2, 0, np.where(row == p1, 1, 2))
-        edges, sizes = model.shares()
-        k, r = kind * 3 + which, span >> HALF
-        low += r * edges.take(k)
-        span = r * sizes.take(k)
+        model.predict()
+        named = model.named
+        which = np.where(row == named[0], 0, np.where(row == named[1], 1, np.where(row == named[2], 2, 3)))
+        k, r = which * lanes + model.every, span >> HALF
+        low += r * model.marks.ravel().take(k).view(np.uint64)
+        span = r * model.masses.ravel().take(k).view(np.uint64)
         shift_out(low, span, None)
-        at = np.flatnonzero(which == 2)
-        i = row[at]
+        at = np.flatnonzero(which == 3)
         if len(at):
-            lo, r, start = low[at], span[at] // model.total, model.edges.take(i)
-            lo += r * start
-            sp = r * (model.edges.take(i + 1) - start)
+            i, out, names = row[at], model.often.take(at, axis=1), named.take(at, axis=1)
+            start = model.edges.take(i) - (out * (names < i)).sum(0)
+            left = model.total - out.sum(0)
+            lo, r = low[at], span[at] // left.view(np.uint64)
+            lo += r * start.view(np.uint64)
+            sp = r * model.freq.take(i).view(np.uint64)
             shift_out(lo, sp, at)
             low[at], span[at] = lo, sp
-        model.update(row, which, i)
+        model.update(row, which)
     every = np.arange(lanes)
     for shift in (WORD, np.uint64(0)):
         words[every, used] = (low >> shift & LOW32).astype(np.uint32)
@@ -170,25 +212,35 @@ def decode_block(block: bytes) -> np.ndarray:
             lo[out], sp[out] = a << WORD, b << WORD
 
     for k in range(steps):
-        p2, p1, kind = model.predict()
-        edges, sizes = model.shares()
-        r, ahead, base = span >> HALF, code - low, kind * 3
-        which = (ahead >= r * edges.take(base + 1)).astype(np.int64) + (ahead >= r * edges.take(base + 2))
-        low += r * edges.take(base + which)
-        span = r * sizes.take(base + which)
+        model.predict()
+        named, marks = model.named, model.marks.view(np.uint64)
+        r, ahead = span >> HALF, code - low
+        which = (ahead >= r * marks[1]).astype(np.int64) + (ahead >= r * marks[2]) + (ahead >= r * marks[3])
+        at = which * lanes + model.every
+        low += r * marks.ravel().take(at)
+        span = r * model.masses.ravel().take(at).view(np.uint64)
         shift_in(low, span, code, None)
-        row, at = np.where(which == 0, p2, p1), np.flatnonzero(which == 2)
+        row, at = named.ravel().take(np.minimum(which, 2) * lanes + model.every), np.flatnonzero(which == 3)
         if len(at):
-            lo, r, of = low[at], span[at] // model.total, code[at]
-            i = np.searchsorted(model.edges, (of - lo) // r, side="right") - 1
-            start = model.edges.take(i)
-            lo += r * start
-            sp = r * (model.edges.take(i + 1) - start)
+            out, names = model.often.take(at, axis=1), named.take(at, axis=1)
+            left = model.total - out.sum(0)
+            lo, r, of = low[at], span[at] // left.view(np.uint64), code[at]
+            v = ((of - lo) // r).view(np.int64)
+            # Ids taken out are put back in rising order, up to the place that was coded.
+            x, y, z = names << 24 | out
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            y, z = np.minimum(y, z), np.maximum(y, z)
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            for packed in (x, y, z):
+                v += (packed & 0xFFFFFF) * (v >= model.edges.take(packed >> 24))
+            i = np.searchsorted(model.edges, v, side="right") - 1
+            lo += r * (model.edges.take(i) - (out * (names < i)).sum(0)).view(np.uint64)
+            sp = r * model.freq.take(i).view(np.uint64)
             shift_in(lo, sp, of, at)
             low[at], span[at], code[at] = lo, sp, of
             row[at] = i
         grid[k] = row
-        model.update(row, which, row[at])
+        model.update(row, which)
     ids = grid.T.reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != of_ids:
         raise ValueError("damaged token block")
@@ -213,31 +265,31 @@ class LibraryEncoder(Encoder):
         for i, b in self.vocab.bytes_of.items():
             self.size[i] = len(b)
 
-    def alone(self, segments: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+    def alone(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def joined(self, segments: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(segments)], add_special_tokens=False)[0].ids, "<u4")
+    def joined(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(segments)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum(np.fromiter((len(s.encode()) for s in segments), np.int64, len(segments)))
         reached = np.cumsum(self.size[ids])
         stops = np.searchsorted(reached, ends) + 1
         if reached[-1] != ends[-1] or (reached[stops - 1] != ends).any():
             return self.alone(segments)
-        raw, stops = ids.tobytes(), (4 * stops).tolist()
-        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-
-    def learn(self, segments: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(segments)
-        spaced, rest = [], []
-        for k, s in enumerate(segments):
-            (spaced if CUT.match(s) else rest).append(k)
-        for at in range(0, len(spaced), JOINED):
-            part = spaced[at : at + JOINED]
-            for k, x in zip(part, self.joined([segments[k] for k in part]), strict=True):
-                out[k] = x
-        for k, x in zip(rest, self.alone([segments[k] for k in rest]) if rest else [], strict=True):
-            out[k] = x
-        return out
+        return ids, np.diff(stops, prepend=0)
+
+    def learn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Those without the space first, each on its own.
+        spaced = [k for k, s in enumerate(segments) if s[:1] == " " and s[1:2].isalnum()]
+        rest = sorted(set(range(len(segments))).difference(spaced))
+        parts = [self.alone([segments[k] for k in rest])] if rest else []
+        parts += [self.joined([segments[k] for k in spaced[at : at + JOINED]]) for at in range(0, len(spaced), JOINED)]
+        ids, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        # Back into the segments' own order.
+        back = np.argsort(np.array(rest + spaced), kind="stable")
+        start = np.cumsum(sizes) - sizes
+        sizes = sizes[back]
+        return ids[np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes - start[back], sizes)], sizes
 
 
 @lru_cache(maxsize=2)
@@ -245,33 +297,40 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-FILE = "part int, block int, start long, doc_ids array<bigint>, sizes array<bigint>, payload binary"
+def _kind(doc_id: str) -> str:
+    return f"part int, block int, start long, doc_ids array<{doc_id}>, sizes array<bigint>, payload binary"
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int, out: str, partitions: int | None = None) -> None:
-    """Writes the ids of docs(doc_id, text) in ascending doc_id order (null first, equal ids by text).
+    """Writes the ids of docs(doc_id of any atomic type, text) in ascending doc_id order (null first, equal ids by text).
 
     One file for each range of doc_id, one row for each coded block; `start` counts the ids of
-    the file before the block.  end_id follows each document; a null text is empty.
+    the file before the block.  end_id follows each document; a null text is empty.  An empty table gives files without blocks.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
         enc, part = library_encoder(path), TaskContext.get().partitionId()
-        end, held, names, sizes, block, start, total = np.array([end_id], "<u4").tobytes(), [], [], [], 0, 0, 0
+        held, names, sizes, block, start, total = [], [], [], 0, 0, 0
 
         def row():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([encode_block(ids)], pa.binary())], names=["part", "block", "start", "doc_ids", "sizes", "payload"])
+            ids = pa.concat_arrays(names)
+            cols = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([encode_block(np.concatenate(held))], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "block", "start", "doc_ids", "sizes", "payload"])
 
         for b in batches:
-            names_in = b.column("doc_id").to_pylist()
-            for doc, ids in zip(names_in, enc.encode([(t or b"").decode("utf-8", "replace") for t in b.column("text").to_pylist()]), strict=True):
-                held.append(ids + end)
-                names.append(doc)
-                sizes.append(len(ids) // 4 + 1)
-                total += sizes[-1]
+            flat, edges = enc.encode_all(b.column("text").to_pylist())
+            flat, edges = np.insert(flat, edges[1:], end_id), edges + np.arange(len(edges))
+            at = 0
+            while at < b.num_rows:
+                # Whole documents until the block is full.
+                stop = min(int(np.searchsorted(edges, edges[at] + BLOCK_IDS - total)), b.num_rows)
+                held.append(flat[edges[at] : edges[stop]])
+                names.append(b.column("doc_id").slice(at, stop - at))
+                sizes.append(np.diff(edges[at : stop + 1]))
+                total += int(edges[stop] - edges[at])
+                at = stop
                 if total >= BLOCK_IDS:
                     yield row()
                     start, block, total = start + total, block + 1, 0
@@ -281,26 +340,30 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, out: str, partiti
 
     src = raw_text(docs, "doc_id")
     n = partitions or max(src.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, 1)
-    src.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE).write.parquet(out)
+    src.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _kind(dict(docs.dtypes)["doc_id"])).write.parquet(out)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids before it in all files), ids (bytes of little-endian unsigned 32-bit integers)."""
-    blocks = spark.read.schema(FILE).parquet(path)
+    blocks = spark.read.parquet(path)
+    kind = dict(blocks.dtypes)["doc_ids"][len("array<") : -1]
+    # One block is decoded at a time, so a batch holds few of them.
+    small_batches(spark)
     ends = blocks.groupBy("part").agg(F.max(F.col("start") + F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     # One row for each file: as many as the writer had tasks, whatever the input.
     before = ends.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
     def run(batches):
         for b in batches:
-            d = b.to_pydict()
             for k in range(b.num_rows):
-                ids, sizes = decode_block(d["payload"][k]), np.array(d["sizes"][k], np.int64)
+                ids, sizes = decode_block(b.column("payload")[k].as_py()), np.array(b.column("sizes")[k].as_py(), np.int64)
                 stops = np.cumsum(sizes)
-                raw = ids.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(d["doc_ids"][k], pa.int64()), pa.array(stops - sizes + d["start"][k] + d["before"][k], pa.int64()), pa.array([raw[4 * (e - n) : 4 * e] for e, n in zip(stops.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["doc_id", "start", "ids"])
+                # The ids' bytes as one buffer with offsets; a block of over 2 GB would not fit, nor would its document in a row.
+                raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(0, 4 * stops).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                start = stops - sizes + b.column("start")[k].as_py() + b.column("before")[k].as_py()
+                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[k].values, pa.array(start, pa.int64()), raw], names=["doc_id", "start", "ids"])
 
-    return blocks.join(F.broadcast(before), "part").select("start", "before", "doc_ids", "sizes", "payload").mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.join(F.broadcast(before), "part").select("start", "before", "doc_ids", "sizes", "payload").mapInArrow(run, f"doc_id {kind}, start long, ids binary")
 
 
 def token_file_digest(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
