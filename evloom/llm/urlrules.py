@@ -1,8 +1,9 @@
 """URL filters by mined association rules (operator 8), DataFrame and Spark ML operations only.
 
 URLs become sets of tokens (host labels, path segments, query keys).  FP-growth over the
-labelled ones mines token combinations that imply a bad label; rules are pruned by support, confidence and
-lift.  Each rule stands in an inverted index under its rarest token: a URL is compared with
+labelled ones mines token combinations that imply a bad label; rules are pruned by support, by confidence relative to
+the share of bad URLs, and by a test that chance would hardly give so many bad ones.  Tokens that occur in exactly the same URLs are
+one item while mining, so a long shared path does not make 2^k combinations.  Each rule stands in an inverted index under its rarest token: a URL is compared with
 the rules of its own tokens only, and a rule matches if the URL has all of its tokens.  Explicit rules by host and path go first.
 """
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from evloom.llm.common import materialise
 
 BAD = "bad"
-SUPPORT, CONFIDENCE, LIFT = 0.002, 0.6, 1.5
+#: Least support, confidence as a multiple of the share of bad URLs, and standard deviations of the bad ones above what chance would give.
+SUPPORT, LIFT, SIGMAS = 0.002, 1.5, 4.0
 #: Labelled URLs that a combination must have in any case, so that small tables don't yield chance rules.
 LEAST_URLS = 20
 #: verdict, host, path.
@@ -42,19 +44,30 @@ def url_tokens(url):
     return F.array_distinct(F.filter(F.concat(labels, parts, keys), lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame | None:
-    """antecedent (array), confidence, support of rules that imply bad, from labelled(url, bad boolean). None without bad rows.
+def mine(labelled: DataFrame, support: float = SUPPORT, lift: float = LIFT, sigmas: float = SIGMAS) -> DataFrame | None:
+    """antecedent (array), confidence, support, sigmas of rules that imply bad, from labelled(url, bad boolean). None without bad rows.
 
-    Null labels are left out; a null url has no tokens.
+    Null labels are left out; a null url has no tokens.  Of tokens with the same URLs a rule names the first by code point.
     """
-    baskets = labelled.where("bad is not null").select(F.when(F.col("bad"), F.array_append(url_tokens(F.col("url")), F.lit(BAD))).otherwise(url_tokens(F.col("url"))).alias("items"), "bad")
+    baskets = labelled.where("bad is not null").select(F.monotonically_increasing_id().alias("id"), "bad", url_tokens(F.col("url")).alias("tokens"))
     baskets = materialise(baskets, "baskets")
     n, bad = baskets.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
     if not bad:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_URLS / n)), minConfidence=confidence).fit(baskets.select("items"))
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where(F.col("lift") >= lift)
-    return materialise(rules.select("antecedent", "confidence", "support"), "rules")
+    least = max(support * n, LEAST_URLS)
+    single = baskets.select("id", F.explode("tokens").alias("token"))
+    often = single.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("of")).where(F.col("n") >= least)
+    items = often.groupBy("n", "of").agg(F.min("token").alias("token")).select("token")
+    held = single.join(items, "token").groupBy("id").agg(F.collect_list("token").alias("tokens"))
+    sets = baskets.select("id", "bad").join(held, "id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    sets = materialise(sets.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")), "sets")
+    base = bad / n
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, LEAST_URLS * base / n), minConfidence=min(1.0, base * lift)).fit(sets)
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
+    seen = F.col("support") / F.col("confidence") * F.lit(n)
+    above = (F.col("confidence") - F.lit(base)) * F.sqrt(seen / F.lit(max(base * (1 - base), 1e-9)))
+    rules = rules.select("antecedent", "confidence", "support", above.alias("sigmas"), seen.alias("seen"))
+    return materialise(rules.where((F.col("seen") >= least - 0.5) & (F.col("sigmas") >= sigmas) & (F.col("confidence") >= base * lift)).drop("seen"), "rules")
 
 
 def index(rules: DataFrame, urls: DataFrame) -> DataFrame:
@@ -73,15 +86,16 @@ def _explicit(host, path, rules) -> tuple:
     return name, verdict
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, support: float = SUPPORT, lift: float = LIFT, sigmas: float = SIGMAS) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages(page_id, url); labelled(url, bad).
 
-    rules is a short list that becomes one expression.  Null and odd urls have empty host and path and are allowed.
+    rules is a short list that becomes one expression; of equal ones the last holds.  Null and odd urls have empty host and path and are allowed.
+    Repeated pages are judged alike; an empty table gives no rows; where nothing is mined, what no rule names is allowed.
     """
     url = F.col("url")
     name, verdict = _explicit(F.col("host"), F.col("path"), rules)
     out = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path")).select("*", name.alias("rule"), verdict.alias("said"))
-    mined = mine(labelled, support, confidence, lift)
+    mined = mine(labelled, support, lift, sigmas)
     if mined is None:
         return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"))
     found = index(mined, pages)
@@ -89,8 +103,10 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, support: float = S
     tokens = pages.where("url is not null").select("url", url_tokens(url).alias("items"))
     hits = tokens.select("url", "items", F.explode("items").alias("token")).join(F.broadcast(found) if small else found, "token")
     hits = materialise(hits.where(F.size(F.array_except("antecedent", "items")) == 0).select("url").distinct().withColumn("hit", F.lit(True)), "hits")
-    out = out.join(hits, "url", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
+    # Rows without a url have no part in the join, where they would meet in one task.
+    named = out.where("url is not null").join(hits, "url", "left").select("page_id", "host", "path", "rule", "said", "hit")
+    named = named.unionAll(out.where("url is null").select("page_id", "host", "path", "rule", "said", F.lit(None).cast("boolean")))
+    return named.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
