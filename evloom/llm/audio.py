@@ -2,10 +2,11 @@
 
 A recording's frames become energies of twelve pitch classes.  Sixteen rectangle filters, taken
 from the image's integral (four look-ups each), are quantised to two bits by Gray code and packed into one
-32-bit integer a frame.  Recordings of equal prints are one class.  Two integers a filter's width
-apart make a landmark.  Classes that share a part of their distinct landmarks must share one
-of the rarest of each, as many as may be missing and one more: these are joined on equality, the offset histogram of a candidate
-pair's equal landmarks gives the best offset, and the bit errors of the overlap decide.
+32-bit integer a frame.  Recordings of equal prints are one class.  Two integers LAG places
+apart make a landmark.  The offset histogram of two classes counts distinct equal landmarks; at the offset with most of them
+the overlap's bit errors decide.  A link needs landmarks in proportion to the shorter list, so the shorter one has one of those it
+shares among its rarest, as many as may be missing and one more: these are joined on equality with all landmarks, and no link is lost.
+Silence makes no landmarks, for it says nothing.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ FILTERS = [(k % 4, (k * 5) % 12, 2 + k % 4, 4 + 2 * (k % 6)) for k in range(16)]
 WIDTH = max(w for _, _, _, w in FILTERS)
 EDGES = np.array([-0.12, 0.0, 0.12])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-#: Equal landmarks that an alignment needs, as a share of the longer list's distinct ones; most bit errors as a share of bits.
-SHARE, ERRORS = 0.3, 0.2
+#: Places between the two integers of a landmark.
+LAG = 2
+#: Distinct equal landmarks that a link needs at one offset, as a share of the shorter list's and at least; most bit errors as a share of bits; least overlap as a share of the shorter recording.
+SHARE, LEAST, ERRORS, OVERLAP = 0.05, 2, 0.2, 0.5
 HERTZ = np.fft.rfftfreq(FRAME, 1 / RATE)
 AUDIBLE = (HERTZ >= 100) & (HERTZ <= 1800)
 WINDOW = np.hanning(FRAME)
@@ -66,27 +69,40 @@ def packed(image: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The landmark of silence.
+SILENT = int((lambda x: (np.uint64(x) << np.uint64(32) | np.uint64(x)).view(np.int64))(packed(np.zeros((WIDTH, 12)))[0]))
+
+
 def landmarks(prints: np.ndarray) -> np.ndarray:
-    """Pairs of integers WIDTH places apart, as signed 64-bit integers."""
+    """Pairs of integers LAG places apart, as signed 64-bit integers."""
     p = prints.astype(np.uint64)
-    return (p[:-WIDTH] << np.uint64(32) | p[WIDTH:]).view(np.int64) if len(p) > WIDTH else np.zeros(0, np.int64)
+    return (p[:-LAG] << np.uint64(32) | p[LAG:]).view(np.int64) if len(p) > LAG else np.zeros(0, np.int64)
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
-    """Offset (places b starts after a) with most equal landmarks, how many, and the share of differing bits in the overlap there."""
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float, int]:
+    """Offset (places b starts after a) with most distinct equal landmarks, the least of several; how many; the share of differing bits in the overlap there; its length."""
     x, y = landmarks(a), landmarks(b)
     order = np.argsort(y, kind="stable")
     left, right = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
-    times = right - left
+    times = np.where(x == SILENT, 0, right - left)
     if not times.sum():
-        return 0, 0, 1.0
+        return 0, 0, 1.0, 0
     i = np.repeat(np.arange(len(x)), times)
     j = order[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(left, times)]
-    shifts, votes = np.unique(i - j, return_counts=True)
+    once = np.unique(np.stack([i - j, x[i]]), axis=1)
+    shifts, votes = np.unique(once[0], return_counts=True)
     best = np.argmax(votes)
     shift = int(shifts[best])
     lo, hi = max(0, shift), min(len(a), len(b) + shift)
-    return shift, int(votes[best]), float(np.bitwise_count(a[lo:hi] ^ b[lo - shift : hi - shift]).sum() / (32 * (hi - lo)))
+    return shift, int(votes[best]), float(np.bitwise_count(a[lo:hi] ^ b[lo - shift : hi - shift]).sum() / (32 * (hi - lo))), hi - lo
+
+
+def linked(a: np.ndarray, b: np.ndarray, share: float = SHARE, errors: float = ERRORS) -> tuple[int, float] | None:
+    """Offset and bit errors of two linked lists of prints, else None."""
+    shift, votes, wrong, overlap = align(a, b)
+    count = lambda p: len(np.setdiff1d(landmarks(p), [SILENT]))
+    enough = votes >= max(LEAST, share * min(count(a), count(b))) and overlap >= OVERLAP * min(len(a), len(b))
+    return (shift, wrong) if enough and wrong <= errors else None
 
 
 def fingerprint(media: DataFrame, render=None) -> DataFrame:
@@ -112,24 +128,25 @@ def fingerprint(media: DataFrame, render=None) -> DataFrame:
 def match(media: DataFrame, render=None, share: float = SHARE, errors: float = ERRORS) -> DataFrame:
     """media_id, n_prints, class_id (least media_id of equal prints), n_links, best_class, best_offset, best_errors.
 
-    Links are other classes that align with at least `share` of the distinct landmarks and at most `errors` of
-    the bits, no landmark being repeated within the vote; best_* is the link of fewest errors, then least id, null without one.  Recordings without prints
-    are classes of their own, as are null ids.
+    Links are other classes that `linked` finds; best_* is the link of fewest errors, then least id, null without one.
+    Recordings without prints are classes of their own, as are null ids; repeated rows are one class; an empty table gives no rows.
     """
     prints = materialise(fingerprint(media, render), "prints")
     key = F.md5(F.to_json(F.struct("prints")).cast("binary"))
     keyed = prints.withColumn("print_key", F.when(F.size("prints") > 0, key).otherwise(F.concat(F.lit("empty "), F.coalesce(F.col("media_id").cast("string"), F.lit("")))))
     classes = materialise(keyed.groupBy("print_key").agg(F.min("media_id").alias("class_id"), F.first("prints").alias("prints")), "classes")
-    marks = F.expr(f"array_distinct(transform(slice(prints, 1, greatest(size(prints) - {WIDTH}, 0)), (x, i) -> shiftleft(cast(x as bigint), 32) | (cast(prints[i + {WIDTH}] as bigint) & 4294967295L)))")
+    marks = F.expr(f"array_remove(array_distinct(transform(slice(prints, 1, greatest(size(prints) - {LAG}, 0)), (x, i) -> shiftleft(cast(x as bigint), 32) | (cast(prints[i + {LAG}] as bigint) & 4294967295L))), {SILENT}L)")
     words = classes.select("class_id", marks.alias("m")).select("class_id", F.size("m").alias("n"), F.explode("m").alias("v"))
     words = materialise(words, "landmarks")
     seen = materialise(words.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "landmark-counts")
     # Landmarks of one class only come first in its list; they fill the rarest part without matching.
     shared = words.join(seen, "v")
     rank = F.row_number().over(Window.partitionBy("class_id").orderBy("df", "v"))
-    prefix = shared.select("class_id", "n", "v", (rank + F.col("n") - F.count("*").over(Window.partitionBy("class_id"))).alias("place"))
-    prefix = materialise(prefix.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select("class_id", "v"), "prefix")
-    pairs = prefix.alias("x").join(prefix.alias("y"), "v").where("x.class_id < y.class_id").select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
+    placed = shared.select("class_id", "n", "v", (rank + F.col("n") - F.count("*").over(Window.partitionBy("class_id"))).alias("place"))
+    placed = materialise(placed, "placed")
+    prefix = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share) + 1)
+    pairs = prefix.alias("x").join(placed.alias("y"), "v").where("struct(x.n, x.class_id) < struct(y.n, y.class_id)")
+    pairs = pairs.select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b")).distinct()
     of = classes.select("class_id", "prints")
     both = pairs.join(of.select(F.col("class_id").alias("a"), F.col("prints").alias("pa")), "a").join(of.select(F.col("class_id").alias("b"), F.col("prints").alias("pb")), "b")
 
@@ -138,8 +155,8 @@ def match(media: DataFrame, render=None, share: float = SHARE, errors: float = E
             rows = []
             for a, b, x, y in zip(d["a"], d["b"], d["pa"], d["pb"], strict=True):
                 x, y = np.asarray(x, np.int32).view(np.uint32), np.asarray(y, np.int32).view(np.uint32)
-                shift, votes, wrong = align(x, y)
-                if votes >= share * max(len(np.unique(landmarks(x))), len(np.unique(landmarks(y)))) and wrong <= errors:
+                if found := linked(x, y, share, errors):
+                    shift, wrong = found
                     rows += [(a, b, shift, wrong), (b, a, -shift, wrong)]
             yield pd.DataFrame(rows, columns=["a", "other", "shift", "wrong"])
 
