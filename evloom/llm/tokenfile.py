@@ -27,7 +27,7 @@ from evloom.llm.common import raw_text, shared_dir, small_batches
 
 MAGIC = b"EVT3"
 #: Ids in a block at least, unless the partition ends; a longer document has a block of its own.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 22
 STEPS, LANES = 256, 4096
 SLOTS = 18
 REFRESH = 8
