@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: The order of page types in a context, and the place of any other type.
 TYPE_ORDER, OTHER_TYPE = {"concept": 0, "synthesis": 1, "method": 2, "dataset": 3, "model": 4}, 9
@@ -24,69 +22,65 @@ CLUSTER_PARTS = {
 NO_PART = "(see wiki page)"
 #: Labels of the confidence tiers.
 TIER_LABELS = {"A": "A(可信)", "B": "B(待确认)", "C": "C(推测)"}
-HEADING = re.compile(r"#+\s")
+#: A line that starts a section.
+HEADING = r"^#+\s"
 
 
-def merge_markdown(old: str | None, new: str | None) -> str | None:
-    """Sections of `new` merged into `old`, heading by heading; an empty `new` leaves `old` as it is.
+def _stripped(c) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
-    A heading that `old` lacks comes last with its body. Under a shared heading only lines are added whose stripped
-    form is not there yet; blank lines of `new` stay between them. Of a heading that a text repeats the last body counts.
+
+def section_lines(texts: DataFrame, *keys: str) -> DataFrame:
+    """keys, block, heading ('' before the first), pos, line of texts(keys, text): the lines below each heading, blank ones at a body's ends left out.
+
+    Of a heading that a text repeats the last body counts, at the place of the first; a heading with no line below it is left out.
+    """
+    lines = texts.select(*keys, F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("is", F.col("line").rlike(HEADING))
+    within = Window.partitionBy(*keys)
+    lines = lines.withColumn("block", F.sum(F.col("is").cast("int")).over(within.orderBy("pos")))
+    lines = lines.withColumn("heading", F.coalesce(F.max(F.when(F.col("is"), _stripped("line"))).over(Window.partitionBy(*keys, "block")), F.lit(""))).where("not is")
+    of = Window.partitionBy(*keys, "heading")
+    lines = lines.withColumns({"first": F.min("block").over(of), "last": F.max("block").over(of)}).where("block = last")
+    body = Window.partitionBy(*keys, "block")
+    seen = _stripped("line") != ""
+    lines = lines.withColumns({"from": F.min(F.when(seen, F.col("pos"))).over(body), "to": F.max(F.when(seen, F.col("pos"))).over(body)})
+    # A body of blank lines only still names its section, by one empty line.
+    kept = lines.withColumn("low", F.min("pos").over(body)).where("pos between from and to or (from is null and pos = low)")
+    return kept.select(*keys, F.col("first").alias("block"), "heading", "pos", F.when(F.col("from").isNull(), F.lit("")).otherwise(F.col("line")).alias("line"))
+
+
+def merge_texts(texts: DataFrame, key: str) -> DataFrame:
+    """key, content: texts(key, seq, text) of each key merged section by section in order of seq.
+
+    A section comes where it first appears, whole as it first appears. From later texts only lines are added whose stripped form
+    the section lacks so far, with the blank lines between them; what a text adds follows a blank line.
     """
-    if not (new or "").strip():
-        return old
-    parts = _sections(old or "")
-    for heading, body in _sections(new.strip()).items():
-        if heading not in parts:
-            parts[heading] = body
-            continue
-        seen = {x.strip() for x in parts[heading].split("\n")} - {""}
-        fresh = []
-        for line in body.split("\n"):
-            bare = line.strip()
-            if bare not in seen:
-                fresh.append(line)
-            if bare:
-                seen.add(bare)
-        if fresh:
-            parts[heading] = parts[heading].rstrip() + "\n\n" + "\n".join(fresh).strip()
-    intro = parts.pop("", "")
-    return "\n\n".join([intro] * bool(intro) + [f"{h}\n{b}" if b else h for h, b in parts.items()])
-
-
-def _sections(text: str) -> dict[str, str]:
-    """Heading line to the stripped body below it; text before the first heading is under ''. A heading with no line below it is left out."""
-    blocks: list[tuple[str, list[str]]] = [("", [])]
-    for line in text.split("\n") if text else []:
-        if HEADING.match(line):
-            blocks.append((line.strip(), []))
-        else:
-            blocks[-1][1].append(line)
-    return {h: "\n".join(b).strip() for h, b in blocks if b}
-
-
-@F.pandas_udf(StringType())
-def _fold(old: pd.Series, new: pd.Series) -> pd.Series:
-    def merged(content, actions):
-        for a in actions:
-            content = merge_markdown(content, a)
-        return content
-
-    return pd.Series([merged(o, n) for o, n in zip(old, new, strict=True)], dtype=object)
+    lines = section_lines(texts, key, "seq").withColumn("bare", _stripped("line"))
+    lines = lines.withColumn("born", F.min("seq").over(Window.partitionBy(key, "heading")))
+    again = F.row_number().over(Window.partitionBy(key, "heading", "bare").orderBy("seq", "pos"))
+    added = lines.withColumn("again", again).where("seq = born or bare = '' or again = 1")
+    parts = added.groupBy(key, "heading", "seq").agg(F.min("block").alias("block"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    parts = parts.select(key, "heading", "seq", "block", _stripped(F.array_join(F.col("l.line"), "\n")).alias("t"))
+    bodies = parts.groupBy(key, "heading").agg(F.min(F.struct("seq", "block")).alias("at"), F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("seq", "t")))).alias("l"))
+    bodies = bodies.select(key, F.struct((F.col("heading") != "").alias("low"), "at").alias("at"), F.concat_ws("\n", F.nullif("heading", F.lit("")), F.nullif(F.array_join(F.col("l.t"), "\n\n"), F.lit(""))).alias("t"))
+    return bodies.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("at", "t")))).alias("l")).select(key, F.array_join(F.col("l.t"), "\n\n").alias("content"))
 
 
 def merge_pages(pages: DataFrame, actions: DataFrame, sets: tuple[str, ...] = ("paper_ids", "links", "contradictions")) -> DataFrame:
-    """title, content and the set columns, changed: actions(seq, title, content, sets) are merged in order of seq.
+    """title, content and the set columns, changed: actions(seq, title, content, sets) are merged in order of seq, all in the JVM.
 
-    A title without a page is created from its actions. Only pages with actions are sent to Python.
+    A title without a page is created from its actions. Actions without text leave a page's text as it is. Set columns are united.
     """
-    by = actions.groupBy("title").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("content")))).alias("l"), *[F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))).alias(f"_{c}") for c in sets])
-    both = pages.select("title", "content", *sets).join(by, "title", "full_outer")
-    hit = both.where("l is not null")
-    union = [F.array_sort(F.array_union(F.coalesce(c, F.array().cast("array<string>")), f"_{c}")).alias(c) for c in sets]
-    done = hit.select("title", _fold("content", F.transform("l", lambda x: x["content"])).alias("content"), *union, F.lit(True).alias("changed"))
-    rest = both.where("l is null").select("title", "content", *sets, F.lit(False).alias("changed"))
-    return done.unionByName(rest)
+    empty = F.array().cast("array<string>")
+    by = actions.groupBy("title").agg(F.count_if(_stripped("content") != "").alias("texts"), *[F.flatten(F.collect_list(F.coalesce(c, empty))).alias(f"_{c}") for c in sets])
+    both = pages.select("title", "content", *sets, F.lit(True).alias("old")).join(by.withColumn("hit", F.lit(True)), "title", "full_outer")
+    new = actions.where(_stripped("content") != "").select("title", "seq", _stripped("content").alias("text"))
+    old = pages.join(new.select("title").distinct(), "title", "left_semi").where("content <> ''").select("title", F.lit(None).cast(dict(actions.dtypes)["seq"]).alias("seq"), F.col("content").alias("text"))
+    texts = old.withColumn("seq", F.lit(-1).cast("long")).unionByName(new.withColumn("seq", F.col("seq").cast("long")))
+    merged = merge_texts(texts, "title").withColumnRenamed("content", "merged")
+    out = both.join(merged, "title", "left")
+    union = [F.when(F.col("hit"), F.array_sort(F.array_union(F.coalesce(c, empty), F.coalesce(f"_{c}", empty)))).otherwise(F.col(c)).alias(c) for c in sets]
+    return out.select("title", F.coalesce("merged", "content").alias("content"), *union, F.coalesce("hit", F.lit(False)).alias("changed"))
 
 
 def dispatch(pages: DataFrame, actions: DataFrame, least: float = 0.5) -> DataFrame:

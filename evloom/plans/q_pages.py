@@ -24,13 +24,35 @@ def _pages(spark, d):
     return table(spark, d, "documents").selectExpr("doc_id", "source", f"{_TYPE} as type", f"{_TITLE} as title", "text as content")
 
 
-@query(None)
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_MERGE = f"""with old as (select doc_id::varchar as title, '# Text' || chr(10) || text as content, source, lang from documents),
+acts as (select turn as seq, conv_id::varchar as title, '# Text' || chr(10) || text || chr(10) || '## ' || role || chr(10) || text as content, role from conversations),
+texts as (select title, -1 as seq, content as t from old where title in (select title from acts) union all select title, seq, {_STRIP.format("content")} from acts),
+l as (select title, seq, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as pos from texts),
+k as (select *, regexp_matches(line, '^#+\\s') as h, sum(regexp_matches(line, '^#+\\s')::int) over (partition by title, seq order by pos) as block from l),
+n as (select *, coalesce(max(case when h then {_STRIP.format("line")} end) over (partition by title, seq, block), '') as heading from k),
+m as (select *, min(block) over (partition by title, seq, heading) as first, max(block) over (partition by title, seq, heading) as last from n where not h),
+e as (select *, min(case when {_STRIP.format("line")} <> '' then pos end) over w as lo, max(case when {_STRIP.format("line")} <> '' then pos end) over w as hi, min(pos) over w as p0 from m where block = last window w as (partition by title, seq, block)),
+s as (select title, seq, heading, first as block, pos, case when lo is null then '' else line end as line from e where pos between lo and hi or (lo is null and pos = p0)),
+b as (select *, {_STRIP.format("line")} as bare, min(seq) over (partition by title, heading) as born from s),
+r as (select *, row_number() over (partition by title, heading, bare order by seq, pos) as again from b),
+parts as (select title, heading, seq, min(block) as block, {_STRIP.format("string_agg(line, chr(10) order by pos)")} as t from r where seq = born or bare = '' or again = 1 group by all),
+bodies as (select title, heading, min((seq, block)) as ord, string_agg(nullif(t, ''), chr(10) || chr(10) order by seq) as t from parts group by all),
+merged as (select title, string_agg(nullif(concat_ws(chr(10), nullif(heading, ''), nullif(t, '')), ''), chr(10) || chr(10) order by heading <> '', ord) as content from bodies group by 1),
+sets as (select title, list_sort(list_distinct(list(role))) as roles, list_sort(list_distinct(list(seq::varchar))) as turns from acts group by 1)
+select coalesce(o.title, a.title) as title, coalesce(m.content, o.content) as content,
+  array_to_string(list_sort(list_distinct(list_concat(case when o.title is null then [] else [o.source] end, coalesce(a.roles, [])))), ',') as paper_ids, coalesce(o.lang, '') as links, coalesce(array_to_string(a.turns, ','), '') as contradictions, a.title is not null as changed
+from old o full join sets a on o.title = a.title left join merged m on m.title = coalesce(o.title, a.title)"""
+
+
+@query(_MERGE)
 def WIK02_TXT10_12_merge(spark, d):
     """Each document is a page; a turn of a conversation is an action on the page of its conversation's number."""
     empty = F.array().cast("array<string>")
     old = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("title"), F.concat(F.lit("# Text\n"), "text").alias("content"), F.array("source").alias("paper_ids"), F.array("lang").alias("links"), empty.alias("contradictions"))
     new = table(spark, d, "conversations").select(F.col("turn").alias("seq"), F.col("conv_id").cast("string").alias("title"), F.concat(F.lit("# Text\n"), "text", F.lit("\n## "), "role", F.lit("\n"), "text").alias("content"), F.array("role").alias("paper_ids"), empty.alias("links"), F.array(F.col("turn").cast("string")).alias("contradictions"))
-    return pages.merge_pages(old, new)
+    out = pages.merge_pages(old, new)
+    return out.select("title", "content", *[F.array_join(c, ",").alias(c) for c in ("paper_ids", "links", "contradictions")], "changed")
 
 
 @query("with n as (select n_nationkey as id, n_name as title, case when n_nationkey % 3 > 0 then 'concept' else 'method' end as type from nation), p as (select r_name as title, 'concept' as type from region union select s_name, 'method' from supplier union select n_name, 'concept' from nation where n_regionkey = 0), c as (select title, list_distinct(string_split(regexp_replace(lower(title), '[^\\p{L}\\p{N}_]', '', 'g'), '')) as b from p where type = 'concept'), l as (select n.id, c.title, len(list_intersect(list_distinct(string_split(regexp_replace(lower(n.title), '[^\\p{L}\\p{N}_]', '', 'g'), '')), c.b)) / len(list_distinct(list_concat(string_split(regexp_replace(lower(n.title), '[^\\p{L}\\p{N}_]', '', 'g'), ''), c.b))) as j from n, c where n.type = 'concept'), r as (select *, row_number() over (partition by id order by j desc, title) as k from l where j >= 0.5) select n.id, case when n.title in (select title from p) then n.title else r.title end as target from n left join r on n.id = r.id and r.k = 1")

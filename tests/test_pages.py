@@ -8,15 +8,23 @@ from evloom.operators import graph, pages, ranking, state
 PAGE = "title string, content string, paper_ids array<string>, links array<string>, contradictions array<string>"
 
 
-def test_merge_markdown():
+def test_merge_texts(spark):
     old = "intro\n\n## A\nx\ny\n\n## B\nz"
-    assert pages.merge_markdown(old, "## A\n y \nnew\n\nnew") == "intro\n\n## A\nx\ny\n\nnew\n\n## B\nz"
-    assert pages.merge_markdown(old, "## C\nq") == old + "\n\n## C\nq"
-    assert pages.merge_markdown(old, "## A\nx") == old
-    assert pages.merge_markdown("## B\nz", "first") == "first\n\n## B\nz"
-    assert pages.merge_markdown("## A\n1\n## A\n2", "## A\n2") == "## A\n2"
-    assert pages.merge_markdown(old, " \n") == old and pages.merge_markdown(None, None) is None
-    assert pages.merge_markdown(None, "## A\nx") == "## A\nx"
+    cases = [
+        (old, "## A\n y \nnew\n\nnew", "intro\n\n## A\nx\ny\n\nnew\n\n## B\nz"),
+        (old, "## C\nq", old + "\n\n## C\nq"),
+        (old, "## A\nx", old),
+        ("## B\nz", "first", "first\n\n## B\nz"),
+        ("## A\n1\n## A\n2", "## A\n2", "## A\n2"),
+        (old, " \n", old),
+        (None, None, None),
+        (None, "## A\nx", "## A\nx"),
+    ]
+    kind = "title string, content string, paper_ids array<string>, links array<string>, contradictions array<string>"
+    p = spark.createDataFrame([(str(k), o, None, None, None) for k, (o, _, _) in enumerate(cases)], kind)
+    n = spark.createDataFrame([(1, str(k), n, None, None, None) for k, (_, n, _) in enumerate(cases)], "seq int, " + kind)
+    got = {r["title"]: r["content"] for r in pages.merge_pages(p, n).collect()}
+    assert [got[str(k)] for k in range(len(cases))] == [w for _, _, w in cases]
 
 
 def test_merge_pages(spark):
