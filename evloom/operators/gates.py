@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evloom.functions import CONTRADICTING, SUPPORTING, is_weak
@@ -13,17 +13,56 @@ def reasons(*checks: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(when, text) for when, text in checks]), lambda x: x.isNotNull())
 
 
-def mining_admission(links: DataFrame) -> DataFrame:
-    """Status, tier and reasons of each question: two supporting papers, a limitation or negative result, no verified contradiction."""
-    strong = links.where(~is_weak("relevance"))
-    sup, con = F.col("relation_type").isin(*SUPPORTING), F.col("relation_type").isin(*CONTRADICTING)
-    by = strong.groupBy("question_id").agg(
-        F.countDistinct(F.when(sup, F.col("paper_id"))).alias("papers"), F.count_if(F.col("evidence_type").isin("limitation", "negative_result")).alias("limits"), F.count_if(con & F.col("fulltext")).alias("contra"),
-        F.bool_or(F.col("fulltext")).alias("located"), F.bool_or(F.col("fulltext") & (F.col("evidence_type") == "limitation")).alias("located_limit"),
-    )
-    why = reasons((F.col("papers") < 2, "fewer than 2 supporting papers"), (F.col("limits") < 1, "no limitation or negative result"), (F.col("contra") > 0, "verified contradiction"))
-    tier = F.when(F.col("located") & F.col("located_limit"), "A").otherwise("B")
-    return by.select("question_id", F.when(F.size(why) == 0, "PASS").otherwise("UNKNOWN").alias("status"), tier.alias("tier"), F.array_join(why, "; ").alias("reasons"))
+#: States of a question and of evidence that let it be mined, and evidence types that show a shortcoming.
+ELIGIBLE, ADMISSIBLE, VERIFIED = ("open", "partially_covered", "covered"), ("verified", "upgraded", "abstract_only"), ("verified", "upgraded")
+LIMITING = ("limitation", "negative_result")
+#: Kinds of candidates that are supported.
+GAP_TYPES = ("boundary_gap", "missing_evaluation")
+
+
+def mining_admission(questions: DataFrame, links: DataFrame) -> DataFrame:
+    """question_id, status, tier, reasons (array), papers, spans for each of questions(question_id, status).
+
+    links(question_id, relevance, relation_type, paper_id, evidence_type, verification, locatable): evidence that exists.  A question that is
+    not eligible fails, one without links is unknown.  Evidence that can be located in full text makes tier A, unless
+    no limitation can be located; two papers with a limitation make tier B; less is a reason of its own.
+    """
+    strong = ~is_weak(F.coalesce("relevance", F.lit(0.0)))
+    sup = strong & F.col("relation_type").isin(*SUPPORTING) & F.coalesce(F.col("verification").isin(*ADMISSIBLE), F.lit(False))
+    con = strong & F.col("relation_type").isin(*CONTRADICTING) & F.coalesce(F.col("verification").isin(*VERIFIED), F.lit(False))
+    limit = sup & F.col("evidence_type").isin(*LIMITING)
+    by = links.groupBy("question_id").agg(
+        F.count("*").alias("links"), F.countDistinct(F.when(sup, F.col("paper_id"))).alias("papers"), F.count_if(sup & F.col("locatable")).alias("spans"), F.count_if(limit).alias("limits"), F.count_if(limit & F.col("locatable")).alias("located_limits"), F.count_if(con).alias("contra")
+    )
+    all_ = questions.select("question_id", F.col("status").alias("state")).join(by, "question_id", "left").fillna(0, ["links", "papers", "spans", "limits", "located_limits", "contra"])
+    c = F.col
+    bare = (c("spans") < 1) & ~((c("papers") >= 2) & (c("limits") > 0))
+    why = reasons((c("papers") < 2, "INSUFFICIENT_INDEPENDENT_PAPERS"), (c("limits") < 1, "NO_LIMITATION_SIGNAL"), (c("contra") > 0, "UNRESOLVED_VERIFIED_CONTRADICTION"), (bare, "NO_FULLTEXT_LOCATABLE_EVIDENCE"))
+    out, none = ~F.coalesce(c("state").isin(*ELIGIBLE), F.lit(False)), c("links") < 1
+    why = F.when(out, F.array(F.lit("QUESTION_NOT_ELIGIBLE"))).when(none, F.array(F.lit("NO_LINKED_EVIDENCE"))).otherwise(why)
+    tier = F.when(out | none, "A").when((c("spans") >= 1) & ((c("limits") < 1) | (c("located_limits") > 0)), "A").otherwise("B")
+    seen = lambda x: F.when(out, F.lit(0)).otherwise(c(x))
+    return all_.select("question_id", F.when(out, "FAIL").when(F.size(why) == 0, "PASS").otherwise("UNKNOWN").alias("status"), tier.alias("tier"), why.alias("reasons"), seen("papers").alias("papers"), seen("spans").alias("spans"))
+
+
+def validate_candidates(candidates: DataFrame, asked: DataFrame, cited: DataFrame, passed: DataFrame, offered: DataFrame) -> DataFrame:
+    """candidate, reject: the first of seven reasons that holds, null where a candidate is valid.
+
+    candidates(candidate, gap_type, contradicted boolean), asked(candidate, question_id), cited(candidate, evidence_id), passed(question_id):
+    questions that are admitted, offered(evidence_id, question_id, paper_id, evidence_type): evidence of admitted questions that was shown.
+    Citations that were never offered are left out, not held against the rest.
+    """
+    ask = asked.distinct().join(passed.select("question_id", F.lit(True).alias("ok")).distinct(), "question_id", "left")
+    ask = ask.groupBy("candidate").agg(F.count("*").alias("asked"), F.count("ok").alias("known"))
+    units = offered.groupBy("evidence_id").agg(F.first("paper_id").alias("paper_id"), F.first("evidence_type").alias("evidence_type"))
+    use = cited.distinct().join(units, "evidence_id")
+    own = use.join(offered.select("evidence_id", "question_id").distinct(), "evidence_id").join(asked.distinct(), ["candidate", "question_id"]).groupBy("candidate").agg(F.count("*").alias("own"))
+    use = use.groupBy("candidate").agg(F.count("*").alias("usable"), F.countDistinct("paper_id").alias("papers"), F.count_if(F.col("evidence_type").isin(*LIMITING)).alias("limits"))
+    out = candidates.join(ask, "candidate", "left").join(use, "candidate", "left").join(own, "candidate", "left").fillna(0, ["asked", "known", "usable", "papers", "limits", "own"])
+    c = F.col
+    rule = F.when(~F.coalesce(c("gap_type").isin(*GAP_TYPES), F.lit(False)), "UNSUPPORTED_GAP_TYPE").when((c("asked") < 1) | (c("known") < c("asked")), "UNKNOWN_QUESTION_ID").when(c("usable") < 1, "UNKNOWN_EVIDENCE_ID")
+    rule = rule.when(c("own") < 1, "EVIDENCE_NOT_LINKED_TO_CITED_QUESTION").when(c("contradicted"), "UNEXPECTED_CONTRADICTING_EVIDENCE").when(c("papers") < 2, "INSUFFICIENT_CANDIDATE_PAPER_SUPPORT").when(c("limits") < 1, "CANDIDATE_LACKS_LIMITATION_SIGNAL")
+    return out.select("candidate", rule.alias("reject"))
 
 
 def claim_verdict(coverage: DataFrame) -> DataFrame:
@@ -44,14 +83,76 @@ def transition(action, result) -> Column:
     return F.when((a == "continue") & (r == "confirmed"), "surviving").when((a == "reject") | (r == "closed"), "rejected").when((a == "narrow") | (r == "partially_closed"), "audited").otherwise("auditing")
 
 
-def search_admission(results: DataFrame) -> DataFrame:
-    """Verdict of each candidate from its results (candidate, query_id, family, source, item, ok boolean)."""
-    done = F.when(F.col("ok"), F.col("query_id"))
-    by = results.groupBy("candidate").agg(
-        F.countDistinct(done).alias("done"), F.countDistinct("query_id").alias("all"), F.countDistinct(F.when(F.col("ok"), F.col("family"))).alias("families"), F.countDistinct(F.when(F.col("ok"), F.col("source"))).alias("sources"), F.countDistinct(F.when(F.col("ok"), F.col("item"))).alias("papers")
-    )
-    why = reasons((F.col("done") < 2, "completed"), (F.col("families") < 2, "families"), (F.col("done") / F.greatest("all", F.lit(1)) < 0.5, "success"), (F.col("sources") < 1, "sources"), (F.col("papers") < 3, "papers"))
-    return by.select("candidate", F.when(F.size(why) == 0, "PASS").otherwise("UNKNOWN").alias("status"), F.array_join(why, ",").alias("reasons"))
+#: Least completed queries, families and papers of a search, and the same under constrained retrieval.
+SEARCH_LEAST, CONSTRAINED_LEAST = (2, 2, 3), (1, 1, 2)
+
+
+def search_admission(candidates: DataFrame, queries: DataFrame, results: DataFrame, corpus: DataFrame, support: DataFrame) -> DataFrame:
+    """candidate, status, reasons (array), papers, external for each of candidates(candidate, constrained boolean).
+
+    queries(candidate, query_id, family, status), results(candidate, query_id, source, item), corpus(candidate, item): papers at hand on the same
+    questions, support(candidate, item): the candidate's own.  Only the number of papers may be topped up from the corpus.
+    """
+    done = queries.where("status = 'completed'")
+    asked = queries.groupBy("candidate").agg(F.count("*").alias("queries"), F.count_if(F.col("status") == "completed").alias("done"), F.countDistinct(F.when((F.col("status") == "completed") & (F.col("family") != ""), F.col("family"))).alias("families"))
+    got = results.join(done.select("candidate", "query_id"), ["candidate", "query_id"])
+    sources = got.groupBy("candidate").agg(F.countDistinct(F.when((F.col("source") != "") & (F.col("source") != "unknown"), F.col("source"))).alias("sources"))
+    items = got.select("candidate", "item").unionAll(corpus.select("candidate", "item")).distinct().join(support.select("candidate", "item", F.lit(True).alias("own")).distinct(), ["candidate", "item"], "left")
+    items = items.groupBy("candidate").agg(F.count("*").alias("papers"), F.count_if(F.col("own").isNull()).alias("external"))
+    out = candidates.join(asked, "candidate", "left").join(sources, "candidate", "left").join(items, "candidate", "left").fillna(0, ["queries", "done", "families", "sources", "papers", "external"])
+    c = F.col
+    least = [F.when(c("constrained"), b).otherwise(a) for a, b in zip(SEARCH_LEAST, CONSTRAINED_LEAST, strict=True)]
+    why = reasons(
+        (c("done") < least[0], "INSUFFICIENT_COMPLETED_QUERIES"), (c("families") < least[1], "INSUFFICIENT_QUERY_FAMILIES"), (c("done") / F.greatest("queries", F.lit(1)) < 0.5, "SEARCH_SUCCESS_RATE_TOO_LOW"),
+        (c("sources") < 1, "NO_SUCCESSFUL_SOURCE"), (c("papers") < least[2], "INSUFFICIENT_GAP_SPECIFIC_PAPERS"), (c("external") < 1, "NO_EXTERNAL_NEIGHBOR"),
+    )
+    none = c("queries") < 1
+    why = F.when(none, F.array(F.lit("NO_GAP_QUERIES"))).otherwise(why)
+    seen = lambda x: F.when(none, F.lit(0)).otherwise(c(x))
+    return out.select("candidate", F.when(F.size(why) == 0, "PASS").otherwise("UNKNOWN").alias("status"), why.alias("reasons"), seen("papers").alias("papers"), seen("external").alias("external"))
+
+
+def repeats(now: DataFrame, audits: DataFrame) -> DataFrame:
+    """candidate, repeated for each of now(candidate, claim, neighbours array): its latest decided of audits(candidate, seq, decided, action, claim, neighbours)
+    asked for more search with the same claim (an unknown one is never the same) and the same set of neighbours."""
+    last = audits.where("decided").groupBy("candidate").agg(F.max_by(F.struct("action", "claim", "neighbours"), "seq").alias("p"))
+    as_set = lambda x: F.array_sort(F.array_distinct(F.coalesce(x, F.array())))
+    same = (F.col("p.action") == "more_search") & (F.col("p.claim") == F.coalesce(F.col("claim"), F.lit(""))) & (as_set(F.col("p.neighbours")) == as_set(F.col("neighbours")))
+    return now.join(last, "candidate", "left").select("candidate", F.coalesce(same, F.lit(False)).alias("repeated"))
+
+
+def narrowing(gaps: DataFrame, least: int = 20, most: int = 2) -> DataFrame:
+    """candidate, skip (why it is not narrowed, else null), coverage (what is known to be covered then) for
+    gaps(candidate, result of the latest audit, remaining, attempts, claimed, existing, summary)."""
+    bare = lambda k: F.trim(F.coalesce(F.col(k), F.lit("")))
+    skip = F.when(F.coalesce(F.col("result") != "partially_closed", F.lit(True)), "NO_PARTIALLY_CLOSED_AUDIT").when(F.length(bare("remaining")) < least, "NO_CONCRETE_REMAINING_DELTA")
+    skip = skip.when(F.col("attempts") > most, "NARROW_ATTEMPTS_EXHAUSTED").when(bare("claimed") == bare("remaining"), "DELTA_UNCHANGED")
+    merged = F.when((bare("summary") != "") & ~F.contains(bare("existing"), bare("summary")), F.trim(F.concat(bare("existing"), F.lit("\n[narrowed after audit] "), bare("summary")))).otherwise(bare("existing"))
+    return gaps.select("candidate", skip.alias("skip"), F.when(skip.isNull(), F.regexp_replace(merged, r"^\s+", "")).alias("coverage"))
+
+
+#: Terminal states that call for better access to a source.
+SHORT_STATES = ("more_research_required", "insufficient_evidence")
+
+
+def next_steps(questions: DataFrame, evidence: DataFrame, gaps: DataFrame, tasks: DataFrame) -> DataFrame:
+    """task, steps (array of what to do) for tasks(task, terminal): questions(task, question_id, question, importance, score), evidence(task, limiting), gaps(task, provenance).
+
+    Steps: search for important questions of little coverage (the first three are named), search for limitations, upgrade partial gaps (with their
+    number), add access to a source; else go on.
+    """
+    low = questions.where("importance >= 0.7 and (score is null or score < 0.3)").withColumn("n", F.row_number().over(Window.partitionBy("task").orderBy("question_id")))
+    low = low.groupBy("task").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= 3, F.struct("n", F.substring("question", 1, 40).alias("q"))))), lambda x: x["q"]), "; ").alias("names"))
+    lim = evidence.where("limiting").select("task", F.lit(True).alias("lim")).distinct()
+    part = gaps.where("provenance is null or provenance <> 'complete'").groupBy("task").agg(F.count("*").alias("partial"))
+    out = tasks.join(low, "task", "left").join(lim, "task", "left").join(part, "task", "left")
+    steps = F.filter(
+        F.array(
+            F.when(F.col("names").isNotNull(), F.concat(F.lit("search: "), "names")), F.when(F.col("lim").isNull(), F.lit("limitations")), F.when(F.col("partial") > 0, F.concat(F.lit("upgrade: "), F.col("partial").cast("string"))),
+            F.when(F.col("terminal").isin(*SHORT_STATES), F.lit("source access")),
+        ), lambda x: x.isNotNull(),
+    )
+    return out.select("task", F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit("go on"))).alias("steps"))
 
 
 def readiness(has_contract: bool, active: bool, coverage: DataFrame) -> DataFrame:

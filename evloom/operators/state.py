@@ -79,3 +79,52 @@ def run_rounds(step, first: int, last: int, retries: int = 3, failures: int = 5,
             if sum(s == "failed" for _, s in out) >= failures:
                 break
     return out
+
+
+def pool_fingerprint(evidence: DataFrame, links: DataFrame, by: str) -> DataFrame:
+    """by, version: SHA-256 over the rows of evidence(by, id, paper_id, type, status, confidence) and links(by, question_id, id, relation, relevance), numbers to three digits.
+
+    Rows are hashed one by one and their hashes added, so the order does not matter and no group is collected; a
+    row more, less or changed gives another version.
+    """
+    num = lambda c: F.format_string("%.3f", F.coalesce(c, F.lit(0.0)))
+    row = lambda tag, *cs: F.sha2(F.concat_ws("\x1f", F.lit(tag), *[F.coalesce(c.cast("string"), F.lit("")) for c in cs]), 256).alias("h")
+    e = evidence.select(by, row("e", *map(F.col, ("id", "paper_id", "type", "status")), num(F.col("confidence"))))
+    l = links.select(by, row("l", *map(F.col, ("question_id", "id", "relation")), num(F.col("relevance"))))
+    part = [F.sum(F.conv(F.substring("h", 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(5)]
+    return e.unionAll(l).groupBy(by).agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *part), 256).alias("version"))
+
+
+def contract_version(tasks: DataFrame, feedback: DataFrame, key: str) -> DataFrame:
+    """key, version: SHA-256 of the inputs of a contract: tasks(key, task_input, state_input, state_feedback, pipeline_version) and feedback(key, seq, kind, content), in order.
+
+    Texts are stripped, nulls are empty; questions that were derived from these inputs are no part of it.
+    """
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", F.coalesce("content", F.lit("")).alias("c"))))), lambda x: x["c"])
+    told = feedback.groupBy(key).agg(of("clarification_answer").alias("a"), of("research_feedback").alias("r"))
+    none = F.array().cast("array<string>")
+    bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", "")
+    parts = F.struct(
+        F.coalesce("a", none).alias("clarification_answers"), F.col("pipeline_version"), F.coalesce("r", none).alias("research_feedbacks"), bare("state_feedback").alias("state_user_feedback"), bare("state_input").alias("state_user_input"), bare("task_input").alias("task_user_input")
+    )
+    return tasks.join(told, key, "left").select(key, F.sha2(F.to_json(parts), 256).alias("version"))
+
+
+def round_outcomes(attempts: DataFrame, task: str, tries: int = 3, budget: int = 5, streak: int = 3) -> DataFrame:
+    """task, completed, failed, stopped (null, failed_budget or identical_error) from attempts(task, round, seq, ok, error).
+
+    A round takes attempts until one succeeds, `tries` at most, else it fails.  A task stops with the attempt that makes `budget` rounds fail or
+    gives the same error `streak` times in a row; what comes later is not counted.
+    """
+    by = Window.partitionBy(task, "round").orderBy("seq")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    a = attempts.withColumns({"_n": F.row_number().over(by), "_won": F.coalesce(F.bool_or("ok").over(before), F.lit(False))}).where(~F.col("_won") & (F.col("_n") <= tries))
+    a = a.withColumn("_end", F.when(F.col("ok"), 1).when(F.col("_n") == tries, -1).otherwise(0))
+    line = Window.partitionBy(task).orderBy("seq")
+    change = (F.lag("error").over(line).isNull() | (F.lag("error").over(line) != F.col("error")) | F.col("ok")).cast("int")
+    a = a.withColumn("_run", F.sum(change).over(line)).withColumn("_failed", F.sum((F.col("_end") == -1).cast("int")).over(line))
+    a = a.withColumn("_same", F.when(~F.col("ok"), F.row_number().over(Window.partitionBy(task, "_run").orderBy("seq"))))
+    why = F.when(F.col("_same") >= streak, "identical_error").when(F.col("_failed") >= budget, "failed_budget")
+    a = a.withColumn("_why", why).withColumn("_stop", F.min(F.when(F.col("_why").isNotNull(), F.col("seq"))).over(Window.partitionBy(task)))
+    a = a.where("_stop is null or seq <= _stop")
+    return a.groupBy(task).agg(F.count_if(F.col("_end") == 1).alias("completed"), F.count_if(F.col("_end") == -1).alias("failed"), F.max(F.when(F.col("seq") == F.col("_stop"), F.col("_why"))).alias("stopped"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from evloom import functions as fn
 from evloom import sources, streaming
-from evloom.operators import coverage, gates, graph, ranking, state, text
-from evloom.plans.base import HITS_SQL, LINKS_SQL, RANKED_SQL, SCORES_SQL, hits, links, query, ranked, scores, table
-from evloom.plans.q_ranking import _MULTI
+from evloom.operators import coverage, gates, graph, ranking, state, text, vectors
+from evloom.plans.base import HITS_SQL, LINKS, LINKS_SQL, RANKED_SQL, SCORES_SQL, hits, links, query, ranked, scores, table
+from evloom.plans.q_ranking import _HEADED, _MULTI, _named, headed
 
 # Coverage and quality -------------------------------------------------------------------------
 
@@ -21,37 +21,43 @@ def DEC05_coverage(spark, d):
     return coverage.matrix(links(spark, d))
 
 
-@query("with m as (select l_suppkey as q, case l_linenumber % 4 when 0 then 'limitation' when 1 then 'result' else 'method' end as e, case s_suppkey % 3 when 0 then 'problem' when 1 then 'method' else 'evaluation' end as t from lineitem join supplier on l_suppkey = s_suppkey) select q, count(*) as links, 0.5::double as relevance from m where (t = 'problem' and e = 'limitation') or (t = 'method' and e = 'method') or (t = 'evaluation' and e = 'result') group by q")
+_QTYPE = "case s_suppkey % 8 when 0 then 'problem' when 1 then 'method' when 2 then 'evaluation' when 3 then 'dataset' when 4 then 'resource' when 5 then 'failure' when 6 then 'application' else 'other' end"
+_ETYPE = "case l_partkey % 10 when 0 then 'problem' when 1 then 'method' when 2 then 'result' when 3 then 'metric' when 4 then 'comparison' when 5 then 'dataset' when 6 then 'limitation' when 7 then 'negative_result' when 8 then 'future_work' else 'claim' end"
+_ANSWERS = " or ".join(f"(t = '{q}' and e in ({', '.join(repr(x) for x in es)}))" for q, es in coverage.ANSWERS.items())
+
+
+@query(f"with m as (select l_suppkey as q, {_ETYPE} as e, {_QTYPE} as t from lineitem join supplier on l_suppkey = s_suppkey) select q as question_id, case e when 'negative_result' then 'contradicts' when 'limitation' then 'partially_answers' when 'future_work' then 'background' when 'comparison' then 'background' else 'supports' end as relation, count(*) as links, sum(0.5::double) as relevance from m where {_ANSWERS} group by all")
 def DEC07_heuristic_match(spark, d):
-    """A question's type and the evidence types that answer it are a literal table of a few rows."""
-    kinds = spark.createDataFrame([("problem", "limitation"), ("method", "method"), ("evaluation", "result")], "t string, e string")
-    s = table(spark, d, "supplier").selectExpr("s_suppkey as q", "case s_suppkey % 3 when 0 then 'problem' when 1 then 'method' else 'evaluation' end as t")
-    l = table(spark, d, "lineitem").selectExpr("l_suppkey as q", "case l_linenumber % 4 when 0 then 'limitation' when 1 then 'result' else 'method' end as e")
-    return l.join(s, "q").join(F.broadcast(kinds), ["t", "e"]).groupBy("q").agg(F.count("*").alias("links")).withColumn("relevance", F.lit(0.5))
+    q = table(spark, d, "supplier").selectExpr("s_suppkey as question_id", f"{_QTYPE} as question_type")
+    e = table(spark, d, "lineitem").selectExpr("l_suppkey as question_id", "l_orderkey as evidence_id", f"{_ETYPE} as evidence_type")
+    return coverage.heuristic_match(q, e).groupBy("question_id", "relation").agg(F.count("*").alias("links"), F.sum("relevance").alias("relevance"))
 
 
-@query(f"with {LINKS_SQL}, s as (select * from links where relevance >= 0.5 and relation_type in ('supports', 'partially_answers')), b as (select question_id, avg(fulltext::int) as f, avg((relation_type = 'supports')::int) as d, count(distinct paper_id) as s, avg(confidence) as m from s group by 1) select q.question_id, coalesce(round(0.4::double * f + 0.25::double * d + 0.2::double * least(1, s / 3) + 0.15::double * m, 4), 0) as quality from (select distinct question_id from links) q left join b on q.question_id = b.question_id")
+@query(f"with {LINKS_SQL}, s as (select * from links where relevance >= 0.5 and relation_type in ('supports', 'partially_answers')), b as (select question_id, avg(fulltext::int) as f, avg((relation_type = 'supports')::int) as d, count(distinct paper_id) as s, avg(confidence) as m from s group by 1) select q.question_id, coalesce(round_even(0.4::double * f + 0.25::double * d + 0.2::double * least(1, s / 3) + 0.15::double * m, 2), 0)::double as quality, coalesce(round_even(f, 2), 0)::double as fulltext_ratio, coalesce(round_even(d, 2), 0)::double as directness from (select distinct question_id from links) q left join b on q.question_id = b.question_id")
 def DEC08_evidence_quality(spark, d):
     return coverage.quality(links(spark, d))
 
 
-_SAT = f"""with {LINKS_SQL}, firsts as (select question_id, paper_id, min(round) as r from links group by all), rounds as (select question_id, round, count(*) as new_evidence from links group by all),
-counts as (select r.question_id, r.round, new_evidence, sum(new_evidence) over (partition by r.question_id order by r.round) as evidence, (select count(*) from firsts f where f.question_id = r.question_id and f.r = r.round) as new_papers, (select count(*) from firsts f where f.question_id = r.question_id and f.r <= r.round) as papers from rounds r),
-ranked as (select question_id, round, paper_id, row_number() over (partition by question_id, round order by max(relevance) desc, paper_id) as n from links group by question_id, round, paper_id), tops as (select question_id, round, list(paper_id) as top from ranked where n <= 5 group by all),
-j as (select c.*, top, lag(top) over (partition by c.question_id order by c.round) as before from counts c join tops t on c.question_id = t.question_id and c.round = t.round), s as (select *, coalesce(len(list_intersect(top, before)), 0) / 5 as stability from j)
-select question_id, round, stability, case when papers = 0 or round < 2 then 'INSUFFICIENT_OBSERVATION' when new_papers < 2 and new_evidence < 3 and new_papers / papers < 1 and new_evidence / evidence < 1 and stability >= 0.6 then 'SATURATED' else 'STILL_GAINING' end as state from s"""
+_SAT = f"""with {LINKS_SQL}, sup as (select * from links where relevance >= 0.5 and relation_type in ('supports', 'partially_answers')),
+papers as (select question_id, paper_id, min(round) as r, case paper_id % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as priority, (paper_id % 101) / 100.0::double as score from sup group by question_id, paper_id),
+ev as (select l.question_id, l.paper_id, l.round as r from links l join papers p on l.question_id = p.question_id and l.paper_id = p.paper_id),
+rounds as (select question_id, unnest(range(1, max(round)::bigint + 1))::int as round from links group by 1),
+c as (select *, (select count(*) from papers p where p.question_id = x.question_id and priority <> 'low' and p.r = x.round) as new_papers, (select count(*) from papers p where p.question_id = x.question_id and priority <> 'low' and p.r <= x.round) as papers,
+  (select count(distinct paper_id) from ev where ev.question_id = x.question_id and ev.r = x.round) as new_evidence, (select count(distinct paper_id) from ev where ev.question_id = x.question_id and ev.r <= x.round) as evidence from rounds x),
+k as (select x.question_id, x.round, paper_id, row_number() over (partition by x.question_id, x.round order by score desc, paper_id) as n from rounds x join papers p on p.question_id = x.question_id and priority <> 'low' and p.r <= x.round),
+tops as (select question_id, round, list(paper_id) as top from k where n <= 5 group by all),
+j as (select c.*, coalesce(len(list_intersect(t.top, b.top)) / 5.0::double, 0) as stability, exists (select 1 from papers p where p.question_id = c.question_id) as found from c left join tops t on c.question_id = t.question_id and c.round = t.round left join tops b on c.question_id = b.question_id and c.round = b.round + 1)
+select question_id, round, case when not found or round < 2 then 'INSUFFICIENT_OBSERVATION' when new_papers < 2 and new_evidence < 3 and new_papers / greatest(1, papers - new_papers) < 1 and new_evidence / greatest(1, evidence - new_evidence) < 1 and stability >= 0.6 then 'SATURATED' else 'STILL_GAINING' end as state, new_papers, new_evidence, stability from j"""
 
 
 @query(_SAT)
 def DEC09_saturation(spark, d):
     l = links(spark, d)
-    w = Window.partitionBy("question_id").orderBy("round")
-    first = l.groupBy("question_id", "paper_id").agg(F.min("round").alias("round")).groupBy("question_id", "round").agg(F.count("*").alias("new_papers"))
-    per = l.groupBy("question_id", "round").agg(F.count("*").alias("new_evidence")).join(first, ["question_id", "round"], "left").fillna(0, ["new_papers"])
-    per = per.withColumn("papers", F.sum("new_papers").over(w)).withColumn("evidence", F.sum("new_evidence").over(w))
-    best = l.groupBy("question_id", "round", "paper_id").agg(F.max("relevance").alias("x"))
-    top = ranking.top_sets(best, ["question_id", "round"], "paper_id", 5, F.desc("x"), "paper_id").withColumnRenamed("items", "top")
-    return coverage.saturation(per.join(top, ["question_id", "round"]))
+    sup = l.where((~fn.is_weak("relevance")) & F.col("relation_type").isin(*fn.SUPPORTING))
+    papers = sup.groupBy("question_id", "paper_id").agg(F.min("round").alias("round")).selectExpr("*", "case paper_id % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as priority", "(paper_id % 101) / 100.0D as score")
+    evidence = l.select("question_id", "paper_id", "round").join(papers.select("question_id", "paper_id"), ["question_id", "paper_id"])
+    rounds = l.groupBy("question_id").agg(F.max("round").alias("m")).select("question_id", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("round"))
+    return coverage.saturation(rounds, papers, evidence)
 
 
 @query("with c as (select s_suppkey, (s_suppkey % 10) / 10.0::double as importance, s_suppkey % 3 > 0 as seen, (s_suppkey % 5) / 5.0::double as score, s_suppkey % 4 as evidence from supplier), a as (select count(*) as questions, sum(evidence) as evidence, count(*) filter (importance >= 0.7) as high, count(*) filter (importance >= 0.7 and seen) as high_seen, count(*) filter (seen) as seen, count(*) filter (score > 0) as positive from c) select case when questions = 0 or evidence = 0 or (high > 0 and high_seen = 0) then 'failed' when seen / greatest(questions, 1) < 0.6 or positive = 0 then 'more' else 'ready' end as status, '' as reason, questions, seen from a")
@@ -60,24 +66,66 @@ def DEC10_readiness(spark, d):
     return gates.readiness(True, True, c)
 
 
-_ADM = f"with {LINKS_SQL}, b as (select question_id, count(distinct paper_id) filter (relation_type in ('supports', 'partially_answers')) as papers, count(*) filter (evidence_type in ('limitation', 'negative_result')) as limits, count(*) filter (relation_type = 'contradicts' and fulltext) as contra, bool_or(fulltext) as located, bool_or(fulltext and evidence_type = 'limitation') as ll from links where relevance >= 0.5 group by 1)"
+_CHECKED = "case when l_tax < 0.02 then 'failed' when l_tax < 0.04 then 'abstract_only' when l_tax < 0.06 then 'upgraded' else 'verified' end"
+_QSTATE = "case s_suppkey % 7 when 0 then 'superseded' when 1 then 'covered' when 2 then 'partially_covered' else 'open' end"
+_ADM = f"""with x as (select l_suppkey as q, l_partkey as paper_id, {LINKS[3].replace(' as relation_type', '')} as rel, round(abs(l_discount) * 10, 1) >= 0.5 as strong, {LINKS[6].replace(' as evidence_type', '')} as e, {_CHECKED} as v, l_linestatus = 'F' and l_tax >= 0.05 as loc from lineitem where l_linenumber > 5),
+f as (select *, strong and rel in ('supports', 'partially_answers') and v in ('verified', 'upgraded', 'abstract_only') as sup, strong and rel = 'contradicts' and v in ('verified', 'upgraded') as con, e in ('limitation', 'negative_result') as lim from x),
+b as (select q, count(*) as links, count(distinct case when sup then paper_id end) as papers, count(*) filter (sup and loc) as spans, count(*) filter (sup and lim) as limits, count(*) filter (sup and lim and loc) as ll, count(*) filter (con) as contra from f group by 1),
+j as (select s_suppkey as question_id, {_QSTATE} as state, coalesce(links, 0) as links, coalesce(papers, 0) as papers, coalesce(spans, 0) as spans, coalesce(limits, 0) as limits, coalesce(ll, 0) as ll, coalesce(contra, 0) as contra from supplier left join b on q = s_suppkey),
+r as (select *, case when state = 'superseded' then 'QUESTION_NOT_ELIGIBLE' when links = 0 then 'NO_LINKED_EVIDENCE' else concat_ws('; ', case when papers < 2 then 'INSUFFICIENT_INDEPENDENT_PAPERS' end, case when limits < 1 then 'NO_LIMITATION_SIGNAL' end, case when contra > 0 then 'UNRESOLVED_VERIFIED_CONTRADICTION' end, case when spans < 1 and not (papers >= 2 and limits > 0) then 'NO_FULLTEXT_LOCATABLE_EVIDENCE' end) end as reasons from j),
+adm as (select question_id, case when state = 'superseded' then 'FAIL' when reasons = '' then 'PASS' else 'UNKNOWN' end as status, case when state = 'superseded' or links = 0 or (spans >= 1 and (limits < 1 or ll > 0)) then 'A' else 'B' end as tier, reasons, case when state = 'superseded' then 0 else papers end as papers, case when state = 'superseded' then 0 else spans end as spans from r)"""
+
 
+def _admitted(spark, d):
+    """Suppliers as questions, line items after the fifth as their evidence."""
+    l = table(spark, d, "lineitem").where("l_linenumber > 5").selectExpr(*LINKS[:2], *LINKS[3:5], LINKS[6], f"{_CHECKED} as verification", "l_linestatus = 'F' and l_tax >= 0.05 as locatable")
+    return gates.mining_admission(table(spark, d, "supplier").selectExpr("s_suppkey as question_id", f"{_QSTATE} as status"), l)
 
-@query(_ADM + " select question_id, case when papers >= 2 and limits >= 1 and contra = 0 then 'PASS' else 'UNKNOWN' end as status, case when located and ll then 'A' else 'B' end as tier, concat_ws('; ', case when papers < 2 then 'fewer than 2 supporting papers' end, case when limits < 1 then 'no limitation or negative result' end, case when contra > 0 then 'verified contradiction' end) as reasons from b")
+
+@query(_ADM + " select * from adm")
 def DEC11_13_mining_admission(spark, d):
-    return gates.mining_admission(links(spark, d))
+    return _admitted(spark, d).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+_GAPS = "case o_orderkey % 5 when 0 then 'novel_idea' when 1 then 'missing_evaluation' else 'boundary_gap' end"
+_CAND = f"""with passed as (select s_suppkey as question_id from supplier where s_suppkey % 6 > 0), offered as (select distinct l_partkey as evidence_id, l_suppkey as question_id, l_partkey % 97 as paper_id, case when l_partkey % 4 = 0 then 'limitation' else 'method' end as evidence_type from lineitem where l_suppkey % 6 > 0 and l_partkey % 3 > 0),
+asked as (select distinct l_orderkey as c, l_suppkey + case when l_orderkey % 7 = 0 then 1 else 0 end as q from lineitem where l_linenumber <= 2), cited as (select distinct l_orderkey as c, l_partkey as e from lineitem),
+a as (select c, count(*) as n, count(*) filter (q in (select question_id from passed)) as k from asked group by 1), units as (select distinct evidence_id, paper_id, evidence_type from offered),
+u as (select c, count(*) as usable, count(distinct paper_id) as papers, count(*) filter (evidence_type = 'limitation') as limits from cited join units on e = evidence_id group by 1),
+o as (select cited.c, count(*) as own from cited join offered on e = evidence_id join asked on asked.c = cited.c and asked.q = offered.question_id group by 1)
+select o_orderkey as candidate, case when o_orderkey % 5 = 0 then 'UNSUPPORTED_GAP_TYPE' when coalesce(n, 0) < 1 or k < n then 'UNKNOWN_QUESTION_ID' when coalesce(usable, 0) < 1 then 'UNKNOWN_EVIDENCE_ID' when coalesce(own, 0) < 1 then 'EVIDENCE_NOT_LINKED_TO_CITED_QUESTION' when o_orderkey % 11 = 0 then 'UNEXPECTED_CONTRADICTING_EVIDENCE' when papers < 2 then 'INSUFFICIENT_CANDIDATE_PAPER_SUPPORT' when limits < 1 then 'CANDIDATE_LACKS_LIMITATION_SIGNAL' end as reject
+from orders left join a on a.c = o_orderkey left join u on u.c = o_orderkey left join o on o.c = o_orderkey"""
 
 
-@query(f"with {LINKS_SQL}, g as (select evidence_id as candidate, count(distinct question_id) as questions, count(distinct paper_id) as papers, count(*) filter (relation_type = 'contradicts') as contra, count(*) filter (evidence_type = 'limitation') as limits, bool_or(question_id > 90) as unknown from links group by 1) select candidate, case when unknown then 'unknown question' when contra > 0 then 'contradicting evidence' when papers < 2 then 'fewer than 2 papers' when limits < 1 then 'no limitation' end as reject from g")
+@query(_CAND)
 def DEC12_candidate_validation(spark, d):
-    g = links(spark, d).groupBy(F.col("evidence_id").alias("candidate")).agg(F.countDistinct("paper_id").alias("papers"), F.count_if(F.col("relation_type") == "contradicts").alias("contra"), F.count_if(F.col("evidence_type") == "limitation").alias("limits"), F.bool_or(F.col("question_id") > 90).alias("unknown"))
-    rule = F.when(F.col("unknown"), "unknown question").when(F.col("contra") > 0, "contradicting evidence").when(F.col("papers") < 2, "fewer than 2 papers").when(F.col("limits") < 1, "no limitation")
-    return g.select("candidate", rule.alias("reject"))
+    """Orders as candidates that ask the suppliers of their first lines and cite their parts."""
+    l = table(spark, d, "lineitem")
+    cand = table(spark, d, "orders").selectExpr("o_orderkey as candidate", f"{_GAPS} as gap_type", "o_orderkey % 11 = 0 as contradicted")
+    asked = l.where("l_linenumber <= 2").selectExpr("l_orderkey as candidate", "l_suppkey + case when l_orderkey % 7 = 0 then 1 else 0 end as question_id")
+    offered = l.where("l_suppkey % 6 > 0 and l_partkey % 3 > 0").selectExpr("l_partkey as evidence_id", "l_suppkey as question_id", "l_partkey % 97 as paper_id", "case when l_partkey % 4 = 0 then 'limitation' else 'method' end as evidence_type")
+    return gates.validate_candidates(cand, asked, l.selectExpr("l_orderkey as candidate", "l_partkey as evidence_id"), table(spark, d, "supplier").where("s_suppkey % 6 > 0").selectExpr("s_suppkey as question_id"), offered)
 
 
-@query(f"with {RANKED_SQL}, r as (select *, query_id % 3 > 0 as ok from ranked), b as (select candidate, count(distinct query_id) filter (ok) as done, count(distinct query_id) as a, count(distinct family) filter (ok) as f, count(distinct source) filter (ok) as s, count(distinct item) filter (ok) as p from r group by 1), w as (select candidate, concat_ws(',', case when done < 2 then 'completed' end, case when f < 2 then 'families' end, case when done / greatest(a, 1) < 0.5 then 'success' end, case when s < 1 then 'sources' end, case when p < 3 then 'papers' end) as reasons from b) select candidate, case when reasons = '' then 'PASS' else 'UNKNOWN' end as status, reasons from w")
+_SEARCH = f"""with {RANKED_SQL}, c as (select c_custkey as candidate, c_custkey % 2 = 1 as tight from customer), q as (select distinct candidate, query_id, case when family = '5-LOW' then '' else family end as family, case when query_id % 3 > 0 then 'completed' else 'failed' end as status from ranked),
+r as (select ranked.candidate, ranked.query_id, case when source = 'N' then 'unknown' else source end as source, item from ranked where query_id % 3 > 0), qa as (select candidate, count(*) as n, count(*) filter (status = 'completed') as done, count(distinct nullif(family, '')) filter (status = 'completed') as f from q group by 1),
+s as (select candidate, count(distinct source) filter (source <> 'unknown') as s from r group by 1), i as (select candidate, item from r union select candidate, item + 1 from ranked where query_id % 7 = 0), own as (select distinct candidate, item from ranked where rank = 0),
+p as (select i.candidate, count(*) as papers, count(*) filter (own.item is null) as external from i left join own on own.candidate = i.candidate and own.item = i.item group by 1),
+j as (select c.candidate, tight, coalesce(n, 0) as n, coalesce(done, 0) as done, coalesce(f, 0) as f, coalesce(s, 0) as s, coalesce(papers, 0) as papers, coalesce(external, 0) as external from c left join qa on qa.candidate = c.candidate left join s on s.candidate = c.candidate left join p on p.candidate = c.candidate),
+w as (select *, case when n = 0 then 'NO_GAP_QUERIES' else concat_ws(',', case when done < case when tight then 1 else 2 end then 'INSUFFICIENT_COMPLETED_QUERIES' end, case when f < case when tight then 1 else 2 end then 'INSUFFICIENT_QUERY_FAMILIES' end, case when done / greatest(n, 1) < 0.5 then 'SEARCH_SUCCESS_RATE_TOO_LOW' end, case when s < 1 then 'NO_SUCCESSFUL_SOURCE' end, case when papers < case when tight then 2 else 3 end then 'INSUFFICIENT_GAP_SPECIFIC_PAPERS' end, case when external < 1 then 'NO_EXTERNAL_NEIGHBOR' end) end as reasons from j)
+select candidate, case when reasons = '' then 'PASS' else 'UNKNOWN' end as status, reasons, case when n = 0 then 0 else papers end as papers, case when n = 0 then 0 else external end as external from w"""
+
+
+@query(_SEARCH)
 def DEC14_search_admission(spark, d):
-    return gates.search_admission(ranked(spark, d).withColumn("ok", F.col("query_id") % 3 > 0))
+    """Customers as candidates, every other one under constrained retrieval."""
+    r = ranked(spark, d)
+    q = r.selectExpr("candidate", "query_id", "case when family = '5-LOW' then '' else family end as family", "case when query_id % 3 > 0 then 'completed' else 'failed' end as status").distinct()
+    out = gates.search_admission(
+        table(spark, d, "customer").selectExpr("c_custkey as candidate", "c_custkey % 2 = 1 as constrained"), q, r.selectExpr("candidate", "query_id", "case when source = 'N' then 'unknown' else source end as source", "item"),
+        r.where("query_id % 7 = 0").selectExpr("candidate", "item + 1 as item"), r.where("rank = 0").select("candidate", "item"),
+    )
+    return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("with own as (select distinct l_orderkey as c, l_partkey as p from lineitem where l_returnflag = 'A'), l as (select l_orderkey, l_partkey, l_suppkey as q, date_trunc('month', l_shipdate) as m from lineitem), qs as (select distinct l_orderkey as c, q, m from l), cand as (select distinct qs.c, l_partkey as p from qs join l on l.q = qs.q and l.m = qs.m) select c, p from cand where not exists (select 1 from own where own.c = cand.c and own.p = cand.p)")
@@ -127,11 +175,15 @@ def DEC19_20_downgrades(spark, d):
     return x.select("candidate_id", F.when(far | loose, "uncertain").otherwise(F.col("result")).alias("result"), F.when(far, F.least("novelty", F.lit(0.5))).otherwise(F.col("novelty")).alias("novelty"))
 
 
-@query(f"with {RANKED_SQL}, s as (select candidate, query_id, list_sort(list(distinct item)) as n, any_value(family) as f from ranked group by all), l as (select *, lag(n) over (partition by candidate order by query_id) as pn, lag(f) over (partition by candidate order by query_id) as pf from s) select candidate, query_id, coalesce(n = pn and f = pf, false) as repeated from l")
+_AUD = "a as (select o_custkey as c, o_orderkey as seq, o_orderkey % 4 > 0 as decided, case when o_orderkey % 3 = 0 then 'continue' else 'more_search' end as action, case when o_orderkey % 5 > 0 then 'claim ' || (o_custkey % 4) end as claim, [o_orderkey % 2, o_custkey % 3] as n from orders)"
+
+
+@query(f"with {_AUD}, p as (select c, arg_max((action, claim, n), seq) as p from a where decided group by 1), x as (select c_custkey as candidate, 'claim ' || (c_custkey % 4) as claim, [c_custkey % 3, c_custkey % 2, c_custkey % 3] as n from customer) select candidate, coalesce(p[1] = 'more_search' and p[2] = claim and list_sort(list_distinct(p[3])) = list_sort(list_distinct(n)), false) as repeated from x left join p on c = candidate")
 def DEC21_repeat_detection(spark, d):
-    s = ranked(spark, d).groupBy("candidate", "query_id").agg(F.array_sort(F.collect_set("item")).alias("n"), F.min("family").alias("f"))
-    w = Window.partitionBy("candidate").orderBy("query_id")
-    return s.select("candidate", "query_id", F.coalesce((F.col("n") == F.lag("n").over(w)) & (F.col("f") == F.lag("f").over(w)), F.lit(False)).alias("repeated"))
+    """Orders as a customer's audits, a fourth of them undecided."""
+    audits = table(spark, d, "orders").selectExpr("o_custkey as candidate", "o_orderkey as seq", "o_orderkey % 4 > 0 as decided", "case when o_orderkey % 3 = 0 then 'continue' else 'more_search' end as action", "case when o_orderkey % 5 > 0 then concat('claim ', o_custkey % 4) end as claim", "array(o_orderkey % 2, o_custkey % 3) as neighbours")
+    now = table(spark, d, "customer").selectExpr("c_custkey as candidate", "concat('claim ', c_custkey % 4) as claim", "array(c_custkey % 3, c_custkey % 2, c_custkey % 3) as neighbours")
+    return gates.repeats(now, audits)
 
 
 _FALL = f"with {RANKED_SQL}, s as (select candidate, family, query_id, list_distinct(list(item)) as items from ranked where rank < {{k}} group by all), p as (select x.candidate, x.family, len(list_intersect(x.items, y.items)) / len(list_distinct(list_concat(x.items, y.items))) as j, len(list_intersect(x.items, y.items)) / least(len(x.items), len(y.items)) as o from s x join s y on x.candidate = y.candidate and x.family = y.family and x.query_id < y.query_id)"
@@ -140,13 +192,12 @@ _FALLS = " union all ".join(f"({_FALL.format(k=k)} select candidate, family, {k}
 
 @query(_FALLS)
 def DEC23_24_overlap_waterfall(spark, d):
-    r, out = ranked(spark, d), None
-    for k in (5, 10, 20):
-        s = r.where(F.col("rank") < k).groupBy("candidate", "family", "query_id").agg(F.collect_set("item").alias("items"))
-        p = s.alias("x").join(s.alias("y"), ["candidate", "family"]).where("x.query_id < y.query_id").select("candidate", "family", fn.jaccard("x.items", "y.items").alias("j"), fn.overlap("x.items", "y.items").alias("o"))
-        one = p.groupBy("candidate", "family").agg(F.round(F.median("j"), 6).alias("jaccard"), F.round(F.median("o"), 6).alias("overlap")).select("candidate", "family", F.lit(k).alias("k"), "jaccard", "overlap")
-        out = one if out is None else out.unionAll(one)
-    return out
+    """Pairs of a candidate's and family's queries are joined once; the three depths are prefixes of the same lists."""
+    s = ranked(spark, d).where("rank < 20").groupBy("candidate", "family", "query_id", "item").agg(F.min("rank").alias("rank")).groupBy("candidate", "family", "query_id").agg(F.collect_list(F.struct("rank", "item")).alias("l"))
+    p = s.alias("x").join(s.alias("y"), ["candidate", "family"]).where("x.query_id < y.query_id").select("candidate", "family", F.col("x.l").alias("a"), F.col("y.l").alias("b"), F.explode(F.array(F.lit(5), F.lit(10), F.lit(20))).alias("k"))
+    upto = lambda c: F.transform(F.filter(c, lambda x: x["rank"] < F.col("k")), lambda x: x["item"])
+    p = p.select("candidate", "family", "k", upto("a").alias("a"), upto("b").alias("b")).where("size(a) > 0 and size(b) > 0").select("candidate", "family", "k", fn.jaccard("a", "b").alias("j"), fn.overlap("a", "b").alias("o"))
+    return p.groupBy("candidate", "family", "k").agg(F.round(F.median("j"), 6).alias("jaccard"), F.round(F.median("o"), 6).alias("overlap"))
 
 
 @query(f"with {RANKED_SQL}, r as (select candidate, item, row_number() over (partition by candidate order by coalesce(nullif(item % 7, 0), 0) desc, coalesce(nullif(item % 5, 0), 0) desc, item, query_id, rank) as n from ranked) select candidate, item as nearest, case when item % 2 = 0 then 'residual ' || item else 'none' end as residual from r where n = 1")
@@ -156,9 +207,12 @@ def DEC25_nearest_prior(spark, d):
     return n.select("candidate", "nearest", F.when(F.col("nearest") % 2 == 0, F.concat(F.lit("residual "), F.col("nearest").cast("string"))).otherwise("none").alias("residual"))
 
 
-@query(_VERDICT + " select candidate_id, result = 'partially_closed' and length(repeat(residual, 12)) >= 20 and candidate_id % 4 <= 2 and candidate_id % 5 > 0 as eligible from r")
+_NARROW = ["candidate_id as candidate", "result", "case when residual = '' then null else concat(' not covered: ', residual, ' ') end as remaining", "candidate_id % 5 as attempts", "case when candidate_id % 9 = 0 then concat('not covered: ', residual) else 'all' end as claimed", "case when candidate_id % 2 = 0 then 'known' end as existing", "case candidate_id % 3 when 0 then 'known' when 1 then 'a survey' end as summary"]
+
+
+@query(_VERDICT + f", g as (select {', '.join(_NARROW).replace('residual', 'repeat(residual, 4)').replace(chr(39) + chr(39) + ' then null', chr(39) + chr(39) + ' then null')} from r), k as (select candidate, case when result <> 'partially_closed' then 'NO_PARTIALLY_CLOSED_AUDIT' when length(trim(coalesce(remaining, ''))) < 20 then 'NO_CONCRETE_REMAINING_DELTA' when attempts > 2 then 'NARROW_ATTEMPTS_EXHAUSTED' when trim(claimed) = trim(coalesce(remaining, '')) then 'DELTA_UNCHANGED' end as skip, case when summary is not null and not contains(coalesce(existing, ''), summary) then ltrim(coalesce(existing, '') || chr(10) || '[narrowed after audit] ' || summary, chr(10)) else coalesce(existing, '') end as coverage from g) select candidate, skip, case when skip is null then coverage end as coverage from k")
 def DEC26_narrowing(spark, d):
-    return _verdicts(spark, d).select("candidate_id", ((F.col("result") == "partially_closed") & (F.length(F.repeat("residual", 12)) >= 20) & (F.col("candidate_id") % 4 <= 2) & (F.col("candidate_id") % 5 > 0)).alias("eligible"))
+    return gates.narrowing(_verdicts(spark, d).withColumn("residual", F.repeat("residual", 4)).selectExpr(*_NARROW))
 
 
 @query("with g as (select doc_id, case when n_chars >= 500 then 'PASS' else 'FAIL' end as evidence, case when quality is null then 'UNKNOWN' when quality = 1 then 'PASS' else 'FAIL' end as novelty, case when regexp_matches(lower(d.text), 'idiot|scum') then 'WARN' else 'PASS' end as feasible, coalesce(toxic, 0) = 0 as complete from documents d left join labels using (doc_id)) select doc_id, evidence, novelty, feasible, case when 'FAIL' in (evidence, novelty, feasible) then 'C' when evidence = 'PASS' and novelty = 'PASS' and feasible = 'PASS' and complete then 'A' else 'B' end as tier from g")
@@ -230,41 +284,61 @@ def DEC41_valid_queries(spark, d):
     return f.withColumn("k", ranking.ordinal(["source"], "id")).where("k < 10").select("source", "q", "id")
 
 
-@query("select doc_id, n_chars < 100 or (n_chars < 1000 and toxic is null) as recommend, concat_ws('; ', case when n_chars < 100 then 'search more' end, case when toxic is null then 'no limitations' end) as texts from documents left join labels using (doc_id)")
+_TASKS = "select s_suppkey as task, case s_suppkey % 3 when 0 then 'more_research_required' when 1 then 'done' end as terminal from supplier"
+_ASKED = "p_partkey % 40 + 1 as task, p_partkey as question_id, p_name as question, (p_partkey % 10) / 10.0D as importance, case when p_partkey % 3 > 0 then (p_partkey % 7) / 10.0D end as score"
+
+
+@query(f"with t as ({_TASKS}), q as (select {_ASKED.replace('.0D', '.0::double')} from part where p_size > 44), l as (select *, row_number() over (partition by task order by question_id) as n from q where importance >= 0.7 and (score is null or score < 0.3)), n as (select task, string_agg(left(question, 40), '; ' order by n) filter (n <= 3) as names from l group by 1), e as (select distinct l_suppkey as task from lineitem where l_linenumber = 7 and l_partkey % 4 = 0), g as (select o_custkey as task, count(*) as partial from orders where o_orderstatus <> 'F' group by 1), s as (select t.task, concat_ws(' | ', 'search: ' || names, case when e.task is null then 'limitations' end, 'upgrade: ' || partial, case when terminal = 'more_research_required' then 'source access' end) as steps from t left join n on n.task = t.task left join e on e.task = t.task left join g on g.task = t.task) select task, case when steps = '' then 'go on' else steps end as steps from s")
 def DEC38_recommendations(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
-    why = gates.reasons((F.col("n_chars") < 100, "search more"), (F.col("toxic").isNull(), "no limitations"))
-    return t.select("doc_id", ((F.col("n_chars") < 100) | ((F.col("n_chars") < 1000) & F.col("toxic").isNull())).alias("recommend"), F.array_join(why, "; ").alias("texts"))
+    """Suppliers as tasks, small parts of them as questions, customers' orders as candidates."""
+    tasks = table(spark, d, "supplier").selectExpr("s_suppkey as task", "case s_suppkey % 3 when 0 then 'more_research_required' when 1 then 'done' end as terminal")
+    q = table(spark, d, "part").where("p_size > 44").selectExpr(*_ASKED.split(", "))
+    e = table(spark, d, "lineitem").where("l_linenumber = 7").selectExpr("l_suppkey as task", "l_partkey % 4 = 0 as limiting")
+    g = table(spark, d, "orders").selectExpr("o_custkey as task", "case when o_orderstatus = 'F' then 'complete' else 'partial' end as provenance")
+    return gates.next_steps(q, e, g, tasks).withColumn("steps", F.array_join("steps", " | "))
 
 
 # Text ----------------------------------------------------------------------------------------
 
 
-@query("with l as (select doc_id, unnest(string_split(text, chr(10))) as l from documents), h as (select doc_id, lower(regexp_replace(l, '^#+\\s*', '')) as h from l) select doc_id, case when length(h) > 80 then 'other' when regexp_matches(h, 'abstract|摘要') then 'abstract' when regexp_matches(h, 'introduction|引言') then 'introduction' when regexp_matches(h, 'method|approach|model') then 'method' when regexp_matches(h, 'experiment|evaluation|result') then 'experiment' when regexp_matches(h, 'conclusion|discussion') then 'conclusion' else 'other' end as section, count(*) as lines from h group by all")
-def TXT01_02_sections(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id", text.classify_heading(F.col("line")).alias("section")).agg(F.count("*").alias("lines"))
+@query(f"with {_HEADED}, h as (select doc_id, trim(regexp_replace(lower(trim(line)), '^#+', '')) as h from raw) select doc_id, coalesce(case when length(h) <= 80 then {_named(text.SECTIONS, 'h', '{}')} end, 'none') as section, count(*) as lines from h group by all")
+def TXT01_sections(spark, d):
+    lines = headed(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id", F.coalesce(text.classify_heading(F.col("line")), F.lit("none")).alias("section")).agg(F.count("*").alias("lines"))
+
+
+_STRICT = _named(text.STRICT_SECTIONS, "trim(lower(line))", "^(\\d+\\.?\\s*)?({})")
+
+
+@query(f"with {_HEADED}, h as (select *, case when length(trim(line)) < 60 then {_STRICT} end as h from raw), s as (select *, coalesce(last_value(h ignore nulls) over (partition by doc_id order by i rows between unbounded preceding and current row), 'introduction') as section from h) select doc_id, section, count(*) as lines, sum(length(trim(line)))::bigint as chars from s where h is null group by all")
+def TXT02_strict_sections(spark, d):
+    return text.strict_sections(headed(spark, d), "doc_id")
 
 
-@query("with t as (select doc_id, '[FIGURE: ' || source || '] ' || text || ' [TABLE]' as t from documents) select doc_id, array_to_string(regexp_extract_all(t, '\\[(FIGURE|TABLE)[^\\]]*\\]'), '|') as marks, len(list_filter(regexp_split_to_array(regexp_replace(t, '\\[(FIGURE|TABLE)[^\\]]*\\]', '', 'g'), '\\s+'), lambda w: w <> '')) as words from t")
+@query(f"with {_HEADED}, t2 as (select doc_id, string_agg(line, chr(10) order by i) as t from raw group by 1) select doc_id, array_to_string(regexp_extract_all(t, '{text.MARKS}'), '|') as marks, len(list_filter(regexp_split_to_array(regexp_replace(t, '{text.MARKS}', '', 'g'), '\\s+'), lambda w: w <> '')) as words from t2")
 def TXT03_04_marks_words(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("[FIGURE: "), "source", F.lit("] "), "text", F.lit(" [TABLE]")).alias("t"))
-    return t.select("doc_id", F.array_join(F.regexp_extract_all("t", F.lit(r"\[(FIGURE|TABLE)[^\]]*\]"), F.lit(0)), "|").alias("marks"), text.word_count(F.col("t")).alias("words"))
+    t = headed(spark, d)
+    return t.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(text.MARKS), F.lit(0)), "|").alias("marks"), text.word_count(F.col("text")).alias("words"))
 
 
-@query("with t as (select doc_id, 'see [P' || (doc_id % 30) || '] and [P' || (doc_id % 7) || ']' as t from documents), c as (select doc_id, t, list_transform(regexp_extract_all(t, '\\[P(\\d+)\\]', 1), lambda x: x::int) as n from t) select doc_id, case when doc_id % 30 between 1 and 20 then '[P' || (doc_id % 30) || ']' else '[unsupported]' end as first_mark, len(list_distinct(list_filter(n, lambda x: x between 1 and 20))) / 20 as coverage from c")
+_CITING = "concat('see [P', doc_id % 30, '], [P', doc_id % 7, '] and [P', doc_id % 30, '] or [P99999999999]; ', source)"
+
+
+@query(f"with t as (select doc_id, {_CITING} as t from documents), c as (select doc_id, t, list_distinct(regexp_extract_all(t, '\\[P(\\d+)\\]', 1)) as n from t), g as (select *, list_filter(n, lambda x: x::bigint between 1 and 20) as good, list_filter(n, lambda x: x::bigint not between 1 and 20) as bad from c) select doc_id, list_reduce(list_prepend(t, bad), lambda a, x: replace(a, '[P' || x || ']', '[unsupported]')) as cleaned, len(good) / 20 as coverage, len(good) / 20 < 0.3 as low from g")
 def TXT06_citation_check(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("see [P"), (F.col("doc_id") % 30).cast("string"), F.lit("] and [P"), (F.col("doc_id") % 7).cast("string"), F.lit("]")).alias("t"))
-    n = F.transform(F.regexp_extract_all("t", F.lit(r"\[P(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
-    good = F.filter(n, lambda x: x.between(1, 20))
-    first = F.get(n, F.lit(0))
-    return t.select("doc_id", F.when(first.between(1, 20), F.concat(F.lit("[P"), first.cast("string"), F.lit("]"))).otherwise("[unsupported]").alias("first_mark"), (F.size(F.array_distinct(good)) / F.lit(20)).alias("coverage"))
+    t = table(spark, d, "documents").selectExpr("doc_id", f"{_CITING} as t")
+    clean, share = text.check_citations(F.col("t"), 20)
+    return t.select("doc_id", clean.alias("cleaned"), share.alias("coverage"), (share < 0.3).alias("low"))
+
 
+_NOTED = "concat(text, case doc_id % 11 when 0 then '（此部分保持不变）' when 1 then ' (the rest remains unchanged)' when 2 then '（待补充）' when 3 then '(omitted here)' when 4 then '（见图）' when 5 then '（其余内容不变）' else '' end)"
+_HOLDERS = "|".join(text.PLACEHOLDERS)
 
-@query("select doc_id, regexp_matches(text, '(?i)lorem ipsum|todo|tbd|xxx') as placeholder, len(list_filter(regexp_split_to_array(text, '[\\n;；.]'), lambda x: length(trim(x)) > 3)) as parts from documents")
+
+@query(f"with t as (select doc_id, {_NOTED} as text from documents) select doc_id, regexp_matches(text, '{_HOLDERS}') as placeholder, len(list_filter(regexp_split_to_array(text, '[\\n;；.]'), lambda x: length(trim(x)) > 3)) as parts from t")
 def TXT07_08_WIK08_components(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
-    return t.select("doc_id", F.col("t").rlike("(?i)lorem ipsum|todo|tbd|xxx").alias("placeholder"), F.size(F.filter(F.split("t", r"[\n;；.]"), lambda x: F.length(F.trim(x)) > 3)).alias("parts"))
+    t = table(spark, d, "documents").selectExpr("doc_id", f"{_NOTED} as t")
+    return t.select("doc_id", text.is_placeholder(F.col("t")).alias("placeholder"), F.size(F.filter(F.split("t", r"[\n;；.]"), lambda x: F.length(F.trim(x)) > 3)).alias("parts"))
 
 
 @query("with t as (select doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}')) as n from documents) select doc_id, array_to_string(list_sort(list_filter(n, lambda x: x not in ('This', 'That', 'With')))[1:100], ',') as names from t")
@@ -281,11 +355,13 @@ def TXT10_13_markdown_sections(spark, d):
     return l.withColumn("section", g).groupBy("doc_id", "section").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("with r as (select doc_id, unnest([case when contains(lower(text), 'survey') or n_chars % 5 = 0 then 'survey' end, case when contains(lower(text), 'benchmark') or n_chars % 7 = 0 then 'benchmark' end, case when n_chars > 5000 then 'seminal' end]) as role from documents) select doc_id, role from r where role is not null union all select doc_id, 'method' from documents d where not exists (select 1 from r where r.doc_id = d.doc_id and role is not null)")
+_PAPER = "concat('On ', case doc_id % 13 when 0 then 'a Survey of' when 1 then 'the Dataset' when 2 then 'negative results' when 3 then 'tutorial and evaluation' when 4 then 'what we Cannot do in' else '' end, ' ', source)"
+
+
+@query(f"with t as (select doc_id, lower({_PAPER}) || ' ' || lower(text) as t, n_chars % 300 as cites from documents), r as (select doc_id, unnest([case when regexp_matches(t, 'survey|review|tutorial|comprehensive') then 'survey' end, case when cites > 100 then 'seminal' end, case when regexp_matches(t, 'benchmark|dataset|evaluation') then 'benchmark' end, case when regexp_matches(t, 'negative|failure|limitation|cannot') then 'negative_result' end]) as role from t) select doc_id, role from r where role is not null union all select doc_id, 'method' from documents d where not exists (select 1 from r where r.doc_id = d.doc_id and role is not null)")
 def TXT14_role_tagging(spark, d):
-    low = F.lower("text")
-    tags = F.filter(F.array(F.when(low.contains("survey") | (F.col("n_chars") % 5 == 0), "survey"), F.when(low.contains("benchmark") | (F.col("n_chars") % 7 == 0), "benchmark"), F.when(F.col("n_chars") > 5000, "seminal")), lambda x: x.isNotNull())
-    return table(spark, d, "documents").select("doc_id", F.explode(F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("method")))).alias("role"))
+    t = table(spark, d, "documents").selectExpr("doc_id", f"{_PAPER} as title", "text", "n_chars % 300 as cites")
+    return t.select("doc_id", F.explode(text.roles(F.col("title"), F.col("text"), F.col("cites"))).alias("role"))
 
 
 @query("with t as (select p_partkey, unnest(['{topic} survey', '{topic} limitations', 'benchmark for {topic}']) as tpl, p_name from part) select p_partkey, replace(tpl, '{topic}', p_name) as q from t union all select p_partkey, concat_ws(' ', p_brand, nullif(p_type, ''), 'negative result') from part")
@@ -296,10 +372,10 @@ def TXT15_17_query_templates(spark, d):
     return a.unionAll(p.select("p_partkey", F.concat_ws(" ", "p_brand", fn.blank_to_null("p_type"), F.lit("negative result"))))
 
 
-@query("with t as (select doc_id, lower(text) as t from documents) select doc_id, array_to_string(list_filter(['tion', 'ing', 'eau', 'ung'], lambda x: not contains(t, x)), ',') as missing from t")
+@query("with t as (select doc_id, [source || ' evaluation', left(text, 200)] as v, ['Tion', ' ING ', null, '', source, 'zz' || (doc_id % 3)] as terms, case when doc_id % 4 > 0 then lang end as scope from documents), m as (select *, list_filter(list_filter(list_transform(terms, lambda x: trim(coalesce(x, ''))), lambda x: x <> ''), lambda x: not list_bool_or(list_transform(v, lambda y: contains(lower(y), lower(x))))) as miss from t) select doc_id, array_to_string(list_concat(v, list_transform(miss, lambda x: trim(x || ' ' || coalesce(scope, '')))), '|') as queries from m")
 def TXT16_term_coverage(spark, d):
-    terms, t = F.array(*[F.lit(x) for x in ("tion", "ing", "eau", "ung")]), F.lower("text")
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(terms, lambda x: ~F.contains(t, x)), ",").alias("missing"))
+    t = table(spark, d, "documents").selectExpr("doc_id", "array(concat(source, ' evaluation'), left(text, 200)) as v", "array('Tion', ' ING ', null, '', source, concat('zz', doc_id % 3)) as terms", "case when doc_id % 4 > 0 then lang end as scope")
+    return t.select("doc_id", F.array_join(text.cover_terms(F.col("terms"), F.col("v"), F.col("scope")), "|").alias("queries"))
 
 
 @query("with n as (select conv_id, turn, length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g')) as cjk, length(text) as l from conversations) select conv_id, sum(cjk + ceil((l - cjk) / 3.2::double) + 4)::bigint as tokens from n group by 1")
@@ -320,10 +396,46 @@ def HSH01_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5(F.concat("source", F.lit(":"), "text").cast("binary")).alias("cache_key"))
 
 
-@query("select l_suppkey, sha256(array_to_string(list(x order by x), '|')) as version from (select l_suppkey, concat_ws(',', l_orderkey, l_partkey, l_linenumber, l_returnflag) as x from lineitem) group by 1")
+_HASHED = ", ".join(f"sum(('0x' || substr(h, {1 + 12 * k}, 12))::hugeint)::varchar" for k in range(5))
+
+
+@query(f"with {LINKS_SQL}, e as (select question_id as q, sha256(concat_ws(chr(31), 'e', evidence_id::varchar, paper_id::varchar, evidence_type, case when fulltext then 'verified' else '' end, printf('%.3f', confidence))) as h from links), l as (select question_id as q, sha256(concat_ws(chr(31), 'l', question_id::varchar, evidence_id::varchar, relation_type, printf('%.3f', relevance))) as h from links) select q as question_id, sha256(concat_ws(',', count(*)::varchar, {_HASHED})) as version from (select * from e union all select * from l) group by 1")
 def HSH02_04_pool_fingerprint(spark, d):
-    x = F.concat_ws(",", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")])
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(x)), "|"), 256).alias("version"))
+    l = links(spark, d)
+    e = l.selectExpr("question_id", "evidence_id as id", "paper_id", "evidence_type as type", "case when fulltext then 'verified' end as status", "confidence")
+    return state.pool_fingerprint(e, l.selectExpr("question_id", "evidence_id as id", "relation_type as relation", "relevance"), "question_id")
+
+
+_TALK = "select conv_id, min(case when turn = 0 then text end) as task_input, min(case when turn = 1 then '  ' || text || ' ' end) as state_input, 'v' || (conv_id % 3) as pipeline_version from conversations group by conv_id"
+
+
+@query(f"with t as ({_TALK}), f as (select conv_id, list(coalesce(text, '') order by turn) filter (role = 'user') as a, list(coalesce(text, '') order by turn) filter (role = 'system') as r from conversations group by 1) select t.conv_id, sha256(to_json(struct_pack(clarification_answers := coalesce(a, []::varchar[]), pipeline_version := pipeline_version, research_feedbacks := coalesce(r, []::varchar[]), state_user_feedback := '', state_user_input := regexp_replace(coalesce(state_input, ''), '^\\s+|\\s+$', '', 'g'), task_user_input := regexp_replace(coalesce(task_input, ''), '^\\s+|\\s+$', '', 'g')))::varchar) as version from t join f using (conv_id)")
+def HSH03_contract_version(spark, d):
+    """A conversation's first turns as inputs, its users' turns as answers, system turns as feedback."""
+    c = table(spark, d, "conversations")
+    tasks = c.groupBy("conv_id").agg(F.min(F.expr("case when turn = 0 then text end")).alias("task_input"), F.min(F.expr("case when turn = 1 then concat('  ', text, ' ') end")).alias("state_input"), F.lit(None).cast("string").alias("state_feedback"))
+    told = c.selectExpr("conv_id", "turn as seq", "case role when 'user' then 'clarification_answer' when 'system' then 'research_feedback' end as kind", "text as content")
+    return state.contract_version(tasks.withColumn("pipeline_version", F.expr("concat('v', conv_id % 3)")), told, "conv_id")
+
+
+_TRIES = "a as (select user_id, (row_number() over (partition by user_id order by ts, event_id) - 1) // 4 as round, row_number() over (partition by user_id order by ts, event_id) as seq, event_type in ('view', 'purchase') as ok, case when event_type not in ('view', 'purchase') then 'e' || (event_id % 3) end as error from events)"
+
+
+@query(f"with {_TRIES}, b as (select *, row_number() over w as n, coalesce(bool_or(ok) over (partition by user_id, round order by seq rows between unbounded preceding and 1 preceding), false) as won from a window w as (partition by user_id, round order by seq)), k as (select *, case when ok then 1 when n = 3 then -1 else 0 end as e from b where not won and n <= 3), g as (select *, sum((lag_error is null or lag_error <> error or ok)::int) over (partition by user_id order by seq) as run, sum((e = -1)::int) over (partition by user_id order by seq) as lost from (select *, lag(error) over (partition by user_id order by seq) as lag_error from k)), s as (select *, case when not ok then row_number() over (partition by user_id, run order by seq) end as same from g), y as (select *, case when same >= 3 then 'identical_error' when lost >= 5 then 'failed_budget' end as why from s), z as (select *, min(case when why is not null then seq end) over (partition by user_id) as stop from y) select user_id, count(*) filter (e = 1) as completed, count(*) filter (e = -1) as failed, max(case when seq = stop then why end) as stopped from z where stop is null or seq <= stop group by 1")
+def ST04_rounds_with_retry(spark, d):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    good = F.col("event_type").isin("view", "purchase")
+    a = table(spark, d, "events").select("user_id", F.floor((n - 1) / 4).alias("round"), n.alias("seq"), good.alias("ok"), F.when(~good, F.expr("concat('e', event_id % 3)")).alias("error"))
+    return state.round_outcomes(a, "user_id")
+
+
+_BAG = "list_transform(list_filter(regexp_split_to_array(lower(x), '\\s+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 4))::int % 16)"
+
+
+@query(f"with t as (select doc_id, coalesce(nullif(substr(case when doc_id % 50 = 0 then '' when doc_id % 50 = 1 then null else text end, 1, 8000), ''), ' ') as x from documents), b as (select doc_id, {_BAG} as b from t) select doc_id, array_to_string(list_transform(range(0, 16), lambda j: len(list_filter(b, lambda y: y = j))), ',') as vec from b")
+def VEC02_embed(spark, d):
+    t = table(spark, d, "documents").selectExpr("doc_id", "case when doc_id % 50 = 0 then '' when doc_id % 50 = 1 then null else text end as text")
+    return vectors.embed(t, 16, vectors.hashed_bag(16)).select("doc_id", F.array_join(F.transform("vec", lambda x: x.cast("int").cast("string")), ",").alias("vec"))
 
 
 @query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as iso, json_extract(props, '$.k')::bigint as k, least(greatest(value / 100, 0), 1) as clamped from events")
@@ -440,6 +552,35 @@ def SRC01_09_adapters(spark, d):
     return both.join(t.select("id", "source"), "id").select("id", "title", "source", "adapter", "year", "citation_count")
 
 
+@query(f"with {RANKED_SQL}, r as (select *, row_number() over (partition by query_id, source order by rank) as n from ranked where source in ('A', 'N')) select query_id, item, rank, case source when 'A' then 's2' else 'arxiv' end as source from r where n <= 2 and query_id in (select o_orderkey from orders where o_orderstatus = 'F')")
+def SRC02_03_search_all(spark, d):
+    """Three sources, of which one has no key and is not read; two hits a query and source."""
+    r = ranked(spark, d).select("query_id", "item", "rank", "source")
+    all_ = {name: r.where(F.col("source") == flag).drop("source") for name, flag in (("s2", "A"), ("arxiv", "N"), ("ieee", "R"))}
+    return sources.search(table(spark, d, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey as query_id"), sources.available(all_, {}), 2)
+
+
+@query("select doc_id as id, 'On ' || source as title, 'About ' || lang as abstract, 2000 + doc_id % 25 as year, 'arXiv' as venue, '21' || lpad((doc_id % 12 + 1)::varchar, 2, '0') || '.' || lpad(doc_id::varchar, 5, '0') || 'v2' as external_id, 0 as citation_count, case when doc_id % 3 > 0 then 'http://a.org/pdf/' || doc_id else '' end as pdf_url, case when doc_id % 2 = 0 then 'http://a.org/abs/' || doc_id else 'https://arxiv.org/abs/21' || lpad((doc_id % 12 + 1)::varchar, 2, '0') || '.' || lpad(doc_id::varchar, 5, '0') || 'v2' end as url, 'A. ' || source || '|B.' as authors from documents")
+def SRC05_arxiv(spark, d):
+    key = "concat('21', lpad(cast(doc_id % 12 + 1 as string), 2, '0'), '.', lpad(cast(doc_id as string), 5, '0'), 'v2')"
+    link = "if(doc_id % 2 = 0, concat('<link href=\"http://a.org/abs/', doc_id, '\" type=\"text/html\"/>'), '<link href=\"x\" type=\"other\"/>'), if(doc_id % 3 > 0, concat('<link title=\"pdf\" href=\"http://a.org/pdf/', doc_id, '\" type=\"application/pdf\"/>'), '<link href=\"y\"/>')"
+    xml = f"concat('<entry><id>http://arxiv.org/abs/', {key}, '</id><title> On\n', source, '</title><summary>About\n', lang, ' </summary><published>', 2000 + doc_id % 25, '-05-06T00:00:00Z</published><author><name>A. ', source, '</name></author><author><name>B.</name></author>', {link}, '</entry>')"
+    return sources.arxiv(table(spark, d, "documents").selectExpr("doc_id as id", f"{xml} as payload")).withColumn("authors", F.array_join("authors", "|"))
+
+
+@query("select doc_id as id, case when doc_id % 7 = 0 then '' else 'On ' || source end as title, 'About ' || lang as abstract, case when doc_id % 5 > 0 then (2000 + doc_id % 25)::int end as year, case when doc_id % 3 = 0 then 'J' || (doc_id % 9) else '' end as venue, '10.1/' || doc_id as doi, '' as url, doc_id % 300 as citation_count, case when doc_id % 4 = 0 then 'Ann ' || source || '|Solo' else 'Solo' end as authors from documents")
+def SRC07_crossref(spark, d):
+    body = "concat('{\"DOI\": \"10.1/', doc_id, '\", \"title\": [', if(doc_id % 7 = 0, '', concat('\"On ', source, '\", \"other\"')), '], \"abstract\": \"<jats:p> About <b>', lang, '</b></jats:p>\", \"container-title\": [', if(doc_id % 3 = 0, concat('\"J', doc_id % 9, '\"'), ''), '], \"published\": {\"date-parts\": [', if(doc_id % 5 > 0, concat('[', 2000 + doc_id % 25, ', 3]'), ''), ']}, \"author\": [', if(doc_id % 4 = 0, concat('{\"given\": \"Ann\", \"family\": \"', source, '\"}, '), ''), '{\"family\": \"Solo\"}, {\"given\": \"\"}], \"is-referenced-by-count\": ', doc_id % 300, '}')"
+    return sources.crossref(table(spark, d, "documents").selectExpr("doc_id as id", f"{body} as payload")).withColumn("authors", F.array_join("authors", "|"))
+
+
+@query("select doc_id as id, 'On ' || source as title, '' as abstract, case doc_id % 3 when 0 then (2000 + doc_id % 25)::int end as year, '' as venue, case doc_id % 4 when 0 then '10.2/' || doc_id when 1 then '10.3/' || doc_id || '.doi' else '' end as doi, 'c' || doc_id as external_id, 0 as citation_count, case doc_id % 5 when 0 then 'http://c/' || doc_id when 1 then 'http://f/' || doc_id else '' end as pdf_url, case doc_id % 5 when 0 then 'http://c/' || doc_id when 1 then 'http://f/' || doc_id else 'c' || doc_id end as url from documents")
+def SRC08_core(spark, d):
+    ids = "case doc_id % 4 when 0 then concat('\"oai:1\", \"doi:10.2/', doc_id, '\"') when 1 then concat('{\"type\": \"x\", \"identifier\": \"10.3/', doc_id, '.doi\"}') when 2 then '\"oai:1\"' else '' end"
+    body = f"concat('{{\"id\": \"c', doc_id, '\", \"title\": \"On ', source, '\", \"year_published\": \"', if(doc_id % 3 = 0, cast(2000 + doc_id % 25 as string), if(doc_id % 3 = 1, 'n.d.', '0')), '\", \"identifiers\": [', {ids}, '], \"download_url\": \"', if(doc_id % 5 = 0, concat('http://c/', doc_id), ''), '\", \"source_fulltext_urls\": [', if(doc_id % 5 = 1, concat('\"http://f/', doc_id, '\"'), ''), ']}}')"
+    return sources.core(table(spark, d, "documents").selectExpr("doc_id as id", f"{body} as payload"))
+
+
 @query("select doc_id as id, text as abstract from documents")
 def SRC06_inverted_index(spark, d):
     w = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", " ")).alias("p", "w"))

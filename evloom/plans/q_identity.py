@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evloom import functions as fn
-from evloom.operators import identity, ranking
+from evloom.operators import identity, ranking, text
 from evloom.plans.base import HITS_SQL, LINKS_SQL, hits, links, query, ranked, table, RANKED_SQL
 
 NORM = "trim(regexp_replace(regexp_replace(lower(trim({0})), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -228,10 +228,7 @@ def JON07_prefix_join(spark, d):
 
 @query("select item_id, doc_id, position(b.text in d.text) - 1 as span_start from benchmark b join documents d on contains(d.text, b.text)")
 def JON08_09_span_location(spark, d):
-    """Passages are few: they are broadcast if their count is small, and each text is searched once for each."""
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("span"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(b) if b.count() <= 10_000 else b, F.col("text").contains(F.col("span"))).select("item_id", "doc_id", (F.expr("locate(span, text)") - 1).alias("span_start"))
+    return text.locate(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 @query("with s as (select doc_id, text, substr(text, 2) || case when doc_id % 2 = 0 then 'zz' else '' end as span from documents), l as (select doc_id, position(span in text) as e, position(left(span, 30) in text) as f, length(span) as n from s) select doc_id, case when e > 0 then e - 1 when f > 0 then f - 1 end as span_start, case when e > 0 or f > 0 then (case when e > 0 then e else f end) - 1 + n end as span_end, case when e > 0 then 'exact' when f > 0 then 'anchored' end as quality from l")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evloom import functions as fn
-from evloom.operators import ranking, vectors
+from evloom.operators import ranking, text, vectors
 from evloom.plans.base import LINKS_SQL, RANKED_SQL, SCORES_SQL, links, query, ranked, scores, table
 
 
@@ -210,18 +210,43 @@ def WIN14_15_budget_packing(spark, d):
     return ranking.pack(t, ["conv_id"], ["turn"], "s", 1500).select("conv_id", "turn", "took")
 
 
-@query(None)
-def WIN16_reset_accumulation(spark, d):
-    from evloom.operators.text import accumulate_chunks
+def _named(table_of: dict, head: str, form: str) -> str:
+    """SQL: the first section of a table of words whose form a heading has."""
+    return "case " + " ".join(f"when regexp_matches({head}, '{form.format('|'.join(words))}') then '{name}'" for name, words in table_of.items()) + " end"
+
+
+#: documents whose every ninth line is replaced by a heading in turn, and one line in thirteen marked, as lines.
+HEADS = ("## 3. Method", "Results", "Related work and more", "Conclusion", "4 Setup", "plain line", "1. Abstract", "  Threats to validity ")
+_TEXTS = "list_transform(string_split(text, chr(10)), lambda x, i: case when (i + doc_id) % 9 = 0 then [" + ", ".join(f"'{h}'" for h in HEADS) + "][((i // 9 + doc_id) % 8 + 1)::bigint] when (i + doc_id) % 13 = 0 then '[TABLE] ' || x || ' [/TABLE] [FIGURE: a b]' else x end)"
+_HEADED = f"t as (select doc_id, {_TEXTS} as ls from documents), raw as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as i from t)"
+
+
+def headed(spark, d):
+    heads = "array(" + ", ".join(f"'{h}'" for h in HEADS) + ")"
+    line = f"case when (i + 1 + doc_id) % 9 = 0 then element_at({heads}, cast(((i + 1) div 9 + doc_id) % 8 + 1 as int)) when (i + 1 + doc_id) % 13 = 0 then concat('[TABLE] ', x, ' [/TABLE] [FIGURE: a b]') else x end"
+    return table(spark, d, "documents").selectExpr("doc_id", f"array_join(transform(split(text, '\n'), (x, i) -> {line}), '\n') as text")
 
-    return accumulate_chunks(table(spark, d, "documents").select("doc_id", "text"), "doc_id", 250)
+
+_LOOSE = _named(text.SECTIONS, "h", "{}")
+_CHUNKS = f"""with recursive {_HEADED},
+heads as (select *, trim(regexp_replace(lower(trim(line)), '^#+', '')) as h from raw),
+lines as (select doc_id, i, len(list_filter(regexp_split_to_array(regexp_replace(line, '{text.MARKS}', '', 'g'), '\s+'), lambda w: w <> '')) as w, case when length(h) <= 80 then {_LOOSE} end as h, trim(line) <> '' as b from heads),
+st as (select doc_id, (-1)::bigint as i, 'unknown' as sec, 0::bigint as n, false as live, null::bigint as pos0, null::varchar as o_sec, null::bigint as o_n, null::bigint as o_at from t
+  union all select l.doc_id, l.i, coalesce(l.h, s.sec), case when l.h is not null or s.n + w >= 250 then 0 else s.n + w end, case when l.h is not null or s.n + w >= 250 then false else s.live or b end, case when l.h is not null or s.n + w >= 250 then null else coalesce(s.pos0, l.i) end,
+  case when l.h is not null then case when s.live then s.sec end when s.n + w >= 250 then s.sec end, case when l.h is not null then s.n else s.n + w end, case when l.h is not null then s.pos0 else coalesce(s.pos0, l.i) end from st s join lines l on l.doc_id = s.doc_id and l.i = s.i + 1),
+ends as (select doc_id, max(i) as i from st group by 1),
+done as (select doc_id, o_sec as section, o_n as n_words, o_at as first_line from st where o_sec is not null union all select st.doc_id, sec, n, pos0 from st join ends on st.doc_id = ends.doc_id and st.i = ends.i where live)
+select doc_id, row_number() over (partition by doc_id order by first_line) - 1 as chunk, section, n_words, first_line from done"""
+
+
+@query(_CHUNKS)
+def WIN16_reset_accumulation(spark, d):
+    return text.accumulate_chunks(headed(spark, d), "doc_id", 250)
 
 
 @query("select doc_id, i, substr(text, i * 4000 + 1, 4000) as part from (select doc_id, text, unnest(range(0, greatest(1, (length(text) + 3999) // 4000))) as i from documents)")
 def WIN17_fixed_slices(spark, d):
-    from evloom.operators.text import slices
-
-    return slices(table(spark, d, "documents").select("doc_id", "text"), 4000).select("doc_id", "i", "part")
+    return text.slices(table(spark, d, "documents").select("doc_id", "text"), 4000).select("doc_id", "i", "part")
 
 
 @query("select doc_id, (row_number() over (partition by source order by doc_id) - 1) // 40 as batch, '[P' || row_number() over (partition by source order by n_chars desc, doc_id) || ']' as label from documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evloom.functions import blank_to_null, strip_prefix
@@ -20,9 +20,16 @@ def semantic_scholar(raw: DataFrame) -> DataFrame:
 
 
 def arxiv(raw: DataFrame) -> DataFrame:
-    """Atom entries; the year is the first four characters of the date."""
-    x = raw.withColumn("j", F.from_xml("payload", F.lit("id string, title string, summary string, published string")))
-    return x.select("id", F.trim("j.title").alias("title"), F.trim("j.summary").alias("abstract"), F.expr("try_cast(substring(j.published, 1, 4) as int)").alias("year"), F.lit("arXiv").alias("venue"), F.regexp_extract("j.id", r"abs/([^v]+)", 1).alias("external_id"))
+    """Atom entries; the id is the last part of the address, the year the first four characters of the date, line feeds become spaces."""
+    x = raw.withColumn("j", F.from_xml("payload", F.lit("id string, title string, summary string, published string, author array<struct<name:string>>, link array<struct<_href:string,_title:string,_type:string>>")))
+    line = lambda c: F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit("\n"), F.lit(" "))
+    key = F.substring_index(F.coalesce("j.id", F.lit("")), "/", -1)
+    href = lambda test: F.get(F.transform(F.filter("j.link", test), lambda l: l["_href"]), F.lit(0))
+    page = href(lambda l: (l["_type"] == "text/html") & ~F.coalesce(l["_title"] == "pdf", F.lit(False)))
+    return x.select(
+        "id", line(F.col("j.title")).alias("title"), line(F.col("j.summary")).alias("abstract"), F.expr("try_cast(substring(j.published, 1, 4) as int)").alias("year"), F.lit("arXiv").alias("venue"), key.alias("external_id"), F.lit(0).alias("citation_count"),
+        F.coalesce(href(lambda l: l["_title"] == "pdf"), F.lit("")).alias("pdf_url"), F.coalesce(blank_to_null(page), F.concat(F.lit("https://arxiv.org/abs/"), key)).alias("url"), F.filter(F.transform("j.author", lambda a: F.trim(a["name"])), lambda a: a != "").alias("authors"),
+    )
 
 
 def openalex(raw: DataFrame) -> DataFrame:
@@ -33,14 +40,26 @@ def openalex(raw: DataFrame) -> DataFrame:
 
 
 def crossref(raw: DataFrame) -> DataFrame:
-    j = _json(raw, "DOI string, title array<string>, `container-title` array<string>, abstract string, author array<struct<given:string,family:string>>, issued struct<`date-parts`:array<array<int>>>")
-    return j.select("id", F.get("j.title", F.lit(0)).alias("title"), F.regexp_replace("j.abstract", "<[^>]+>", "").alias("abstract"), F.get(F.get("j.issued.date-parts", F.lit(0)), F.lit(0)).alias("year"), F.get("j.container-title", F.lit(0)).alias("venue"), F.col("j.DOI").alias("doi"), F.transform("j.author", lambda a: F.concat_ws(" ", a["given"], a["family"])).alias("authors"))
+    """The first title and venue; tags are taken out of the abstract; the year is the first part of the first date."""
+    j = _json(raw, "DOI string, URL string, title array<string>, `container-title` array<string>, abstract string, author array<struct<given:string,family:string>>, published struct<`date-parts`:array<array<int>>>, `is-referenced-by-count` int")
+    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
+    names = F.filter(F.transform("j.author", lambda a: F.concat_ws(" ", blank_to_null(a["given"]), blank_to_null(a["family"]))), lambda a: a != "")
+    return j.select(
+        "id", first("j.title").alias("title"), F.trim(F.regexp_replace(F.coalesce("j.abstract", F.lit("")), "<[^>]+>", "")).alias("abstract"), F.get(F.get("j.published.date-parts", F.lit(0)), F.lit(0)).alias("year"), first("j.container-title").alias("venue"),
+        F.coalesce("j.DOI", F.lit("")).alias("doi"), F.coalesce("j.URL", F.lit("")).alias("url"), F.coalesce("j.is-referenced-by-count", F.lit(0)).alias("citation_count"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"),
+    )
 
 
 def core(raw: DataFrame) -> DataFrame:
-    j = _json(raw, "id string, title string, abstract string, yearPublished string, identifiers array<string>")
-    doi = F.get(F.filter("j.identifiers", lambda x: x.rlike(r"^10\.")), F.lit(0))
-    return j.select(F.col("id").alias("id"), "j.title", "j.abstract", F.expr("try_cast(j.yearPublished as int)").alias("year"), doi.alias("doi"), F.col("j.id").alias("external_id"))
+    """The DOI is the first identifier that names one, whether a string or an object; a year that is no number is null."""
+    j = _json(raw, "id string, title string, abstract string, publisher string, year_published string, download_url string, source_fulltext_urls array<string>, identifiers array<string>")
+    told = F.transform("j.identifiers", lambda x: F.when(F.startswith(x, F.lit("{")), F.coalesce(blank_to_null(F.get_json_object(x, "$.identifier")), F.get_json_object(x, "$.id"), F.lit(""))).otherwise(x))
+    doi = F.get(F.filter(told, lambda x: F.contains(F.lower(x), F.lit("doi"))), F.lit(0))
+    pdf = F.coalesce(blank_to_null("j.download_url"), F.get("j.source_fulltext_urls", F.lit(0)), F.lit(""))
+    return j.select(
+        "id", F.coalesce("j.title", F.lit("")).alias("title"), F.coalesce("j.abstract", F.lit("")).alias("abstract"), F.expr("nullif(try_cast(j.year_published as int), 0)").alias("year"), F.coalesce("j.publisher", F.lit("")).alias("venue"),
+        F.coalesce(F.trim(F.regexp_replace(doi, "doi:|DOI:", "")), F.lit("")).alias("doi"), F.col("j.id").alias("external_id"), F.lit(0).alias("citation_count"), pdf.alias("pdf_url"), F.coalesce(blank_to_null(pdf), "j.id").alias("url"),
+    )
 
 
 def ieee(raw: DataFrame) -> DataFrame:
@@ -48,6 +67,24 @@ def ieee(raw: DataFrame) -> DataFrame:
     return j.select("id", "j.title", "j.abstract", F.col("j.publication_year").alias("year"), "j.doi", F.col("j.article_number").alias("external_id"), F.col("j.citing_paper_count").alias("citation_count"))
 
 
+#: Sources that answer only with a key.
+KEYED = ("ieee", "core")
+
+
+def available(sources: dict[str, DataFrame], keys: dict[str, str]) -> dict[str, DataFrame]:
+    """The sources that need no key or have one; the others are not even read."""
+    return {name: df for name, df in sources.items() if name not in KEYED or keys.get(name)}
+
+
+def search(queries: DataFrame, sources: dict[str, DataFrame], limit: int = 15) -> DataFrame:
+    """Hits of all queries(query_id) from all sources (each query_id, rank and hit columns), the first `limit` a query and source, with the source's name."""
+    parts = []
+    for name, hits in sources.items():
+        found = hits.join(queries.select("query_id").distinct(), "query_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+        parts.append(found.where(F.col("_n") <= limit).drop("_n").withColumn("source", F.lit(name)))
+    return fan_out(parts)
+
+
 def fan_out(parts: list[DataFrame]) -> DataFrame:
     """Hits of all sources in one table; a source that lacks a column has nulls there."""
     out = parts[0]

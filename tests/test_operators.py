@@ -70,7 +70,7 @@ def test_greedy_semantic(spark):
 def test_chunks_reset(spark):
     df = spark.createDataFrame([(1, "a b\nc d e\nf\ng"), (2, None), (3, "")], "id int, text string")
     got = [tuple(r) for r in text.accumulate_chunks(df, "id", 4).orderBy("id", "chunk").collect()]
-    assert got == [(1, 0, 5, 0), (1, 1, 2, 2)]
+    assert got == [(1, 0, "unknown", 5, 0), (1, 1, "unknown", 2, 2)]
 
 
 def test_bucket_and_queue(spark):

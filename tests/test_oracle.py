@@ -10,11 +10,11 @@ import __spark_entry__
 from evloom.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-SOME = sorted(catalog.oracle_sql())[::4]
+EVERY = sorted(catalog.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", EVERY)
 def test_same_rows(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{DATA}/*.parquet"):
