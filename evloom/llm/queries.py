@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evloom.llm import audio, bpe, brown, langid, mixing, quality, simhash, tokencount, tokenfile, urlrules
+from evloom.llm import audio, bpe, brown, convrepair, langid, mixing, piece, quality, simhash, tokencount, tokenfile, urlrules, whitening
 from evloom.llm.common import documents
 
 BPE_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_mixing(spark, sf_dir):
@@ -56,7 +57,19 @@ def op10_class_lm(spark, sf_dir):
     return brown.score_held_out(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_bpe, op4_language, op5_token_counts, op6_audio, op7_simhash, op8_url_rules, op9_token_files, op10_class_lm)}
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten_digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_pieces(spark, sf_dir):
+    return piece.piece_digest(documents(spark, sf_dir), public_tokenizers.path(PIECE_FILE))
+
+
+def op13_conversations(spark, sf_dir):
+    return convrepair.repair_digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_bpe, op4_language, op5_token_counts, op6_audio, op7_simhash, op8_url_rules, op9_token_files, op10_class_lm, op11_whitening, op12_pieces, op13_conversations)}
 
 
 def sql() -> dict[str, str]:
