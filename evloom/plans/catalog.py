@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evloom.plans import base, q_domain, q_identity, q_pages, q_ranking, q_search, q_texts  # noqa: F401
+from evloom.plans import base, q_domain, q_identity, q_judged, q_pages, q_ranking, q_reports, q_search, q_texts  # noqa: F401
 
 
 def queries() -> dict:
