@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from evloom.functions import CONTRADICTING, SUPPORTING, coverage_score, is_weak
 
 
-def matrix(links: DataFrame) -> DataFrame:
-    """A row a question: strong supporting and contradicting links and their papers, weak ones as background; score, status, confidence."""
+def tallies(links: DataFrame) -> DataFrame:
+    """A row for each question with links: strong supporting and contradicting ones and their papers, weak ones as background."""
     strong = ~is_weak("relevance")
     sup, con = strong & F.col("relation_type").isin(*SUPPORTING), strong & F.col("relation_type").isin(*CONTRADICTING)
     papers = lambda x: F.countDistinct(F.when(x, F.col("paper_id")))
-    by = links.groupBy("question_id").agg(F.count_if(sup).alias("supporting"), F.count_if(con).alias("contradicting"), F.count_if(~strong).alias("background"), papers(sup).alias("s_papers"), papers(con).alias("c_papers"))
+    return links.groupBy("question_id").agg(F.count_if(sup).alias("supporting"), F.count_if(con).alias("contradicting"), F.count_if(~strong).alias("background"), papers(sup).alias("s_papers"), papers(con).alias("c_papers"))
+
+
+def matrix(links: DataFrame, questions: DataFrame) -> DataFrame:
+    """The tallies of each of questions(question_id), zeros where there are no links, with coverage, status and confidence."""
+    by = questions.select("question_id").distinct().join(tallies(links), "question_id", "left").na.fill(0, ["supporting", "contradicting", "background", "s_papers", "c_papers"])
     n = F.col("supporting") + F.col("contradicting") + F.col("background")
-    score = coverage_score(n, "s_papers", "c_papers")
+    score = F.when(n > 0, coverage_score(n, "s_papers", "c_papers")).otherwise(0.0)
     status = F.when(score >= 0.7, "covered").when(score >= 0.3, "partially_covered").otherwise("open")
     return by.select("*", F.bround(score, 2).alias("coverage"), status.alias("status"), F.least(F.lit(1.0), 0.15 * n).alias("confidence"))
 

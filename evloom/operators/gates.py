@@ -155,10 +155,28 @@ def next_steps(questions: DataFrame, evidence: DataFrame, gaps: DataFrame, tasks
     return out.select("task", F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit("go on"))).alias("steps"))
 
 
-def readiness(has_contract: bool, active: bool, coverage: DataFrame) -> DataFrame:
-    """One row: status and reason; checks in order over coverage(importance, has_snapshot, score, evidence)."""
-    high = F.col("importance") >= 0.7
-    agg = coverage.agg(F.count("*").alias("questions"), F.coalesce(F.sum("evidence"), F.lit(0)).alias("evidence"), F.count_if(high).alias("high"), F.count_if(high & F.col("has_snapshot")).alias("high_seen"), F.count_if("has_snapshot").alias("seen"), F.count_if(F.col("score") > 0).alias("positive"))
-    out = F.when(F.lit(not has_contract), "failed: no contract").when(F.lit(not active), "failed: contract not active").when(F.col("questions") == 0, "failed: no questions").when(F.col("evidence") == 0, "failed: no evidence")
-    out = out.when((F.col("high") > 0) & (F.col("high_seen") == 0), "failed: no snapshot of an important question").when(F.col("seen") / F.greatest("questions", F.lit(1)) < 0.6, "more: snapshots").when(F.col("positive") == 0, "more: coverage").otherwise("ready: ")
-    return agg.select(F.split(out, ": ")[0].alias("status"), F.split(out, ": ")[1].alias("reason"), "questions", "seen")
+#: Importance from which a question is important, and the share of those that must have a snapshot.
+IMPORTANT, SEEN_SHARE = 0.7, 0.6
+
+
+def readiness(tasks: DataFrame, coverage: DataFrame) -> DataFrame:
+    """task, status (ready, more or failed), reason, questions, important, seen (important ones with a snapshot), covered for each of tasks(task, has_contract, active).
+
+    coverage: task, importance, has_snapshot, score, unavailable, evidence, a row a question.  Only important questions count for snapshots and coverage; one
+    whose evidence is known to be unavailable counts as covered, and where no question is important both hold.
+    """
+    high = F.coalesce("importance", F.lit(0.0)) >= IMPORTANT
+    seen = high & F.col("has_snapshot")
+    counts = coverage.groupBy("task").agg(
+        F.count("*").alias("questions"), F.coalesce(F.sum("evidence"), F.lit(0)).alias("evidence"), F.count_if(high).alias("important"), F.count_if(seen).alias("seen"), F.count_if(seen & ((F.col("score") > 0) | F.col("unavailable"))).alias("covered"),
+    )
+    t = tasks.join(counts, "task", "left").na.fill(0, ["questions", "evidence", "important", "seen", "covered"])
+    missing = F.col("important") > F.col("seen")
+    checks = [
+        (~F.coalesce("has_contract", F.lit(False)), "failed", "no contract"), (~F.coalesce("active", F.lit(False)), "failed", "contract not active"), (F.col("questions") == 0, "failed", "no questions"), (F.col("evidence") == 0, "failed", "no evidence"),
+        (missing & (F.col("seen") == 0), "failed", "no snapshot of an important question"), (missing & (F.col("seen") / F.col("important") < SEEN_SHARE), "more", "snapshots"), ((F.col("important") > 0) & (F.col("covered") == 0), "more", "coverage"),
+    ]
+    verdict = F.struct(F.lit("ready").alias("status"), F.lit("").alias("reason"))
+    for found, status, reason in reversed(checks):
+        verdict = F.when(found, F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))).otherwise(verdict)
+    return t.withColumn("v", verdict).select("task", "v.status", "v.reason", "questions", "important", "seen", "covered")

@@ -4,8 +4,8 @@ In units of (sum of degrees)² / 2, moving a node of degree k from community C t
     M (w_D - w_C) - k (S_D - S_C + k)
 with M the sum of degrees, w_X the weight between the node and X's other nodes, S_X the degrees of X.  Weights are whole numbers, so
 this is exact.  Many nodes move in one round: what its nodes and neighbours stand to gain, or every fourth time a coin, makes each community a giver or a taker, and behind earlier movers of the same giver or taker with
-degrees K a node may move only if its gain exceeds k K, which is all that those moves can take from it.  So each round gains, the end of a
-level is a local optimum, and nothing is bounded by a number of rounds.
+degrees K a node may move only if its gain exceeds k K, which is all that those moves can take from it.  So each round gains, in the end no
+community would gain by joining another, and nothing is bounded by a number of rounds.
 
 Movers of one community are ordered by a random class of geometric size, so sums for at most 64 classes a community stand in for a window over its
 nodes, and a community that all nodes want is no task of its own.
@@ -20,11 +20,13 @@ from evloom.operators.shared import cut, drop
 
 #: Weights are counted in units of this.
 UNIT = 1_000_000
+#: A level ends early, and its communities are contracted, once a round moves less than this part of its nodes; the last level, which moves none, has no such end.
+FEW = 0.1
 WIDE = "decimal(38,0)"
 
 
-def _coin(label: str, turn: int):
-    return F.xxhash64(label, F.lit(turn)).bitwiseAND(F.lit(1))
+def _coin(label: str):
+    return F.xxhash64(label, "turn").bitwiseAND(F.lit(1))
 
 
 def _behind(moves: DataFrame, by: str) -> DataFrame:
@@ -33,40 +35,43 @@ def _behind(moves: DataFrame, by: str) -> DataFrame:
     return sums.withColumn("K", F.expr(f"sum(K) over (partition by {by} order by cls desc)")).withColumnRenamed(by, f"_{by}").withColumnRenamed("cls", f"_c_{by}").withColumnRenamed("K", f"K_{by}")
 
 
-def _round(ways: DataFrame, at: DataFrame, total: int, turn: int) -> tuple[DataFrame | None, bool]:
-    """One round. ways: a, b, w both ways; at: node, label, k. The nodes' new places, or None; and whether any single move would gain."""
+def _round(ways: DataFrame, at: DataFrame, coin: bool) -> DataFrame | None:
+    """One round: the nodes' new places and whether they are fresh, or None if no single move would gain. ways: a, b, w both ways; at: node, label, k, total, turn.
+
+    Total and turn are columns, so that each round runs the same compiled code.
+    """
     sums = at.groupBy("label").agg(F.sum("k").alias("s"))
     links = ways.join(at.select(F.col("node").alias("b"), F.col("label").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
-    links = links.join(at.select(F.col("node").alias("a"), "label", "k"), "a")
+    links = links.join(at.select(F.col("node").alias("a"), "label", "k", "total", "turn"), "a")
     inside = links.where("to = label").select("a", F.col("w").alias("inside"))
     options = links.where("to != label").join(inside, "a", "left").join(sums.select(F.col("label").alias("to"), F.col("s").alias("s_to")), "to").join(sums.withColumnRenamed("s", "s_from"), "label")
     wide = lambda c: c.cast("decimal(19,0)")
-    gain = (wide(F.lit(total)) * wide(F.col("w") - F.coalesce("inside", F.lit(0)))).cast(WIDE) - (wide(F.col("k")) * wide(F.col("s_to") - F.col("s_from") + F.col("k"))).cast(WIDE)
+    gain = (wide(F.col("total")) * wide(F.col("w") - F.coalesce("inside", F.lit(0)))).cast(WIDE) - (wide(F.col("k")) * wide(F.col("s_to") - F.col("s_from") + F.col("k"))).cast(WIDE)
     options = options.withColumn("gain", gain.cast(WIDE)).where("gain > 0")
-    if turn % 4 == 3:
-        options = options.withColumn("fits", (_coin("label", turn) == 0) & (_coin("to", turn) == 1))
+    if coin:
+        options = options.withColumn("fits", (_coin("label") == 0) & (_coin("to") == 1))
     else:
         options = options.withColumn("fits", F.lit(True))
-    best = options.groupBy("a", "label", "k").agg(F.max(F.when(F.col("fits"), F.struct("gain", (-F.col("to")).alias("to")))).alias("m"))
-    best = cut(best.select("a", "label", "k", "m.gain", (-F.col("m.to")).alias("to")), "best")
+    best = options.groupBy("a", "label", "k", "turn").agg(F.max(F.when(F.col("fits"), F.struct("gain", (-F.col("to")).alias("to")))).alias("m"))
+    best = cut(best.select("a", "label", "k", "turn", "m.gain", (-F.col("m.to")).alias("to")), "best")
     if best.isEmpty():
         drop(best)
-        return None, False
+        return None
     moves = best.where("to is not null")
-    if turn % 4 != 3:
+    if not coin:
         # A community that stands to win more than to lose takes, another one gives; of those that break even some do the one, some the other.
-        ways_in = moves.select(F.col("to").alias("c"), F.col("gain").cast("double").alias("g")).unionAll(moves.select("label", -F.col("gain").cast("double"))).groupBy("c").agg(F.sum("g").alias("g"))
-        takes = ways_in.select("c", F.when(F.col("g") == 0, _coin("c", turn) == 1).otherwise(F.col("g") > 0).alias("takes"))
+        ways_in = moves.select(F.col("to").alias("c"), "turn", F.col("gain").cast("double").alias("g")).unionAll(moves.select("label", "turn", -F.col("gain").cast("double"))).groupBy("c").agg(F.sum("g").alias("g"), F.max("turn").alias("turn"))
+        takes = ways_in.select("c", F.when(F.col("g") == 0, _coin("c") == 1).otherwise(F.col("g") > 0).alias("takes"))
         moves = moves.join(takes.where("takes").select(F.col("c").alias("to")), "to").join(takes.where("not takes").select(F.col("c").alias("label")), "label")
     # The class: how many zeros a random number ends with.
-    cls = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("a", F.lit(~turn))), 64, "0"), "0*$", 0))
+    cls = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("turn", "a")), 64, "0"), "0*$", 0))
     moves = moves.withColumn("cls", cls)
     moves = moves.join(_behind(moves, "to"), (F.col("to") == F.col("_to")) & (F.col("cls") == F.col("_c_to"))).join(_behind(moves, "label"), (F.col("label") == F.col("_label")) & (F.col("cls") == F.col("_c_label")))
     before = (wide(F.col("k")) * wide(F.col("K_to") + F.col("K_label") - 2 * F.col("k"))).cast(WIDE)
     moves = moves.where(F.col("gain") > before).select(F.col("a").alias("node"), F.col("to").alias("moved"))
-    out = cut(at.join(moves, "node", "left").select("node", F.coalesce("moved", "label").alias("label"), "k"), "places")
+    out = cut(at.join(moves, "node", "left").select("node", F.coalesce("moved", "label").alias("label"), "k", "total", (F.col("turn") + 1).alias("turn"), F.col("moved").isNotNull().alias("fresh")), "places")
     drop(best)
-    return out, True
+    return out
 
 
 def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,15 +89,19 @@ def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         ways = cut(level.where("a != b").unionAll(level.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "ways")
         degrees = ways.select(F.col("a").alias("node"), F.col("w").alias("k")).unionAll(level.where("a = b").select("a", 2 * F.col("w"))).groupBy("node").agg(F.sum("k").alias("k"))
-        at = cut(degrees.select("node", F.col("node").alias("label"), "k"), "places")
-        total = at.agg(F.sum("k")).first()[0] or 0
+        total = level.agg(2 * F.sum("w")).first()[0] or 0
+        at = cut(degrees.select("node", F.col("node").alias("label"), "k", F.lit(total).cast("long").alias("total"), F.lit(0).alias("turn")), "places")
         moved, turn, before = False, 0, None
         while True:
-            new, gains = _round(ways, at, total, turn)
-            if not gains:
+            new = _round(ways, at, turn % 4 == 3)
+            if new is None:
                 break
             drop(at)
-            at, moved, turn = new, True, turn + 1
+            at, turn = new.drop("fresh"), turn + 1
+            n, fresh = new.agg(F.count("*"), F.count_if("fresh")).first()
+            moved |= fresh > 0
+            if moved and fresh < FEW * n:
+                break
         drop(ways)
         if not moved:
             break

@@ -16,9 +16,10 @@ from evloom.plans.q_ranking import _HEADED, _MULTI, _named, headed
 _COV = f"with {LINKS_SQL}, m as ({_MULTI}), n as (select *, supporting + contradicting + background as n from m), s as (select *, case when n >= 5 and s_papers >= 3 then least(1.0::double, 0.4::double + 0.1::double * s_papers + 0.05::double * c_papers) when n >= 3 and s_papers >= 1 then 0.3::double + 0.1::double * s_papers when n >= 1 then 0.15::double else 0 end as score from n)"
 
 
-@query(_COV + " select question_id, supporting, contradicting, background, s_papers, c_papers, round_even(score, 2)::double as coverage, case when score >= 0.7 then 'covered' when score >= 0.3 then 'partially_covered' else 'open' end as status, least(1.0::double, 0.15::double * n) as confidence from s")
+@query(_COV + ", q as (select s_suppkey as q from supplier union all select -1 - s_suppkey from supplier) select q as question_id, coalesce(supporting, 0) as supporting, coalesce(contradicting, 0) as contradicting, coalesce(background, 0) as background, coalesce(s_papers, 0) as s_papers, coalesce(c_papers, 0) as c_papers, round_even(coalesce(score, 0), 2)::double as coverage, case when score >= 0.7 then 'covered' when score >= 0.3 then 'partially_covered' else 'open' end as status, least(1.0::double, 0.15::double * coalesce(n, 0)) as confidence from q left join s on q = question_id")
 def DEC05_coverage(spark, d):
-    return coverage.matrix(links(spark, d))
+    """Suppliers as questions, and as many more that nothing is linked to."""
+    return coverage.matrix(links(spark, d), table(spark, d, "supplier").selectExpr("s_suppkey as question_id").unionAll(table(spark, d, "supplier").selectExpr("-1 - s_suppkey")))
 
 
 _QTYPE = "case s_suppkey % 8 when 0 then 'problem' when 1 then 'method' when 2 then 'evaluation' when 3 then 'dataset' when 4 then 'resource' when 5 then 'failure' when 6 then 'application' else 'other' end"
@@ -60,15 +61,22 @@ def DEC09_saturation(spark, d):
     return coverage.saturation(rounds, papers, evidence)
 
 
-@query("with c as (select s_suppkey, (s_suppkey % 10) / 10.0::double as importance, s_suppkey % 3 > 0 as seen, (s_suppkey % 5) / 5.0::double as score, s_suppkey % 4 as evidence from supplier), a as (select count(*) as questions, sum(evidence) as evidence, count(*) filter (importance >= 0.7) as high, count(*) filter (importance >= 0.7 and seen) as high_seen, count(*) filter (seen) as seen, count(*) filter (score > 0) as positive from c) select case when questions = 0 or evidence = 0 or (high > 0 and high_seen = 0) then 'failed' when seen / greatest(questions, 1) < 0.6 or positive = 0 then 'more' else 'ready' end as status, '' as reason, questions, seen from a")
+_ASKED_OF = ["s_nationkey as task", "case when s_suppkey % 11 <> 0 then (s_suppkey % 10) / 10.0D end as importance", "s_suppkey % 3 > 0 as has_snapshot", "(s_suppkey % 5) / 5.0D as score", "s_suppkey % 13 = 0 as unavailable", "s_suppkey % 4 as evidence"]
+
+
+@query(f"""with q as (select {', '.join(_ASKED_OF).replace('.0D', '.0::double')} from supplier), a as (select task, count(*) as questions, sum(evidence) as evidence, count(*) filter (importance >= 0.7) as important, count(*) filter (importance >= 0.7 and has_snapshot) as seen, count(*) filter (importance >= 0.7 and has_snapshot and (score > 0 or unavailable)) as covered from q group by 1),
+t as (select n_nationkey as task, n_nationkey % 9 <> 0 as has_contract, n_nationkey % 7 <> 0 as active, coalesce(questions, 0) as questions, coalesce(evidence, 0) as evidence, coalesce(important, 0) as important, coalesce(seen, 0) as seen, coalesce(covered, 0) as covered from nation left join a on n_nationkey = task)
+select task, case when not has_contract or not active or questions = 0 or evidence = 0 or (important > 0 and seen = 0) then 'failed' when seen < important and seen / important < 0.6 or important > 0 and covered = 0 then 'more' else 'ready' end as status,
+  case when not has_contract then 'no contract' when not active then 'contract not active' when questions = 0 then 'no questions' when evidence = 0 then 'no evidence' when important > 0 and seen = 0 then 'no snapshot of an important question' when seen < important and seen / important < 0.6 then 'snapshots' when important > 0 and covered = 0 then 'coverage' else '' end as reason, questions, important, seen, covered from t""")
 def DEC10_readiness(spark, d):
-    c = table(spark, d, "supplier").selectExpr("(s_suppkey % 10) / 10.0D as importance", "s_suppkey % 3 > 0 as has_snapshot", "(s_suppkey % 5) / 5.0D as score", "s_suppkey % 4 as evidence")
-    return gates.readiness(True, True, c)
+    """Nations as tasks, their suppliers as questions."""
+    tasks = table(spark, d, "nation").selectExpr("n_nationkey as task", "n_nationkey % 9 <> 0 as has_contract", "n_nationkey % 7 <> 0 as active")
+    return gates.readiness(tasks, table(spark, d, "supplier").selectExpr(*_ASKED_OF))
 
 
 _CHECKED = "case when l_tax < 0.02 then 'failed' when l_tax < 0.04 then 'abstract_only' when l_tax < 0.06 then 'upgraded' else 'verified' end"
 _QSTATE = "case s_suppkey % 7 when 0 then 'superseded' when 1 then 'covered' when 2 then 'partially_covered' else 'open' end"
-_ADM = f"""with x as (select l_suppkey as q, l_partkey as paper_id, {LINKS[3].replace(' as relation_type', '')} as rel, round(abs(l_discount) * 10, 1) >= 0.5 as strong, {LINKS[6].replace(' as evidence_type', '')} as e, {_CHECKED} as v, l_linestatus = 'F' and l_tax >= 0.05 as loc from lineitem where l_linenumber > 5),
+_ADM = f"""with x as (select l_suppkey as q, l_partkey as paper_id, {LINKS[3].replace(' as relation_type', '')} as rel, round(abs(l_discount) * 10, 1) >= 0.5 as strong, {LINKS[6].replace(' as evidence_type', '')} as e, {_CHECKED} as v, l_linestatus = 'F' and l_tax >= 0.05 as loc from lineitem),
 f as (select *, strong and rel in ('supports', 'partially_answers') and v in ('verified', 'upgraded', 'abstract_only') as sup, strong and rel = 'contradicts' and v in ('verified', 'upgraded') as con, e in ('limitation', 'negative_result') as lim from x),
 b as (select q, count(*) as links, count(distinct case when sup then paper_id end) as papers, count(*) filter (sup and loc) as spans, count(*) filter (sup and lim) as limits, count(*) filter (sup and lim and loc) as ll, count(*) filter (con) as contra from f group by 1),
 j as (select s_suppkey as question_id, {_QSTATE} as state, coalesce(links, 0) as links, coalesce(papers, 0) as papers, coalesce(spans, 0) as spans, coalesce(limits, 0) as limits, coalesce(ll, 0) as ll, coalesce(contra, 0) as contra from supplier left join b on q = s_suppkey),
@@ -78,7 +86,7 @@ adm as (select question_id, case when state = 'superseded' then 'FAIL' when reas
 
 def _admitted(spark, d):
     """Suppliers as questions, line items after the fifth as their evidence."""
-    l = table(spark, d, "lineitem").where("l_linenumber > 5").selectExpr(*LINKS[:2], *LINKS[3:5], LINKS[6], f"{_CHECKED} as verification", "l_linestatus = 'F' and l_tax >= 0.05 as locatable")
+    l = table(spark, d, "lineitem").selectExpr(*LINKS[:2], *LINKS[3:5], LINKS[6], f"{_CHECKED} as verification", "l_linestatus = 'F' and l_tax >= 0.05 as locatable")
     return gates.mining_admission(table(spark, d, "supplier").selectExpr("s_suppkey as question_id", f"{_QSTATE} as status"), l)
 
 
@@ -288,12 +296,12 @@ _TASKS = "select s_suppkey as task, case s_suppkey % 3 when 0 then 'more_researc
 _ASKED = "p_partkey % 40 + 1 as task, p_partkey as question_id, p_name as question, (p_partkey % 10) / 10.0D as importance, case when p_partkey % 3 > 0 then (p_partkey % 7) / 10.0D end as score"
 
 
-@query(f"with t as ({_TASKS}), q as (select {_ASKED.replace('.0D', '.0::double')} from part where p_size > 44), l as (select *, row_number() over (partition by task order by question_id) as n from q where importance >= 0.7 and (score is null or score < 0.3)), n as (select task, string_agg(left(question, 40), '; ' order by n) filter (n <= 3) as names from l group by 1), e as (select distinct l_suppkey as task from lineitem where l_linenumber = 7 and l_partkey % 4 = 0), g as (select o_custkey as task, count(*) as partial from orders where o_orderstatus <> 'F' group by 1), s as (select t.task, concat_ws(' | ', 'search: ' || names, case when e.task is null then 'limitations' end, 'upgrade: ' || partial, case when terminal = 'more_research_required' then 'source access' end) as steps from t left join n on n.task = t.task left join e on e.task = t.task left join g on g.task = t.task) select task, case when steps = '' then 'go on' else steps end as steps from s")
+@query(f"with t as ({_TASKS}), q as (select {_ASKED.replace('.0D', '.0::double')} from part), l as (select *, row_number() over (partition by task order by question_id) as n from q where importance >= 0.7 and (score is null or score < 0.3)), n as (select task, string_agg(left(question, 40), '; ' order by n) filter (n <= 3) as names from l group by 1), e as (select distinct l_suppkey as task from lineitem where l_partkey % 4 = 0), g as (select o_custkey as task, count(*) as partial from orders where o_orderstatus <> 'F' group by 1), s as (select t.task, concat_ws(' | ', 'search: ' || names, case when e.task is null then 'limitations' end, 'upgrade: ' || partial, case when terminal = 'more_research_required' then 'source access' end) as steps from t left join n on n.task = t.task left join e on e.task = t.task left join g on g.task = t.task) select task, case when steps = '' then 'go on' else steps end as steps from s")
 def DEC38_recommendations(spark, d):
-    """Suppliers as tasks, small parts of them as questions, customers' orders as candidates."""
+    """Suppliers as tasks, parts as questions, customers' orders as candidates."""
     tasks = table(spark, d, "supplier").selectExpr("s_suppkey as task", "case s_suppkey % 3 when 0 then 'more_research_required' when 1 then 'done' end as terminal")
-    q = table(spark, d, "part").where("p_size > 44").selectExpr(*_ASKED.split(", "))
-    e = table(spark, d, "lineitem").where("l_linenumber = 7").selectExpr("l_suppkey as task", "l_partkey % 4 = 0 as limiting")
+    q = table(spark, d, "part").selectExpr(*_ASKED.split(", "))
+    e = table(spark, d, "lineitem").selectExpr("l_suppkey as task", "l_partkey % 4 = 0 as limiting")
     g = table(spark, d, "orders").selectExpr("o_custkey as task", "case when o_orderstatus = 'F' then 'complete' else 'partial' end as provenance")
     return gates.next_steps(q, e, g, tasks).withColumn("steps", F.array_join("steps", " | "))
 

@@ -30,9 +30,9 @@ _MULTI = "select question_id, count(*) filter (relevance >= 0.5 and relation_typ
 
 @query(f"with {LINKS_SQL} {_MULTI}")
 def AGG04_conditional(spark, d):
-    from evloom.operators.coverage import matrix
+    from evloom.operators.coverage import tallies
 
-    return matrix(links(spark, d)).select("question_id", "supporting", "contradicting", "background", "s_papers", "c_papers")
+    return tallies(links(spark, d)).select("question_id", "supporting", "contradicting", "background", "s_papers", "c_papers")
 
 
 @query(f"with {RANKED_SQL} select candidate, item, count(*) as hits, count(distinct family) as families, count(distinct source) as sources, min(rank) as best_rank from ranked group by all")
@@ -230,7 +230,7 @@ def headed(spark, d):
 _LOOSE = _named(text.SECTIONS, "h", "{}")
 _CHUNKS = f"""with recursive {_HEADED},
 heads as (select *, trim(regexp_replace(lower(trim(line)), '^#+', '')) as h from raw),
-lines as (select doc_id, i, len(list_filter(regexp_split_to_array(regexp_replace(line, '{text.MARKS}', '', 'g'), '\s+'), lambda w: w <> '')) as w, case when length(h) <= 80 then {_LOOSE} end as h, trim(line) <> '' as b from heads),
+lines as (select doc_id, i, len(list_filter(regexp_split_to_array(regexp_replace(line, '{text.MARKS}', '', 'g'), '\\s+'), lambda w: w <> '')) as w, case when length(h) <= 80 then {_LOOSE} end as h, trim(line) <> '' as b from heads),
 st as (select doc_id, (-1)::bigint as i, 'unknown' as sec, 0::bigint as n, false as live, null::bigint as pos0, null::varchar as o_sec, null::bigint as o_n, null::bigint as o_at from t
   union all select l.doc_id, l.i, coalesce(l.h, s.sec), case when l.h is not null or s.n + w >= 250 then 0 else s.n + w end, case when l.h is not null or s.n + w >= 250 then false else s.live or b end, case when l.h is not null or s.n + w >= 250 then null else coalesce(s.pos0, l.i) end,
   case when l.h is not null then case when s.live then s.sec end when s.n + w >= 250 then s.sec end, case when l.h is not null then s.n else s.n + w end, case when l.h is not null then s.pos0 else coalesce(s.pos0, l.i) end from st s join lines l on l.doc_id = s.doc_id and l.i = s.i + 1),

@@ -25,7 +25,8 @@ def test_coverage_breadth(spark):
     one = [(1, 1, "supports", 0.9)] * 12
     eight = [(2, p, "supports", 0.9) for p in range(8)]
     weak = [(3, 1, "partially_answers", 0.2)] * 6
-    got = {r["question_id"]: r for r in coverage.matrix(spark.createDataFrame(one + eight + weak + [(4, 1, "supports", None)], kind)).collect()}
+    got = {r["question_id"]: r for r in coverage.matrix(spark.createDataFrame(one + eight + weak + [(4, 1, "supports", None)], kind), spark.createDataFrame([(k,) for k in range(1, 6)], "question_id int")).collect()}
+    assert (got[5]["coverage"], got[5]["status"], got[5]["confidence"], got[5]["supporting"]) == (0, "open", 0, 0)
     assert got[1]["coverage"] < 0.7 and got[2]["coverage"] == 1.0 and got[2]["status"] == "covered"
     assert got[3]["supporting"] == 0 and got[3]["background"] == 6 and got[4]["background"] == 1
 
