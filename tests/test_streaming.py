@@ -39,3 +39,46 @@ def test_rounds_restart(spark, tmp_path):
         stream = _stream(spark, rows, "x long", tmp_path / "in", 2)
         streaming.process_rounds(stream, lambda df, n: seen.append((n, df.count())), str(tmp_path / "ck")).awaitTermination(120)
     assert [n for n, _ in seen] == list(range(len(seen))) and sum(c for _, c in seen) == 8
+
+
+def test_event_feed_timers_and_restart(spark, tmp_path):
+    """Silence gives keep-alives; a restart goes on with the queue it left; a terminal event clears its key after a while and no other."""
+    import time
+
+    schema = "key string, seq long, event string, data string, status string"
+    got = []
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streaming.ROCKSDB)
+
+    def start():
+        events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = streaming.event_feed(events, silence=1500, linger=4000, most=3)
+        return out.writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="500 milliseconds").start()
+
+    def put(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def wait(q, ready):
+        until = time.time() + 60
+        while not ready():
+            assert q.isActive and time.time() < until, (q.exception(), got)
+            time.sleep(0.2)
+
+    lines = lambda key: [r.line for r in got if r.key == key]
+    try:
+        put(*(("a", k, "step", f"{{{k}}}", None) for k in range(5)), ("b", 0, "step", "x", None))
+        q = start()
+        wait(q, lambda: ": keepalive\n\n" in lines("a") and ": keepalive\n\n" in lines("b"))
+        q.stop()
+        assert lines("a")[:5] == [f"event: step\ndata: {{{k}}}\n\n" for k in range(5)] and {r.held for r in got if r.key == "a"} == {3}
+        mark = len(got)
+        put(("a", 5, "status", "over", "done"), ("b", 1, "status", "on", "running"))
+        q = start()
+        wait(q, lambda: "" in lines("a"))
+        q.stop()
+        after = got[mark:]
+        assert [r.held for r in after if r.key == "b" and r.seq == 1] == [2] and [r.held for r in after if r.key == "a" and r.seq == 5] == [3]
+        ends = [r for r in after if r.key == "a"][-1]
+        assert (ends.line, ends.held) == ("", 0) and "" not in lines("b")
+        assert ends.at - next(r.at for r in after if r.seq == 5) >= 4000
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
