@@ -88,17 +88,3 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     firsts = materialise(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "firsts")
     of = materialise(labelled.join(firsts, "label").select("fp", "component_id"), "of")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the row whose doc_id is least stays.
-
-    Of rows that share that doc_id one stays; rows without an id stay where their whole component has none.
-    """
-    found = materialise(near_duplicates(docs, width).select("doc_id", "component_id"), "found")
-    keep = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "keep")
-    kept = docs.join(keep, "doc_id")
-    bare = found.where("doc_id is null and component_id is null").limit(1).count()
-    out = kept.where("_rows = 1").drop("_rows").unionByName(kept.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id"]))
-    out = out.select(*docs.columns)
-    return out.unionByName(docs.where("doc_id is null")) if bare else out

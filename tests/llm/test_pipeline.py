@@ -74,3 +74,45 @@ def test_rules_and_mix_judge_rows_by_themselves(spark):
     # One source whose target is its size: each row once, whatever its id.
     mixed = corpus_pipeline.mix(spark, df, "")
     assert mixed.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in mixed.collect()) == Counter(rows)
+
+
+def test_near_dedup_keeps_rows_that_differ_in_nulls(spark):
+    """Hashes skip nulls: rows with the same values in other columns, and rows that differ in any other column, are rows of their own."""
+    long = " ".join(f"v{k}" for k in range(40))
+    rows = [(1, long, None, "a", 1), (1, None, long, "a", 1), (2, "", None, "a", None), (2, None, "", "a", None), (3, None, None, None, 3)]
+    kept = nearcopy.keep_one(spark.createDataFrame(rows, KIND)).collect()
+    # A text of its own each, but for those without shingles, which are alike.
+    assert (1, long, None, "a", 1) in [tuple(r) for r in kept] and len(kept) == 2
+    assert nearcopy._mark(spark.createDataFrame(rows, KIND)).select("h1", "h2").distinct().count() == len(rows)
+
+
+def test_run_over_the_smallest_tables(spark):
+    """Every row that run() gives is one of documents, encoded as the library does, and each stage leaves what the next one needs."""
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = False
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert 0 < len({r.doc_id for r in got}) < len(text)
+    for r in got:
+        ids = lib.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_quality"])
+def test_sql_of_native_operators(spark, name):
+    import duckdb
+
+    from evloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    mine = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    cols = sorted(mine.columns)
+    theirs = con.sql(f"select {', '.join(cols)} from ({queries.sql()[name]}) q").fetchall()
+    plain = lambda rows: sorted(tuple(repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else repr(v) for v in r) for r in rows)
+    assert plain(map(tuple, mine.select(*cols).collect())) == plain(theirs)
