@@ -125,3 +125,26 @@ def index_page(pages: DataFrame) -> DataFrame:
     tops = listed.select("task", "section").distinct().select("task", "section", F.lit("0").alias("place"), F.format_string("\n## %s\n", F.element_at(F.array(*map(F.lit, INDEX_TYPES.values())), F.col("section") + 1)).alias("line"))
     title = p.select("task").distinct().select("task", F.lit(-1).alias("section"), F.lit("0").alias("place"), F.lit("# Wiki Index\n").alias("line"))
     return assemble(title.unionByName(tops).unionByName(listed), "task", "index")
+
+
+#: The head of a reference list, and the lines of an evidence block.
+REFERENCES, NO_DOI = "## 参考文献\n", "N/A"
+BLOCK = (("- Evidence ID: ", "evidence_id", ""), ("  Paper ID: ", "paper_id", ""), ("  Type: ", "type", ""), ("  Claim: ", "claim", ""), ("  Section: ", "section", "(unknown)"), ("  Conditions: ", "conditions", "(none)"), ("  Verification: ", "status", "unverified"))
+
+
+def references(papers: DataFrame) -> DataFrame:
+    """task, list: papers (task, place, title, year, doi) numbered from 1 in order of place."""
+    numbered = papers.withColumn("n", F.expr("row_number() over (partition by task order by place)"))
+    text = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
+    line = F.concat(F.lit("[P"), F.col("n").cast("string"), F.lit("] "), text("title", "None"), F.lit(" ("), text("year", "None"), F.lit("). DOI: "), F.coalesce(F.nullif(text("doi", ""), F.lit("")), F.lit(NO_DOI)))
+    head = papers.select("task").distinct().select("task", F.lit(0).alias("section"), F.lit(0).alias("place"), F.lit(REFERENCES).alias("line"))
+    return assemble(head.unionByName(numbered.select("task", F.lit(1).alias("section"), F.col("n").alias("place"), line.alias("line"))), "task", "list")
+
+
+def evidence_block(evidence: DataFrame, links: DataFrame) -> DataFrame:
+    """task, block: what a judge is shown of evidence (task, place, evidence_id, paper_id, type, claim, section, conditions as JSON, status), with the questions that links (evidence_id, question_id) name, in order."""
+    asked = links.where("question_id is not null").select("evidence_id", F.col("question_id").cast("string").alias("q")).distinct().groupBy("evidence_id").agg(F.array_join(F.array_sort(F.collect_list("q")), ", ").alias("questions"))
+    value = lambda c, other: F.coalesce(F.nullif(F.nullif(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("")), F.lit("{}")), F.lit(other)) if other else F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    parts = [F.concat(F.lit(head), value(c, other)) for head, c, other in BLOCK]
+    entry = F.concat_ws("\n", *parts, F.concat(F.lit("  Linked questions: "), "questions"))
+    return assemble(evidence.join(asked, "evidence_id", "left").select("task", F.lit(0).alias("section"), "place", entry.alias("line")), "task", "block")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evloom.operators import briefs
+from evloom.operators import briefs, ideas
 from evloom.plans.base import RANK_ORDER, query, table
 
 #: A line's place in its order, unlike its number unique.
@@ -83,3 +83,49 @@ select task, string_agg(line, chr(10) order by s, o) as index from l group by 1"
 def WIK03_index_page(spark, d):
     p = table(spark, d, "documents").selectExpr("source as task", f"{_KIND} as type", f"{_INDEX_TITLE} as title", "case when doc_id % 4 > 0 then sequence(1, cast(doc_id % 4 as int)) end as papers")
     return briefs.index_page(p)
+
+
+@query("select p_brand as task, '## 参考文献' || chr(10) || chr(10) || string_agg('[P' || n || '] ' || p_name || ' (' || coalesce(year::varchar, 'None') || '). DOI: ' || coalesce(doi, 'N/A'), chr(10) order by n) as list from (select *, row_number() over (partition by p_brand order by p_partkey) as n, case when p_size % 4 > 0 then 1990 + p_size end as year, case when p_partkey % 3 > 0 then '10.1/' || p_partkey end as doi from part) group by 1")
+def RPT05_reference_list(spark, d):
+    """Parts of a brand as the papers of a report."""
+    return briefs.references(table(spark, d, "part").selectExpr("p_brand as task", "p_partkey as place", "p_name as title", "case when p_size % 4 > 0 then 1990 + p_size end as year", "case when p_partkey % 3 > 0 then concat('10.1/', p_partkey) else '' end as doi"))
+
+
+_SHOWN = ["l_orderkey as task", f"{_PLACE} as place", f"l_orderkey * 100 + {_PLACE} as evidence_id", "l_partkey as paper_id", "l_returnflag as type", "case when l_partkey % 9 > 0 then concat('claim ', l_suppkey) end as claim", "case l_linenumber % 3 when 0 then 'method' when 1 then '' end as section", "case l_suppkey % 3 when 0 then '{}' when 1 then '{\"k\": 1}' end as conditions", "case when l_linestatus = 'F' then 'verified' end as status"]
+_ASKS = [f"l_orderkey * 100 + {_PLACE} as evidence_id", "case when l_suppkey % 4 > 0 then l_suppkey end as question_id"]
+
+
+@query(f"""with e as (select {', '.join(_SHOWN)} from lineitem), q as (select {', '.join(_ASKS)} from lineitem union all select evidence_id, paper_id from e where paper_id % 5 = 0), a as (select evidence_id, string_agg(question_id::varchar, ', ' order by question_id::varchar) as questions from (select distinct * from q where question_id is not null) group by 1)
+select task, string_agg('- Evidence ID: ' || e.evidence_id || chr(10) || '  Paper ID: ' || paper_id || chr(10) || '  Type: ' || type || chr(10) || '  Claim: ' || coalesce(claim, 'None') || chr(10) || '  Section: ' || coalesce(nullif(section, ''), '(unknown)') || chr(10) || '  Conditions: ' || coalesce(nullif(conditions, '{{}}'), '(none)') || chr(10) || '  Verification: ' || coalesce(status, 'unverified') || coalesce(chr(10) || '  Linked questions: ' || questions, ''), chr(10) order by place) as block from e left join a on a.evidence_id = e.evidence_id group by 1""")
+def RPT06_evidence_block(spark, d):
+    """Orders as tasks, their lines as evidence."""
+    lines = table(spark, d, "lineitem")
+    shown = lines.selectExpr(*_SHOWN)
+    return briefs.evidence_block(shown, lines.selectExpr(*_ASKS).unionAll(shown.where("paper_id % 5 = 0").select("evidence_id", "paper_id")))
+
+
+_DIMS = ["novelty", "feasibility", "significance", "evidence", "differentiation", "experiment", "impact", "risk"]
+_IDEA = ["p_partkey", *(f"(p_partkey % {m}) / {m - 1}.0D as {n}" for n, m in zip(_DIMS, (11, 13, 17, 19, 23, 29, 31, 37), strict=True)), "case p_size % 3 when 0 then true when 1 then false end as novel", "p_size % 5 as metrics", "case when p_size % 7 > 3 then p_size % 4 end as fabricated", "p_partkey % 4 as enriched"]
+
+
+@query(f"""with i as (select {', '.join(_IDEA).replace('.0D', '.0::double')} from part), s as (select *, round(least(0.15::double, 0.05::double * metrics) + least(0.2::double, 0.08::double * coalesce(fabricated, 0)) + least(0.2::double, 0.1::double * enriched), 9) as penalty,
+  round(0.2::double * (greatest(0, novelty - case when novel is null then 0.05::double when novel then 0 else 0.1::double end) + feasibility + significance + evidence) + 0.1::double * differentiation + 0.05::double * experiment + 0.05::double * impact - 0.08::double * risk, 9) as base from i),
+f as (select p_partkey, penalty, case when penalty > 0 then greatest(0, round(base - penalty, 9)) else base end as score from s) select *, case when score >= 0.7 then 'go' when score >= 0.5 then 'revise' else 'reject' end as decision from f""")
+def DEC29_30_scored_ideas(spark, d):
+    return ideas.score_ideas(table(spark, d, "part").selectExpr(*_IDEA)).select("p_partkey", "penalty", "score", "decision")
+
+
+_ASKED_Q = "select conv_id as task, 1 + turn // 4 as attempt, turn as place, ' Q  ' || (doc % 5) || ' of ' || conv_id as text, (conv_id + turn) % 4 as question_id from (select *, turn * 7 + conv_id as doc from conversations)"
+
+
+@query(f"""with g as ({_ASKED_Q}), q as (select distinct conv_id as task, conv_id % 4 as question_id from conversations union select conv_id, 1 from conversations), v as (select * from g join q using (task, question_id)),
+o as (select task, arg_min(struct_pack(attempt, place, text, question_id), (attempt, place)) as s from v group by task, lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), u as (select task, s.attempt as attempt, s.place as place, s.text as text, s.question_id as question_id from o),
+f as (select task, count(*) filter (attempt = 1) as first from u group by 1), k as (select u.*, row_number() over (partition by task order by attempt, place) as n from u join f using (task) where attempt = 1 or first < 2), t as (select distinct task from g)
+select t.task, case when count(n) >= 2 then 'sent' else 'failed' end as status, case when count(n) >= 2 then string_agg(k.text || '>' || question_id, '|' order by n) filter (n <= 2) end as queries from t left join k on k.task = t.task group by 1""")
+def DEC41_sent_queries(spark, d):
+    """Turns as generated queries, those from the fourth on as a second attempt; two a round."""
+    c = table(spark, d, "conversations")
+    generated = c.selectExpr("conv_id as task", "1 + turn div 4 as attempt", "turn as place", "concat(' Q  ', (turn * 7 + conv_id) % 5, ' of ', conv_id) as text", "(conv_id + turn) % 4 as question_id")
+    questions = c.selectExpr("conv_id as task", "conv_id % 4 as question_id").unionAll(c.selectExpr("conv_id", "1L"))
+    out = ideas.valid_queries(generated, questions, 2)
+    return out.select("task", "status", F.array_join(F.transform("queries", lambda x: F.concat(x["text"], F.lit(">"), x["question_id"].cast("string"))), "|").alias("queries"))
