@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evloom.operators import briefs, ideas
+from evloom.operators import briefs, ideas, interventions
 from evloom.plans.base import RANK_ORDER, query, table
 
 #: A line's place in its order, unlike its number unique.
@@ -129,3 +129,27 @@ def DEC41_sent_queries(spark, d):
     questions = c.selectExpr("conv_id as task", "conv_id % 4 as question_id").unionAll(c.selectExpr("conv_id", "1L"))
     out = ideas.valid_queries(generated, questions, 2)
     return out.select("task", "status", F.array_join(F.transform("queries", lambda x: F.concat(x["text"], F.lit(">"), x["question_id"].cast("string"))), "|").alias("queries"))
+
+
+#: Documents as interventions of gaps (orders), customers' nations as contracts. The expressions are both Spark's and DuckDB's.
+_PLANNED = ["doc_id as intervention_id", "1 + doc_id % 300 as gap_id", "concat(text, case doc_id % 7 when 0 then ' we Train a model' when 1 then ' a benchmark' when 2 then ' a Micro-Benchmark, large-scale' when 3 then ' on a GPU' when 4 then ' 训练' else '' end) as core", "case doc_id % 5 when 0 then 'large dataset benchmark' when 1 then 'fine-tune it' end as cost"]
+_GAPS_OF = ["o_orderkey as gap_id", "o_custkey % 27 as contract_id", "o_orderkey % 3 <> 1 as complete"]
+_AUDITED = ["l_orderkey as gap_id", f"{_PLACE} as created", "case l_partkey % 4 when 0 then 'closed' when 1 then 'partially_closed' else 'confirmed' end as result", "case when l_suppkey % 5 > 0 then 'left' end as remaining"]
+_FLAGS = ["n_nationkey as contract_id", "case n_nationkey % 3 when 0 then false when 1 then true end as allow_training", "n_nationkey % 2 = 0 as allow_large_benchmark", "case n_nationkey % 4 when 0 then false when 1 then true end as gpu_available"]
+
+
+def _says(text: str, words) -> str:
+    return "(" + " or ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+@query(f"""with i as (select intervention_id, gap_id, lower(core) as core, lower(core) || ' ' || lower(coalesce(cost, '')) as texts from (select {', '.join(_PLANNED)} from documents)), g as (select {', '.join(_GAPS_OF)} from orders), a as (select {', '.join(_AUDITED)} from lineitem), k as (select {', '.join(_FLAGS)} from nation),
+n as (select l_orderkey as gap_id, count(distinct l_partkey % 3) as n from lineitem group by 1), l as (select gap_id, arg_max(struct_pack(result, remaining), created) as r from a group by 1),
+j as (select intervention_id, complete, case when n >= 2 then 'PASS' else 'FAIL' end as evidence, case when r.result = 'confirmed' and r.remaining is not null then 'PASS' when r.result = 'closed' then 'FAIL' else 'UNKNOWN' end as novelty,
+  case when allow_training = false and {_says('texts', interventions.TRAINING)} then case when {_says('core', interventions.TRAINING)} and gpu_available = false then 'FAIL' else 'WARN' end
+    when allow_large_benchmark = false and {_says('texts', interventions.BENCHMARK)} then case when {_says('texts', interventions.SMALL)} then 'PASS' when {_says('texts', interventions.LARGE)} then 'FAIL' else 'WARN' end
+    when gpu_available = false and {_says('core', interventions.GPU)} then 'WARN' else 'PASS' end as feasible
+  from i join g using (gap_id) left join n using (gap_id) left join l using (gap_id) left join k using (contract_id))
+select intervention_id, evidence, novelty, feasible, case when 'FAIL' in (evidence, novelty, feasible) then 'C' when evidence = 'PASS' and novelty = 'PASS' and feasible = 'PASS' and complete then 'A' else 'B' end as tier from j""")
+def DEC27_28_hard_gates(spark, d):
+    lines = table(spark, d, "lineitem")
+    return interventions.hard_gates(table(spark, d, "documents").selectExpr(*_PLANNED), table(spark, d, "orders").selectExpr(*_GAPS_OF), lines.selectExpr("l_orderkey as gap_id", "l_partkey % 3 as evidence_id"), lines.selectExpr(*_AUDITED), table(spark, d, "nation").selectExpr(*_FLAGS))

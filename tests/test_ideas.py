@@ -35,3 +35,22 @@ def test_references_and_block(spark):
         '- Evidence ID: e1\n  Paper ID: p\n  Type: limit\n  Claim: fails\n  Section: intro\n  Conditions: {"a": 1}\n  Verification: verified\n'
         "- Evidence ID: e2\n  Paper ID: p\n  Type: result\n  Claim: says\n  Section: (unknown)\n  Conditions: (none)\n  Verification: unverified\n  Linked questions: q1, q2"
     )
+
+
+def test_hard_gates(spark):
+    from evloom.operators import interventions as gates
+
+    flags = {"free": (True, True, True), "unsaid": (None, None, None), "no_training": (False, True, True), "bare": (False, True, False), "no_large": (True, False, True), "no_gpu": (True, True, False)}
+    cases = [
+        ("free", "we train a model on a large benchmark", None, "PASS"), ("unsaid", "training", None, "PASS"), ("no_training", "Fine-Tune it", None, "WARN"), ("bare", "we train it", None, "FAIL"), ("bare", "ask", "then training", "WARN"), ("bare", "train", None, "WARN"),
+        ("no_large", "a benchmark", "large-scale", "FAIL"), ("no_large", "a large benchmark, micro-benchmark first", None, "PASS"), ("no_large", "a Benchmark", None, "WARN"), ("no_large", "large-scale", None, "PASS"), ("no_gpu", "on a GPU", None, "WARN"), ("no_gpu", "ask", "gpu", "PASS"), ("no_gpu", None, None, "PASS"), ("gone", "训练", None, "PASS"),
+    ]
+    rows = spark.createDataFrame([(k, k, core, cost) for k, (_, core, cost, _) in enumerate(cases)] + [(100 + k, 100 + k, "ask", None) for k in range(5)], "intervention_id int, gap_id int, core string, cost string")
+    audits = {100: [("confirmed", "x", 1)], 101: [("confirmed", "x", 1), ("closed", None, 2)], 102: [("partially_closed", "x", 1)], 103: [("confirmed", None, 1)], 104: [("closed", None, 1), ("confirmed", "x", 2)]}
+    gaps = spark.createDataFrame([(k, c[0], True) for k, c in enumerate(cases)] + [(k, "free", k != 104) for k in audits], "gap_id int, contract_id string, complete boolean")
+    evidence = spark.createDataFrame([(g, e) for g in audits for e in ((1, 1) if g == 102 else (1, 2))], "gap_id int, evidence_id int")
+    seen = spark.createDataFrame([(g, at, r, left) for g, x in audits.items() for r, left, at in x], "gap_id int, created int, result string, remaining string")
+    contracts = spark.createDataFrame([(k, *v) for k, v in flags.items()], "contract_id string, allow_training boolean, allow_large_benchmark boolean, gpu_available boolean")
+    got = {r.intervention_id: r for r in gates.hard_gates(rows, gaps, evidence, seen, contracts).collect()}
+    assert [got[k].feasible for k in range(len(cases))] == [c[-1] for c in cases] and {got[k].evidence for k in range(len(cases))} == {"FAIL"}
+    assert {k: (got[k].evidence, got[k].novelty, got[k].tier) for k in audits} == {100: ("PASS", "PASS", "A"), 101: ("PASS", "FAIL", "C"), 102: ("FAIL", "UNKNOWN", "C"), 103: ("PASS", "UNKNOWN", "B"), 104: ("PASS", "PASS", "B")}
