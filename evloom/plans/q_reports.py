@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evloom.operators import briefs, ideas, interventions
+from evloom.operators import briefs, budgets, ideas, interventions
 from evloom.plans.base import RANK_ORDER, query, table
 
 #: A line's place in its order, unlike its number unique.
@@ -153,3 +153,21 @@ select intervention_id, evidence, novelty, feasible, case when 'FAIL' in (eviden
 def DEC27_28_hard_gates(spark, d):
     lines = table(spark, d, "lineitem")
     return interventions.hard_gates(table(spark, d, "documents").selectExpr(*_PLANNED), table(spark, d, "orders").selectExpr(*_GAPS_OF), lines.selectExpr("l_orderkey as gap_id", "l_partkey % 3 as evidence_id"), lines.selectExpr(*_AUDITED), table(spark, d, "nation").selectExpr(*_FLAGS))
+
+
+#: Customers as tasks that ask for more search for one family of gaps for each of their orders' priorities; some orders' lines as the rounds that were run.
+_WHY = f"case o_orderkey % 5 {' '.join(f'when {k} then {_lit(r)}' for k, r in enumerate(budgets.REASONS))} else 'other' end"
+_REQUESTS = ["o_custkey as task", f"concat({_WHY}, case when o_orderkey % 2 = 0 then ': more' else '' end) as reason", "case when o_orderkey % 11 <> 0 then o_orderpriority end as family"]
+_LEDGER = ["o_custkey as task", f"{_WHY} as key", "case when o_orderkey % 3 <> 0 then o_orderpriority end as family", "o_orderkey as round"]
+
+
+@query(f"""with rq as (select distinct {', '.join(_REQUESTS)} from orders), ld as (select {', '.join(_LEDGER)} from orders where o_totalprice < 60000), r as (select *, case {' '.join(f"when starts_with(reason, {_lit(k)}) then {_lit(k)}" for k in budgets.REASONS)} end as key from rq),
+f as (select task, family, count(distinct round) as used from ld where family is not null group by all), t as (select task, count(distinct round) as total from ld group by 1), k as (select task, key, count(distinct round) as of_key from ld group by all),
+s as (select r.task, r.reason, r.key, count(r.family) as families, count(*) filter (r.family is not null and coalesce(used, 0) < 2) as left_ from r left join f on f.task = r.task and f.family = r.family group by 1, 2, 3),
+v as (select s.*, case when s.key is null then 'unknown reason' when coalesce(total, 0) >= 3 then 'task budget' when s.key = '{budgets.OF_FAMILIES}' and families = 0 then 'no family' when s.key = '{budgets.OF_FAMILIES}' and left_ = 0 then 'family budget' when s.key <> '{budgets.OF_FAMILIES}' and coalesce(of_key, 0) >= 2 then 'reason budget' end as refused
+  from s left join t on t.task = s.task left join k on k.task = s.task and k.key = s.key)
+select task, reason, key, refused is null as allowed, refused, left_ as families_left from v""")
+def DEC33_39_search_budget(spark, d):
+    """Orders under 60,000 stand for rounds that were run; every order asks."""
+    orders = table(spark, d, "orders")
+    return budgets.may_search(orders.selectExpr(*_REQUESTS), orders.where("o_totalprice < 60000").selectExpr(*_LEDGER))

@@ -54,3 +54,19 @@ def test_hard_gates(spark):
     got = {r.intervention_id: r for r in gates.hard_gates(rows, gaps, evidence, seen, contracts).collect()}
     assert [got[k].feasible for k in range(len(cases))] == [c[-1] for c in cases] and {got[k].evidence for k in range(len(cases))} == {"FAIL"}
     assert {k: (got[k].evidence, got[k].novelty, got[k].tier) for k in audits} == {100: ("PASS", "PASS", "A"), 101: ("PASS", "FAIL", "C"), 102: ("FAIL", "UNKNOWN", "C"), 103: ("PASS", "UNKNOWN", "B"), 104: ("PASS", "PASS", "B")}
+
+
+def test_search_budget(spark):
+    from evloom.operators import budgets
+
+    gap, other = budgets.OF_FAMILIES, "readiness_more_research"
+    ledger = [(1, gap, "f", 1), (1, gap, "f", 2), (2, gap, "f", 1), (2, gap, "g", 1), (3, other, None, 1), (3, other, None, 2), (4, other, None, 1), (4, gap, "f", 2), (4, gap, "f", 3)]
+    requests = [(1, gap, "f"), (1, gap + ": again", "f"), (1, gap + ": again", "new"), (1, other, None), (2, gap, "f"), (3, other + " x", None), (3, gap, None), (4, gap, "new"), (5, "why", "f"), (5, "", "f"), (5, None, "f"), (6, gap, "f")]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    args = make(requests, "task int, reason string, family string"), make(ledger, "task int, key string, family string, round int")
+    got = {(r.task, r.reason): (r.refused, r.families_left) for r in budgets.may_search(*args).collect()}
+    assert got == {
+        (1, gap): ("family budget", 0), (1, gap + ": again"): (None, 1), (1, other): (None, 0), (2, gap): (None, 1), (3, other + " x"): ("reason budget", 0), (3, gap): ("no family", 0), (4, gap): ("task budget", 1),
+        (5, "why"): ("unknown reason", 1), (5, ""): ("unknown reason", 1), (5, None): ("unknown reason", 1), (6, gap): (None, 1),
+    }
+    assert {r.refused for r in budgets.may_search(*args, a_reason=0).collect()} == {"disabled"}
