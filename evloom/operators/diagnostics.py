@@ -1,8 +1,8 @@
 """How stable a search is: overlap of a family's query variants at five stages and three depths, and the confidence that follows.
 
-All stages stand in one index of (candidate, family, query, stage, item, rank).  Two variants have an item in common at depth k if the larger
-of its two ranks is below k, so one join by item gives the common counts of all depths, and pairs without a common item are never made: they are
-counted, and medians are taken over counts of distinct values with those zeros in front.
+All stages stand in one index of (candidate, family, query, entries of stage, item and rank), shuffled by family once.  Two variants have an item in common
+at depth k if the larger of its two ranks is below k, so meeting by item gives the common counts of all depths, and pairs without a common item are never
+made: they are counted, and medians are taken over counts of distinct values with those zeros in front.
 """
 
 from __future__ import annotations
@@ -11,83 +11,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evloom import functions as fn
-from evloom.operators.shared import cut
 
 DEPTHS = (5, 10, 20)
 STAGES = ("raw", "canonical", "post_filter", "final", "high_value")
 #: Families that count as full coverage, and what separates high, medium and low confidence and an unstable family.
 FULL, HIGH, MEDIUM, COVERED, HALF_COVERED, FLOOR = 5, 0.6, 0.4, 0.8, 0.6, 0.3
-PLACE = ["candidate", "family", "query_id", "stage"]
 
 
-def _ranked(rows: DataFrame, stage: str, item, *order) -> DataFrame:
-    """Items of a stage with the place, from 0, of the first row that has them."""
-    place = f"row_number() over (partition by query_id order by {', '.join(order)}) - 1"
-    rows = rows.select("candidate", "family", "query_id", item.alias("item"), F.expr(place).alias("rank")).where(F.col("rank") < max(DEPTHS))
-    return rows.groupBy("candidate", "family", "query_id", F.lit(stage).alias("stage"), "item").agg(F.min("rank").alias("rank"))
+def _place(order: str, where: str = "true") -> str:
+    """SQL: the place, from 0, of a row among its query's rows that fulfil a condition."""
+    return f"sum(cast({where} as int)) over (partition by query_id order by {order} rows between unbounded preceding and current row) - 1"
+
+
+def _first(item: str, order: str) -> str:
+    """SQL: whether a row is the first of its query with its item."""
+    return f"row_number() over (partition by query_id, {item} order by {order}) = 1"
+
+
+def _stage(stage: str, item: str, first: str, rank: str):
+    """A stage's entry of a row, null beyond the deepest place and for repeats."""
+    return F.expr(f"case when {first} and {rank} < {max(DEPTHS)} then struct({STAGES.index(stage)} as stage, {item} as item, cast({rank} as int) as rank) end")
 
 
 def search_index(queries: DataFrame, raw: DataFrame, kept: DataFrame, scores: DataFrame) -> DataFrame:
-    """candidate, family, query_id, stage, item, rank of the first 20 places of each stage, written once: every measure reads it.
+    """candidate, family, query_id, entries: for each row that has any, its entries (stage, item, rank) in the first 20 places of the stages, an item at its first place.
 
     queries: candidate, family, query_id (null candidates and families are left out).  raw: query_id, raw_rank, row_id, external_id, title, canonical_id.
     kept: query_id, rank, paper_id.  scores: candidate, paper_id, final_score, priority.  A paper without a score counts 0.
     """
     q = queries.where("candidate is not null and family is not null").select("candidate", "family", "query_id")
-    raw, kept = raw.join(q, "query_id"), kept.join(q, "query_id").join(scores.select("candidate", "paper_id", "final_score", "priority"), ["candidate", "paper_id"], "left")
+    scored = kept.join(q, "query_id").join(scores.select("candidate", "paper_id", "final_score", "priority"), ["candidate", "paper_id"], "left")
     text = lambda c: fn.blank_to_null(F.col(c).cast("string"))
     hashed = F.when(text("title").isNotNull(), F.concat(F.lit("hash:"), fn.title_hash("title")))
     external = F.concat(F.lit("ext:"), text("external_id"))
     row = F.concat(F.lit("row:"), F.col("row_id").cast("string"))
     canonical = F.coalesce(hashed, F.concat(F.lit("paper:"), text("canonical_id")), external, row)
-    # Canonical places count distinct items, so repeats go before ranks are given.
-    once = raw.select("candidate", "family", "query_id", "raw_rank", "row_id", canonical.alias("key")).groupBy("candidate", "family", "query_id", "key").agg(F.min(F.struct("raw_rank", "row_id")).alias("o"))
-    paper, high = F.col("paper_id").cast("string"), kept.where("priority = 'high'")
-    parts = [
-        _ranked(raw, "raw", F.coalesce(external, hashed, row), "raw_rank", "row_id"),
-        _ranked(once, "canonical", F.col("key"), "o"),
-        _ranked(kept, "post_filter", paper, "rank", "paper_id"),
-        _ranked(kept.withColumn("s", -F.coalesce("final_score", F.lit(0.0))), "final", paper, "s", "rank", "paper_id"),
-        _ranked(high, "high_value", paper, "rank", "paper_id"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return cut(out, "index")
-
-
-def _medians(counts: DataFrame, by: list[str]) -> DataFrame:
-    """by, median of v over rows (by, v, n): n equal values each."""
-    keys = ", ".join(by)
-    c = counts.groupBy(*by, "v").agg(F.sum("n").alias("n"))
-    c = c.selectExpr("*", f"sum(n) over (partition by {keys} order by v) as upto", f"sum(n) over (partition by {keys}) as total").where("n > 0")
-    lower, upper = "floor((total - 1) / 2)", "floor(total / 2)"
-    at = lambda place: F.expr(f"min(case when upto > {place} then v end)")
-    return c.groupBy(*by).agg(((at(lower) + at(upper)) / 2).alias("median"))
+    by = "raw_rank, row_id"
+    found = raw.join(q, "query_id").select("candidate", "family", "query_id", "raw_rank", "row_id", F.coalesce(external, hashed, row).alias("item"), canonical.alias("key"))
+    found = found.selectExpr("*", f"{_place(by)} as p", f"{_first('item', by)} as one", f"{_first('key', by)} as own")
+    # Canonical places count distinct items, so repeats go before places are given.
+    found = found.selectExpr("*", f"{_place(by, 'own')} as c").where(f"p < {max(DEPTHS)} or c < {max(DEPTHS)}")
+    found = found.select("candidate", "family", "query_id", F.array_compact(F.array(_stage("raw", "item", "one", "p"), _stage("canonical", "key", "own", "c"))).alias("entries"))
+    by, best = "rank, paper_id", "s, rank, paper_id"
+    left = scored.select("candidate", "family", "query_id", "rank", "paper_id", F.col("paper_id").cast("string").alias("item"), (-F.coalesce("final_score", F.lit(0.0))).alias("s"), F.expr("coalesce(priority = 'high', false)").alias("high"))
+    left = left.selectExpr("*", f"{_place(by)} as p", f"{_place(by, 'high')} as h", f"{_place(best)} as f", f"{_first('paper_id', by)} as one", f"{_first('paper_id', best)} as own", f"row_number() over (partition by query_id, paper_id, high order by {by}) = 1 and high as top")
+    left = left.select("candidate", "family", "query_id", F.array_compact(F.array(_stage("post_filter", "item", "one", "p"), _stage("final", "item", "own", "f"), _stage("high_value", "item", "top", "h"))).alias("entries"))
+    return found.unionByName(left).where("size(entries) > 0")
 
 
 def waterfall(queries: DataFrame, index: DataFrame) -> DataFrame:
     """candidate, family, stage, k, queries, jaccard, overlap: medians over pairs of a family's variants that have items at that stage.
 
-    Every family has a row for each stage and depth; the medians are null where fewer than two variants have items.
+    Every family has a row for each stage and depth; the medians are null where fewer than two variants have items.  The index is shuffled once, by family: variants meet at
+    their common items, and a row of no item counts them.
     """
-    by = ["candidate", "family", "stage", "k"]
-    families = queries.where("candidate is not null and family is not null").groupBy("candidate", "family").agg(F.countDistinct("query_id").alias("queries"))
-    grid = families.withColumn("stage", F.explode(F.array(*map(F.lit, STAGES)))).withColumn("k", F.explode(F.array(*map(F.lit, DEPTHS))))
-    depths = F.explode(F.array(*map(F.lit, DEPTHS))).alias("k")
-    sizes = index.select(*PLACE, "rank", depths).where("rank < k").groupBy(*PLACE, "k").agg(F.count("*").alias("size"))
-    x, y = (index.select("candidate", "family", "stage", "item", F.col("query_id").alias(q), F.col("rank").alias(r)) for q, r in (("qx", "rx"), ("qy", "ry")))
-    common = x.join(y, ["candidate", "family", "stage", "item"]).where("qx < qy").select("candidate", "family", "stage", "qx", "qy", F.greatest("rx", "ry").alias("r"), depths).where("r < k")
-    common = common.groupBy(*by, "qx", "qy").agg(F.count("*").alias("both"))
-    side = lambda q, s: sizes.select(*by, F.col("query_id").alias(q), F.col("size").alias(s))
-    pairs = common.join(side("qx", "sx"), [*by, "qx"]).join(side("qy", "sy"), [*by, "qy"])
-    values = pairs.select(*by, F.explode(F.expr("array(struct('jaccard' as m, both / (sx + sy - both) as v), struct('overlap' as m, both / least(sx, sy) as v))")).alias("x")).select(*by, "x.m", "x.v").groupBy(*by, "m", "v").agg(F.count("*").alias("n"))
+    by = ["candidate", "family", "stage"]
+    sized = lambda k: F.count_if(F.col("x.rank") < k).cast("int").alias(f"s{k}")
+    lists = index.repartition("candidate", "family").select("candidate", "family", "query_id", F.explode("entries").alias("x"))
+    lists = lists.groupBy("candidate", "family", "query_id", F.col("x.stage").alias("stage")).agg(F.collect_list(F.struct("x.item", "x.rank")).alias("items"), *map(sized, DEPTHS))
+    sizes = [f"s{k}" for k in DEPTHS]
+    # Every list meets at its items, and once more, without an item, to be counted.
+    at = lists.select(*by, "query_id", *sizes, F.explode(F.expr("concat(array(struct(cast(null as string) as item, -1 as rank)), filter(items, x -> x.item is not null))")).alias("x"))
+    counted = [F.count_if((F.col("x.rank") < 0) & (F.col(f"s{k}") > 0)).alias(f"n{k}") for k in DEPTHS]
+    met = at.groupBy(*by, F.col("x.item").alias("item")).agg(F.sort_array(F.collect_list(F.expr(f"case when x.rank >= 0 then struct(query_id as q, x.rank as r, {', '.join(sizes)}) end"))).alias("l"), *counted)
+    met = met.where("item is null or size(l) > 1")
+    sides = ", ".join(f"x.{s} as x{s}, y.{s} as y{s}" for s in sizes)
+    none = ", ".join(f"cast(null as int) as x{s}, cast(null as int) as y{s}" for s in sizes)
+    kind = dict(index.dtypes)["query_id"]
+    pairs = f"transform(slice(l, i + 2, size(l)), y -> struct(x.q as qx, y.q as qy, greatest(x.r, y.r) as r, {sides}))"
+    count = f"array(struct(cast(null as {kind}) as qx, cast(null as {kind}) as qy, -1 as r, {none}))"
+    # One list at a time, so that an item that many variants have makes no row of all its pairs.
+    sided = met.select(*by, *(f"n{k}" for k in DEPTHS), "l", F.posexplode_outer("l").alias("i", "x"))
+    pairs = sided.select(*by, *(f"n{k}" for k in DEPTHS), F.explode(F.expr(f"case when i is null then {count} else {pairs} end")).alias("p"))
+    pairs = pairs.groupBy(*by, "p.qx", "p.qy").agg(*(F.count_if(F.col("p.r").between(0, k - 1)).alias(f"b{k}") for k in DEPTHS), *(F.max(f"p.{side}s{k}").alias(f"{side}{k}") for k in DEPTHS for side in "xy"), *(F.max(F.when(F.col("p.r") < 0, F.col(f"n{k}"))).alias(f"n{k}") for k in DEPTHS))
+    # v is null in the row that holds the number of variants with items.
+    values = ", ".join(f"struct({k} as k, '{m}' as m, case when b{k} > 0 then {v} end as v, n{k} as n)" for k in DEPTHS for m, v in (("jaccard", f"b{k} / (x{k} + y{k} - b{k})"), ("overlap", f"b{k} / least(x{k}, y{k})")))
+    values = pairs.select(*by, F.explode(F.expr(f"filter(array({values}), x -> x.v is not null or x.n is not null)")).alias("x")).select(*by, "x.*")
+    return _grid(queries, _medians(values, by)).select(*by, "k", "queries", "jaccard", "overlap")
+
+
+def _medians(values: DataFrame, by: list[str]) -> DataFrame:
+    """by, k, jaccard, overlap: medians over rows (by, k, m, v; and one with a null v and the number n of variants), pairs that were not met counted as 0."""
+    keys = ", ".join([*by, "k", "m"])
+    c = values.groupBy(*by, "k", "m", "v").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     # Pairs without a common item: all pairs of variants with items, less those that were met.
-    every = sizes.groupBy(*by).agg(F.expr("count(*) * (count(*) - 1) / 2").cast("long").alias("every"))
-    met = pairs.groupBy(*by).agg(F.count("*").alias("met"))
-    zeros = every.join(met, by, "left").select(*by, F.explode(F.array(F.lit("jaccard"), F.lit("overlap"))).alias("m"), F.lit(0.0).alias("v"), (F.col("every") - F.coalesce("met", F.lit(0))).alias("n"))
-    medians = _medians(values.unionByName(zeros), [*by, "m"]).groupBy(*by).agg(*(F.max(F.when(F.col("m") == m, F.col("median"))).alias(m) for m in ("jaccard", "overlap")))
-    return grid.join(medians, by, "left").select(*by, "queries", "jaccard", "overlap")
+    c = c.selectExpr("*", f"sum(case when v is not null then c end) over (partition by {keys} order by v rows between unbounded preceding and current row) as met", f"max(n * (n - 1) div 2) over (partition by {keys}) as total", f"sum(case when v is null then 0 else c end) over (partition by {keys}) as every")
+    c = c.selectExpr("*", "total - every as zeros").where("total > 0")
+    at = lambda place: f"case when max(zeros) > max({place}) then 0.0D else min(case when v is not null and zeros + met > {place} then v end) end"
+    medians = c.groupBy(*by, "k", "m").agg(F.expr(f"({at('floor((total - 1) / 2)')} + {at('floor(total / 2)')}) / 2").alias("median"))
+    return medians.groupBy(*by, "k").agg(*(F.max(F.when(F.col("m") == m, F.col("median"))).alias(m) for m in ("jaccard", "overlap")))
+
+
+def _grid(queries: DataFrame, medians: DataFrame) -> DataFrame:
+    """A row for each family, stage and depth, with the medians there are; families meet them once, not once a row."""
+    families = queries.where("candidate is not null and family is not null").groupBy("candidate", "family").agg(F.countDistinct("query_id").alias("queries"))
+    lists = medians.groupBy("candidate", "family").agg(F.map_from_entries(F.collect_list(F.expr("struct(stage * 100 + k as at, struct(jaccard, overlap) as m)"))).alias("at"))
+    grid = F.expr("array(" + ", ".join(f"struct('{name}' as stage, {k} as k, at[{100 * i + k}] as m)" for i, name in enumerate(STAGES) for k in DEPTHS) + ")")
+    return families.join(lists, ["candidate", "family"], "left").select("candidate", "family", "queries", F.explode(grid).alias("x")).select("candidate", "family", "queries", "x.stage", "x.k", "x.m.jaccard", "x.m.overlap")
 
 
 def rounds(comparisons: DataFrame, audits: DataFrame) -> DataFrame:

@@ -52,3 +52,38 @@ def test_confidence(spark):
     got = {r.candidate: r for r in diagnostics.diagnostics(falls, cross, spark.createDataFrame(curve, "candidate string, prefix int, stability double")).collect()}
     assert {k: r.confidence for k, r in got.items()} == {"none": "INSUFFICIENT_OBSERVATION", "high": "high", "drifting": "medium", "few": "medium", "narrow": "low", "apart": "low"}
     assert got["high"].cross_round == 0.8 and got["few"].family_coverage == 0.6 and got["high"].unstable == "f0" and got["high"].at_10 == 0.5 and got["narrow"].at_5 == pytest.approx(0.35)
+
+
+def test_index_is_shuffled_once(spark):
+    """Waterfalls used to shuffle the index eight times or more, with a row for each stage, item and depth."""
+    q, *rest = _tables(spark, [("g", "f", "q1"), ("g", "f", "q2")], [("q1", 0, 1, "A", None, None), ("q2", 0, 2, "A", None, None)], [("q1", 0, "p"), ("q2", 0, "p")], [("g", "p", 0.5, "high")])
+    index = diagnostics.search_index(q, *rest)
+    assert "entries" in index.columns
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(diagnostics.waterfall(q, index)) - shuffles(index) <= 4
+
+
+def test_stages_against_plain_lists(spark):
+    rng = random.Random(5)
+    queries = [(f"g{c}", f"f{c % 2}", f"q{c}-{k}") for c in range(3) for k in range(6)]
+    raw = [(q, r, 100 * n + r, rng.choice([None, "A", "B", "C"]), rng.choice([None, "", "T1", "T2", "T3", "T4"]), rng.choice([None, "x"])) for n, (_, _, q) in enumerate(queries) for r in range(rng.randrange(0, 26))]
+    kept = [(q, r, f"p{rng.randrange(12)}") for _, _, q in queries for r in range(rng.randrange(0, 26))]
+    scores = [(c, f"p{p}", rng.choice([None, 0.1, 0.5]), rng.choice(["high", "low", None])) for c in ("g0", "g1", "g2") for p in range(10)]
+    q, *rest = _tables(spark, queries, raw, kept, scores)
+    got = {(r.candidate, r.stage, r.k): (r.jaccard, r.overlap) for r in diagnostics.waterfall(q, diagnostics.search_index(q, *rest)).collect()}
+    score = {(c, p): (s or 0.0, h) for c, p, s, h in scores}
+    title = lambda t: "hash:" + t if t and t.strip() else None
+    lists = {}
+    for c, _, name in queries:
+        hits = [x for x in raw if x[0] == name]
+        mine = sorted((r, p) for x, r, p in kept if x == name)
+        keys = [title(t) or (i and "paper:" + i) or (e and "ext:" + e) or f"row:{n}" for _, _, n, e, t, i in hits]
+        lists[c, name] = {
+            "raw": [(e and "ext:" + e) or title(t) or f"row:{n}" for _, _, n, e, t, _ in hits], "canonical": list(dict.fromkeys(keys)), "post_filter": [p for _, p in mine],
+            "final": [p for _, _, p in sorted((-score.get((c, p), (0.0, None))[0], r, p) for r, p in mine)], "high_value": [p for _, p in mine if score.get((c, p), (0, None))[1] == "high"],
+        }
+    for (c, stage, k), value in got.items():
+        sets = [s for (x, _), by in lists.items() if x == c and (s := set(by[stage][:k]))]
+        pairs = list(itertools.combinations(sets, 2))
+        want = (median(len(a & b) / len(a | b) for a, b in pairs), median(len(a & b) / min(len(a), len(b)) for a, b in pairs)) if pairs else (None, None)
+        assert value == pytest.approx(want), (c, stage, k)
