@@ -79,9 +79,9 @@ def DED10_query_save(spark, d):
 
 @query("with w as (select doc_id, unnest(string_split(text, ' ')) as x, generate_subscripts(string_split(text, ' '), 1) as i from documents), f as (select doc_id, lower(x) as k, min(i) as i, arg_min(x, i) as x from w group by doc_id, lower(x)) select doc_id, array_to_string(list(x order by i), '|') as kept from f group by doc_id")
 def DED11_12_ordered_distinct(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "x"))
-    first = t.groupBy("doc_id", F.lower("x").alias("k")).agg(F.min(F.struct("i", "x")).alias("m"))
-    return first.groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("l")).select("doc_id", F.array_join("l.x", "|").alias("kept"))
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", identity.first_spellings(F.transform(F.split("text", " "), lambda x, i: F.struct(i.alias("i"), x.alias("x")))).alias("l"))
+    # A text's words stay in its row; rows of the same id meet with what is left of theirs.
+    return t.groupBy("doc_id").agg(F.flatten(F.collect_list("l")).alias("l")).select("doc_id", F.array_join(F.transform(identity.first_spellings(F.col("l")), lambda m: m["x"]), "|").alias("kept"))
 
 
 @query("with h as (select d.doc_id, source, sha256(text) as hash, l.doc_id is not null as stored from documents d left join labels l on d.doc_id = l.doc_id), f as (select source, hash, min(doc_id) as doc_id from h where not stored group by all) select f.* from f where not exists (select 1 from h where stored and h.source = f.source and h.hash = f.hash)")
@@ -268,7 +268,8 @@ def _ab(spark, d):
 
 @query(f"({_A}) union ({_B})")
 def SET01_union(spark, d):
-    a, b = _ab(spark, d)
+    t = table(spark, d, "lineitem")
+    a, b = (t.where(F.col("l_returnflag") == x).select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("item")) for x in "AR")
     return a.union(b).distinct()
 
 
