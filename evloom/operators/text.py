@@ -149,3 +149,13 @@ def locate(docs: DataFrame, passages: DataFrame, doc: str, passage: str) -> Data
         found = docs.select(doc, "text", words("text").alias("w")).select(doc, "text", F.explode(F.array_distinct(runs)).alias("h"))
         out = out.unionAll(found.join(few(anchors), "h").where(F.col("text").contains(F.col("span"))).select(passage, doc, place))
     return out
+
+
+def inverted_index(words):
+    """A map from each word of an array to its places, from 0."""
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    starts = lambda l: F.filter(F.sequence(F.lit(0), F.size(l) - 1), lambda i: (i == 0) | (F.get(l, i - 1)["w"] != F.get(l, i)["w"]))
+    run = lambda l, s, to: F.struct(F.get(l, s)["w"].alias("w"), F.transform(F.slice(l, s + 1, to - s), lambda x: x["p"]).alias("ps"))
+    # Lists of one, so that words are sorted and runs are found once.
+    entries = F.transform(F.array(placed), lambda l: F.transform(F.array(starts(l)), lambda at: F.transform(at, lambda s, j: run(l, s, F.coalesce(F.get(at, j + 1), F.size(l)))))[0])[0]
+    return F.map_from_entries(entries)

@@ -591,8 +591,7 @@ def SRC08_core(spark, d):
 
 @query("select doc_id as id, text as abstract from documents")
 def SRC06_inverted_index(spark, d):
-    w = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", " ")).alias("p", "w"))
-    inv = w.groupBy("id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("abstract_inverted_index"))
+    inv = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.inverted_index(F.split("text", " ")).alias("abstract_inverted_index"))
     return sources.openalex(inv.select("id", F.to_json(F.struct("abstract_inverted_index")).alias("payload"))).select("id", "abstract")
 
 
