@@ -72,3 +72,14 @@ def test_readiness_looks_at_important_questions(spark):
     tasks = spark.createDataFrame([(k, True, active) for k, (_, active, _) in cases.items()], "task string, has_contract boolean, active boolean")
     rows = spark.createDataFrame([(k, *r) for k, (x, *_) in cases.items() for r in x], "task string, importance double, has_snapshot boolean, score double, unavailable boolean, evidence int")
     assert {r.task: (r.status, r.reason) for r in gates.readiness(tasks, rows).collect()} == {k: want for k, (*_, want) in cases.items()}
+
+
+def test_known_names_of_every_kind(spark):
+    """Short ones stand alone, long ones inside runs, those of several parts across them."""
+    wanted = ["In", "IN", "Net", "a-b", "Rain on", "Long-Name", "Rains", "-x-", "Été", "Ünder", "c4", "B on", "--"]
+    bodies = ["in net", "inn, (In) net9", "éin ünders", "trains rain on", "terrain on long-names", "a-b", "xa-b a-bc", "q-x-r", "été c4 c45", "rain\non b on", None, ""]
+    got = {tuple(r) for r in names.known_names(spark.createDataFrame(list(enumerate(bodies)), "id int, body string"), spark.createDataFrame([(w,) for w in [*wanted, "In", None]], "n string"), "id", "body", "n").collect()}
+    import re
+
+    stands = lambda t, n: re.search(rf"(?<![a-z0-9]){re.escape(n)}(?![a-z0-9])", t) if len(n) <= 4 else n in t
+    assert got == {(i, w) for i, t in enumerate(bodies) if t for w in wanted if w != "--" and stands(t.lower(), w.lower())}
