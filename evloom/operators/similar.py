@@ -3,6 +3,8 @@
 Two texts of lengths n <= m are alike if 100 x distance < (100 - percent) x m.  So the distance is bounded by the length, lengths differ
 by no more than that, and of a text's trigrams (repeats numbered), rarest first, the first 3 d + 1 must hold one of the partner's: an edit touches
 three trigrams at most.  Texts meet by such a trigram within bands of length; equal texts are one class before that, so copies make no pairs.
+
+Tables of trigrams are far larger than the texts that they come from, so joins with them are by sorting: estimated by the texts' size they would be broadcast by the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ def classes(items: DataFrame, key: str, text: str) -> DataFrame:
     """key, rep for each row with a text: rep is the least key with the same text."""
     t = items.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t"))
     reps = t.groupBy("_t").agg(F.min(key).alias("rep"))
-    return t.join(reps, "_t").select(key, "rep")
+    return t.join(reps.hint("merge"), "_t").select(key, "rep")
 
 
 def _signatures(texts: DataFrame, percent: int) -> DataFrame:
@@ -30,9 +32,9 @@ def _signatures(texts: DataFrame, percent: int) -> DataFrame:
     # A gram that comes again counts as another one; only repeats pay for the numbering.
     grams = grams.groupBy("rep", "gram").agg(F.count("*").cast("int").alias("times")).select("rep", F.explode(F.expr("transform(sequence(1, times), k -> xxhash64(gram, k))")).alias("token"))
     rare = grams.groupBy("token").agg(F.count("*").alias("df"))
-    order = grams.join(rare, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    order = grams.join(rare.hint("merge"), "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     band = F.floor(F.log("n") / (1.001 * math.log(100 / percent))).cast("int")
-    return wide.join(order, "rep").select("rep", "t", "n", "d", band.alias("band"), F.expr(f"transform(slice(o, 1, {Q} * d + 1), x -> x.token)").alias("prefix"))
+    return wide.join(order.hint("merge"), "rep").select("rep", "t", "n", "d", band.alias("band"), F.expr(f"transform(slice(o, 1, {Q} * d + 1), x -> x.token)").alias("prefix"))
 
 
 def links(texts: DataFrame, percent: int = 95) -> DataFrame:
@@ -40,7 +42,7 @@ def links(texts: DataFrame, percent: int = 95) -> DataFrame:
     s = _signatures(texts, percent)
     left = s.select(*(F.col(c).alias(f"l_{c}") for c in ("rep", "t", "n", "prefix")), F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("prefix").alias("p")).withColumn("token", F.explode("p")).drop("p")
     right = s.select(*(F.col(c).alias(f"r_{c}") for c in ("rep", "t", "n", "d", "prefix")), "band", F.explode("prefix").alias("token"))
-    met = left.join(right, ["token", "band"]).where("(l_n < r_n or (l_n = r_n and l_rep < r_rep)) and r_n - l_n <= r_d and array_intersect(l_prefix, r_prefix)[0] = token")
+    met = left.join(right.hint("merge"), ["token", "band"]).where("(l_n < r_n or (l_n = r_n and l_rep < r_rep)) and r_n - l_n <= r_d and array_intersect(l_prefix, r_prefix)[0] = token")
     most = F.floor((F.col("r_n") * (100 - percent) - 1) / 100).cast("int")
     met = met.withColumn("most", most).withColumn("distance", F.expr("levenshtein(l_t, r_t, most)")).where("distance > 0")
     return met.select(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b"), "distance")
@@ -52,4 +54,4 @@ def similar(items: DataFrame, key: str, text: str, percent: int = 95) -> DataFra
     texts = items.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("t")).agg(F.min(key).alias("rep"))
     pairs = links(texts, percent)
     count = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    return of.join(count, "rep", "left").select(key, "rep", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return of.join(count.hint("merge"), "rep", "left").select(key, "rep", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
