@@ -1,9 +1,10 @@
 """What queries shuffle, and that lean forms give the same rows on odd input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from evloom.operators import graph, similar, vectors
-from evloom.plans import q_domain, q_identity
+from evloom.plans import q_domain, q_identity, q_ranking
 
 
 def _plan(df) -> str:
@@ -35,8 +36,8 @@ def test_index_of_each_text(spark, docs):
 
 def test_words_are_hashed_once(spark):
     """The hashes stood inside the loop over the vector's places before."""
-    plan = _plan(vectors.embed(spark.range(1).selectExpr("cast(id as string) as text"), 8, vectors.hashed_bag(8)))
-    assert plan.index("md5(") < plan.index("[0,1,2,3,4,5,6,7]")
+    made = str(vectors.hashed_bag(8)(F.lit("a b")))
+    assert made.index("md5(") < made.index("sequence(")
 
 
 def test_union_is_made_distinct_once(spark, tmp_path):
@@ -60,3 +61,13 @@ def test_trigrams_are_not_broadcast(spark):
     out = similar.similar(items, "key", "t")
     assert "Broadcast" not in _plan(out)
     assert {tuple(r) for r in out.collect()} == {(1, 1, 1), (3, 1, 1), (2, 2, 1)}
+
+
+def test_lengths_are_taken_before_pairs_meet(spark, tmp_path):
+    """Both lengths were taken for each pair before."""
+    rows = [(0, [3.0, 4.0], 1), (1, [4.0, 3.0], 1), (2, [0.0, 0.0], 1), (3, [1.0], 1), (4, [1.0, 0.0], 2), (5, [], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = q_ranking.VEC01_JON11_pairs(spark, str(tmp_path))
+    plan = _plan(out).upper()
+    assert "SQRT" in plan and "SQRT" not in plan[: plan.index("JOIN")]
+    assert {tuple(r) for r in out.collect()} == {(0, 1, 0.96), (0, 2, 0.0), (0, 3, 0.0), (0, 5, 0.0)}
