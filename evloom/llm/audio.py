@@ -4,8 +4,9 @@ A recording's frames become energies of twelve pitch classes.  Sixteen rectangle
 from the image's integral (four look-ups each), are quantised to two bits by Gray code and packed into one
 32-bit integer a frame.  Recordings of equal prints are one class.  Two integers LAG places
 apart make a landmark.  The offset histogram of two classes counts distinct equal landmarks; at the offset with most of them
-the overlap's bit errors decide.  A link needs landmarks in proportion to the shorter list, so the shorter one has one of those it
-shares among its rarest, as many as may be missing and one more: these are joined on equality with all landmarks, and no link is lost.
+the overlap's bit errors decide.  A link needs landmarks in proportion to the shorter list, so two of them stand close together in both lists:
+two landmarks and their distance are joined on equality, and no link is lost.  Lists in which they may stand far apart have one of those they
+share among their rarest, as many as may be missing and one more, and are joined by these.
 Silence makes no landmarks, for it says nothing.
 """
 
@@ -29,6 +30,8 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 LAG = 2
 #: Distinct equal landmarks that a link needs at one offset, as a share of the shorter list's and at least; most bit errors as a share of bits; least overlap as a share of the shorter recording.
 SHARE, LEAST, ERRORS, OVERLAP = 0.05, 2, 0.2, 0.5
+#: Places between two landmarks of a key at most; lists that need more meet at single landmarks.
+FAR = 64
 HERTZ = np.fft.rfftfreq(FRAME, 1 / RATE)
 AUDIBLE = (HERTZ >= 100) & (HERTZ <= 1800)
 WINDOW = np.hanning(FRAME)
@@ -125,6 +128,38 @@ def fingerprint(media: DataFrame, render=None) -> DataFrame:
     return media.select("media_id", "samples").mapInArrow(run, f"media_id {dict(media.dtypes)['media_id']}, prints array<int>")
 
 
+def candidates(classes: DataFrame, share: float = SHARE) -> DataFrame:
+    """a < b: pairs of classes (class_id, prints) among which are all that `linked` links.
+
+    A link's c landmarks stand at one offset, so two of them that follow each other are no further apart than the shorter list's span divided by
+    c - 1 (its reach): two landmarks and the places between them are one key, and pairs meet at a key.  Lists whose reach is above FAR, as of drones with
+    few landmarks in many places, meet the others at one landmark of their rarest.
+    """
+    each = classes.select("class_id", F.expr(f"transform(slice(prints, 1, greatest(size(prints) - {LAG}, 0)), (x, i) -> shiftleft(cast(x as bigint), 32) | (cast(prints[i + {LAG}] as bigint) & 4294967295L))").alias("all"))
+    each = each.withColumn("m", F.expr(f"array_remove(array_distinct(all), {SILENT}L)")).select("class_id", F.size("m").alias("n"), "all", "m")
+    seen = materialise(each.select(F.explode("m").alias("v")).groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "landmark-counts")
+    # Where landmarks that other classes have stand, in order of place.
+    stand = each.select("class_id", "n", F.posexplode("all").alias("at", "v")).join(seen, "v")
+    stand = stand.groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("at", "v", "df"))).alias("l"))
+    stand = stand.withColumn("c", F.greatest(F.lit(LEAST), F.ceil(F.col("n") * share))).where(f"size(array_distinct(l.v)) >= {LEAST}")
+    reach = F.when(F.expr("size(array_distinct(l.v)) >= c"), F.expr("cast((l[size(l) - 1].at - l[0].at) div (c - 1) as int)")).otherwise(-1)
+    stand = materialise(stand.withColumn("reach", reach), "stand")
+    most = stand.where(F.col("reach") <= FAR).agg(F.max("reach")).first()[0] or 0
+    near = f"filter(slice(l, i + 2, {most}), y -> y.at - x.at <= {most} and y.v != x.v)" if most > 0 else "filter(l, y -> false)"
+    keys = f"array_distinct(flatten(transform(l, (x, i) -> transform({near}, y -> struct(xxhash64(x.v, y.v, y.at - x.at) as key, cast(y.at - x.at as int) as gap)))))"
+    keyed = stand.select("class_id", "n", "reach", F.explode(F.expr(keys)).alias("k")).select("class_id", "n", "reach", "k.key", "k.gap")
+    # Each side keeps what it needs: the shorter one no gaps beyond its reach.
+    short = keyed.where(f"gap <= reach and reach <= {FAR}")
+    ends = (F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b"))
+    less = "struct(x.n, x.class_id) < struct(y.n, y.class_id)"
+    dense = short.alias("x").join(keyed.alias("y"), "key").where(less).select(*ends)
+    placed = stand.select("class_id", "n", "c", "reach", F.explode(F.expr("array_distinct(transform(l, x -> struct(x.df as df, x.v as v)))")).alias("x")).select("class_id", "n", "c", "reach", "x.df", "x.v")
+    # Landmarks of one class only come first in its list; they fill the rarest part without matching.
+    by = Window.partitionBy("class_id")
+    sparse = placed.where(F.col("reach") > FAR).withColumn("place", F.row_number().over(by.orderBy("df", "v")) + F.col("n") - F.count("*").over(by)).where("place <= n - c + 1")
+    return dense.unionAll(sparse.alias("x").join(placed.alias("y"), "v").where(less).select(*ends)).distinct()
+
+
 def match(media: DataFrame, render=None, share: float = SHARE, errors: float = ERRORS) -> DataFrame:
     """media_id, n_prints, class_id (least media_id of equal prints), n_links, best_class, best_offset, best_errors.
 
@@ -135,18 +170,7 @@ def match(media: DataFrame, render=None, share: float = SHARE, errors: float = E
     key = F.md5(F.to_json(F.struct("prints")).cast("binary"))
     keyed = prints.withColumn("print_key", F.when(F.size("prints") > 0, key).otherwise(F.concat(F.lit("empty "), F.coalesce(F.col("media_id").cast("string"), F.lit("")))))
     classes = materialise(keyed.groupBy("print_key").agg(F.min("media_id").alias("class_id"), F.first("prints").alias("prints")), "classes")
-    marks = F.expr(f"array_remove(array_distinct(transform(slice(prints, 1, greatest(size(prints) - {LAG}, 0)), (x, i) -> shiftleft(cast(x as bigint), 32) | (cast(prints[i + {LAG}] as bigint) & 4294967295L))), {SILENT}L)")
-    words = classes.select("class_id", marks.alias("m")).select("class_id", F.size("m").alias("n"), F.explode("m").alias("v"))
-    words = materialise(words, "landmarks")
-    seen = materialise(words.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "landmark-counts")
-    # Landmarks of one class only come first in its list; they fill the rarest part without matching.
-    shared = words.join(seen, "v")
-    rank = F.row_number().over(Window.partitionBy("class_id").orderBy("df", "v"))
-    placed = shared.select("class_id", "n", "v", (rank + F.col("n") - F.count("*").over(Window.partitionBy("class_id"))).alias("place"))
-    placed = materialise(placed, "placed")
-    prefix = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share) + 1)
-    pairs = prefix.alias("x").join(placed.alias("y"), "v").where("struct(x.n, x.class_id) < struct(y.n, y.class_id)")
-    pairs = pairs.select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b")).distinct()
+    pairs = materialise(candidates(classes, share), "pairs")
     of = classes.select("class_id", "prints")
     both = pairs.join(of.select(F.col("class_id").alias("a"), F.col("prints").alias("pa")), "a").join(of.select(F.col("class_id").alias("b"), F.col("prints").alias("pb")), "b")
 

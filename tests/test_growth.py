@@ -1,5 +1,6 @@
 """What queries shuffle, and that lean forms give the same rows on odd input."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,34 @@ def test_lengths_are_taken_before_pairs_meet(spark, tmp_path):
     plan = _plan(out).upper()
     assert "SQRT" in plan and "SQRT" not in plan[: plan.index("JOIN")]
     assert {tuple(r) for r in out.collect()} == {(0, 1, 0.96), (0, 2, 0.0), (0, 3, 0.0), (0, 5, 0.0)}
+
+
+def test_recordings_meet_at_two_landmarks(spark):
+    """op6: lists that share single landmarks are no candidates (all their pairs were), and no link that comparing all pairs finds is missed, drones and long lists included."""
+    from evloom.llm import audio
+
+    rng = np.random.default_rng(3)
+    lists = []
+    for k in range(60):
+        x = rng.integers(1, 1 << 31, 112).astype(np.uint32)
+        at = int(rng.integers(0, 100))
+        x[at : at + 3] = (5, 6, 7)
+        lists.append(x)
+    assert audio.candidates(_prints(spark, lists)).count() == 0
+    base = rng.integers(1, 1 << 31, 3000).astype(np.uint32)
+    for n in (4, 30, 41, 112, 500, 2000):
+        for noise in (0.3, 0.6, 0.75):
+            x = base[200 : 200 + n].copy()
+            x[rng.random(n) < noise] ^= np.uint32(1 << int(rng.integers(0, 31)))
+            lists.append(x)
+    for n in (50, 120, 900):  # few landmarks in many places
+        x = np.full(n, 9, np.uint32)
+        x[-4:] = base[300:304]
+        lists += [x, np.resize(base[:3], n), np.concatenate([base[700:702], x])]
+    found = {(r.a, r.b) for r in audio.candidates(_prints(spark, lists)).collect()}
+    want = {(i, j) for j, q in enumerate(lists) for i, p in enumerate(lists[:j]) if audio.linked(p, q, errors=1.0)}
+    assert len(want) > 60 and want <= found and all(a < b for a, b in found)
+
+
+def _prints(spark, lists):
+    return spark.createDataFrame([(k, x.view(np.int32).tolist()) for k, x in enumerate(lists)], "class_id long, prints array<int>")
