@@ -47,7 +47,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: Jaccard similarity of five-word shingles of 0.8 or more."""
+    """One document of each group of near copies: SimHash's links first, then all others, each verified as a Jaccard similarity of five-word shingles of 0.8 or more."""
     return nearcopy.keep_one(docs, width=5)
 
 

@@ -1,12 +1,14 @@
-"""Near copies by the exact Jaccard similarity of word shingles (the pipeline's near-dedup).
+"""Near copies by SimHash and the exact Jaccard similarity of word shingles (the pipeline's near-dedup).
 
-Two texts are linked where their sets of shingles share 4/5 or more of their union.  A 64-bit SimHash
-would have to allow about 17 differing bits to reach such pairs, which no index of segments narrows
-down; so candidates come from a prefix filter, which loses no pair: in any one order of all shingles, two
-such sets share one of the first n - ceil(4n/5) + 1 shingles of each.  The order puts rare shingles
-first, by a sketch of counts that only steers the cost.  Candidates are verified on their whole sets.
+Two texts are linked where their sets of shingles share 4/5 or more of their union.  SimHash comes first: sets whose
+fingerprints differ in two bits or fewer, found by its index of deletion variants, are verified on the whole sets, and
+those that are near are one component from then on.  A 64-bit SimHash would have to allow about 17 differing bits
+to reach all pairs, which no index of segments narrows down; so those that are still apart meet by a prefix filter, which
+loses no pair: in any one order of all shingles, two such sets share one of the first n - ceil(4n/5) + 1 shingles of
+each.  The order puts rare shingles first, by a sketch of counts that only steers the cost.  Candidates are verified
+on their whole sets.
 
-In buckets of more than HOT members all are first compared with PIVOTS of them, which joins most of a large group
+In buckets of more than HOT members all are then compared with PIVOTS of them, which joins most of a large group
 of near copies; after that only members of different components still have to be compared, and all of these are.
 
 Texts stay where they are: rows are told apart by a 128-bit hash of all their columns, only those of candidates are
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 from evloom.llm.common import discard, materialise, raw_text, small_batches, stored
 from evloom.llm.graph import components
+from evloom.llm.simhash import _links as simhash_links
+from evloom.llm.simhash import majority
 
 HOT = 16
 #: Members of a hot bucket that all others are compared with first: of each PIVOTS-th of them, by a hash, the least.
@@ -105,23 +109,24 @@ def _mark(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, width: int) -> DataFrame:
-    """h1, h2, doc_id, digest (of the whole set), n (its size), keys (the prefix in order) for docs(h1, h2, doc_id, text)."""
+    """h1, h2, doc_id, digest (of the whole set), n (its size), fp (its SimHash), keys (the prefix in order) for docs(h1, h2, doc_id, text)."""
     levels = docs.sparkSession.sparkContext.broadcast(_levels(docs, width))
 
     def run(batches):
         memory: dict = {}
         for b in batches:
-            digests, sizes, keys = [], [], []
+            digests, sizes, prints, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 x = shingles(t, width, memory)
                 n = len(x)
                 digests.append(xxhash.xxh3_128_digest(x.tobytes()))
                 sizes.append(n)
+                prints.append(majority(x))
                 order = np.lexsort((x, levels.value[(x % np.uint64(SLOTS)).astype(np.int64)]))
                 keys.append(x[order[: n - -(-4 * n // 5) + 1 if n else 0]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["h1", "h2", "doc_id", "digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["h1", "h2", "doc_id", "digest", "n", "fp", "keys"])
 
-    return raw_text(docs, "h1", "h2", "doc_id").mapInArrow(run, f"h1 long, h2 long, doc_id {dict(docs.dtypes)['doc_id']}, digest binary, n long, keys array<bigint>")
+    return raw_text(docs, "h1", "h2", "doc_id").mapInArrow(run, f"h1 long, h2 long, doc_id {dict(docs.dtypes)['doc_id']}, digest binary, n long, fp long, keys array<bigint>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -152,12 +157,25 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -
     return materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
 
 
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Pairs (a < b: nodes) at two or fewer differing bits of fp: fingerprints are met by their least nodes, and those with the node's fingerprint by the least of them."""
+    least = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    side = lambda k: least.select(F.col("fp").alias(k), F.col("node").alias(f"n{k}"))
+    apart = simhash_links(least.select("fp")).join(side("a"), "a").join(side("b"), "b").select("na", "nb")
+    same = nodes.join(least.withColumnRenamed("node", "na"), "fp").where("node != na").select("na", F.col("node").alias("nb"))
+    return materialise(apart.unionAll(same).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")), "by-simhash")
+
+
 def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     """h1, h2, doc_id, row (a number of its own), component (least row reachable over links, itself included) for docs(h1, h2, doc_id, text); rows of equal sets are linked."""
     spark, before = docs.sparkSession, stored()
     sets = materialise(prefixes(docs, width).withColumn("row", F.monotonically_increasing_id()), "sets")
-    nodes = sets.groupBy("digest").agg(F.min(F.struct("row", "h1", "h2", "n", "keys")).alias("x")).select("digest", "x.*")
+    nodes = sets.groupBy("digest").agg(F.min(F.struct("row", "h1", "h2", "n", "fp", "keys")).alias("x")).select("digest", "x.*")
     nodes = materialise(nodes.withColumnRenamed("row", "node"), "nodes")
+    named = nodes.select("node", "h1", "h2")
+    alike = _verified(_by_simhash(nodes.select("node", "fp")), named, docs, width)
+    first = materialise(components(alike), "first")
+    discard(spark, stored() - before, ("prints", "shared", "held", "by-simhash", "used", "cut", "edges", "least", "star"))
     entries = nodes.select("node", F.posexplode("keys").alias("at", "key"), F.col("n").cast("int").alias("n")).select("key", "node", F.expr("shiftleft(cast(n as bigint), 32) | at").alias("place"))
     # Keys are counted by 32 bits of them, so too many are held at most; exact members are counted among those held.
     short = F.hash("key")
@@ -174,9 +192,11 @@ def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     pivots = many.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.min(F.struct("node", "n", "at")).alias("p")).select("key", "p.*")
     pivots = materialise(pivots, "pivots")
     star = many.alias("x").join(pivots.alias("y"), "key").where(f"x.node != y.node and {can}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    pairs = materialise(close.unionAll(star).distinct(), "pairs")
-    named = nodes.select("node", "h1", "h2")
-    links = _verified(pairs, named, docs, width)
+    # What SimHash has joined needs no second look.
+    side = lambda k: _small(first.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")))
+    pairs = close.unionAll(star).distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
+    pairs = materialise(pairs.where("coalesce(la, a) != coalesce(lb, b)").select("a", "b"), "pairs")
+    links = alike.unionAll(_verified(pairs, named, docs, width))
     labels = materialise(components(links), "labels")
     left = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # A bucket whose members are one component has nothing left to compare.
@@ -184,8 +204,8 @@ def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     # A pair is compared at the first key it shares; earlier ones are looked for among the BACK keys before.
     left = left.join(apart, "key").join(nodes.select("node", "keys"), "node")
     left = materialise(left.select("key", "node", "n", "at", "label", F.slice("keys", F.greatest(F.col("at") - BACK + 1, F.lit(1)).cast("int"), F.least("at", F.lit(BACK)).cast("int")).alias("back")), "left")
-    first = "not arrays_overlap(x.back, y.back)"
-    rest = materialise(left.alias("x").join(left.alias("y"), "key").where(f"x.node < y.node and x.label != y.label and {can} and {first}").select(*pair).distinct(), "rest")
+    earliest = "not arrays_overlap(x.back, y.back)"
+    rest = materialise(left.alias("x").join(left.alias("y"), "key").where(f"x.node < y.node and x.label != y.label and {can} and {earliest}").select(*pair).distinct(), "rest")
     if not rest.isEmpty():
         labels = materialise(components(links.unionAll(_verified(rest, named, docs, width))), "labels")
     of = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))

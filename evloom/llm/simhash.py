@@ -39,6 +39,12 @@ def simhash64(text: bytes | None, width: int = 3) -> int:
     starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=False)], "<u8")
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes (unsigned 64-bit) as a signed integer: bits that are set in over half of them; zero without any."""
+    n = len(h)
     counts = np.zeros(64, np.int64)
     spread = SPREAD[h.view(np.uint8).reshape(n, 8)]
     for at in range(0, n, 255):

@@ -116,3 +116,21 @@ def test_sql_of_native_operators(spark, name):
     theirs = con.sql(f"select {', '.join(cols)} from ({queries.sql()[name]}) q").fetchall()
     plain = lambda rows: sorted(tuple(repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else repr(v) for v in r) for r in rows)
     assert plain(map(tuple, mine.select(*cols).collect())) == plain(theirs)
+
+
+def test_near_dedup_links_by_simhash(spark, monkeypatch):
+    """Pairs at two or fewer differing bits of SimHash are found by its index; near ones are joined by it and are not looked at again."""
+    from evloom.llm import simhash
+
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 900)]
+    texts = [" ".join(base), " ".join([*base[:-1], "last"]), " ".join(["first", *base[1:]]), " ".join(f"v{x}" for x in range(50))]
+    prints = [simhash.majority(nearcopy.shingles(t.encode())) for t in texts]
+    bits = lambda i, j: ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count()
+    met = {(r.a, r.b) for r in nearcopy._by_simhash(spark.createDataFrame(list(enumerate(prints)), "node long, fp long")).collect()}
+    assert {j for _, j in met} == {j for j in range(1, 4) if any(bits(i, j) <= 2 for i in range(j))} == {1, 2} and all(bits(*p) <= 2 for p in met)
+    seen, verify = [], nearcopy._verified
+    monkeypatch.setattr(nearcopy, "_verified", lambda pairs, *rest: (seen.append(pairs.count()), verify(pairs, *rest))[1])
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], KIND), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3] and seen[0] == len(met)
+    assert simhash.majority(np.zeros(0, np.uint64)) == 0
