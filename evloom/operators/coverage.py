@@ -84,3 +84,20 @@ def saturation(rounds: DataFrame, papers: DataFrame, evidence: DataFrame, top: i
     slow = (gain("new_papers", "papers") < 1.0) & (gain("new_evidence", "evidence") < 1.0)
     state = F.when(F.col("any").isNull() | (F.col("round") < 2), "INSUFFICIENT_OBSERVATION").when(few & slow & (stable >= 0.6), "SATURATED").otherwise("STILL_GAINING")
     return out.select(*k, state.alias("state"), "new_papers", "new_evidence", stable.alias("stability"))
+
+
+#: Pairs that one task makes or tells apart, about.
+PAIRS = 1_000_000
+
+
+def neighbours(asked: DataFrame, members: DataFrame, own: DataFrame, by: list[str]) -> DataFrame:
+    """c, p: members (by, p) of the groups that a candidate asks for (by, c), each once, but for its own (c, p).
+
+    Pairs are counted first, and tasks follow their number, so that the memory of one does not grow with the tables.
+    """
+    sizes = asked.groupBy(*by).agg(F.count("*").alias("n")).join(members.groupBy(*by).agg(F.count("*").alias("k")), by)
+    tasks = max(1, (sizes.agg(F.sum(F.col("n") * F.col("k"))).first()[0] or 0) // PAIRS)
+    tasks = max(tasks, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = asked.repartition(tasks, *by).join(members.repartition(tasks, *by).hint("merge"), by).select("c", "p")
+    found = met.repartition(tasks, "c", "p").distinct()
+    return found.join(own.repartition(tasks, "c", "p").hint("merge"), ["c", "p"], "left_anti")

@@ -141,8 +141,8 @@ def DEC15_corpus_neighbours(spark, d):
     """A supplier's month stands for a question; its parts are the neighbours."""
     t = table(spark, d, "lineitem").withColumn("m", F.date_trunc("month", "l_shipdate"))
     qs = t.select(F.col("l_orderkey").alias("c"), "l_suppkey", "m").distinct()
-    found = qs.join(t.select("l_suppkey", "m", F.col("l_partkey").alias("p")).distinct(), ["l_suppkey", "m"]).select("c", "p").distinct()
-    return found.join(t.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("c"), F.col("l_partkey").alias("p")), ["c", "p"], "left_anti")
+    parts = t.select("l_suppkey", "m", F.col("l_partkey").alias("p")).distinct()
+    return coverage.neighbours(qs, parts, t.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("c"), F.col("l_partkey").alias("p")), ["l_suppkey", "m"])
 
 
 @query(f"with {RANKED_SQL}, a as (select candidate, item, count(*) as h, count(distinct family) as f, min(rank) as r, count(distinct source) as s from ranked group by all) select candidate, item, round(0.4::double * h + 0.3::double * f + 0.2::double / (r + 1) + 0.1::double * s + 0.1::double * case when item % 3 = 0 then 0 else (item % 11) / 10.0::double end, 6) as score from a")

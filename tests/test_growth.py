@@ -137,3 +137,18 @@ def test_greedy_in_fronts(spark, monkeypatch):
     df = spark.createDataFrame([(i, i, v) for i, v in enumerate(vecs[4:])], "pos int, id int, vec array<double>").repartition(3)
     old = spark.createDataFrame([(v,) for v in vecs[:4]], "vec array<double>")
     assert [r["id"] for r in identity.greedy_semantic(df, old, 0.8).collect()] == kept
+
+
+def test_corpus_neighbours_follow_the_pairs(spark, monkeypatch):
+    """DEC15: tasks follow the number of pairs, so that one's memory doesn't; the same rows as a plain join, nulls included."""
+    from evloom.operators import coverage
+
+    monkeypatch.setattr(coverage, "PAIRS", 10)
+    asked = spark.createDataFrame([(1, 5, 1), (1, 6, 1), (2, 5, 1), (3, None, 1), (None, 5, 1)] + [(10 + i, 7, 2) for i in range(20)], "c int, g int, m int")
+    members = spark.createDataFrame([(5, 1, 100), (5, 1, 101), (6, 1, 100), (None, 1, 102), (5, 1, None)] + [(7, 2, i) for i in range(15)], "g int, m int, p int")
+    own = spark.createDataFrame([(1, 101), (10, 3), (None, 100)], "c int, p int")
+    got = coverage.neighbours(asked, members, own, ["g", "m"])
+    plain = asked.join(members, ["g", "m"]).select("c", "p").distinct().join(own, ["c", "p"], "left_anti")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(got) == rows(plain) and got.count() > 300
+    assert got.rdd.getNumPartitions() == 31  # 310 pairs
