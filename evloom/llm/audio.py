@@ -4,8 +4,9 @@ A recording's frames become energies of twelve pitch classes.  Sixteen rectangle
 from the image's integral (four look-ups each), are quantised to two bits by Gray code and packed into one
 32-bit integer a frame.  Recordings of equal prints are one class.  Two integers LAG places
 apart make a landmark.  The offset histogram of two classes counts distinct equal landmarks; at the offset with most of them
-the overlap's bit errors decide.  A link needs landmarks in proportion to the shorter list, so two of them stand close together in both lists:
-two landmarks and their distance are joined on equality, and no link is lost.  Lists in which they may stand far apart have one of those they
+the overlap's bit errors decide.  A link needs landmarks in proportion to the shorter list.  Either two of them are rare (few lists have them), and
+lists meet at each of their rare landmarks; or all but one are common, so two of these stand close together in both lists:
+two landmarks and their distance are joined on equality.  So no link is lost.  Lists in which common ones may stand far apart have one of those they
 share among their rarest, as many as may be missing and one more, and are joined by these.
 Silence makes no landmarks, for it says nothing.
 """
@@ -32,6 +33,8 @@ LAG = 2
 SHARE, LEAST, ERRORS, OVERLAP = 0.05, 2, 0.2, 0.5
 #: Places between two landmarks of a key at most; lists that need more meet at single landmarks.
 FAR = 64
+#: Lists that have a landmark at most, for it to be rare; a rare one makes RARE * (RARE - 1) / 2 rows at most.
+RARE = 8
 HERTZ = np.fft.rfftfreq(FRAME, 1 / RATE)
 AUDIBLE = (HERTZ >= 100) & (HERTZ <= 1800)
 WINDOW = np.hanning(FRAME)
@@ -131,33 +134,46 @@ def fingerprint(media: DataFrame, render=None) -> DataFrame:
 def candidates(classes: DataFrame, share: float = SHARE) -> DataFrame:
     """a < b: pairs of classes (class_id, prints) among which are all that `linked` links.
 
-    A link's c landmarks stand at one offset, so two of them that follow each other are no further apart than the shorter list's span divided by
-    c - 1 (its reach): two landmarks and the places between them are one key, and pairs meet at a key.  Lists whose reach is above FAR, as of drones with
-    few landmarks in many places, meet the others at one landmark of their rarest.
+    A link's c landmarks stand at one offset.  Two rare ones among them (one, if c is two) are counted for each pair of lists; where a rare one has one
+    place in both lists its offset counts, else it goes with every offset.  Otherwise all but one (need) are common, and two of these that follow each other
+    are no further apart than the shorter list's span of common ones divided by need - 1 (its reach): two landmarks and the places between them
+    are one key, and pairs meet at a key.  Lists whose reach is above FAR, as of drones with few landmarks in many places, meet the others at one
+    landmark of their rarest common ones.
     """
     each = classes.select("class_id", F.expr(f"transform(slice(prints, 1, greatest(size(prints) - {LAG}, 0)), (x, i) -> shiftleft(cast(x as bigint), 32) | (cast(prints[i + {LAG}] as bigint) & 4294967295L))").alias("all"))
     each = each.withColumn("m", F.expr(f"array_remove(array_distinct(all), {SILENT}L)")).select("class_id", F.size("m").alias("n"), "all", "m")
     seen = materialise(each.select(F.explode("m").alias("v")).groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "landmark-counts")
     # Where landmarks that other classes have stand, in order of place.
     stand = each.select("class_id", "n", F.posexplode("all").alias("at", "v")).join(seen, "v")
-    stand = stand.groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("at", "v", "df"))).alias("l"))
-    stand = stand.withColumn("c", F.greatest(F.lit(LEAST), F.ceil(F.col("n") * share))).where(f"size(array_distinct(l.v)) >= {LEAST}")
-    reach = F.when(F.expr("size(array_distinct(l.v)) >= c"), F.expr("cast((l[size(l) - 1].at - l[0].at) div (c - 1) as int)")).otherwise(-1)
+    stand = stand.groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("at", "v", "df"))).alias("shared"))
+    stand = stand.withColumn("c", F.greatest(F.lit(LEAST), F.ceil(F.col("n") * share))).where(f"size(array_distinct(shared.v)) >= {LEAST}")
+    stand = stand.withColumn("l", F.expr(f"filter(shared, x -> x.df > {RARE})")).withColumn("common", F.expr("size(array_distinct(l.v))"))
+    stand = stand.withColumn("rare", F.least(F.lit(2), F.col("c") - 1)).withColumn("need", F.expr("c - rare + 1"))
+    reach = F.when(F.expr("common >= need"), F.expr("cast((l[size(l) - 1].at - l[0].at) div (need - 1) as int)")).otherwise(-1)
     stand = materialise(stand.withColumn("reach", reach), "stand")
-    most = stand.where(F.col("reach") <= FAR).agg(F.max("reach")).first()[0] or 0
+    # A landmark's lists, the shorter first; each pair of them is a row.
+    places = stand.select("class_id", "n", "c", "common", "rare", F.explode(F.expr(f"filter(shared, x -> x.df <= {RARE})")).alias("x")).select("class_id", "n", "c", "common", "rare", "x.at", "x.v")
+    single = F.when(F.min("at") == F.max("at"), F.min("at")).alias("at")
+    lists = places.repartition("v").groupBy("v", "class_id", "n", "c", "common", "rare").agg(single).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "class_id", "c", "common", "rare", "at"))).alias("g"))
+    met = "flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x.class_id as x, y.class_id as y, x.c, x.rare, least(x.common, y.common) as common, x.at - y.at as shift))))"
+    pair = ["x", "y", "c", "rare", "common"]
+    votes = lists.select(F.explode(F.expr(met)).alias("p")).select("p.*").groupBy(*pair, "shift").agg(F.count("*").alias("k")).groupBy(*pair)
+    votes = votes.agg(F.expr("coalesce(max(k) filter (where shift is not null), 0) + coalesce(sum(k) filter (where shift is null), 0)").alias("votes"))
+    few = votes.where("votes >= greatest(rare, c - common)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    most, fewest = stand.where(f"reach between 0 and {FAR}").agg(F.max("reach"), F.min("need")).first()
+    most, fewest = most or 0, fewest or LEAST
     near = f"filter(slice(l, i + 2, {most}), y -> y.at - x.at <= {most} and y.v != x.v)" if most > 0 else "filter(l, y -> false)"
     keys = f"array_distinct(flatten(transform(l, (x, i) -> transform({near}, y -> struct(xxhash64(x.v, y.v, y.at - x.at) as key, cast(y.at - x.at as int) as gap)))))"
-    keyed = stand.select("class_id", "n", "reach", F.explode(F.expr(keys)).alias("k")).select("class_id", "n", "reach", "k.key", "k.gap")
+    keyed = stand.where(F.col("common") >= fewest).select("class_id", "n", "reach", F.explode(F.expr(keys)).alias("k")).select("class_id", "n", "reach", "k.key", "k.gap")
     # Each side keeps what it needs: the shorter one no gaps beyond its reach.
     short = keyed.where(f"gap <= reach and reach <= {FAR}")
     ends = (F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b"))
     less = "struct(x.n, x.class_id) < struct(y.n, y.class_id)"
     dense = short.alias("x").join(keyed.alias("y"), "key").where(less).select(*ends)
-    placed = stand.select("class_id", "n", "c", "reach", F.explode(F.expr("array_distinct(transform(l, x -> struct(x.df as df, x.v as v)))")).alias("x")).select("class_id", "n", "c", "reach", "x.df", "x.v")
-    # Landmarks of one class only come first in its list; they fill the rarest part without matching.
+    placed = stand.select("class_id", "n", "common", "need", "reach", F.explode(F.expr("array_distinct(transform(l, x -> struct(x.df as df, x.v as v)))")).alias("x")).select("class_id", "n", "common", "need", "reach", "x.df", "x.v")
     by = Window.partitionBy("class_id")
-    sparse = placed.where(F.col("reach") > FAR).withColumn("place", F.row_number().over(by.orderBy("df", "v")) + F.col("n") - F.count("*").over(by)).where("place <= n - c + 1")
-    return dense.unionAll(sparse.alias("x").join(placed.alias("y"), "v").where(less).select(*ends)).distinct()
+    sparse = placed.where(F.col("reach") > FAR).withColumn("place", F.row_number().over(by.orderBy("df", "v"))).where("place <= common - need + 1")
+    return few.unionAll(dense).unionAll(sparse.alias("x").join(placed.alias("y"), "v").where(less).select(*ends)).distinct()
 
 
 def match(media: DataFrame, render=None, share: float = SHARE, errors: float = ERRORS) -> DataFrame:

@@ -101,6 +101,30 @@ def test_recordings_meet_at_two_landmarks(spark):
     assert len(want) > 60 and want <= found and all(a < b for a, b in found)
 
 
+def test_recordings_meet_at_rare_landmarks(spark, monkeypatch):
+    """op6: places of rare landmarks make no pairs within a list (a row for each two of them before); links by rare, by common and by both kinds are kept."""
+    from evloom.llm import audio
+
+    rng = np.random.default_rng(11)
+    lists = [rng.integers(1, 1 << 31, 112).astype(np.uint32) for _ in range(40)]
+    for k in range(0, 40, 2):  # each shares one stretch of 20 with the list after the next, none an offset with 6 landmarks of a third
+        lists[(k + 2) % 40][60:80] = lists[k][20:40]
+    # Lists of a few landmarks: linked by a rare and a common one, at a place that each has once or often.
+    for k in range(12):
+        x = rng.integers(1, 1 << 31, 24).astype(np.uint32)
+        x[:3], x[10:13] = (5, 6, 7), (100 + k // 2, 6, 200 + k // 2)
+        lists += [x, np.concatenate([x[:3], x[10:13]]), np.tile(x[10:13], 5)]
+    want = {(i, j) for j, q in enumerate(lists) for i, p in enumerate(lists[:j]) if audio.linked(p, q, errors=1.0)}
+    assert len(want) > 20
+    made = []
+    monkeypatch.setattr(audio, "materialise", lambda df, name: made.append((name, df := df.cache())) or df)
+    for rare in (1, 3, 8, 99):
+        monkeypatch.setattr(audio, "RARE", rare)
+        out = audio.candidates(_prints(spark, lists))
+        assert want <= {(r.a, r.b) for r in out.collect()}
+    assert made[-1][0] == "stand" and made[-1][1].agg(F.max(F.size("l"))).first()[0] == 0 and made[-1][1].agg(F.max(F.size("shared"))).first()[0] > 30
+
+
 def _prints(spark, lists):
     return spark.createDataFrame([(k, x.view(np.int32).tolist()) for k, x in enumerate(lists)], "class_id long, prints array<int>")
 
