@@ -54,14 +54,17 @@ def validate_candidates(candidates: DataFrame, asked: DataFrame, cited: DataFram
     """
     ask = asked.distinct().join(passed.select("question_id", F.lit(True).alias("ok")).distinct(), "question_id", "left")
     ask = ask.groupBy("candidate").agg(F.count("*").alias("asked"), F.count("ok").alias("known"))
-    units = offered.groupBy("evidence_id").agg(F.first("paper_id").alias("paper_id"), F.first("evidence_type").alias("evidence_type"))
-    use = cited.distinct().join(units, "evidence_id")
-    own = use.join(offered.select("evidence_id", "question_id").distinct(), "evidence_id").join(asked.distinct(), ["candidate", "question_id"]).groupBy("candidate").agg(F.count("*").alias("own"))
-    use = use.groupBy("candidate").agg(F.count("*").alias("usable"), F.countDistinct("paper_id").alias("papers"), F.count_if(F.col("evidence_type").isin(*LIMITING)).alias("limits"))
-    out = candidates.join(ask, "candidate", "left").join(use, "candidate", "left").join(own, "candidate", "left").fillna(0, ["asked", "known", "usable", "papers", "limits", "own"])
+    # A citation takes its candidate's questions to the evidence, whose questions it meets there as a list: no row for each pair of them.
+    mine = asked.repartition("candidate").groupBy("candidate").agg(F.collect_set("question_id").alias("mine"))
+    units = offered.groupBy("evidence_id").agg(F.first("paper_id").alias("paper_id"), F.first("evidence_type").alias("evidence_type"), F.collect_set("question_id").alias("of"))
+    use = cited.repartition("candidate").distinct().join(mine, "candidate", "left").join(units, "evidence_id")
+    use = use.select("candidate", "paper_id", F.col("evidence_type").isin(*LIMITING).alias("limits"), F.arrays_overlap("mine", "of").alias("own"))
+    # Two papers are all that is asked for.
+    use = use.groupBy("candidate").agg(F.count("*").alias("usable"), (F.min("paper_id") != F.max("paper_id")).cast("int").alias("more"), F.count_if("limits").alias("limits"), F.count_if("own").alias("own"))
+    out = candidates.join(ask, "candidate", "left").join(use, "candidate", "left").fillna(0, ["asked", "known", "usable", "more", "limits", "own"])
     c = F.col
     rule = F.when(~F.coalesce(c("gap_type").isin(*GAP_TYPES), F.lit(False)), "UNSUPPORTED_GAP_TYPE").when((c("asked") < 1) | (c("known") < c("asked")), "UNKNOWN_QUESTION_ID").when(c("usable") < 1, "UNKNOWN_EVIDENCE_ID")
-    rule = rule.when(c("own") < 1, "EVIDENCE_NOT_LINKED_TO_CITED_QUESTION").when(c("contradicted"), "UNEXPECTED_CONTRADICTING_EVIDENCE").when(c("papers") < 2, "INSUFFICIENT_CANDIDATE_PAPER_SUPPORT").when(c("limits") < 1, "CANDIDATE_LACKS_LIMITATION_SIGNAL")
+    rule = rule.when(c("own") < 1, "EVIDENCE_NOT_LINKED_TO_CITED_QUESTION").when(c("contradicted"), "UNEXPECTED_CONTRADICTING_EVIDENCE").when(c("more") < 1, "INSUFFICIENT_CANDIDATE_PAPER_SUPPORT").when(c("limits") < 1, "CANDIDATE_LACKS_LIMITATION_SIGNAL")
     return out.select("candidate", rule.alias("reject"))
 
 

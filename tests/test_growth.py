@@ -125,6 +125,21 @@ def test_recordings_meet_at_rare_landmarks(spark, monkeypatch):
     assert made[-1][0] == "stand" and made[-1][1].agg(F.max(F.size("l"))).first()[0] == 0 and made[-1][1].agg(F.max(F.size("shared"))).first()[0] > 30
 
 
+def test_citations_meet_lists_of_questions(spark):
+    """DEC12: a row for each citation and each question of its evidence was shuffled before."""
+    from evloom.operators import gates
+
+    make = spark.createDataFrame
+    cand = make([(i, "boundary_gap", False) for i in range(1, 7)], "candidate int, gap_type string, contradicted boolean")
+    asked = make([(1, 1), (1, 1), (2, 2), (3, 1), (3, None), (4, 1), (5, 1), (6, 1), (None, 1)], "candidate int, question_id int")
+    cited = make([(1, 10), (1, 10), (1, 11), (2, 10), (3, 10), (4, None), (4, 99), (5, 11), (5, 13), (6, 11), (6, 12), (None, 10)], "candidate int, evidence_id int")
+    offered = make([(10, 1, 7, "limitation"), (10, 3, 7, "limitation"), (11, 1, 8, "method"), (11, None, 8, "method"), (12, 2, 9, "method"), (13, 1, None, "method")], "evidence_id int, question_id int, paper_id int, evidence_type string")
+    out = gates.validate_candidates(cand, asked, cited, make([(1,), (2,), (2,)], "question_id int"), offered)
+    few = "INSUFFICIENT_CANDIDATE_PAPER_SUPPORT"
+    assert {r.candidate: r.reject for r in out.collect()} == {1: None, 2: "EVIDENCE_NOT_LINKED_TO_CITED_QUESTION", 3: "UNKNOWN_QUESTION_ID", 4: "UNKNOWN_EVIDENCE_ID", 5: few, 6: "CANDIDATE_LACKS_LIMITATION_SIGNAL"}
+    assert "arrays_overlap" in _plan(out) and "Expand" not in _plan(out)
+
+
 def _prints(spark, lists):
     return spark.createDataFrame([(k, x.view(np.int32).tolist()) for k, x in enumerate(lists)], "class_id long, prints array<int>")
 
