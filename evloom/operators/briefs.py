@@ -141,10 +141,25 @@ def references(papers: DataFrame) -> DataFrame:
     return assemble(head.unionByName(numbered.select("task", F.lit(1).alias("section"), F.col("n").alias("place"), line.alias("line"))), "task", "list")
 
 
-def evidence_block(evidence: DataFrame, links: DataFrame) -> DataFrame:
-    """task, block: what a judge is shown of evidence (task, place, evidence_id, paper_id, type, claim, section, conditions as JSON, status), with the questions that links (evidence_id, question_id) name, in order."""
-    asked = links.where("question_id is not null").select("evidence_id", F.col("question_id").cast("string").alias("q")).distinct().groupBy("evidence_id").agg(F.array_join(F.array_sort(F.collect_list("q")), ", ").alias("questions"))
-    value = lambda c, other: F.coalesce(F.nullif(F.nullif(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("")), F.lit("{}")), F.lit(other)) if other else F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    parts = [F.concat(F.lit(head), value(c, other)) for head, c, other in BLOCK]
-    entry = F.concat_ws("\n", *parts, F.concat(F.lit("  Linked questions: "), "questions"))
-    return assemble(evidence.join(asked, "evidence_id", "left").select("task", F.lit(0).alias("section"), "place", entry.alias("line")), "task", "block")
+def evidence_block(evidence: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """task, block: what a judge is shown of evidence (task, place, evidence_id, paper_id, type, claim, section, conditions as JSON, status), with the questions that links (evidence_id, question_id) name, in order.
+
+    Evidence may hold asked, an array of questions that its own row names; they count for all rows of that evidence_id.
+    """
+    fields = ["task", "place", *(c for _, c, _ in BLOCK)]
+    named = F.filter(F.col("asked").cast("array<string>"), lambda q: q.isNotNull()) if "asked" in evidence.columns else F.array().cast("array<string>")
+    rows = evidence.select("evidence_id", F.struct(*fields).alias("e"), named.alias("asked"))
+    if links is not None:
+        rows = rows.unionByName(links.where("question_id is not null").select("evidence_id", F.array(F.col("question_id").cast("string")).alias("asked")), allowMissingColumns=True)
+    # Dealt before they are grouped: lists of single rows are wider than these.
+    by = rows.repartition("evidence_id").groupBy("evidence_id").agg(F.collect_list("e").alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("asked")))).alias("q"))
+    questions = F.when(F.col("evidence_id").isNotNull() & (F.size("q") > 0), F.array_join("q", ", ")).alias("questions")
+    # The text is made where it ends, from the fields.
+    shown = by.select(F.explode("e").alias("e"), questions).select("e.*", "questions").repartition("task").groupBy("task").agg(F.collect_list(F.struct(*fields[1:], "questions")).alias("l"))
+
+    def entry(x):
+        value = lambda c, other: F.coalesce(F.nullif(F.nullif(F.coalesce(x[c].cast("string"), F.lit("")), F.lit("")), F.lit("{}")), F.lit(other)) if other else F.coalesce(x[c].cast("string"), F.lit("None"))
+        return F.concat_ws("\n", *(F.concat(F.lit(head), value(c, other)) for head, c, other in BLOCK), F.concat(F.lit("  Linked questions: "), x["questions"]))
+
+    lines = F.array_sort(F.transform("l", lambda x: F.struct(x["place"].alias("place"), entry(x).alias("line"))))
+    return shown.select("task", F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("block"))

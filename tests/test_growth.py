@@ -140,6 +140,23 @@ def test_citations_meet_lists_of_questions(spark):
     assert "arrays_overlap" in _plan(out) and "Expand" not in _plan(out)
 
 
+def test_evidence_carries_its_questions(spark, tmp_path):
+    """RPT06: lines were numbered three times, links were a table of their own, and the text was shuffled; rows of one id share their questions, null ids have none."""
+    from evloom.operators import briefs
+
+    row = lambda task, place, i, asked: (task, place, i, 5, "method", None, "", "{}", None, asked)
+    kind = "task int, place int, evidence_id int, paper_id int, type string, claim string, section string, conditions string, status string, asked array<int>"
+    rows = [row(1, 2, 7, [4, None]), row(1, 1, 8, []), row(2, 1, 7, [11, 4]), row(2, 2, None, [3]), row(None, 1, 9, None)]
+    links = spark.createDataFrame([(8, "x"), (8, None), (7, "b"), (None, "y"), (99, "z")], "evidence_id int, question_id string")
+    got = {r.task: [x.split("  Linked questions: ")[1:] for x in r.block.split("- Evidence ID")[1:]] for r in briefs.evidence_block(spark.createDataFrame(rows, kind), links).collect()}
+    assert got == {1: [["x\n"], ["11, 4, b"]], 2: [["11, 4, b\n"], []], None: [[]]}
+    spark.createDataFrame([(1, 5, 1, 1, 1.0, 1.0, "d", "A", "F")], "l_orderkey int, l_partkey int, l_suppkey int, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate string, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    from evloom.plans import q_reports
+
+    plan = _plan(q_reports.RPT06_evidence_block(spark, str(tmp_path)))
+    assert plan.count("Exchange hashpartitioning") == 3 and "Join" not in plan
+
+
 def _prints(spark, lists):
     return spark.createDataFrame([(k, x.view(np.int32).tolist()) for k, x in enumerate(lists)], "class_id long, prints array<int>")
 
