@@ -19,6 +19,8 @@ from evloom.operators.shared import cut
 ATTEMPTS = 2
 #: Evidence of one request, characters of a claim that it shows, and relations that an answer may name (others become the first).
 BATCH, SHOWN, RELATIONS = 40, 200, ("supports", "contradicts", "partially_answers", "background")
+#: Evidence rows of one task, on average: so many rows, however little they take when packed, fit its sorts.
+ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -60,12 +62,16 @@ def ask(requests: DataFrame, by: list[str], provider: Callable[[DataFrame], Data
     return done
 
 
+def _tasks(evidence: DataFrame) -> int:
+    return -(-evidence.count() // ROWS) or 1
+
+
 def match_requests(questions: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (question_id, batch, prompt) and the numbered evidence (question_id, batch, index, evidence_id, evidence_type).
 
     questions: question_id, question, question_type.  evidence: question_id, evidence_id, evidence_type, claim.
     """
-    numbered = evidence.selectExpr("question_id", "evidence_id", "evidence_type", "claim", "row_number() over (partition by question_id order by evidence_id, evidence_type, claim) - 1 as n")
+    numbered = evidence.repartition(_tasks(evidence), "question_id").selectExpr("question_id", "evidence_id", "evidence_type", "claim", "row_number() over (partition by question_id order by evidence_id, evidence_type, claim) - 1 as n")
     numbered = numbered.selectExpr("question_id", f"cast(floor(n / {BATCH}) as int) as batch", f"cast(n % {BATCH} + 1 as int) as index", "evidence_id", "evidence_type", f"concat(n % {BATCH} + 1, '. [', evidence_type, '] ', left(replace(trim(coalesce(claim, '')), '\\n', ' '), {SHOWN})) as line")
     lists = numbered.groupBy("question_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     prompt = F.concat(F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit("\nType: "), F.coalesce("question_type", F.lit("")), F.lit("\n\nEvidence:\n"), "lines")
@@ -82,8 +88,10 @@ def match(questions: DataFrame, evidence: DataFrame, provider: Callable[[DataFra
     answers = cut(ask(requests, by, provider, MATCHES), "judged")
     found = answers.where("error is null").select(*by, "attempt", F.explode("answer.matches").alias("m")).select(*by, "attempt", "m.*")
     relation = F.when(F.col("relation").isin(*RELATIONS), F.col("relation")).otherwise(RELATIONS[0])
-    judged = found.join(numbered, [*by, "index"]).select("question_id", "evidence_id", relation.alias("relation"), F.coalesce("relevance", F.lit(0.5)).alias("relevance"), F.when(F.col("attempt") == 1, "judged").otherwise("retried").alias("via"))
-    left = numbered.join(answers.where("error is not null").select(*by), by).select("question_id", "evidence_id", "evidence_type")
+    # Spark would put packed rows together by their bytes, and a task would sort many times these.
+    n = _tasks(evidence)
+    judged = found.join(numbered.repartition(n, *by, "index"), [*by, "index"]).select("question_id", "evidence_id", relation.alias("relation"), F.coalesce("relevance", F.lit(0.5)).alias("relevance"), F.when(F.col("attempt") == 1, "judged").otherwise("retried").alias("via"))
+    left = numbered.repartition(n, *by).join(answers.where("error is not null").select(*by), by).select("question_id", "evidence_id", "evidence_type")
     return judged.unionByName(coverage.heuristic_match(questions, left).withColumn("via", F.lit("fallback")))
 
 
