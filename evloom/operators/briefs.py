@@ -50,66 +50,97 @@ def _number(column, pattern: str = "%.2f"):
     return F.coalesce(F.when(column.isNotNull(), F.format_string(pattern, F.bround(column.cast("double"), 2))), F.lit(NONE))
 
 
-def _lines(df: DataFrame, section: int, place, line) -> DataFrame:
-    """Places are (major, minor, minor) numbers; rows whose line is null give none."""
-    parts = [F.lit(x) if isinstance(x, int) else x for x in (*place, 0, 0)[:3]]
-    return df.select("task", F.lit(section).alias("section"), F.array(*(p.cast("long") for p in parts)).alias("place"), line.alias("line")).where("line is not null")
-
-
-def _empty(tasks: DataFrame, rows: DataFrame, section: int, line: str) -> DataFrame:
-    return _lines(tasks.join(rows.select("task").distinct(), "task", "left_anti"), section, (1,), F.lit(line))
+#: When a line is shown: always; as one of its section's own; only beside such, or only where there are none; as own, but only for a task that has a row.
+ALWAYS, OWN, BESIDE, INSTEAD, COUNTED = range(5)
 
 
-def brief(tasks: DataFrame, questions: DataFrame, coverage: DataFrame, papers: DataFrame, roles: DataFrame, evidence: DataFrame, gaps: DataFrame, plans: DataFrame, steps: DataFrame) -> DataFrame:
+def _line(section: int, place, line, shown: int = ALWAYS):
+    """Places are (major, minor, minor) numbers; a line that is null is none."""
+    parts = [F.lit(x) if isinstance(x, int) else x for x in (*place, 0, 0)[:3]]
+    line = F.lit(line) if isinstance(line, str) else line
+    return F.struct(F.lit(section).alias("section"), F.array(*(p.cast("long") for p in parts)).alias("place"), line.alias("line"), F.lit(shown).alias("shown"))
+
+
+def _lines(df: DataFrame, *lines, more=None) -> DataFrame:
+    """All lines that rows give, from one pass over them; more is an array of further ones."""
+    every = F.array(*lines)
+    return df.select("task", F.inline(every if more is None else F.concat(every, more))).where("line is not null")
+
+
+def _papers(papers: DataFrame, roles: DataFrame | None, evidence: DataFrame | None) -> DataFrame:
+    """task, all, scored, high, covered, roles (role, n): sums by role and distinct papers of evidence from one pass over each relation."""
+    listed = [F.lit(1).alias("all"), F.col("priority").isNotNull().cast("int").alias("scored"), F.coalesce((F.col("priority") == "high").cast("int"), F.lit(0)).alias("high")]
+    none = [F.lit(0).alias(c) for c in ("all", "scored", "high")]
+    unlisted, unread = F.lit(0).alias("held"), F.lit(None).cast("string").alias("role")
+    if roles is None and evidence is None:
+        paper = F.col("paper_id").alias("paper")
+        no_paper = F.when(F.lit(False), F.col("paper_id")).alias("paper")
+        parts = [papers.select("task", F.inline(F.array(F.struct(F.col("role").cast("string").alias("role"), no_paper, *listed, F.lit(1).alias("held")), F.struct(unread, paper, *none, unlisted))))]
+    else:
+        parts = [papers.select("task", unread, *listed, unlisted), roles.select("task", F.col("role").cast("string").alias("role"), *none, F.lit(1).alias("held")), evidence.select("task", unread, F.col("paper_id").alias("paper"), *none, unlisted)]
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x, allowMissingColumns=True)
+    sums = [F.sum(c).alias(c) for c in ("all", "scored", "high")]
+    by = rows.groupBy("task", "role", "paper").agg(*sums, F.sum("held").alias("held"))
+    return by.groupBy("task").agg(*sums, F.count("paper").alias("covered"), F.array_sort(F.collect_list(F.when(F.col("held") > 0, F.struct("role", F.col("held").alias("n"))))).alias("roles"))
+
+
+def brief(tasks: DataFrame, questions: DataFrame, coverage: DataFrame, papers: DataFrame, roles: DataFrame | None, evidence: DataFrame | None, gaps: DataFrame, plans: DataFrame, steps: DataFrame) -> DataFrame:
     """task, brief: the six sections of a landscape brief for each task.
 
     tasks: task, topic, explanation (of how it ended; null: no such section).  questions: task, question_id, question, importance, status.  coverage: question_id, round, score, unavailable,
-    quality, saturation; the last round counts.  papers: task, paper_id, priority (null: not scored).  roles: task, role.  evidence: task, evidence_id, paper_id, type, claim, status.
+    quality, saturation; the last round counts.  papers: task, paper_id, priority (null: not scored).  roles: task, role.  evidence: task, evidence_id, paper_id, type, claim, status; where rows of
+    papers are also a role and evidence each, papers holds these columns and both are None.
     gaps: task, gap_id, canonical, version, created, status, complete, description, nearest, residual, confidence, stability, families; the last version of a canonical one counts.
-    plans: gap_id and the columns of PLAN.  steps: task, place, step.  Of equal ranks the lower id comes first.
+    plans: gap_id and the columns of PLAN.  steps: task, place, step.  Of equal ranks the lower id comes first.  Each relation is read once, papers that hold evidence twice.
     """
-    out = [_lines(tasks, 0, (0,), F.lit(TITLE)), _lines(tasks, 0, (1,), F.format_string(TOPIC.replace("{}", "%s"), F.coalesce(F.nullif("topic", F.lit("")), F.lit(NO_TOPIC))))]
-    told = tasks.where("explanation is not null")
-    out += [_lines(told, 1, (0,), F.lit(HEADINGS[0])), _lines(told, 1, (1,), F.concat("explanation", F.lit("\n")))]
-    out += [_lines(tasks, s, (0,), F.lit(HEADINGS[s - 1])) for s in range(2, 7)]
+    topic = F.format_string(TOPIC.replace("{}", "%s"), F.coalesce(F.nullif("topic", F.lit("")), F.lit(NO_TOPIC)))
+    fixed = _lines(
+        tasks, _line(0, (0,), TITLE), _line(0, (1,), topic), _line(1, (0,), F.when(F.col("explanation").isNotNull(), HEADINGS[0])), _line(1, (1,), F.concat("explanation", F.lit("\n"))), *(_line(s, (0,), HEADINGS[s - 1]) for s in range(2, 7)),
+        _line(2, (1,), NO_QUESTIONS, INSTEAD), *(_line(2, (1, k), x, BESIDE) for k, x in enumerate(TABLE_HEAD)), _line(2, (3,), "", BESIDE), _line(3, (1,), PAPERS % (0, 0, 0, 0), INSTEAD),
+        _line(4, (1,), NO_LIMITS, INSTEAD), _line(5, (1,), NO_GAPS, INSTEAD), _line(6, (2,), ""),
+    )
 
     last = coverage.groupBy("question_id").agg(F.max_by(F.struct("score", "unavailable", "quality", "saturation"), "round").alias("c"))
     q = questions.join(last, "question_id", "left").withColumn("n", F.expr("row_number() over (partition by task order by importance desc nulls last, question_id)"))
     score = F.when((F.coalesce("c.score", F.lit(0.0)) == 0) & (F.coalesce("c.unavailable", F.lit("")) != ""), F.format_string(UNAVAILABLE.replace("{}", "%s"), F.left("c.unavailable", F.lit(20)))).otherwise(_number(F.col("c.score")))
     cells = [F.replace(F.left(F.coalesce("question", F.lit("")), F.lit(60)), F.lit("|"), F.lit("/")), _number(F.col("importance")), F.coalesce(F.nullif("status", F.lit("")), F.lit(NONE)), score, _number(F.col("c.quality")), F.when(F.col("c").isNull(), NONE).otherwise(_word(F.col("c.saturation"), SATURATION, F.lit(NONE)))]
-    asked = tasks.join(q.select("task").distinct(), "task", "left_semi")
-    out += [_empty(tasks, q, 2, NO_QUESTIONS), _lines(q, 2, (2, F.col("n")), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))), _lines(asked, 2, (3,), F.lit(""))]
-    out += [_lines(asked, 2, (1, k), F.lit(x)) for k, x in enumerate(TABLE_HEAD)]
-
-    counts = papers.groupBy("task").agg(F.count("*").alias("all"), F.count("priority").alias("scored"), F.expr("count_if(priority = 'high')").alias("high"))
-    counts = tasks.select("task").join(counts, "task", "left").join(evidence.groupBy("task").agg(F.countDistinct("paper_id").alias("covered")), "task", "left").na.fill(0)
-    by_role = roles.groupBy("task", "role").agg(F.count("*").alias("n")).groupBy("task").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role", "n"))), lambda x: F.concat(x["role"], F.lit(": "), x["n"].cast("string"))), ROLES[1]).alias("r"))
-    out += [
-        _lines(counts, 3, (1,), F.format_string(PAPERS, "all", "scored", "high", "covered")), _lines(counts.where("all > scored"), 3, (2,), F.format_string(UNSCORED, F.col("all") - F.col("scored"))),
-        _lines(by_role, 3, (3,), F.concat(F.lit(ROLES[0]), "r", F.lit(ROLES[2]))),
-    ]
+    asked = _lines(q, _line(2, (2, F.col("n")), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")), OWN))
+
+    by_role = F.array_join(F.transform("roles", lambda x: F.concat(x["role"], F.lit(": "), x["n"].cast("string"))), ROLES[1])
+    counts = _lines(
+        _papers(papers, roles, evidence), _line(3, (1,), F.format_string(PAPERS, "all", "scored", "high", "covered"), COUNTED), _line(3, (2,), F.when(F.col("all") > F.col("scored"), F.format_string(UNSCORED, F.col("all") - F.col("scored"))), COUNTED),
+        _line(3, (3,), F.when(F.size("roles") > 0, F.concat(F.lit(ROLES[0]), by_role, F.lit(ROLES[2])))),
+    )
 
+    evidence = papers if evidence is None else evidence
     limits = evidence.where(F.col("type").isin(*LIMITING) & ~F.coalesce(F.col("status"), F.lit("")).isin(*DISMISSED)).withColumn("n", F.expr("row_number() over (partition by task order by evidence_id)")).where(F.col("n") <= min(TAKEN, SHOWN))
-    out += [_empty(tasks, limits, 4, NO_LIMITS), _lines(limits, 4, (1, F.col("n")), F.concat(F.lit("- ["), "type", F.lit("] "), _flat(F.col("claim"), 150))), _lines(limits.select("task").distinct(), 4, (2,), F.lit(""))]
+    limiting = _lines(limits, _line(4, (1, F.col("n")), F.concat(F.lit("- ["), "type", F.lit("] "), _flat(F.col("claim"), 150)), OWN), _line(4, (2,), F.when(F.col("n") == 1, "")))
 
     g = heads(gaps.where("status != 'superseded'"), "canonical", "version", "created").withColumn("n", F.expr("row_number() over (partition by task order by created, gap_id)"))
-    of = lambda s: F.expr(f"count_if(status = '{s}')")
-    totals = g.groupBy("task").agg(F.count("*").alias("all"), of("surviving").alias("s"), of("rejected").alias("r"), of("inconclusive").alias("i"))
-    shown = g.where(F.col("n") <= GAPS_SHOWN)
+    of = {"all": "count(*)"} | {k: f"count_if(status = '{v}')" for k, v in (("s", "surviving"), ("r", "rejected"), ("i", "inconclusive"))}
+    g = g.withColumns({k: F.expr(f"{v} over (partition by task)") for k, v in of.items()}).where(F.col("n") <= GAPS_SHOWN)
+    # A gap's plans come as a list, so that its own lines are made once.
+    shown = g.join(plans.groupBy("gap_id").agg(F.collect_list(F.struct(*(c for c, _, _ in PLAN))).alias("plans")), "gap_id", "left")
+    first, survives, n = F.col("n") == 1, F.col("status") == "surviving", F.col("n")
+    known = survives & (F.coalesce("nearest", F.lit("")) != "")
     head = F.concat(F.lit("- ["), _word(F.col("status"), STATUS, F.col("status")), F.lit("]["), F.when(F.col("complete"), TIERS[0]).otherwise(TIERS[1]), F.lit("]"), F.when(F.col("version") > 1, F.concat(F.lit(" v"), F.col("version").cast("string"))).otherwise(""), F.lit(" "), _flat(F.col("description"), 120))
-    known = shown.where("status = 'surviving' and coalesce(nearest, '') != ''")
     confidence = F.concat(F.lit(SEARCHED), _word(F.col("confidence"), CONFIDENCE, F.lit(UNKNOWN)), F.when(F.col("stability").isNotNull(), F.format_string(STABLE, F.bround("stability", 2))).otherwise(""), F.when(F.col("families").isNotNull(), F.format_string(FAMILIES, F.bround(F.col("families") * 100, 0))).otherwise(""))
-    planned = shown.where("status = 'surviving'").join(plans, "gap_id")
-    out += [
-        _empty(tasks, g, 5, NO_GAPS), _lines(totals, 5, (1,), F.format_string(GAPS, "all", "s", "r", "i", F.col("all") - F.col("s") - F.col("r") - F.col("i"))), _lines(shown, 5, (2, F.col("n"), 0), head),
-        _lines(known, 5, (2, F.col("n"), 1), F.concat(F.lit(PRIOR), "nearest")), _lines(known.where("coalesce(residual, '') != ''"), 5, (2, F.col("n"), 2), F.concat(F.lit(RESIDUAL), _flat(F.col("residual"), 200))), _lines(known, 5, (2, F.col("n"), 3), confidence),
-        *(_lines(planned if always else planned.where(F.coalesce(F.col(c), F.lit("")) != ""), 5, (2, F.col("n"), 4 + k), F.concat(F.lit(f"  - {label}: "), _flat(F.col(c), 140))) for k, (c, label, always) in enumerate(PLAN)),
-        _lines(totals, 5, (3,), F.lit("")), _lines(steps, 6, (1, F.col("place")), F.concat(F.lit("- "), "step")), _lines(tasks, 6, (2,), F.lit("")),
-    ]
-    every = out[0]
-    for x in out[1:]:
+    planned = F.flatten(F.transform(F.when(survives & F.col("plans").isNotNull(), F.col("plans")).otherwise(F.slice("plans", 1, 0)), lambda x: F.array(*(_line(5, (2, n, 4 + k), F.when(F.lit(always) | (F.coalesce(x[c], F.lit("")) != ""), F.concat(F.lit(f"  - {label}: "), _flat(x[c], 140)))) for k, (c, label, always) in enumerate(PLAN)))))
+    candidates = _lines(
+        shown, _line(5, (1,), F.when(first, F.format_string(GAPS, "all", "s", "r", "i", F.col("all") - F.col("s") - F.col("r") - F.col("i")))), _line(5, (2, n, 0), head, OWN),
+        _line(5, (2, n, 1), F.when(known, F.concat(F.lit(PRIOR), "nearest"))), _line(5, (2, n, 2), F.when(known & (F.coalesce("residual", F.lit("")) != ""), F.concat(F.lit(RESIDUAL), _flat(F.col("residual"), 200)))), _line(5, (2, n, 3), F.when(known, confidence)),
+        _line(5, (3,), F.when(first, "")), more=F.coalesce(planned, F.array().cast("array<struct<section int, place array<bigint>, line string, shown int>>")),
+    )
+
+    every = fixed
+    for x in (asked, counts, limiting, candidates, _lines(steps, _line(6, (1, F.col("place")), F.concat(F.lit("- "), "step")))):
         every = every.unionByName(x)
-    return assemble(every, "task", "brief")
+    by = every.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("section", "place", "line", "shown"))).alias("l"))
+    by = by.select("task", "l", F.array_distinct(F.transform(F.filter("l", lambda x: x["shown"].isin(OWN, COUNTED)), lambda x: x["section"])).alias("own"), F.exists("l", lambda x: x["section"] == 0).alias("named"))
+    fits = lambda x: F.when(x["shown"] == BESIDE, F.array_contains("own", x["section"])).when(x["shown"] == INSTEAD, ~F.array_contains("own", x["section"])).when(x["shown"] == COUNTED, F.col("named")).otherwise(True)
+    return by.select("task", F.array_join(F.transform(F.filter("l", fits), lambda x: x["line"]), "\n").alias("brief"))
 
 
 def index_page(pages: DataFrame) -> DataFrame:

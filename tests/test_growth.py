@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evloom.operators import graph, similar, vectors
-from evloom.plans import q_domain, q_identity, q_ranking
+from evloom.operators import briefs, graph, similar, vectors
+from evloom.plans import q_domain, q_identity, q_ranking, q_reports
 
 
 def _plan(df) -> str:
@@ -223,3 +223,26 @@ def test_corpus_neighbours_follow_the_pairs(spark, monkeypatch):
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(got) == rows(plain) and got.count() > 300
     assert got.rdd.getNumPartitions() == 31  # 310 pairs
+
+
+def test_brief_reads_each_relation_once(spark):
+    """Customers are read as tasks and steps (twice), orders and lines once for each relation and twice for evidence; rows that are paper, role and evidence give what three relations give."""
+    d = "/root/testdata/sf0.001"
+    out = q_reports.RPT01_landscape_brief(spark, d)
+    assert _plan(out).count("FileScan parquet") <= 11
+    tasks = spark.createDataFrame([(1, None, None), (2, "T", "over")], "task int, topic string, explanation string")
+    found = spark.createDataFrame(
+        [(1, 7, "high", "survey", 1, "limitation", "a\nb", None), (1, 7, None, "bench", 2, "result", "c", None), (1, 8, "low", None, 3, "future_work", None, "rejected"), (1, None, None, "bench", 4, "limitation", None, None), (9, 5, "high", "survey", 5, "limitation", "x", None)],
+        "task int, paper_id int, priority string, role string, evidence_id int, type string, claim string, status string",
+    )
+    none = lambda schema: spark.createDataFrame([], schema)
+    questions, coverage, steps = none("task int, question_id int, question string, importance double, status string"), none("question_id int, round int, score double, unavailable string, quality double, saturation string"), none("task int, place int, step string")
+    gaps = spark.createDataFrame([(2, 6, 1, 1, 2, "surviving", False, "g", "P", None, None, None, None), (2, 7, 2, 1, 3, "odd", None, None, None, None, None, None, None)], "task int, gap_id int, canonical int, version int, created int, status string, complete boolean, description string, nearest string, residual string, confidence string, stability double, families double")
+    plans = spark.createDataFrame([(6, "p1", None, None, "e1", None, None), (6, "p2", "", None, None, None, None), (7, "p3", None, None, None, None, None)], "gap_id int, " + ", ".join(f"{c} string" for c, *_ in briefs.PLAN))
+    one = {r.task: r.brief for r in briefs.brief(tasks, questions, coverage, found, None, None, gaps, plans, steps).collect()}
+    three = briefs.brief(tasks, questions, coverage, found.select("task", "paper_id", "priority"), found.select("task", "role"), found.select("task", "evidence_id", "paper_id", "type", "claim", "status"), gaps, plans, steps)
+    assert one == {r.task: r.brief for r in three.collect()}
+    assert "入库论文 4 篇，其中完成评分 2 篇（高优先级 1 篇），已抽取证据覆盖 2 篇。\n\n另有 2 篇" in one[1] and "论文角色分布：bench: 2，survey: 1。" in one[1] and "- [limitation] a b\n- [limitation] \n\n" in one[1] and briefs.NO_GAPS in one[1]
+    assert "入库论文 0 篇" in one[2] and briefs.NO_LIMITS in one[2] and "论文角色" not in one[2] and "候选 Gap 共 2 个：存活 1，被驳回 0" in one[2] and one[2].count("- [存活][B(摘要级)] g") == 1
+    assert "待验证现象: p1\n  - 待验证现象: p2\n  - 证伪实验: \n  - 证伪实验: e1\n- [odd]" in one[2] and "p3" not in one[2]
+    assert one[9] == "论文角色分布：survey: 1。\n\n- [limitation] x\n"
