@@ -8,7 +8,7 @@ order 1 (two followers of the id before) and order 0 (all ids' counts) each give
 probability is their sum under weights that adapt, for each class of the contexts' recent success, by the share that each
 order had in the ids that came.  The range coder, an asymmetric one whose lanes share one run of words, codes which of the named
 followers came, each with its mixed probability, order 0's part included, or that none did; then the id by order 0, in which the named ones keep
-their places: taking them out cost a quarter of the time and saved 0.03 bits an id.
+their places: taking them out took 18 to 26 % more time and saved 0.03 bits an id.
 """
 
 from __future__ import annotations
