@@ -1,11 +1,15 @@
 """What queries shuffle, and that lean forms give the same rows on odd input."""
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evloom.operators import briefs, graph, similar, vectors
 from evloom.plans import q_domain, q_identity, q_ranking, q_reports
+from tests.test_texts import distance
 
 
 def _plan(df) -> str:
@@ -246,3 +250,28 @@ def test_brief_reads_each_relation_once(spark):
     assert "入库论文 0 篇" in one[2] and briefs.NO_LIMITS in one[2] and "论文角色" not in one[2] and "候选 Gap 共 2 个：存活 1，被驳回 0" in one[2] and one[2].count("- [存活][B(摘要级)] g") == 1
     assert "待验证现象: p1\n  - 待验证现象: p2\n  - 证伪实验: \n  - 证伪实验: e1\n- [odd]" in one[2] and "p3" not in one[2]
     assert one[9] == "论文角色分布：survey: 1。\n\n- [limitation] x\n"
+
+
+@pytest.mark.parametrize("percent", [95, 80])
+def test_texts_meet_without_being_shuffled_by_gram(spark, percent):
+    """Each trigram of a prefix was a row that held the text and the whole prefix before. Texts here share a passage, repeat grams and differ by as much as is allowed, or by one edit more."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghé😀") for _ in range(n))
+    passage, texts = word(40), ["a" * 44, "a" * 46, "ab" * 21, "ab" * 22]
+    for n in (4, 5, 8, 10, 19, 20, 21, 39, 40, 41, 61, 80):
+        t = passage[: n // 2] + word(n - n // 2)
+        most = (n * (100 - percent) - 1) // 100
+        for edits in (most, most + 1):
+            changed = list(t)
+            for at in rng.sample(range(n), edits):
+                changed[at] = rng.choice(["#", ""])
+            texts.append("".join(changed))
+        texts.append(t)
+    texts = list(dict.fromkeys(texts))
+    want = {}
+    for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):
+        if 100 * abs(len(a) - len(b)) < (100 - percent) * max(len(a), len(b)) and 100 * (k := distance(a, b)) < (100 - percent) * max(len(a), len(b)):
+            want[i, j] = k
+    out = similar.links(spark.createDataFrame(list(enumerate(texts)), "rep long, t string"), percent)
+    assert "Generate" not in _plan(out)
+    assert {(r.a, r.b): r.distance for r in out.collect()} == want and len(want) > 5
