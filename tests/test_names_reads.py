@@ -83,3 +83,20 @@ def test_known_names_of_every_kind(spark):
 
     stands = lambda t, n: re.search(rf"(?<![a-z0-9]){re.escape(n)}(?![a-z0-9])", t) if len(n) <= 4 else n in t
     assert got == {(i, w) for i, t in enumerate(bodies) if t for w in wanted if w != "--" and stands(t.lower(), w.lower())}
+
+
+def test_texts_are_dealt_once(spark, monkeypatch):
+    """Each run of each text was a row of a shuffle, and names were gathered by text in another one. Small blocks here, long runs, runs that only their middle fits, other scripts and marks."""
+    for name, n in (("BLOCK", 200), ("HELD", 5)):
+        monkeypatch.setattr(names, name, n, raising=False)
+    rng = random.Random(8)
+    wanted = ["Abcdefgh", "Bcdef", "Efg", "Abc", "Cde-f", "Bcd on", "Ü", "Éa", "C-d", "On", "Gh", "中文", "Def gh-a", "²x", "İzmir"]
+    parts = ["abcdefgh", "xabcdefghx" * 3, "abc", "cde-f", "abcd on", "bcd onto", "ü", "éa", "éabc", "c-d", "c-de", "gh", "abc_efg", "on", "中文字", "def gh-a", "²x", "İZMİR", "ABC", "éefg"]
+    bodies = [rng.choice([" ", "_", ", "]).join(rng.choices(parts, k=rng.randint(0, 7))) for _ in range(80)] + [None, "", "abc"]
+    out = names.known_names(spark.createDataFrame(list(enumerate(bodies)), "id int, body string"), spark.createDataFrame([(w,) for w in wanted], "n string"), "id", "body", "n")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    stands = lambda t, n: re.search(rf"(?<![a-z0-9]){re.escape(n)}(?![a-z0-9])", t) if len(n) <= 4 else n in t
+    want = {(i, w) for i, t in enumerate(bodies) if t for w in wanted if stands(t.lower(), w.lower())}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "hashpartitioning(_k" not in plan
