@@ -275,3 +275,17 @@ def test_texts_meet_without_being_shuffled_by_gram(spark, percent):
     out = similar.links(spark.createDataFrame(list(enumerate(texts)), "rep long, t string"), percent)
     assert "Generate" not in _plan(out)
     assert {(r.a, r.b): r.distance for r in out.collect()} == want and len(want) > 5
+
+
+def test_pairs_meet_semantic_ones_where_they_are_counted(spark, monkeypatch):
+    """All citation pairs were shuffled and sorted for a full join with the semantic ones before."""
+    monkeypatch.setattr(graph, "MET", 1, raising=False)
+    rows = [(1, 7), (2, 7), (3, 7), (1, 8), (3, 8), (3, 8), (4, 9), (None, 8), (2, None)]
+    edges = spark.createDataFrame(rows, "s long, p long")
+    semantic = spark.createDataFrame([(1, 2, 0.5), (2, 9, 0.25), (3, 4, -0.5)], "a int, b int, sim double")
+    out = graph.fused_edges(edges, "s", "p", semantic)
+    assert "FullOuter" not in _plan(out) and "Exchange hashpartitioning(b" not in _plan(out)
+    want = {(r.a, r.b): r.sim for r in graph.fused(graph.shared_neighbours(edges, "s", "p"), semantic).collect()}
+    got = [tuple(r) for r in out.collect()]
+    assert {(a, b): pytest.approx(sim) for a, b, sim in got} == want and len(got) == len(want) == 5
+    assert {(r.a, r.b) for r in graph.fused_edges(edges.limit(0), "s", "p", semantic).collect()} == {(1, 2), (2, 9), (3, 4)}
