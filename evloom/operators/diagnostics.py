@@ -2,13 +2,18 @@
 
 All stages stand in one index of (candidate, family, query, entries of stage, item and rank), shuffled by family once.  Two variants have an item in common
 at depth k if the larger of its two ranks is below k, so meeting by item gives the common counts of all depths, and pairs without a common item are never
-made: they are counted, and medians are taken over counts of distinct values with those zeros in front.
+made: they are counted, and medians are taken over the others' values with those zeros in front.
 """
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evloom import functions as fn
 
@@ -59,53 +64,88 @@ def search_index(queries: DataFrame, raw: DataFrame, kept: DataFrame, scores: Da
     return found.unionByName(left).where("size(entries) > 0")
 
 
+def _family(variants: list) -> list[dict]:
+    """at (stage x 100 + k), jaccard, overlap of a family, given as a list of entries (stage, item, rank) for each variant.
+
+    Only pairs that have an item in common are made; the others are counted."""
+    stages = {}
+    for q, entries in enumerate(variants):
+        for stage, item, rank in entries:
+            sizes, where = stages.setdefault(stage, ({}, {}))
+            mine = sizes.setdefault(q, [0] * len(DEPTHS))
+            for i, k in enumerate(DEPTHS):
+                mine[i] += rank < k
+            if item is not None:
+                where.setdefault(item, []).append((q, rank))
+    out = []
+    for stage, (sizes, where) in stages.items():
+        if len(sizes) < 2:
+            continue
+        met = {}
+        for l in where.values():
+            for (x, r), (y, t) in itertools.combinations(l, 2):
+                common = met.setdefault((x, y), [0] * len(DEPTHS))
+                for i, k in enumerate(DEPTHS):
+                    common[i] += max(r, t) < k
+        for i, k in enumerate(DEPTHS):
+            n = sum(s[i] > 0 for s in sizes.values())
+            if n > 1:
+                pairs = [(b[i], sizes[x][i], sizes[y][i]) for (x, y), b in met.items() if b[i]]
+                total = n * (n - 1) // 2
+                middle = lambda v: sum(0.0 if at < total - len(v) else v[at - total + len(v)] for at in ((total - 1) // 2, total // 2)) / 2  # noqa: B023, E731
+                out.append({"at": 100 * stage + k, "jaccard": middle(sorted(b / (x + y - b) for b, x, y in pairs)), "overlap": middle(sorted(b / min(x, y) for b, x, y in pairs))})
+    return out
+
+
+def _families(batches):
+    """candidate, family, m: medians of each family of rows (candidate, family, query_id, entries) that are sorted by family; one family is held at a time."""
+    now, variants, types = None, {}, None
+    done = []
+
+    def rows():
+        keys, medians = zip(*done, strict=True)
+        made = pa.array(medians, pa.list_(pa.struct([("at", pa.int32()), ("jaccard", pa.float64()), ("overlap", pa.float64())])))
+        return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(zip(*keys, strict=True), types, strict=True)), made], ["candidate", "family", "m"])
+
+    def end():
+        if len(variants) > 1 and (m := _family(list(variants.values()))):
+            done.append((now, m))
+
+    for batch in batches:
+        types = [batch.column(c).type for c in ("candidate", "family")]
+        lists = batch.column("entries")
+        x, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy()).tolist()
+        entries = list(zip(*(x.field(c).to_pylist() for c in ("stage", "item", "rank")), strict=True))
+        begin = 0
+        for key, q, to in zip(zip(*(batch.column(c).to_pylist() for c in ("candidate", "family")), strict=True), batch.column("query_id").to_pylist(), ends, strict=True):
+            if key != now:
+                end()
+                now, variants = key, {}
+            variants.setdefault(q, []).extend(entries[begin:to])
+            begin = to
+        if done:
+            yield rows()
+            done = []
+    end()
+    if done:
+        yield rows()
+
+
 def waterfall(queries: DataFrame, index: DataFrame) -> DataFrame:
     """candidate, family, stage, k, queries, jaccard, overlap: medians over pairs of a family's variants that have items at that stage.
 
-    Every family has a row for each stage and depth; the medians are null where fewer than two variants have items.  The index is shuffled once, by family: variants meet at
-    their common items, and a row of no item counts them.
+    Every family has a row for each stage and depth; the medians are null where fewer than two variants have items.  The index is shuffled and sorted by family once, and gone through a family at a time.
     """
-    by = ["candidate", "family", "stage"]
-    sized = lambda k: F.count_if(F.col("x.rank") < k).cast("int").alias(f"s{k}")
-    lists = index.repartition("candidate", "family").select("candidate", "family", "query_id", F.explode("entries").alias("x"))
-    lists = lists.groupBy("candidate", "family", "query_id", F.col("x.stage").alias("stage")).agg(F.collect_list(F.struct("x.item", "x.rank")).alias("items"), *map(sized, DEPTHS))
-    sizes = [f"s{k}" for k in DEPTHS]
-    # Every list meets at its items, and once more, without an item, to be counted.
-    at = lists.select(*by, "query_id", *sizes, F.explode(F.expr("concat(array(struct(cast(null as string) as item, -1 as rank)), filter(items, x -> x.item is not null))")).alias("x"))
-    counted = [F.count_if((F.col("x.rank") < 0) & (F.col(f"s{k}") > 0)).alias(f"n{k}") for k in DEPTHS]
-    met = at.groupBy(*by, F.col("x.item").alias("item")).agg(F.sort_array(F.collect_list(F.expr(f"case when x.rank >= 0 then struct(query_id as q, x.rank as r, {', '.join(sizes)}) end"))).alias("l"), *counted)
-    met = met.where("item is null or size(l) > 1")
-    sides = ", ".join(f"x.{s} as x{s}, y.{s} as y{s}" for s in sizes)
-    none = ", ".join(f"cast(null as int) as x{s}, cast(null as int) as y{s}" for s in sizes)
-    kind = dict(index.dtypes)["query_id"]
-    pairs = f"transform(slice(l, i + 2, size(l)), y -> struct(x.q as qx, y.q as qy, greatest(x.r, y.r) as r, {sides}))"
-    count = f"array(struct(cast(null as {kind}) as qx, cast(null as {kind}) as qy, -1 as r, {none}))"
-    # One list at a time, so that an item that many variants have makes no row of all its pairs.
-    sided = met.select(*by, *(f"n{k}" for k in DEPTHS), "l", F.posexplode_outer("l").alias("i", "x"))
-    pairs = sided.select(*by, *(f"n{k}" for k in DEPTHS), F.explode(F.expr(f"case when i is null then {count} else {pairs} end")).alias("p"))
-    pairs = pairs.groupBy(*by, "p.qx", "p.qy").agg(*(F.count_if(F.col("p.r").between(0, k - 1)).alias(f"b{k}") for k in DEPTHS), *(F.max(f"p.{side}s{k}").alias(f"{side}{k}") for k in DEPTHS for side in "xy"), *(F.max(F.when(F.col("p.r") < 0, F.col(f"n{k}"))).alias(f"n{k}") for k in DEPTHS))
-    # v is null in the row that holds the number of variants with items.
-    values = ", ".join(f"struct({k} as k, '{m}' as m, case when b{k} > 0 then {v} end as v, n{k} as n)" for k in DEPTHS for m, v in (("jaccard", f"b{k} / (x{k} + y{k} - b{k})"), ("overlap", f"b{k} / least(x{k}, y{k})")))
-    values = pairs.select(*by, F.explode(F.expr(f"filter(array({values}), x -> x.v is not null or x.n is not null)")).alias("x")).select(*by, "x.*")
-    return _grid(queries, _medians(values, by)).select(*by, "k", "queries", "jaccard", "overlap")
-
-
-def _medians(values: DataFrame, by: list[str]) -> DataFrame:
-    """by, k, jaccard, overlap: medians over rows (by, k, m, v; and one with a null v and the number n of variants), pairs that were not met counted as 0."""
-    keys = ", ".join([*by, "k", "m"])
-    c = values.groupBy(*by, "k", "m", "v").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    # Pairs without a common item: all pairs of variants with items, less those that were met.
-    c = c.selectExpr("*", f"sum(case when v is not null then c end) over (partition by {keys} order by v rows between unbounded preceding and current row) as met", f"max(n * (n - 1) div 2) over (partition by {keys}) as total", f"sum(case when v is null then 0 else c end) over (partition by {keys}) as every")
-    c = c.selectExpr("*", "total - every as zeros").where("total > 0")
-    at = lambda place: f"case when max(zeros) > max({place}) then 0.0D else min(case when v is not null and zeros + met > {place} then v end) end"
-    medians = c.groupBy(*by, "k", "m").agg(F.expr(f"({at('floor((total - 1) / 2)')} + {at('floor(total / 2)')}) / 2").alias("median"))
-    return medians.groupBy(*by, "k").agg(*(F.max(F.when(F.col("m") == m, F.col("median"))).alias(m) for m in ("jaccard", "overlap")))
+    lists = index.select("candidate", "family", "query_id", "entries").repartition("candidate", "family").sortWithinPartitions("candidate", "family")
+    m = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("jaccard", T.DoubleType()), T.StructField("overlap", T.DoubleType())]))
+    medians = lists.mapInArrow(_families, T.StructType([index.schema["candidate"], index.schema["family"], T.StructField("m", m)]))
+    return _grid(queries, medians).select("candidate", "family", "stage", "k", "queries", "jaccard", "overlap")
 
 
 def _grid(queries: DataFrame, medians: DataFrame) -> DataFrame:
     """A row for each family, stage and depth, with the medians there are; families meet them once, not once a row."""
     families = queries.where("candidate is not null and family is not null").groupBy("candidate", "family").agg(F.countDistinct("query_id").alias("queries"))
-    lists = medians.groupBy("candidate", "family").agg(F.map_from_entries(F.collect_list(F.expr("struct(stage * 100 + k as at, struct(jaccard, overlap) as m)"))).alias("at"))
+    lists = medians.select("candidate", "family", F.expr("map_from_entries(transform(m, x -> struct(x.at, struct(x.jaccard, x.overlap))))").alias("at"))
     grid = F.expr("array(" + ", ".join(f"struct('{name}' as stage, {k} as k, at[{100 * i + k}] as m)" for i, name in enumerate(STAGES) for k in DEPTHS) + ")")
     return families.join(lists, ["candidate", "family"], "left").select("candidate", "family", "queries", F.explode(grid).alias("x")).select("candidate", "family", "queries", "x.stage", "x.k", "x.m.jaccard", "x.m.overlap")
 

@@ -87,3 +87,32 @@ def test_stages_against_plain_lists(spark):
         pairs = list(itertools.combinations(sets, 2))
         want = (median(len(a & b) / len(a | b) for a, b in pairs), median(len(a & b) / min(len(a), len(b)) for a, b in pairs)) if pairs else (None, None)
         assert value == pytest.approx(want), (c, stage, k)
+
+
+def test_families_are_gone_through_in_order(spark):
+    """Entries, lists, items and pairs were grouped and sorted one after another before. Families cut by the ends of batches, of other types, null items, and one of a single variant."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for c in range(6):
+        for f in (10, 20):
+            lists = {}
+            for q in range(1 if f == 20 and c == 0 else 1 + rng.randrange(1, 9)):
+                items = [None if i == 7 else f"i{i}" for i in rng.sample(range(30), rng.randrange(0, 22))]
+                lists[q] = items
+                rows += [(c, f, 1000 * c + 10 * f + q, [(2, x, r)]) for r, x in enumerate(items) if r < 20]
+            for k in (5, 10, 20):
+                sets = [(len(x[:k]), {i for i in x[:k] if i}) for x in lists.values() if x]
+                pairs = [(len(a & b), n, m) for (n, a), (m, b) in itertools.combinations(sets, 2)]
+                want[c, f, k] = (median(b / (n + m - b) for b, n, m in pairs), median(b / min(n, m) for b, n, m in pairs)) if pairs else (None, None)
+    rng.shuffle(rows)
+    index = spark.createDataFrame(rows, "candidate int, family long, query_id int, entries array<struct<stage: int, item: string, rank: int>>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = diagnostics.waterfall(spark.createDataFrame([(c, f, 0) for c in range(6) for f in (10, 20)], "candidate int, family long, query_id int"), index)
+        got = {(r.candidate, r.family, r.k): (r.jaccard, r.overlap) for r in out.where("stage = 'post_filter'").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys()
+    for at, (jaccard, overlap) in want.items():
+        assert got[at] == ((None, None) if jaccard is None else (pytest.approx(jaccard), pytest.approx(overlap)))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ObjectHashAggregate") == 0
