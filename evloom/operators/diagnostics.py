@@ -64,6 +64,11 @@ def search_index(queries: DataFrame, raw: DataFrame, kept: DataFrame, scores: Da
     return found.unionByName(left).where("size(entries) > 0")
 
 
+def at_stage(index: DataFrame, stage: str) -> DataFrame:
+    """An index with the entries of one stage, for a waterfall of which the others are not asked for."""
+    return index.withColumn("entries", F.filter("entries", lambda x: x["stage"] == STAGES.index(stage))).where("size(entries) > 0")
+
+
 def _family(variants: list) -> list[dict]:
     """at (stage x 100 + k), jaccard, overlap of a family, given as a list of entries (stage, item, rank) for each variant.
 

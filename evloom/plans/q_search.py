@@ -60,5 +60,5 @@ def DEC23_search_diagnostics(spark, d):
     audits = table(spark, d, "orders").selectExpr("o_custkey as candidate", "o_orderkey as created", "case when o_orderkey % 4 = 0 then 'BLOCKED' else 'PASS' end as admission", f"array({', '.join(_NEIGH)}) as neighbours")
     r = ranked(spark, d).withColumn("q", F.dense_rank().over(Window.partitionBy("candidate").orderBy("query_id")))
     prefix = ranking.prefix_stability(r).withColumn("stability", F.round("stability", 6))
-    out = diagnostics.diagnostics(diagnostics.waterfall(queries, index), diagnostics.rounds(now, audits), prefix)
+    out = diagnostics.diagnostics(diagnostics.waterfall(queries, diagnostics.at_stage(index, "post_filter")), diagnostics.rounds(now, audits), prefix)
     return out.select("candidate", "family_coverage", *(F.round(f"at_{k}", 6).alias(f"at_{k}") for k in diagnostics.DEPTHS), "unstable", "cross_round", "convergence", "confidence")

@@ -116,3 +116,9 @@ def test_families_are_gone_through_in_order(spark):
     for at, (jaccard, overlap) in want.items():
         assert got[at] == ((None, None) if jaccard is None else (pytest.approx(jaccard), pytest.approx(overlap)))
     assert out._jdf.queryExecution().executedPlan().toString().count("ObjectHashAggregate") == 0
+
+
+def test_one_stage_is_taken_from_the_index(spark):
+    """DEC23 took all five stages through the waterfall for one of them before."""
+    index = spark.createDataFrame([("g", "f", 1, [(0, "a", 0), (2, "p", 0)]), ("g", "f", 2, [(2, "p", 0)]), ("g", "f", 3, [(0, "a", 0)])], "candidate string, family string, query_id int, entries array<struct<stage: int, item: string, rank: int>>")
+    assert {(r.query_id, *map(tuple, r.entries)) for r in diagnostics.at_stage(index, "post_filter").collect()} == {(1, (2, "p", 0)), (2, (2, "p", 0))}
